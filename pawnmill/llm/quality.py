@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text_stats import NAMES, with_stats
+from .trees import Split, boost
 
 #: Most labelled rows that a fit uses.
 SAMPLE = 10_000
@@ -69,40 +70,12 @@ class RuleModel:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def _grow_tree(binned: np.ndarray, edges: list[np.ndarray], g: np.ndarray, h: np.ndarray, rows: np.ndarray) -> tuple[list[tuple], np.ndarray]:
-    """Paths (tests, value) of every node below the root; the tree's prediction for all rows."""
-    paths, out = [], np.zeros(len(binned))
-
-    def value(r: np.ndarray) -> float:
-        return float(-g[r].sum() / (h[r].sum() + 1.0))
-
-    def split(r: np.ndarray, everyone: np.ndarray, tests: tuple, depth: int) -> None:
-        best = (1e-6, None, None)
-        if depth < DEPTH and len(r) >= 2 * LEAST_ROWS:
-            total_g, total_h = g[r].sum(), h[r].sum()
-            for k in range(binned.shape[1]):
-                if not len(edges[k]):
-                    continue
-                n = np.bincount(binned[r, k], minlength=len(edges[k]) + 1).cumsum()[:-1]
-                sg = np.bincount(binned[r, k], g[r], len(edges[k]) + 1).cumsum()[:-1]
-                sh = np.bincount(binned[r, k], h[r], len(edges[k]) + 1).cumsum()[:-1]
-                gain = sg**2 / (sh + 1) + (total_g - sg) ** 2 / (total_h - sh + 1) - total_g**2 / (total_h + 1)
-                gain[(n < LEAST_ROWS) | (len(r) - n < LEAST_ROWS)] = -1
-                at = int(gain.argmax())
-                if gain[at] > best[0]:
-                    best = (float(gain[at]), k, at)
-        _, k, at = best
-        if k is None:
-            out[everyone] = value(r)
-            return
-        for above in (False, True):
-            mine, all_mine = r[(binned[r, k] > at) == above], everyone[(binned[everyone, k] > at) == above]
-            path = (*tests, (k, above, float(edges[k][at])))
-            paths.append((path, len(mine)))
-            split(mine, all_mine, path, depth + 1)
-
-    split(rows, np.arange(len(binned)), (), 0)
-    return paths, out
+def paths(node: Split, tests: tuple = ()) -> list[tuple]:
+    """The tests on the way to each node below the root."""
+    if node.feature < 0:
+        return [tests] if tests else []
+    below = [p for above, child in ((False, node.low), (True, node.high)) for p in paths(child, (*tests, (node.feature, above, node.bound)))]
+    return ([tests] if tests else []) + below
 
 
 def _lasso(r: np.ndarray, y: np.ndarray, penalty: float = PENALTY, steps: int = STEPS) -> tuple[float, np.ndarray]:
@@ -138,16 +111,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray) -> RuleModel:
     prior = float(np.log(p / (1 - p)))
     if y.min() == y.max():
         return RuleModel(prior, ())
-    edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(x.shape[1])]
-    binned = np.stack([np.searchsorted(e, x[:, k], "left") for k, e in enumerate(edges)], axis=1)
-    rng, z, rules = np.random.default_rng(17), np.full(len(y), prior), {}
-    for _ in range(TREES):
-        prob = 1 / (1 + np.exp(-z))
-        rows = np.sort(rng.permutation(len(y))[: max(2 * LEAST_ROWS, len(y) // 2)])
-        paths, out = _grow_tree(binned, edges, prob - y, prob * (1 - prob), rows)
-        z += RATE * out
-        for tests, _n in paths:
-            rules.setdefault(Rule(tests))
+    _, trees = boost(x, y, TREES, DEPTH, RATE, BINS, LEAST_ROWS, share=0.5)
+    rules = dict.fromkeys(Rule(tests) for tree in trees for tests in paths(tree))
     kept, columns, seen = [], [], set()
     for rule in rules:
         holds = rule.holds(x)
