@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprint, mixing, packing, pii, quality, sharding, url_filter
+from . import exact_dedup, fingerprint, mixing, near_dedup, packing, pii, quality, sharding, url_filter
 from .common import documents, labels, pages
 from .mixing_sql import OP9_SQL
 
@@ -23,6 +23,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(documents(spark, sf_dir))
 
@@ -56,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_pii_anchors": op2_pii_anchors,
         "op3_quality_rules": op3_quality_rules,
+        "op4_bag_minhash": op4_bag_minhash,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_fingerprints": op6_fingerprints,
         "op7_url_filter": op7_url_filter,
