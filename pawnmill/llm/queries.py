@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprint, mixing, near_dedup, packing, pii, quality, sharding, url_filter
+from . import exact_dedup, fingerprint, line_dedup, mixing, near_dedup, packing, pii, quality, sharding, url_filter
 from .common import documents, labels, pages
+from .line_dedup_sql import OP8_SQL
 from .mixing_sql import OP9_SQL
 
 
@@ -39,6 +40,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages(spark, sf_dir))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(documents(spark, sf_dir))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir))
 
@@ -64,10 +69,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_exact_dedup": op5_exact_dedup,
         "op6_fingerprints": op6_fingerprints,
         "op7_url_filter": op7_url_filter,
+        "op8_line_dedup": op8_line_dedup,
         "op9_source_mixing": op9_source_mixing,
         "op10_sharding": op10_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op9_source_mixing": OP9_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op8_line_dedup": OP8_SQL, "op9_source_mixing": OP9_SQL}
