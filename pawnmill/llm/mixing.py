@@ -59,25 +59,36 @@ def targets(per_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: fl
     )
 
 
-def _sizes(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """Each row's size and first word on its source's line."""
+def _key(source: str = "source") -> Column:
+    """A source's name as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit(""))
+
+
+def _lines(df: DataFrame, weights, total, most, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+    """Each row's size, its first word on its source's line and its source's goal; and the goals.
+
+    Totals and goals travel in the table of (source, bucket) sums, so rows are never dealt by
+    their source alone.
+    """
     buckets = 4 * shuffle_partitions(df.sparkSession)
     draw = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     base = materialise(
         df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), F.monotonically_increasing_id().alias("row_tag"))
-        .withColumn("key", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")))
+        .withColumn("key", _key())
         .withColumn("draw", draw)
         .withColumn("bucket", F.floor(F.conv(F.substring("draw", 1, 6), 16, 10).cast("long") * buckets / F.lit(1 << 24)).cast("int"))
     )
-    sums = base.groupBy("key", "bucket").agg(F.sum("size").alias("words"))
+    sums = materialise(base.groupBy("key", "source", "bucket").agg(F.sum("size").alias("words")))
+    goals = materialise(targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, total, most).withColumn("key", _key()))
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = sums.select("key", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("first"))
+    firsts = sums.select("key", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("first")).join(goals.select("key", "source_size", "target"), "key")
     inside = Window.partitionBy("key", "bucket").orderBy("draw", "size", "row_tag").rowsBetween(Window.unboundedPreceding, -1)
-    return (
+    lines = (
         base.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(firsts, ["key", "bucket"])
-        .select("doc_id", "source", "key", "size", "row_tag", (F.col("first") + F.col("within")).alias("start"))
+        .select("doc_id", "key", "size", "row_tag", "source_size", "target", (F.col("first") + F.col("within")).alias("start"))
     )
+    return materialise(lines), goals
 
 
 def schedule(goals: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -101,17 +112,18 @@ def schedule(goals: DataFrame, block: int = BLOCK) -> DataFrame:
     drawn = points.join(cells, "cell").where("point >= low AND point < high").select("key", "slot", F.floor(F.col("slot") / CHUNK).alias("chunk"))
     counts = drawn.groupBy("key", "chunk").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select("key", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    goal = goals.select("key", "source_size", "blocks", "budget")
+    firsts = counts.select("key", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")).join(goal, "key")
     placed = (
         drawn.withColumn("place", F.row_number().over(Window.partitionBy("key", "chunk").orderBy("slot")))
         .join(firsts, ["key", "chunk"])
-        .select("key", "slot", (F.col("first") + F.col("place") - 1).alias("rank"))
+        .select("key", "slot", (F.col("first") + F.col("place") - 1).alias("rank"), "source_size", "blocks", "budget")
     )
     needed = F.expr(f"(budget div source_size) * blocks + ceil((budget % source_size) / {block})")
     given = drawn.groupBy("key").agg(F.count(F.lit(1)).alias("given"))
     short = goals.where("budget > 0").join(given, "key", "left").select("key", F.coalesce("given", F.lit(0)).alias("given"), needed.alias("needed"))
-    tail = short.where("given < needed").select("key", F.explode(F.expr("sequence(given, needed - 1)")).alias("rank")).select("key", (F.lit(slots) + F.col("rank")).alias("slot"), "rank")
-    ranked = placed.unionByName(tail).join(goals.select("key", "source_size", "blocks", "budget"), "key")
+    tail = short.where("given < needed").select("key", F.explode(F.expr("sequence(given, needed - 1)")).alias("rank")).select("key", (F.lit(slots) + F.col("rank")).alias("slot"), "rank").join(goal, "key")
+    ranked = placed.unionByName(tail)
     ranked = ranked.withColumns({"round": F.expr("rank div blocks"), "block": F.expr("rank % blocks")})
     left = F.col("budget") - F.col("round") * F.col("source_size") - F.col("block") * block
     return ranked.withColumn("words", F.least(F.lit(block), F.col("source_size") - F.col("block") * block, left)).where("words > 0").select("key", "slot", "round", "block", "words")
@@ -132,12 +144,7 @@ def mix_sources(
 
 
 def _mix(df: DataFrame, weights, total, most, block, id_col, text_col, source_col) -> DataFrame:
-    sizes = materialise(_sizes(df, id_col, text_col, source_col))
-    goals = materialise(
-        targets(sizes.groupBy("key", "source").agg(F.sum("size").alias("source_size")).drop("key"), weights, total, most).withColumn(
-            "key", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(""))
-        )
-    )
+    sizes, goals = _lines(df, weights, total, most, id_col, text_col, source_col)
     takes = schedule(goals, block).select("key", "block", "words")
     pieces = sizes.where("size > 0").select(
         "row_tag", "key", "start", "size", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block")
@@ -150,6 +157,27 @@ def _mix(df: DataFrame, weights, total, most, block, id_col, text_col, source_co
     )
     return (
         sizes.join(taken, "row_tag", "left")
-        .join(goals.select("key", "source_size", "target"), "key")
         .select("doc_id", "row_tag", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     )
+
+
+def mix_documents(
+    df: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    total: float = TOTAL,
+    most: float = MOST,
+    block: int = BLOCK,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The mixed corpus, with df's columns: each document as often as the mix takes it, to the nearest whole.
+
+    Only the document in which a source's last block ends is taken in part, so rounding moves
+    a source by less than one document. Rows that repeat an id share what is taken of them.
+    """
+    taken = _mix(df, weights, total, most, block, id_col, text_col, source_col).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.when(F.col("size") > 0, F.col("size")))).otherwise(0).cast("int")
+    plan = taken.select(F.col("doc_id").alias("__doc"), copies.alias("__copies")).where("__copies > 0")
+    met = df.join(plan, df[id_col].eqNullSafe(plan["__doc"]))
+    return met.select(*[df[c] for c in df.columns], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
