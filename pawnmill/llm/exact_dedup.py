@@ -2,7 +2,7 @@
 
 1. Every text is reduced to the SHA-256 of its normalised form; (id, digest, row tag) is
    checkpointed, so texts are read once and all later steps move some 100 bytes a row.
-2. A Misra-Gries style frequent-items sketch (``approx_top_k``, merged over salted groups)
+2. A Misra-Gries style frequent-items sketch (``approx_top_k``, summed over salted groups)
    names at most ``MAX_HEAVY`` candidate digests. Any digest above ``1 / TRACKED * 3.5`` of
    all rows is certain to be among the tracked items.
 3. Candidates are counted exactly with map-side partial aggregation; the verified ones
@@ -35,12 +35,16 @@ def normalised_sha256(text_col: str = "text"):
 
 
 def frequent_digests(base: DataFrame) -> DataFrame:
-    """Candidate digests (column text_sha256), at most MAX_HEAVY."""
+    """Candidate digests (column text_sha256), at most MAX_HEAVY.
+
+    Each salted group sketches its own rows; the groups' estimates (at most SALTS x MAX_HEAVY
+    rows) are summed by digest.
+    """
     salted = base.groupBy(F.pmod(F.xxhash64("row_tag"), F.lit(SALTS)).alias("salt")).agg(
-        F.expr(f"approx_top_k_accumulate(text_sha256, {TRACKED})").alias("sketch")
+        F.expr(f"approx_top_k(text_sha256, {MAX_HEAVY}, {TRACKED})").alias("top")
     )
-    top = salted.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(sketch, {TRACKED}), {MAX_HEAVY})").alias("top"))
-    return top.select(F.explode("top").alias("t")).select(F.col("t.item").alias("text_sha256")).where("text_sha256 IS NOT NULL")
+    estimates = salted.select(F.explode("top").alias("t")).groupBy(F.col("t.item").alias("text_sha256")).agg(F.sum("t.count").alias("n"))
+    return estimates.where("n > 1").orderBy(F.desc("n"), "text_sha256").limit(MAX_HEAVY).select("text_sha256")
 
 
 def _winner():
