@@ -89,7 +89,7 @@ def _values() -> str:
 
 SQL = {
     "vocab_build": VOCAB,
-    "base_filter": "SELECT p_partkey, p_brand, p_type FROM part WHERE p_brand = 'Brand#12' AND contains(lower(p_type), 'steel')",
+    "base_filter": "SELECT p_partkey, p_brand, p_type FROM part WHERE p_brand = 'Brand#4' AND contains(lower(p_type), 'eco')",
     "range_anomaly_filter": """
 SELECT event_id, a, b FROM (SELECT event_id, props->>'$.k' AS a, floor(value)::BIGINT::VARCHAR AS b, (event_id % 60)::INT AS da, CASE WHEN event_id % 7 <> 0 THEN 5 END AS db FROM events)
 WHERE try_cast(a AS INT) >= 10 AND try_cast(b AS INT) >= 10 AND abs(da) <= 30 AND abs(db) <= 30 AND abs(try_cast(a AS INT) - try_cast(b AS INT)) <= 200""",

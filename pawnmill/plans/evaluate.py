@@ -177,8 +177,7 @@ def play_games(spark: SparkSession, factory: Callable[[], scoring.Scorer], oppon
         finally:
             if hasattr(rival, "close"):
                 rival.close()
-        out = pd.DataFrame(rows)
-        return pd.DataFrame({c: out[c] if c in out else None for c in [*names, "record_type", "pgn"]})
+        return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in [*names, "record_type", "pgn"]})
 
     played = games.groupBy("game_id").applyInPandas(play, schema)
     return with_event_ids(played, "run_id", "game_id", F.col("record_type") == "per_game", "ply")

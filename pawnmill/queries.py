@@ -33,7 +33,7 @@ def vocab_build(spark, sf_dir):
 @query
 def base_filter(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    return part.where(games.base_filter("p_brand", "Brand#12", "p_type", "steel")).select("p_partkey", "p_brand", "p_type")
+    return part.where(games.base_filter("p_brand", "Brand#4", "p_type", "eco")).select("p_partkey", "p_brand", "p_type")
 
 
 @query
