@@ -16,8 +16,11 @@ from .vocabulary import with_token_ids
 
 
 def base_filter(equal_col: str = "Termination", equal: str = "Normal", text_col: str = "Event", part: str = "blitz") -> Column:
-    """Equality and case-insensitive containment; null is false."""
-    return F.coalesce((F.col(equal_col) == equal) & F.contains(F.lower(text_col), F.lit(part)), F.lit(False))
+    """Equality and case-insensitive containment, for a WHERE, where null does not pass.
+
+    Kept as a plain conjunction: the equality then reaches the Parquet scan.
+    """
+    return (F.col(equal_col) == equal) & F.contains(F.lower(text_col), F.lit(part))
 
 
 def high_elo_filter(
