@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import MOVETEXTS
+from .queries import MOVETEXTS, POSITIONS
 
 VOCAB = """
 WITH sq AS (SELECT a.range % 8 AS f1, a.range // 8 AS r1, b.range % 8 AS f2, b.range // 8 AS r2 FROM range(64) a, range(64) b),
@@ -207,6 +207,12 @@ SELECT l_orderkey, l_linenumber, array_to_string(list_filter(range(10), lambda k
 SELECT * FROM (VALUES ('mate', 'rnb1kbnr/pppp1ppp/8/4p3/6Pq/5P2/PPPPP2P/RNBQKBNR w KQkq - 1 3', '0-1'),
   ('open', 'rnbqkbnr/pppppppp/8/8/4P3/8/PPPP1PPP/RNBQKBNR b KQkq - 0 1', '*'),
   ('threefold', 'rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 8 5', '1/2-1/2')) v(name, fen, result)""",
+    "legal_move_counts": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{f}', {k})" for n, f, k in POSITIONS) + ") v(name, fen, n)",
+    "move_kinds": "SELECT * FROM (VALUES ('pawn', 2), ('quiet', 1), (NULL, 1), ('castle', 1), ('capture', 3)) v(kind, n)",
+    "prefix_reuse": """
+SELECT conv_id::VARCHAR AS game_id, (row_number() OVER w - 1)::INT AS ply, (row_number() OVER w)::INT AS n_tokens, (row_number() OVER w - 1)::INT AS n_reused
+FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
+    "wellformed_moves": "SELECT move, regexp_full_match(move, '[a-h][1-8][a-h][1-8][qrbn]?') AND substr(move, 1, 2) <> substr(move, 3, 2) AS ok FROM (VALUES ('e2e4'), ('a7a8q'), ('e2e2'), ('z9z9'), ('e2e4x'), (''), ('0000')) v(move)",
 }
 
 

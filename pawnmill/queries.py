@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -429,8 +428,52 @@ def game_results(spark, sf_dir):
     return rows.select("name", fen_after("moves").alias("fen"), result_after("moves").alias("result"))
 
 
-def queries() -> dict[str, Query]:
-    return dict(_REGISTRY)
+# Positions and their published numbers of legal moves.
+POSITIONS = (
+    ("start", "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1", 20),
+    ("castling", "r3k2r/p1ppqpb1/bn2pnp1/3PN3/1p2P3/2N2Q1p/PPPBBPPP/R3K2R w KQkq - 0 1", 48),
+    ("pins", "8/2p5/3p4/KP5r/1R3p1k/8/4P1P1/8 w - - 0 1", 14),
+    ("check", "r3k2r/Pppp1ppp/1b3nbN/nP6/BBP1P3/q4N2/Pp1P2PP/R2Q1RK1 w kq - 0 1", 6),
+    ("promotion", "rnbq1k1r/pp1Pbppp/2p5/8/2B5/8/PPP1NnPP/RNBQK2R w KQ - 1 8", 44),
+)
+
+
+@query
+def legal_move_counts(spark, sf_dir):
+    from .operators.chess_udfs import legal_moves, normal_fen
+
+    rows = spark.createDataFrame([(n, f) for n, f, _ in POSITIONS], "name string, fen string")
+    return rows.select("name", normal_fen("fen").alias("fen"), F.size(legal_moves("fen")).alias("n"))
+
+
+@query
+def move_kinds(spark, sf_dir):
+    """Distribution of move types."""
+    from .operators.chess_udfs import kind_of_move
+
+    moves = [("start", "e2e4"), ("start", "g1f3"), ("start", "e2e5"), ("castling", "e1g1"), ("castling", "e5f7"), ("castling", "a2a3"), ("promotion", "d7c8q"), ("promotion", "c4f7")]
+    fens = {n: f for n, f, _ in POSITIONS}
+    rows = spark.createDataFrame([(fens[n], m) for n, m in moves], "fen string, move string")
+    return rows.select(kind_of_move("fen", "move").alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-LN2 = math.log(2)
+@query
+def prefix_reuse(spark, sf_dir):
+    """Keyed prefix state over the turns of conversations."""
+    from .streaming.jobs import prefix_reuse_batch
+
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("game_id"), (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).alias("ply"))
+    return prefix_reuse_batch(turns.select("game_id", "ply", F.sequence(F.lit(0), F.col("ply")).alias("input_ids"), F.lit(False).alias("ended")))
+
+
+@query
+def wellformed_moves(spark, sf_dir):
+    """Form of UCI text, apart from legality."""
+    from .operators.chess_udfs import uci_is_wellformed
+
+    texts = [("e2e4",), ("a7a8q",), ("e2e2",), ("z9z9",), ("e2e4x",), ("",), ("0000",)]
+    return spark.createDataFrame(texts, "move string").select("move", uci_is_wellformed("move").alias("ok"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_REGISTRY)
