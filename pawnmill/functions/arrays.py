@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,16 +12,20 @@ from .scalar import col
 NEGATIVE_INFINITY = float("-inf")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, also where body uses it inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def array_sum(a: Column | str) -> Column:
     return F.aggregate(col(a), F.lit(0.0), lambda acc, x: acc + x.cast("double"))
 
 
 def log_softmax(a: Column | str) -> Column:
     """x - (max + ln sum exp(x - max)) for every x."""
-    x = F.transform(col(a), lambda v: v.cast("double"))
-    top = F.array_max(x)
-    norm = top + F.ln(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + F.exp(v - top)))
-    return F.transform(x, lambda v: v - norm)
+    doubles = F.transform(col(a), lambda v: v.cast("double"))
+    norm = lambda x, top: top + F.ln(F.aggregate(x, F.lit(0.0), lambda acc, v: acc + F.exp(v - top)))
+    return let(doubles, lambda x: let(let(F.array_max(x), lambda top: norm(x, top)), lambda n: F.transform(x, lambda v: v - n)))
 
 
 def mask_scores(scores: Column | str, allowed: Column | str) -> Column:
@@ -34,7 +40,7 @@ def argmax(scores: Column | str) -> Column:
 
 def masked_argmax(scores: Column | str, allowed: Column | str) -> Column:
     """argmax over the allowed places; null when none is allowed (the game is over)."""
-    return F.when(F.size(col(allowed)) > 0, argmax(mask_scores(scores, allowed)))
+    return F.when(F.size(col(allowed)) > 0, let(mask_scores(scores, allowed), argmax))
 
 
 def top_k(logprobs: Column | str, k: int, labels: Column | None = None) -> Column:
@@ -55,8 +61,8 @@ def sample_index(logits: Column | str, temperature: float, k: int, *seed: Column
     if temperature <= 0:
         return argmax(x)
     if k > 0:
-        least = F.element_at(F.sort_array(x, asc=False), F.least(F.lit(k), F.size(x)))
-        x = F.transform(x, lambda v: F.when(v >= least, v).otherwise(F.lit(NEGATIVE_INFINITY)))
+        least = lambda y: F.element_at(F.sort_array(y, asc=False), F.least(F.lit(k), F.size(y)))
+        x = let(x, lambda y: let(least(y), lambda low: F.transform(y, lambda v: F.when(v >= low, v).otherwise(F.lit(NEGATIVE_INFINITY)))))
     uniform = lambda i: (F.shiftrightunsigned(F.xxhash64(*seed, i), 11).cast("double") + 0.5) / float(1 << 53)
     return argmax(F.transform(x, lambda v, i: v / F.lit(float(temperature)) - F.ln(-F.ln(uniform(i)))))
 
