@@ -11,8 +11,8 @@
    verified links give components. That is linear in the entries, whatever a bucket's size.
 4. What the pivots did not settle is settled exactly: members outside a bucket's largest
    component are compared with the bucket's members in other components, as far as the bound
-   allows. So no link between candidates that could join two classes goes unseen, and a
-   group of copies is never expanded into pairs.
+   allows, in cells of bounded size. So no link between candidates that could join two
+   classes goes unseen, and a group of copies is never expanded into pairs.
 5. Classes are components; a class is named by its least document.
 
 Two bags of similarity 0.8 share a band with probability 1 - (1 - 0.8^ROWS)^BANDS, which is
@@ -42,8 +42,8 @@ from .shingles import WORDS, overlap, shingle_bag
 from .slots import slot_map
 
 BANDS, ROWS, THRESHOLD = 24, 5, 0.8
-#: Texts whose signatures are drawn together.
-CHUNK = 256
+#: Texts whose signatures are drawn together, and members of a bucket that one cell holds of either side.
+CHUNK, CELL = 256, 256
 
 
 def _sketch(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
@@ -137,6 +137,57 @@ def _verify(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     return joined.mapInArrow(run, f"a {id_type}, b {id_type}")
 
 
+def _settle(open_entries: DataFrame, bands: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """a, b of every link between different components of a bucket, by comparing all that may be one.
+
+    Buckets of one largest component hold much the same members, so they are taken together:
+    each member comes once, not once a band. The members outside the component (side 0) and
+    all members (side 1) are dealt by hash into groups of about CELL; each pair of groups is a
+    cell with its own task slot, so neither a task nor a row holds a whole bucket. Rows meet
+    sorted by cell; two members are compared if they share a band key and the bound allows,
+    and pairs exist only while they are compared.
+    """
+    id_type = open_entries.schema["rep"].dataType.simpleString()
+    members = materialise(open_entries.select("largest", "rep", "mass", "rest", "root").distinct())
+    minor = F.col("root") != F.col("largest")
+    sizes = members.groupBy("largest").agg(F.count_if(minor).alias("minors"), F.count(F.lit(1)).alias("members"))
+    groups = sizes.select("largest", F.ceil(F.col("minors") / CELL).cast("int").alias("rows"), F.ceil(F.col("members") / CELL).cast("int").alias("columns"))
+    dealt = members.join(groups, "largest").join(bands, "rep").join(bags, "rep")
+    mine = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    fields = ["largest", "i", "j", "side", "rep", "root", "minor", "mass", "rest", "bands", "shingles", "counts"]
+    left = dealt.where(minor).withColumns({"side": F.lit(0), "minor": F.lit(True), "i": mine(F.col("rows")), "j": F.explode(every(F.col("columns")))})
+    right = dealt.withColumns({"side": F.lit(1), "minor": minor, "j": mine(F.col("columns")), "i": F.explode(every(F.col("rows")))})
+    rows = left.select(*fields).unionByName(right.select(*fields)).repartition("largest", "i", "j").sortWithinPartitions("largest", "i", "j", "side")
+    need, slack = threshold / (1 + threshold), 1e-9
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, firsts, table = None, [], None
+        for batch in batches:
+            a, b = [], []
+            for r in (r for at in range(0, batch.num_rows, CHUNK) for r in batch.slice(at, CHUNK).to_pylist()):
+                here = r["largest"], r["i"], r["j"]
+                if here != cell:
+                    cell, firsts, table = here, [], None
+                bag = np.frombuffer(r["shingles"], dtype="<u8"), np.frombuffer(r["counts"], dtype="<i4")
+                if r["side"] == 0:
+                    firsts.append((r["rep"], r["root"], r["mass"], r["rest"], r["bands"], bag))
+                    continue
+                if table is None and firsts:
+                    table = np.array([f[4] for f in firsts]), np.array([f[2] for f in firsts]), np.array([f[3] for f in firsts])
+                if not firsts:
+                    continue
+                may = (table[0] == np.array(r["bands"])).any(axis=1) & (np.minimum(table[2], r["rest"]) + slack >= need * (table[1] + r["mass"]))
+                for k in np.flatnonzero(may).tolist():
+                    rep, root, _, _, _, other = firsts[k]
+                    if root != r["root"] and (not r["minor"] or rep < r["rep"]) and overlap(other, bag) >= threshold:
+                        a.append(rep)
+                        b.append(r["rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, batch.schema.field("rep").type), pa.array(b, batch.schema.field("rep").type)], names=["a", "b"])
+
+    return rows.mapInArrow(compare, f"a {id_type}, b {id_type}")
+
+
 def near_classes(df: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id, class_size and kept for every row of df."""
     sketch = materialise(_sketch(df, id_col, text_col, words))
@@ -175,18 +226,8 @@ def near_classes(df: DataFrame, threshold: float = THRESHOLD, words: int = WORDS
     parts = materialise(marked.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n")))
     several = parts.groupBy("band", "key").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).alias("largest")).where("roots > 1")
     several = several.select("band", "key", F.col("largest.root").alias("largest"))
-    open_entries = materialise(marked.join(several, ["band", "key"]).select("band", "key", "rep", "mass", "rest", "root", "largest"))
-    minor = open_entries.where("root <> largest").select("band", "key", F.col("rep").alias("a"), F.col("mass").alias("am"), F.col("rest").alias("ar"), F.col("root").alias("aroot"))
-    other = open_entries.select("band", "key", F.col("rep").alias("b"), F.col("mass").alias("bm"), F.col("rest").alias("br"), F.col("root").alias("broot"), "largest")
-    # of two minor members the lesser id leads; against the largest component the minor one does
-    unsettled = (
-        minor.join(other, ["band", "key"])
-        .where((F.col("aroot") != F.col("broot")) & ((F.col("broot") == F.col("largest")) | (F.col("a") < F.col("b"))))
-        .where(possible(F.col("am"), F.col("ar"), F.col("bm"), F.col("br")))
-        .select("a", "b")
-        .distinct()
-    )
-    more = materialise(_verify(unsettled, bags, threshold))
+    open_entries = marked.join(several, ["band", "key"]).select("rep", "mass", "rest", "root", "largest")
+    more = materialise(_settle(open_entries, sets.select("rep", "bands"), bags, threshold))
     if more.limit(1).count():
         roots = components(links.unionByName(more))
 
