@@ -8,6 +8,7 @@ of a batch are encoded together, parted by a word of one control character.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterable
 
 import numpy as np
 
@@ -15,7 +16,9 @@ import numpy as np
 ODD_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f")
 PART = "\x01"
 #: Words kept by each worker (two generations of half as many), and the longest that is kept.
-CACHE_WORDS, LONGEST_WORD = 400_000, 64
+CACHE_WORDS, LONGEST_WORD = 500_000, 64
+#: Punctuation that forms one piece after letters; letters below U+0250 are in composed form.
+TAIL, PLAIN_BELOW = ".,!?;:#$%&*|)", "\u0250"
 
 
 def default_path() -> str:
@@ -24,6 +27,32 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Recent:
+    """A dictionary of two generations: full, it forgets what was not asked for since the last time."""
+
+    def __init__(self, most: int):
+        self.half = max(1, most // 2)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def look_up(self, words: Iterable[str]) -> tuple[dict[str, bytes], list[str]]:
+        """What is known, and the words that are not."""
+        young, old, known, missing = self.young, self.old, {}, []
+        for w in words:
+            v = young.get(w)
+            if v is None and (v := old.get(w)) is not None:
+                young[w] = v
+            if v is None:
+                missing.append(w)
+            else:
+                known[w] = v
+        return known, missing
+
+    def age(self) -> None:
+        if len(self.young) > self.half:
+            self.old, self.young = self.young, {}
+
+
 class WordCachedTokenizer:
     """Little-endian unsigned 32-bit ids of a text, as bytes."""
 
@@ -32,14 +61,12 @@ class WordCachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.half = max(1, cache_words // 2)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.words, self.cores, self.tails = Recent(cache_words), Recent(cache_words), Recent(10_000)
         parts = self._ids(PART)
         self.part = parts[0] if len(parts) == 1 else None
 
     def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _encode(self, words: list[str]) -> list[bytes]:
         if self.part is not None and len(words) > 1:
@@ -51,27 +78,42 @@ class WordCachedTokenizer:
                 return [raw[4 * a : 4 * b] for a, b in zip(starts, [*ends.tolist(), len(ids)])]
         return [np.array(self._ids(w), dtype="<u4").tobytes() for w in words]
 
+    def _learn(self, cache: Recent, words: Iterable[str]) -> dict[str, bytes]:
+        known, missing = cache.look_up(words)
+        for at in range(0, len(missing), 4000):
+            some = missing[at : at + 4000]
+            for w, v in zip(some, self._encode(some)):
+                known[w] = cache.young[w] = v
+        cache.age()
+        return known
+
     def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of all these words; the ones worth keeping go into the cache."""
-        young, old, known, missing = self.young, self.old, {}, []
-        for w in words:
-            v = young.get(w)
-            if v is None and (v := old.get(w)) is not None:
-                young[w] = v
-            if v is None:
-                missing.append(w)
+        """Ids of all these words; those worth keeping go into the cache.
+
+        A word of letters and a tail of punctuation is split by the tokenizer at that place,
+        and its letters are lower-cased, so many unseen words have seen letters.
+        """
+        known, missing = self.words.look_up(words)
+        parted, whole, young = [], [], self.words.young
+        for w in missing:
+            if len(w) > LONGEST_WORD or PART in w:
+                known[w] = np.array(self._ids(w), dtype="<u4").tobytes()
+                continue
+            low = w.lower()
+            core = low.rstrip(TAIL)
+            if core.isalpha() and max(core) < PLAIN_BELOW:
+                parted.append((w, core, low[len(core) :]))
             else:
-                known[w] = v
-        plain = [w for w in missing if len(w) <= LONGEST_WORD and PART not in w]
-        for at in range(0, len(plain), 4000):
-            some = plain[at : at + 4000]
+                whole.append(w)
+        cores = self._learn(self.cores, {core for _, core, _ in parted})
+        tails = self._learn(self.tails, {tail for _, _, tail in parted if tail})
+        for w, core, tail in parted:
+            known[w] = young[w] = cores[core] + tails[tail] if tail else cores[core]
+        for at in range(0, len(whole), 4000):
+            some = whole[at : at + 4000]
             for w, v in zip(some, self._encode(some)):
                 known[w] = young[w] = v
-        for w in missing:
-            if w not in known:
-                known[w] = self._encode([w])[0]
-        if len(young) > self.half:
-            self.old, self.young = young, {}
+        self.words.age()
         return known
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
