@@ -5,7 +5,8 @@ normalised (lower case, white space to one space, none outside) and hashed (XXH3
 digests are grouped over all documents. The occurrence in the document with the least id,
 and in it the first, stays; every other occurrence is removed, and its place in the original
 text (code points, end exclusive) is kept as a span. A removed line takes its line break
-along. Units of fewer than MIN_WORDS words are never removed by themselves.
+along. Every line with a word in it is a unit, however short; sentences inside a line are
+units from MIN_WORDS words (shorter ones, "Mr." or "e.g." among them, are no passages).
 
 Only a document's first occurrence of a unit takes part in the global grouping (repeats
 inside a document need no shuffle), and only least ids and counts are shuffled for it, with
@@ -29,20 +30,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIN_WORDS = 6
+MIN_WORDS, LINE_WORDS = 6, 1
 SENTENCE = re.compile(r"[^.!?]*[.!?]+[ \t]*|[^.!?]+\Z")
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
 CHUNK = 256
 
 
-def units(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[str, int, int]]:
-    """(normalised unit, start, end) of every line and sentence that may be removed."""
+def units(text: str | None, min_words: int = MIN_WORDS, line_words: int | None = None) -> Iterator[tuple[str, int, int]]:
+    """(normalised unit, start, end) of every line of line_words (min_words unless given) and sentence of min_words or more."""
+    line_words = min_words if line_words is None else line_words
     at = 0
     lines = (text or "").split("\n")
     for k, line in enumerate(lines):
         plain = SPACES.sub(" ", line.lower()).strip(" ")
-        if plain.count(" ") + 1 >= min_words and plain:
+        n_words = plain.count(" ") + 1 if plain else 0
+        if n_words and n_words >= line_words:
             yield plain, at, at + len(line) + (k < len(lines) - 1)
+        if n_words and n_words >= min_words:
             sentences = SENTENCE.findall(line)
             if len(sentences) > 1:
                 start = at
@@ -72,7 +76,7 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*kept, text[at:]])
 
 
-def unit_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def unit_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
     """h1, h2, doc_id, start, end and again (an earlier unit of the document has this digest)."""
     id_type = df.schema[id_col].dataType.simpleString()
 
@@ -83,7 +87,7 @@ def unit_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
                 owner, raw, start, end, again = [], [], [], [], []
                 for k, text in enumerate(part.column(1).to_pylist()):
                     seen: set[bytes] = set()
-                    for unit, a, b in units(text, min_words):
+                    for unit, a, b in units(text, min_words, line_words):
                         d = xxhash.xxh3_128_digest(unit.encode("utf-8", "surrogatepass"))
                         owner.append(k)
                         raw.append(d)
@@ -100,9 +104,9 @@ def unit_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     return df.select(id_col, text_col).mapInArrow(run, f"h1 bigint, h2 bigint, doc_id {id_type}, start int, end int, again boolean")
 
 
-def repeated_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
     """doc_id, start, end, keep_id for every occurrence that is removed."""
-    table = unit_table(df, id_col, text_col, min_words)
+    table = unit_table(df, id_col, text_col, min_words, line_words)
     firsts = table.where("NOT again")
     groups = firsts.groupBy("h1", "h2").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "keep_id")
     elsewhere = firsts.join(groups, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "start", "end", "keep_id")
@@ -110,11 +114,11 @@ def repeated_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return elsewhere.unionByName(inside)
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, with_text: bool = False) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, with_text: bool = False, line_words: int = LINE_WORDS) -> DataFrame:
     """For every row of df: doc_id, n_removed (units), removed (merged spans), clean_chars, clean_sha256, and the clean text if asked for."""
     id_type = df.schema[id_col].dataType.simpleString()
     removed = (
-        repeated_units(df, id_col, text_col, min_words)
+        repeated_units(df, id_col, text_col, min_words, line_words)
         .distinct()
         .groupBy("doc_id")
         .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))

@@ -46,6 +46,15 @@ def test_odd_inputs(spark):
     assert sorted((repr(r["doc_id"]), r["n_removed"]) for r in found) == [("1", 0), ("1", 0), ("2", 1), ("None", 1)]
 
 
+def test_short_lines(spark):
+    verse = "\n".join(" ".join(prose(4, 700 + k).split()) for k in range(15))
+    rows = [(1, f"{prose(20, 1)}\n{verse}\n"), (2, f"{prose(20, 2)}\nAll rights reserved.\n\n{verse}"), (3, f"all  rights reserved.\n{prose(20, 3)}\nEnd"), (4, "End\n \n\nMr. Fox and all the others. Mr. Fox"), (5, "end")]
+    found = {r["doc_id"]: (r["n_removed"], r["removed"], r["clean_text"]) for r in L.dedup_lines(docs(spark, rows), with_text=True).collect()}
+    assert found[2][2] == f"{prose(20, 2)}\nAll rights reserved.\n\n" and found[2][0] == 15  # a passage of 60 words in lines of four
+    assert found[1][0] == 0 and found[3][2] == f"{prose(20, 3)}\nEnd"
+    assert found[4][2] == " \n\nMr. Fox and all the others. Mr. Fox" and found[5] == (1, "0:3", "")  # blank lines and short sentences stay
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are not here")
 @pytest.mark.parametrize("name", ["op5_exact_dedup", "op8_line_dedup", "op9_source_mixing"])
 def test_sql_twins(spark, name):
