@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from .vocabulary import token_list
 
+#: Prefixes that a scorer is given at once, whatever a sequence's length.
+PREFIXES = 256
+
 
 class Scorer(Protocol):
     def logits(self, prefixes: list[list[int]]) -> np.ndarray: ...
@@ -132,7 +135,10 @@ def check_vocabulary(sequences: DataFrame) -> DataFrame:
 
 
 def score_sequences(sequences: DataFrame, factory: Callable[[], Scorer], ids: str = "input_ids", out: str = "token_logprobs") -> DataFrame:
-    """df with the log probabilities of tokens 1..n-1, each given its prefix; [] below two tokens."""
+    """df with the log probabilities of tokens 1..n-1, each given its prefix; [] below two tokens.
+
+    Prefixes are made PREFIXES at a time, so memory is linear in a sequence; their tokens in all grow with its square.
+    """
     columns = sequences.columns
     schema = sequences.schema.simpleString()[7:-1] + f",{out}:array<double>"
 
@@ -145,8 +151,12 @@ def score_sequences(sequences: DataFrame, factory: Callable[[], Scorer], ids: st
                 if len(line) < 2:
                     values.append([])
                     continue
-                lp = log_softmax(np.asarray(scorer.logits([line[:k] for k in range(1, len(line))]), dtype=np.float64))
-                values.append(lp[np.arange(len(line) - 1), line[1:]].tolist())
+                found: list[float] = []
+                for at in range(1, len(line), PREFIXES):
+                    nexts = line[at : at + PREFIXES]
+                    lp = log_softmax(np.asarray(scorer.logits([line[:k] for k in range(at, at + len(nexts))]), dtype=np.float64))
+                    found += lp[np.arange(len(nexts)), nexts].tolist()
+                values.append(found)
             yield frame[columns].assign(**{out: values})
 
     return sequences.mapInPandas(run, schema)

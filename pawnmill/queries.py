@@ -383,7 +383,7 @@ def illegal_set(spark, sf_dir):
 @query
 def uniform_scores(spark, sf_dir):
     """Log probabilities of sequences under the uniform scorer, through the scorer interface."""
-    rows = table(spark, sf_dir, "benchmark").select("item_id", F.transform(F.slice(scalar.split_words("text"), 1, 8), lambda w: (F.length(w) % 100).cast("int")).alias("input_ids"))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.transform(scalar.split_words("text"), lambda w: (F.length(w) % 100).cast("int")).alias("input_ids"))
     scored = scoring.score_sequences(rows, scoring.UniformScorer)
     return scored.select("item_id", F.size("token_logprobs").alias("n"), F.round(arrays.array_sum("token_logprobs"), 9).alias("total"))
 
