@@ -26,10 +26,11 @@ def stratum_frame(spark: SparkSession, dimensions: Mapping[str, Sequence[str]])
     return spark.createDataFrame(rows, "dimension string, stratum string")
 
 
-def stratified(df: DataFrame, dimensions: Mapping[str, Sequence[str] | None], measures: Mapping[str, Column], zero_fill: bool = True) -> DataFrame:
+def stratified(df: DataFrame, dimensions: Mapping[str, Sequence[str] | None], measures: Mapping[str, Column], zero_fill: bool = True, more: Sequence[str] = ()) -> DataFrame:
     """dimension, stratum and measures: overall and for each member of each dimension.
 
-    A dimension whose members are None reports the members that occur.
+    A dimension whose members are None reports the members that occur, null included. One
+    named in ``more`` reports its members, and besides them others that occur.
     """
     names = list(dimensions)
     keyed = df.select(*[F.col(n).cast("string").alias(f"__{n}") for n in names], *[c.alias(f"__m_{k}") for k, (_, c) in enumerate(_inputs(measures))])
@@ -51,6 +52,9 @@ def stratified(df: DataFrame, dimensions: Mapping[str, Sequence[str] | None], me
     frame = stratum_frame(df.sparkSession, fixed)
     filled = frame.join(F.broadcast(found), ["dimension", "stratum"], "left")
     filled = filled.select("dimension", "stratum", *[F.coalesce(k, F.lit(0)).alias(k) for k, _ in _inputs(measures)])
+    if more:
+        others = found.where(F.col("dimension").isin(list(more))).join(F.broadcast(frame), ["dimension", "stratum"], "left_anti")
+        filled = filled.unionByName(others)
     loose = [n for n, m in dimensions.items() if m is None]
     return filled.unionByName(found.where(F.col("dimension").isin(loose))) if loose else filled
 
@@ -74,10 +78,10 @@ def win_rate(games: DataFrame, result: str = "result", side: str = "model_side",
     return counts.withColumns({"win_rate": ratio(F.col("wins"), scored), "score_rate": ratio(F.col("wins") + F.lit(0.5) * F.col("draws"), scored)})
 
 
-def legal_rate(moves: DataFrame, legal: str = "raw_sample_legal", dimensions: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """n, legal and rate, overall and by each dimension."""
+def legal_rate(moves: DataFrame, legal: str = "raw_sample_legal", dimensions: Mapping[str, Sequence[str] | None] | None = None, more: Sequence[str] = ()) -> DataFrame:
+    """n, legal and rate, overall and by each dimension; for ``more`` see ``stratified``."""
     dimensions = {"phase": C.PHASES, "model_side": C.SIDES} if dimensions is None else dimensions
-    counts = stratified(moves, dimensions, {"n": F.lit(1).cast("long"), "legal": _flag(F.col(legal))})
+    counts = stratified(moves, dimensions, {"n": F.lit(1).cast("long"), "legal": _flag(F.col(legal))}, more=more)
     return counts.withColumn("rate", ratio(F.col("legal"), F.col("n")))
 
 

@@ -205,7 +205,7 @@ def score_summary(spark, sf_dir):
 def legal_rate_strata(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     moves = docs.select((F.col("quality") == 1).alias("legal"), scalar.phase(F.expr("n_chars div 100")).alias("phase"), F.col("lang"))
-    return metrics.legal_rate(moves, "legal", {"phase": C.PHASES, "lang": ("de", "en", "es", "fr", "it")})
+    return metrics.legal_rate(moves, "legal", {"phase": C.PHASES, "lang": ("de", "en", "es", "fr", "it")}, more=["lang"])
 
 
 @query
