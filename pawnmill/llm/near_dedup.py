@@ -1,9 +1,9 @@
 """Near-duplicate classes: BagMinHash, banding, and verified multiset overlap.
 
 1. Each whole text becomes a bag of five-word shingles; texts with equal bags form one set,
-   and only its least document, the representative, goes on. One pass yields the bag's
+   which its digest names; a number for it, ``rep``, goes on. One pass yields the bag's
    digest and its band keys (BANDS bands of ROWS signature components).
-2. Representatives that share a band key are candidates. Their bags are read again, for
+2. Sets that share a band key are candidates. Their bags are read again, for
    candidates only, and each gets the weight ``own`` of shingles that no other candidate has.
    own bounds the similarity with anyone: at most min(|x| - own_x, |y| - own_y) can be
    common. Entries that cannot reach the threshold with any member of their bucket leave it.
@@ -19,7 +19,8 @@ Two bags of similarity 0.8 share a band with probability 1 - (1 - 0.8^ROWS)^BAND
 0.9999 for the constants below.
 
 Defined results: words are lower-cased and parted by white space; a text of fewer than five
-words is one shingle; texts without words, null ones among them, are one class; a null id
+words is one shingle; rows that share an id but not their text are classed each by its own
+text; texts without words, null ones among them, are one class; a null id
 gets a class of its own (null) and is kept; repeated rows share a class, and each says the
 same; an empty table gives no rows; extra columns are ignored by ``near_classes`` and passed
 through by ``drop_near_duplicates``.
@@ -46,8 +47,12 @@ BANDS, ROWS, THRESHOLD = 24, 5, 0.8
 CHUNK, CELL = 256, 256
 
 
+def _digests(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    return np.array([np.frombuffer(xxhash.xxh3_128_digest(b[0].tobytes() + b[1].tobytes()), dtype="<i8") for b in bags]).reshape(-1, 2)
+
+
 def _sketch(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """doc_id, set_hi, set_lo, mass (shingles with repeats) and bands of every row."""
+    """doc_id, text_hash, set_hi, set_lo, mass (shingles with repeats) and bands of every row."""
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,45 +64,49 @@ def _sketch(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
                 owner = np.repeat(np.arange(len(bags)), sizes)
                 sig = signatures(owner, np.concatenate([b[0] for b in bags]), np.concatenate([b[1] for b in bags]), len(bags), BANDS * ROWS)
                 keys = band_keys(sig, BANDS, ROWS)
-                names = np.array([np.frombuffer(xxhash.xxh3_128_digest(b[0].tobytes() + b[1].tobytes()), dtype="<i8") for b in bags]).reshape(-1, 2)
+                names = _digests(bags)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(2),
                         pa.array(names[:, 0].copy()),
                         pa.array(names[:, 1].copy()),
                         pa.array([int(b[1].sum()) for b in bags], pa.int64()),
                         pa.array([k.tolist() if n else [] for k, n in zip(keys, sizes)], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "set_hi", "set_lo", "mass", "bands"],
+                    names=["doc_id", "text_hash", "set_hi", "set_lo", "mass", "bands"],
                 )
 
-    return df.select(id_col, text_col).mapInArrow(run, f"doc_id {id_type}, set_hi bigint, set_lo bigint, mass bigint, bands array<bigint>")
+    return df.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(run, f"doc_id {id_type}, text_hash bigint, set_hi bigint, set_lo bigint, mass bigint, bands array<bigint>")
 
 
 def _bags(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """rep, shingles, counts (packed) for the documents in wanted (column rep).
+    """rep, shingles, counts (packed) for the sets in wanted (rep, set_hi, set_lo, and first, the least document).
 
-    The map of wanted ids' hash slots (2 MiB) lets other documents leave before any shuffle.
+    The map of hash slots of those documents (2 MiB) lets others leave before any shuffle; the
+    digest decides, since another text may have the same id.
     """
-    slots = slot_map(wanted.select(F.xxhash64("rep").alias("h")))
+    slots = slot_map(wanted.select(F.xxhash64("first").alias("h")))
     shared = df.sparkSession.sparkContext.broadcast(slots)
-    id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .slots import in_slots
 
         for batch in batches:
-            rows = np.flatnonzero(in_slots(shared.value, batch.column(2).to_numpy()))
+            rows = np.flatnonzero(in_slots(shared.value, batch.column(1).to_numpy()))
             for at in range(0, len(rows), CHUNK):
                 part = batch.take(pa.array(rows[at : at + CHUNK]))
-                bags = [shingle_bag(t, words) for t in part.column(1).to_pylist()]
+                bags = [shingle_bag(t, words) for t in part.column(0).to_pylist()]
+                names = _digests(bags)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([b[0].tobytes() for b in bags], pa.binary()), pa.array([b[1].astype("<i4").tobytes() for b in bags], pa.binary())],
-                    names=["rep", "shingles", "counts"],
+                    [pa.array(names[:, 0].copy()), pa.array(names[:, 1].copy()), pa.array([b[0].tobytes() for b in bags], pa.binary()), pa.array([b[1].astype("<i4").tobytes() for b in bags], pa.binary())],
+                    names=["set_hi", "set_lo", "shingles", "counts"],
                 )
 
-    some = df.where(F.col(id_col).isNotNull()).select(id_col, text_col, F.xxhash64(id_col).alias("h"))
-    return some.mapInArrow(run, f"rep {id_type}, shingles binary, counts binary").join(wanted.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
+    some = df.where(F.col(id_col).isNotNull()).select(text_col, F.xxhash64(id_col).alias("h"))
+    found = some.mapInArrow(run, "set_hi bigint, set_lo bigint, shingles binary, counts binary")
+    met = found.join(wanted.select("set_hi", "set_lo", "rep"), ["set_hi", "set_lo"]).dropDuplicates(["set_hi", "set_lo"])
+    return met.select("rep", "shingles", "counts")
 
 
 def _own_mass(bags: DataFrame) -> DataFrame:
@@ -190,15 +199,21 @@ def _settle(open_entries: DataFrame, bands: DataFrame, bags: DataFrame, threshol
 
 def near_classes(df: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id, class_size and kept for every row of df."""
+    return _classes(df, threshold, words, id_col, text_col).drop("text_hash")
+
+
+def _classes(df: DataFrame, threshold: float, words: int, id_col: str, text_col: str) -> DataFrame:
+    """The columns of near_classes, and text_hash."""
     sketch = materialise(_sketch(df, id_col, text_col, words))
     named = sketch.where("doc_id IS NOT NULL")
     sets = materialise(
-        named.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("mass").alias("mass"), F.first("bands").alias("bands"))
+        named.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("mass").alias("mass"), F.first("bands").alias("bands")).withColumn("rep", F.monotonically_increasing_id())
     )
     entries = sets.select("rep", "mass", F.posexplode("bands").alias("band", "key"))
     crowded = entries.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key")
     entries = materialise(entries.join(crowded, ["band", "key"], "left_semi"))
-    bags = materialise(_bags(df, entries.select("rep").distinct(), id_col, text_col, words))
+    wanted = sets.join(entries.select("rep").distinct(), "rep", "left_semi").select("rep", "set_hi", "set_lo", "first")
+    bags = materialise(_bags(df, wanted, id_col, text_col, words))
     own = _own_mass(bags)
 
     # common <= least of (mass - own); the threshold t asks for common >= t / (1 + t) * (mass_x + mass_y)
@@ -231,15 +246,15 @@ def near_classes(df: DataFrame, threshold: float = THRESHOLD, words: int = WORDS
     if more.limit(1).count():
         roots = components(links.unionByName(more))
 
-    classes = sets.select("set_hi", "set_lo", "rep", "copies").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("class_id", F.coalesce("root", "rep"))
-    sizes = classes.groupBy("class_id").agg(F.sum("copies").alias("class_size"))
-    classes = materialise(classes.join(sizes, "class_id").select("set_hi", "set_lo", "class_id", "class_size"))
-    found = named.join(classes, ["set_hi", "set_lo"]).select("doc_id", "class_id", "class_size")
-    nameless = sketch.where("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    classes = sets.select("set_hi", "set_lo", "rep", "first", "copies").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    sizes = classes.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
+    classes = materialise(classes.join(sizes, "root").select("set_hi", "set_lo", "class_id", "class_size"))
+    found = named.join(classes, ["set_hi", "set_lo"]).select("doc_id", "text_hash", "class_id", "class_size")
+    nameless = sketch.where("doc_id IS NULL").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
     return found.unionByName(nameless).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
 def drop_near_duplicates(df: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that stay, one document of each class, with df's columns."""
-    dropped = near_classes(df, threshold, words, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("__dropped")).distinct()
-    return df.join(dropped, df[id_col] == dropped["__dropped"], "left_anti")
+    dropped = _classes(df, threshold, words, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("__dropped"), F.col("text_hash").alias("__hash")).distinct()
+    return df.join(dropped, (df[id_col] == dropped["__dropped"]) & (F.xxhash64(df[text_col]) == dropped["__hash"]), "left_anti")

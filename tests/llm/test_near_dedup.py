@@ -117,3 +117,13 @@ def test_components(spark):
         root[y] = x
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {i: find(i) for i in got} and {i for p in links if p[0] != p[1] for i in p} <= set(got)
+
+
+def test_one_id_with_two_texts(spark):
+    near = lambda seed: " ".join([*words(100, seed)[:-1], "edit"])
+    whole = lambda seed: " ".join(words(100, seed))
+    rows = [(1, whole(1)), (1, whole(2)), (1, whole(3)), (2, near(1)), (3, near(2)), (4, near(3)), (5, whole(4)), (6, near(4)), (6, whole(5))]
+    found = sorted((r["doc_id"], r["class_id"], r["class_size"], r["kept"]) for r in N.near_classes(docs(spark, rows)).collect())
+    assert found == [(1, 1, 2, True)] * 3 + [(k, 1, 2, False) for k in (2, 3, 4)] + [(5, 5, 2, True), (6, 5, 2, False), (6, 6, 1, True)]
+    left = sorted((r["doc_id"], r["text"]) for r in N.drop_near_duplicates(docs(spark, rows)).collect())
+    assert left == sorted([*rows[:3], rows[6], rows[8]])
