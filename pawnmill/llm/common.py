@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows and bytes of text that a Python worker handles at a time; one longer text is a part of its own.
+PART_ROWS, PART_BYTES = 256, 1 << 20
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use ``spark.checkpoint.dir``; only where it is unset, fall back to a folder of the warehouse."""
@@ -23,12 +30,68 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet beside the checkpoints, which all executors share, and read back."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def text_or_empty(col: str = "text") -> Column:
-    return F.coalesce(F.col(col), F.lit(""))
+def col(name: str) -> Column:
+    """A column by its exact name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def text_or_empty(name: str = "text") -> Column:
+    return F.coalesce(col(name), F.lit(""))
+
+
+def whole_rows(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that helper columns beside it can't clash with them."""
+    return F.struct(*[col(c) for c in df.columns])
+
+
+def unpacked(rows: DataFrame, df: DataFrame, row: str = "row") -> DataFrame:
+    """The struct of ``whole_rows`` as df's columns again."""
+    return rows.select(*[F.col(row).getField(c).alias(c) for c in df.columns])
+
+
+def parts(batch: pa.RecordBatch, text: int = 1, rows: int = PART_ROWS, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, bounded in rows and in bytes of its text column."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + most, "right"))))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def same(a: Column, b: Column) -> Column:
+    return a.eqNullSafe(b)
+
+
+def keep_one_each(df: DataFrame, id_col: str, mark: Column, dropped: DataFrame, repeated: DataFrame) -> DataFrame:
+    """df without the rows named in ``dropped``, and one row for each key in ``repeated``; both tables hold (id, mark).
+
+    Rows are named by their id (null or not) and ``mark``, a digest of their text. Where keys
+    repeat, one of their rows is taken by partial aggregation, so many equal rows never meet.
+    """
+    rows = df.select(whole_rows(df).alias("row"), col(id_col).alias("id"), mark.alias("mark"))
+    on = lambda t: same(rows["id"], t["id"]) & (rows["mark"] == t["mark"])
+    gone = dropped.select("id", "mark").unionByName(repeated.select("id", "mark"))
+    out = rows.join(gone, on(gone), "left_anti").select("row")
+    if repeated.limit(1).count():
+        one = rows.join(repeated, on(repeated), "left_semi").groupBy("id", "mark").agg(F.any_value("row").alias("row"))
+        out = out.unionByName(one.select("row"))
+    return unpacked(out, df)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,12 +104,3 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df written as Parquet beside the checkpoints, which all executors share, and read back."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
