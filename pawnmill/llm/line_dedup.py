@@ -8,13 +8,19 @@ text (code points, end exclusive) is kept as a span. A removed line takes its li
 along. Every line with a word in it is a unit, however short; sentences inside a line are
 units from MIN_WORDS words (shorter ones, "Mr." or "e.g." among them, are no passages).
 
-Only a document's first occurrence of a unit takes part in the global grouping (repeats
-inside a document need no shuffle), and only least ids and counts are shuffled for it, with
-map-side partial aggregation, so a line that a third of all documents hold costs one row a
-task. Rows of repeated digests then meet their least id in a join that can be split.
+Texts are hashed once; the units (digest, document, place) are written as Parquet and all
+else reads those. Only a document's first occurrence of a unit takes part in the global
+grouping (repeats inside a document need no shuffle), and only least documents and counts
+are shuffled for it, with map-side partial aggregation, so a line that a third of all
+documents hold costs one row a task. Rows of repeated digests then meet their least document
+in a join whose sides are plain shuffles, which Spark splits where one digest is hot.
+
+A document is named by its id and a hash and the length of its text, so spans can only meet
+the text that they were cut from, whatever ids repeat or are null.
 
 Defined results: null text is empty and has no units; an empty table gives no rows; rows
-that repeat an id are occurrences of one document and lose the same spans; a null id comes
+that repeat an id with another text are documents of their own (ranked by the text's hash);
+rows that repeat both id and text are one document and lose the same spans; a null id comes
 after all others; extra columns are ignored.
 """
 
@@ -27,13 +33,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import col, materialise, parts, same, stored, text_or_empty
+
 MIN_WORDS, LINE_WORDS = 6, 1
+#: Words of a removed run from which it counts as a passage in the report.
+PASSAGE_WORDS = 50
 SENTENCE = re.compile(r"[^.!?]*[.!?]+[ \t]*|[^.!?]+\Z")
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
-CHUNK = 256
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def units(text: str | None, min_words: int = MIN_WORDS, line_words: int | None = None) -> Iterator[tuple[str, int, int]]:
@@ -76,14 +86,18 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*kept, text[at:]])
 
 
+def _mark(text_col: str) -> Column:
+    """Tells texts of one id apart."""
+    return F.struct(F.xxhash64(text_or_empty(text_col)).alias("hash"), F.length(text_or_empty(text_col)).alias("n"))
+
+
 def unit_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
-    """h1, h2, doc_id, start, end and again (an earlier unit of the document has this digest)."""
+    """h1, h2, doc (none, id, hash, n), start, end and again (an earlier unit of the document has this digest)."""
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(at, CHUNK)
+            for part in parts(batch):
                 owner, raw, start, end, again = [], [], [], [], []
                 for k, text in enumerate(part.column(1).to_pylist()):
                     seen: set[bytes] = set()
@@ -96,51 +110,57 @@ def unit_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
                         again.append(d in seen)
                         seen.add(d)
                 h = np.frombuffer(b"".join(raw), dtype="<i8").reshape(-1, 2)
+                rows = pa.array(owner, pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), part.column(0).take(pa.array(owner, pa.int32())), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(again, pa.bool_())],
-                    names=["h1", "h2", "doc_id", "start", "end", "again"],
+                    [pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), *(part.column(c).take(rows) for c in (0, 2, 3)), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(again, pa.bool_())],
+                    names=["h1", "h2", "id", "hash", "n", "start", "end", "again"],
                 )
 
-    return df.select(id_col, text_col).mapInArrow(run, f"h1 bigint, h2 bigint, doc_id {id_type}, start int, end int, again boolean")
+    texts = df.select(col(id_col).alias("id"), text_or_empty(text_col).alias("text"), _mark(text_col).alias("mark")).select("id", "text", "mark.*")
+    return texts.mapInArrow(run, f"h1 bigint, h2 bigint, id {id_type}, hash bigint, n int, start int, end int, again boolean")
 
 
 def repeated_units(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
-    """doc_id, start, end, keep_id for every occurrence that is removed."""
-    table = unit_table(df, id_col, text_col, min_words, line_words)
+    """id, hash, n (the document), start, end, keep_id for every occurrence that is removed."""
+    table = stored(unit_table(df, id_col, text_col, min_words, line_words))
     firsts = table.where("NOT again")
-    groups = firsts.groupBy("h1", "h2").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "keep_id")
-    elsewhere = firsts.join(groups, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id", "start", "end", "keep_id")
-    inside = table.where("again").select("doc_id", "start", "end", F.col("doc_id").alias("keep_id"))
+    ranked = F.struct(F.col("id").isNull().alias("none"), "id", "hash", "n")
+    groups = materialise(firsts.groupBy("h1", "h2").agg(F.min(ranked).alias("keep"), F.count(F.lit(1)).alias("documents")).where("documents > 1").select("h1", "h2", "keep"))
+    # repeated rows are counted as documents, too, but equal the one that keeps
+    own = same(F.col("id"), F.col("keep.id")) & (F.col("hash") == F.col("keep.hash")) & (F.col("n") == F.col("keep.n"))
+    elsewhere = firsts.join(groups, ["h1", "h2"]).where(~own).select("id", "hash", "n", "start", "end", F.col("keep.id").alias("keep_id"))
+    inside = table.where("again").select("id", "hash", "n", "start", "end", F.col("id").alias("keep_id"))
     return elsewhere.unionByName(inside)
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, with_text: bool = False, line_words: int = LINE_WORDS) -> DataFrame:
-    """For every row of df: doc_id, n_removed (units), removed (merged spans), clean_chars, clean_sha256, and the clean text if asked for."""
+    """For every row of df: doc_id, n_removed (units), n_passages (merged spans of PASSAGE_WORDS or more), removed (merged spans), clean_chars, clean_sha256, and the clean text if asked for."""
     id_type = df.schema[id_col].dataType.simpleString()
-    removed = (
+    removed = materialise(
         repeated_units(df, id_col, text_col, min_words, line_words)
-        .distinct()
-        .groupBy("doc_id")
-        .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
-        .select(F.col("doc_id").alias("__doc"), "spans")
+        .groupBy("id", "hash", "n")
+        .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+        .select("id", "hash", "n", "spans.start", "spans.end")
     )
-    texts = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    met = texts.join(removed, texts["doc_id"].eqNullSafe(removed["__doc"]), "left").select("doc_id", "text", "spans.start", "spans.end")
-    names = ["doc_id", "n_removed", "removed", "clean_chars", "clean_sha256", *(["clean_text"] if with_text else [])]
+    texts = df.select(col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), _mark(text_col).alias("mark"))
+    its = same(texts["doc_id"], removed["id"]) & (F.col("mark.hash") == removed["hash"]) & (F.col("mark.n") == removed["n"])
+    met = texts.join(removed, its, "left").select("doc_id", "text", "start", "end")
+    names = ["doc_id", "n_removed", "n_passages", "removed", "clean_chars", "clean_sha256", *(["clean_text"] if with_text else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(at, CHUNK)
-                out: list[list] = [[] for _ in names[1:]]
+            for part in parts(batch):
+                out: list[list] = [[] for _ in range(6)]
                 for text, start, end in zip(*(part.column(k).to_pylist() for k in (1, 2, 3))):
                     spans = list(zip(start or (), end or ()))
-                    clean = cut(text or "", spans)
-                    row = [len(spans), ",".join(f"{a}:{b}" for a, b in merge(spans)), len(clean), hashlib.sha256(clean.encode("utf-8", "surrogatepass")).hexdigest(), clean]
+                    whole = merge(spans)
+                    clean = cut(text, spans)
+                    passages = sum(len(WORD.findall(text[a:b])) >= PASSAGE_WORDS for a, b in whole)
+                    row = [len(spans), passages, ",".join(f"{a}:{b}" for a, b in whole), len(clean), hashlib.sha256(clean.encode("utf-8", "surrogatepass")).hexdigest(), clean]
                     for column, value in zip(out, row):
                         column.append(value)
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, t) for x, t in zip(out, kinds))], names=names)
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, t) for x, t in list(zip(out, kinds))[: len(names) - 1])], names=names)
 
-    kinds = {"doc_id": id_type, "n_removed": "bigint", "clean_chars": "bigint"}
+    kinds = {"doc_id": id_type, "n_removed": "bigint", "n_passages": "bigint", "clean_chars": "bigint"}
     return met.mapInArrow(run, ", ".join(f"{n} {kinds.get(n, 'string')}" for n in names))

@@ -18,14 +18,17 @@ sentence_units AS (
   SELECT doc_id, unit, pos + o AS s, pos + o + length(unit) AS e
   FROM (SELECT *, (coalesce(sum(length(unit)) OVER (PARTITION BY doc_id, k ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS o FROM sentences)),
 units AS (
-  SELECT doc_id, s, e, trim(regexp_replace(lower(unit), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS u
-  FROM (SELECT * FROM line_units UNION ALL SELECT * FROM sentence_units)),
-counted AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY doc_id, s, e) AS r FROM units WHERE u <> '' AND length(u) - length(replace(u, ' ', '')) + 1 >= 6),
+  SELECT doc_id, s, e, least_words, trim(regexp_replace(lower(unit), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS u
+  FROM (SELECT *, 1 AS least_words FROM line_units UNION ALL SELECT *, 6 AS least_words FROM sentence_units)),
+counted AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY doc_id, s, e) AS r FROM units WHERE u <> '' AND length(u) - length(replace(u, ' ', '')) + 1 >= least_words),
 gone AS (SELECT DISTINCT doc_id, s, e FROM counted WHERE r > 1),
 reach AS (
   SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM gone),
 runs AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s, e) AS run FROM reach),
 merged AS (SELECT doc_id, run, min(s) AS s, max(e) AS e, count(*) AS n FROM runs GROUP BY doc_id, run),
+passages AS (
+  SELECT doc_id, count(*) AS n_passages FROM merged JOIN documents USING (doc_id)
+  WHERE len(regexp_extract_all(substr(text, 1 + s, e - s), '[^\x20\x09-\x0D]+')) >= 50 GROUP BY doc_id),
 kept AS (
   SELECT doc_id, sum(n)::BIGINT AS n_removed, string_agg(s || ':' || e, ',' ORDER BY s) AS removed, list(s ORDER BY s) AS ss, list(e ORDER BY s) AS es FROM merged GROUP BY doc_id),
 cleaned AS (
@@ -34,5 +37,6 @@ cleaned AS (
          ELSE array_to_string(list_transform(range(1, len(ss) + 2), lambda i: substr(text, 1 + CASE WHEN i = 1 THEN 0 ELSE es[i - 1] END,
            CASE WHEN i > len(ss) THEN length(text) ELSE ss[i] END - CASE WHEN i = 1 THEN 0 ELSE es[i - 1] END)), '') END AS clean
   FROM documents d LEFT JOIN kept USING (doc_id))
-SELECT doc_id, n_removed, removed, length(clean)::BIGINT AS clean_chars, sha256(clean) AS clean_sha256 FROM cleaned
+SELECT doc_id, n_removed, coalesce(n_passages, 0)::BIGINT AS n_passages, removed, length(clean)::BIGINT AS clean_chars, sha256(clean) AS clean_sha256
+FROM cleaned LEFT JOIN passages USING (doc_id)
 """

@@ -13,7 +13,7 @@ def brute(rows, min_words=L.MIN_WORDS):
     seen, out = {}, {}
     for i, t in sorted(rows):
         spans = []
-        for unit, a, b in L.units(t, min_words):
+        for unit, a, b in L.units(t, min_words, L.LINE_WORDS):
             if unit in seen:
                 spans.append((a, b))
             seen.setdefault(unit, i)
@@ -55,6 +55,22 @@ def test_short_lines(spark):
     assert found[4][2] == " \n\nMr. Fox and all the others. Mr. Fox" and found[5] == (1, "0:3", "")  # blank lines and short sentences stay
 
 
+def test_spans_meet_their_own_text(spark):
+    """Null and repeated ids: no text loses what another one of its id repeats."""
+    a, b, c = "alpha beta gamma delta epsilon zeta", "eta theta iota kappa lambda mu", "own words of the last text only"
+    rows = [(1, f"{a}\n{b}"), (None, f"{a}\n{c}"), (None, "quite other words\nin two lines"), (9, f"{b}\nnine"), (9, "occur twice\nanywhere"), (9, "occur twice\nanywhere")]
+    df = docs(spark, [(*r, "s", 1, 2, 3) for r in rows], ", start int, `end` int, hash int")
+    found = sorted((repr(r["doc_id"]), r["clean_text"], r["n_removed"]) for r in L.dedup_lines(df, with_text=True).collect())
+    assert found == sorted([("1", f"{a}\n{b}", 0), ("None", c, 1), ("None", "quite other words\nin two lines", 0), ("9", "nine", 1), ("9", "occur twice\nanywhere", 0), ("9", "occur twice\nanywhere", 0)])
+
+
+def test_passages(spark):
+    passage = "\n".join(prose(20, 50 + k) for k in range(3))
+    rows = [(1, f"{passage}\nsome more"), (2, f"begin\n{passage}\nend"), (3, f"{prose(20, 50)}\nanother")]
+    found = {r["doc_id"]: (r["n_removed"], r["n_passages"]) for r in L.dedup_lines(docs(spark, rows)).collect()}
+    assert found == {1: (0, 0), 2: (3, 1), 3: (1, 0)}
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are not here")
 @pytest.mark.parametrize("name", ["op5_exact_dedup", "op8_line_dedup", "op9_source_mixing"])
 def test_sql_twins(spark, name):
