@@ -13,7 +13,7 @@
 Defined results: null text counts as empty; an empty table gives no rows; a null id sorts
 after every other id; of rows that repeat both id and text, exactly one is kept; columns of
 the input other than id and text are ignored by ``duplicate_groups`` and passed through
-untouched by ``drop_duplicates``.
+untouched, whatever their names, by ``drop_duplicates``.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, text_or_empty
+from .common import col, keep_one_each, materialise, text_or_empty
 
 #: Items a sketch tracks, and the most digests that may be split off.
 TRACKED, MAX_HEAVY = 2048, 512
@@ -59,7 +59,7 @@ def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _groups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     base = materialise(
-        df.select(F.col(id_col).alias("doc_id"), normalised_sha256(text_col).alias("text_sha256"), F.monotonically_increasing_id().alias("row_tag"))
+        df.select(col(id_col).alias("doc_id"), normalised_sha256(text_col).alias("text_sha256"), F.monotonically_increasing_id().alias("row_tag"))
     )
     candidates = F.broadcast(frequent_digests(base))
     n = base.count()
@@ -86,17 +86,12 @@ def _groups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that exact deduplication keeps, with df's columns.
 
-    Dropped rows are named by (id, digest); one shuffle of df by that key drops them and,
-    in the same partitioning, all but one of any rows that repeat both id and text.
+    Rows that go are named by (id, digest), a null id being a value of its own; one shuffle of
+    df by that key drops them. Where rows repeat both id and text, any one of them stays.
     """
-    key = lambda id_col, sha: F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), sha)
-    groups = _groups(df, id_col, text_col)
-    differs = ~F.col("kept") & ~F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    dropped = groups.where(differs).select(key("doc_id", F.col("text_sha256")).alias("__key"))
-    keyed = df.withColumn("__key", key(id_col, normalised_sha256(text_col)))
-    return (
-        keyed.join(dropped, "__key", "left_anti")
-        .withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy("__key")))
-        .where("__nth = 1")
-        .drop("__key", "__nth")
-    )
+    groups = _groups(df, id_col, text_col).select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("mark"), "keep_id", "group_size")
+    several = groups.where("group_size > 1")
+    dropped = several.where(~F.col("id").eqNullSafe(F.col("keep_id"))).select("id", "mark")
+    winners = several.where(F.col("id").eqNullSafe(F.col("keep_id")))
+    repeated = materialise(winners.groupBy("id", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "mark"))
+    return keep_one_each(df, id_col, normalised_sha256(text_col), dropped, repeated)

@@ -35,6 +35,22 @@ def test_drop(spark):
     assert sorted((repr(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted([("3", "b"), ("4", "a"), ("None", "c"), ("8", "")])
 
 
+def test_drop_with_string_ids_and_helper_names(spark):
+    rows = [("null", "t"), (None, "t"), (None, "u"), (None, "u"), ("a", "u"), ("b", "v"), ("b", "v"), (None, None), (None, "")]
+    df = spark.createDataFrame([(*r, 1, k, "r") for k, r in enumerate(rows)], "doc_id string, text string, __key int, mark int, row string")
+    kept = X.drop_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted((repr(r["doc_id"]), r["text"] or "") for r in kept.collect()) == sorted([("'null'", "t"), ("'a'", "u"), ("'b'", "v"), ("None", "")])
+    groups = X.duplicate_groups(df).collect()
+    assert len(groups) == len(rows) and sum(r["kept"] for r in groups) == 4
+
+
+def test_drop_from_a_join(spark):
+    left = docs(spark, [(k % 50, f"text {k % 20}") for k in range(200)])
+    joined = left.repartition(7, "doc_id").join(docs(spark, [(k, "x") for k in range(50)]).select("doc_id").hint("merge"), "doc_id")
+    assert sorted(r["text"] for r in X.drop_duplicates(joined).collect()) == sorted({f"text {k}" for k in range(20)})
+
+
 def test_empty(spark):
     assert X.duplicate_groups(docs(spark, [])).count() == 0
     assert X.drop_duplicates(docs(spark, [])).count() == 0
