@@ -1,14 +1,28 @@
 """Hierarchical weighted hash tree: region, rack, shard (DataFrame functions only).
 
-Every node of the tree has a weight. A document descends from the root: at each level each
-child draws ``-ln(u) / weight`` with u a hash of (document id, child's identity), and the
-smallest draw wins. A child's draw depends on nothing but the id, its own identity and its
-own weight, so when weights change only inside a subtree, rows move only inside it; a new
-region takes rows for itself and moves no other row.
+A leaf's weight is held as tokens, one for each unit and one for the rest. A token draws
+``-ln(u) / weight`` with u a hash of (document id, the token's name); a subtree's draw is the
+least of its tokens' draws. Such a least draw is itself a draw with the sum of the weights
+(the least of exponential variables is one), so each level of the descent is a weighted hash
+draw among children by the weights of their subtrees. A document descends from the root and
+at each level takes the child with the least draw.
+
+A subtree's draw changes only with the tokens below it. So a leaf that gains weight gains
+tokens and takes rows for itself alone, one that loses weight gives up rows of its own alone,
+and where weight is transferred inside a subtree, tokens change hands, the subtree's draw
+stays, and rows move only between the leaves concerned. A new leaf takes rows for itself and
+moves no other, also where it joins a region or a rack that is there already: the tree of
+n + 1 shards is the tree of n shards with one more leaf.
+
+Slots: rows that agree in id, size and CRC are alike, so they are counted first (map-side)
+and numbered as one; a running sum over buckets of a hash, then within a bucket, places them,
+and counts are spread out again in two steps, so neither a shard nor a group of equal rows
+is ever sorted or made in one task.
 
 Defined results: null text has size 1 and CRC of no bytes; a null id is drawn like an id of
-its own (hash of the null marker); repeated rows fall into one shard and get different
-slots; an empty table gives no rows; extra columns are ignored.
+its own (hash of the null marker), so all null ids fall into one shard; repeated rows fall
+into one shard and get different slots; an empty table gives no rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -18,108 +32,156 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, text_or_empty
+from .common import col, shuffle_partitions, text_or_empty
 
 SHARDS = 8
+#: Shards of a rack and racks of a region; equal rows that one task writes out at a time.
+PER_RACK, RACKS, SPREAD = 2, 2, 4096
 
 
 @dataclass(frozen=True)
 class Node:
-    """A subtree; a leaf has a shard number and a weight of its own."""
+    """A subtree; a leaf has a shard number and tokens (name, weight), whose names are its own in the tree."""
 
     name: str
     children: tuple["Node", ...] = ()
     shard: int = -1
-    own_weight: float = 1.0
+    tokens: tuple[tuple[str, float], ...] = ()
 
     @property
     def weight(self) -> float:
-        return sum(c.weight for c in self.children) if self.children else self.own_weight
+        return sum(w for _, w in tokens(self))
 
 
 def leaf(name: str, shard: int, weight: float = 1.0) -> Node:
-    return Node(name, (), shard, weight)
+    """A leaf with one token for each whole unit of weight, and one for the rest."""
+    whole = int(weight)
+    sizes = [1.0] * whole + ([weight - whole] if weight > whole else [])
+    return Node(name, (), shard, tuple((f"{name}#{k}", w) for k, w in enumerate(sizes)))
 
 
-def standard_tree(n_shards: int, racks: int = 2, per_rack: int = 2) -> Node:
-    """Regions of racks x per_rack equal shards; the last region may be smaller."""
-    regions, at = [], 0
-    while at < n_shards:
-        rack_nodes = []
-        for k in range(racks):
-            inside = range(at, min(at + per_rack, n_shards))
-            if inside:
-                rack_nodes.append(Node(f"rack{k}", tuple(leaf(f"shard{s}", s) for s in inside)))
-            at = inside.stop if inside else at
-        regions.append(Node(f"region{len(regions)}", tuple(rack_nodes)))
-    return Node("root", tuple(regions))
+def tokens(node: Node) -> list[tuple[str, float]]:
+    """All tokens below a node."""
+    return [t for c in node.children for t in tokens(c)] if node.children else list(node.tokens)
 
 
-def grow(tree: Node, shard: int, weight: float = 1.0) -> Node:
-    """The tree with one more shard, in a region of its own: only that shard gains rows."""
-    region = Node(f"grown{shard}", (Node("rack0", (leaf(f"shard{shard}", shard, weight),)),))
-    return Node(tree.name, (*tree.children, region))
+def transfer(tree: Node, source: int, target: int, n: int = 1) -> Node:
+    """The tree in which the last n tokens of one shard belong to another."""
+    given: list[tuple[str, float]] = []
 
+    def give(node: Node) -> Node:
+        if node.children:
+            return Node(node.name, tuple(map(give, node.children)))
+        if node.shard != source:
+            return node
+        given.extend(node.tokens[len(node.tokens) - n :])
+        return Node(node.name, (), node.shard, node.tokens[: len(node.tokens) - n])
 
-def _draw(key: Column, path: str, weight: float) -> Column:
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(path)), 11)  # 53 bits
+    def take(node: Node) -> Node:
+        if node.children:
+            return Node(node.name, tuple(map(take, node.children)))
+        return Node(node.name, (), node.shard, (*node.tokens, *given)) if node.shard == target else node
+
+    return take(give(tree))
+
+
+def standard_tree(n_shards: int, racks: int = RACKS, per_rack: int = PER_RACK) -> Node:
+    """Regions of racks x per_rack equal shards; the last region and rack may be smaller.
+
+    A shard's path follows from its number alone, whatever the number of shards.
+    """
+    regions: dict[int, dict[int, list[Node]]] = {}
+    for s in range(n_shards):
+        regions.setdefault(s // (racks * per_rack), {}).setdefault(s // per_rack % racks, []).append(leaf(f"shard{s}", s))
+    return Node("root", tuple(Node(f"region{r}", tuple(Node(f"rack{k}", tuple(leaves)) for k, leaves in inside.items())) for r, inside in regions.items()))
+
+
+def grow(tree: Node, racks: int = RACKS, per_rack: int = PER_RACK) -> Node:
+    """The standard tree with one more shard: only that shard gains rows."""
+    return standard_tree(len(_shards(tree)) + 1, racks, per_rack)
+
+
+def _shards(node: Node) -> list[int]:
+    return [s for c in node.children for s in _shards(c)] if node.children else [node.shard] if node.shard >= 0 else []
+
+
+def _draw(key: Column, name: str, weight: float) -> Column:
+    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(name)), 11)  # 53 bits
     return -F.log((bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))) / F.lit(float(weight))
 
 
-def descend(key: Column, node: Node, path: str = "") -> Column:
-    """Column expression: the shard that key falls into."""
+def draws(key: Column, *trees: Node) -> Column:
+    """A struct with the draw of every token of these trees; trees share the tokens that they both have."""
+    every: dict[str, Column] = {}
+    for tree in trees:
+        own = tokens(tree)
+        if len({name for name, _ in own}) < len(own):
+            raise ValueError("two tokens of a tree have one name")
+        every |= {_field(t): _draw(key, *t) for t in own}
+    return F.struct(*[v.alias(k) for k, v in every.items()])
+
+
+def _field(token: tuple[str, float]) -> str:
+    return f"{token[0]}={token[1]!r}"
+
+
+def descend(drawn: Column, node: Node) -> Column:
+    """Column expression: the shard that a row with these draws falls into."""
     if not node.children:
         return F.lit(node.shard)
-    here = f"{path}/{node.name}"
-    children = [c for c in node.children if c.weight > 0]
+    children = [c for c in node.children if tokens(c)]
     if len(children) == 1:
-        return descend(key, children[0], here)
-    draws = [_draw(key, f"{here}/{c.name}", c.weight) for c in children]
-    least = F.least(*draws)
+        return descend(drawn, children[0])
+    subtrees = [[drawn.getField(_field(t)) for t in tokens(c)] for c in children]
+    least = [F.least(*d) if len(d) > 1 else d[0] for d in subtrees]
+    first = F.least(*least)
     out = None
-    for child, draw in zip(children[:-1], draws[:-1]):
-        then = descend(key, child, here)
-        out = F.when(draw == least, then) if out is None else out.when(draw == least, then)
-    return out.otherwise(descend(key, children[-1], here))
+    for child, draw in zip(children[:-1], least[:-1]):
+        then = descend(drawn, child)
+        out = F.when(draw == first, then) if out is None else out.when(draw == first, then)
+    return out.otherwise(descend(drawn, children[-1]))
 
 
 def assign_shards(df: DataFrame, tree: Node, id_col: str = "doc_id", out: str = "shard") -> DataFrame:
-    """df with the shard column; no shuffle."""
-    return df.withColumn(out, descend(F.col(id_col), tree))
+    """df with the shard column (replaced if df has it); no shuffle."""
+    return df.withColumn(out, descend(draws(col(id_col), tree), tree))
 
 
-def with_slots(df: DataFrame, group: str = "shard", id_col: str = "doc_id", ties: tuple[str, ...] = ()) -> DataFrame:
-    """df with ``slot``: places in each group, gapless from 0, without sorting a group in one task.
+def with_slots(df: DataFrame, group: str, ordered: list[str]) -> DataFrame:
+    """Columns ``group`` and ``ordered`` of every row of df, and ``slot``: places in each group, gapless from 0.
 
-    Groups are cut into buckets by a hash of the id; bucket sizes (groups x buckets rows, a
-    bound set by the parallelism, not by the data) give each bucket its first slot.
+    Rows that agree in all these columns are alike and counted first. Buckets of a hash and
+    their sizes (groups x buckets rows, a bound set by the parallelism, not by the data) give
+    each bucket its first slot.
     """
-    buckets = 4 * shuffle_partitions(df.sparkSession)
-    bucket = F.pmod(F.xxhash64(F.col(id_col), F.lit("slot")), F.lit(buckets)).cast("int")
-    counts = df.select(group, bucket.alias("__bucket")).groupBy(group, "__bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy(group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select(group, "__bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"))
-    inside = Window.partitionBy(group, "__bucket").orderBy(F.col(id_col), *ties)
-    return (
-        df.withColumn("__bucket", bucket)
-        .withColumn("__place", F.row_number().over(inside))
-        .join(F.broadcast(first), [group, "__bucket"])
-        .withColumn("slot", F.col("__first") + F.col("__place") - 1)
-        .drop("__bucket", "__place", "__first")
+    partitions = shuffle_partitions(df.sparkSession)
+    bucket = F.pmod(F.xxhash64(*ordered, F.lit("slot")), F.lit(4 * partitions)).cast("int")
+    alike = df.groupBy(group, *ordered).agg(F.count(F.lit(1)).alias("rows")).withColumn("bucket", bucket)
+    counts = df.groupBy(F.col(group).alias("its"), bucket.alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("its").orderBy("of").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("its", "of", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    inside = Window.partitionBy(group, "bucket").orderBy(*ordered).rowsBetween(Window.unboundedPreceding, -1)
+    placed = (
+        alike.withColumn("within", F.coalesce(F.sum("rows").over(inside), F.lit(0)))
+        .join(F.broadcast(first), (F.col(group) == F.col("its")) & (F.col("bucket") == F.col("of")))
+        .withColumn("slot", F.col("first") + F.col("within"))
     )
+    lots = placed.select(group, *ordered, "slot", "rows", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(SPREAD).cast("long"))).alias("lot"))
+    lots = lots.repartition(partitions, "slot", "lot")
+    last = F.least(F.col("lot") + SPREAD, F.col("rows")) - 1
+    return lots.select(group, *ordered, "slot", F.explode(F.sequence("lot", last)).alias("nth")).select(group, *ordered, (F.col("slot") + F.col("nth")).alias("slot"))
 
 
 def shard_documents(df: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of df."""
     tree = standard_tree(n_shards)
+    grown = grow(tree)
     text = text_or_empty(text_col)
     keyed = df.select(
-        F.col(id_col).alias("doc_id"),
+        col(id_col).alias("doc_id"),
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
+        draws(col(id_col), grown).alias("drawn"),  # the grown tree has the other's tokens
     )
-    keyed = assign_shards(keyed, tree, "doc_id", "shard")
-    keyed = assign_shards(keyed, grow(tree, n_shards), "doc_id", "grown_shard")
-    return with_slots(keyed, "shard", "doc_id", ("size", "text_crc32")).select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard"
-    )
+    keyed = keyed.select("doc_id", "size", "text_crc32", descend(F.col("drawn"), tree).alias("shard"), descend(F.col("drawn"), grown).alias("grown_shard"))
+    return with_slots(keyed, "shard", ["doc_id", "size", "text_crc32", "grown_shard"]).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
