@@ -8,7 +8,10 @@
    in later rounds.
 3. A source stops at its target to the word: the last slot takes a part of its block, and
    what the schedule's discrepancy leaves short (a few slots a source) is appended.
-4. Slots and documents' shares of blocks are joined on (source, block).
+4. Slots and documents' shares of blocks are joined on (source, block). What a slot takes of a
+   document is the document's share of the mix, and the slot is its place: ``mix_documents``
+   writes copies in the order of their slots, so that any prefix of the mix, too, holds the
+   sources near their targets.
 
 Prefix sums and ranks are taken in two levels (buckets of the hash, chunks of the schedule),
 so a source with a third of all rows is spread over many tasks. Only tables with one row a
@@ -16,7 +19,8 @@ source (the dimension of the mix) pass through a single task.
 
 Defined results: null text has size 0 and is taken 0 times; null source is a source of its
 own, last in order; an empty table gives no rows; repeated rows are documents of their own;
-extra columns are ignored.
+rows with null ids are drawn by their text; extra columns are ignored by ``mix_sources`` and
+passed through, whatever their names, by ``mix_documents``.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions, text_or_empty
+from .common import col, materialise, same, shuffle_partitions, text_or_empty, unpacked, whole_rows
 
 WEIGHTS, TOTAL, MOST = (5, 2, 1), 1.5, 2
 #: Words of a block, slots of a chunk of the schedule, and cells of the map from points to sources.
@@ -71,9 +75,10 @@ def _lines(df: DataFrame, weights, total, most, id_col: str, text_col: str, sour
     their source alone.
     """
     buckets = 4 * shuffle_partitions(df.sparkSession)
-    draw = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    nameless = F.concat(F.lit("null:"), F.col("mark").cast("string"))
+    draw = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), nameless)))
     base = materialise(
-        df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), F.monotonically_increasing_id().alias("row_tag"))
+        df.select(col(id_col).alias("doc_id"), col(source_col).alias("source"), word_count(text_col).alias("size"), F.xxhash64(text_or_empty(text_col)).alias("mark"), F.monotonically_increasing_id().alias("row_tag"))
         .withColumn("key", _key())
         .withColumn("draw", draw)
         .withColumn("bucket", F.floor(F.conv(F.substring("draw", 1, 6), 16, 10).cast("long") * buckets / F.lit(1 << 24)).cast("int"))
@@ -86,7 +91,7 @@ def _lines(df: DataFrame, weights, total, most, id_col: str, text_col: str, sour
     lines = (
         base.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(firsts, ["key", "bucket"])
-        .select("doc_id", "key", "size", "row_tag", "source_size", "target", (F.col("first") + F.col("within")).alias("start"))
+        .select("doc_id", "mark", "key", "size", "row_tag", "source_size", "target", (F.col("first") + F.col("within")).alias("start"))
     )
     return materialise(lines), goals
 
@@ -139,26 +144,24 @@ def mix_sources(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """doc_id, size, source_size, target and taken (words the mix takes) for every row of df."""
-    return _mix(df, weights, total, most, block, id_col, text_col, source_col).select("doc_id", "size", "source_size", "target", "taken")
+    """doc_id, size, source_size, target, taken (words the mix takes) and first_slot (where in the mix it comes first; null if not taken) for every row of df."""
+    sizes, takes = _mix(df, weights, total, most, block, id_col, text_col, source_col)
+    taken = takes.groupBy("row_tag").agg(F.sum("part").alias("taken"), F.min("slot").alias("first_slot"))
+    return sizes.join(taken, "row_tag", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
 
 
-def _mix(df: DataFrame, weights, total, most, block, id_col, text_col, source_col) -> DataFrame:
+def _mix(df: DataFrame, weights, total, most, block, id_col, text_col, source_col) -> tuple[DataFrame, DataFrame]:
+    """The rows on their sources' lines; and for each row and slot that takes of it: doc_id, mark, row_tag, size, round, slot and part (words)."""
     sizes, goals = _lines(df, weights, total, most, id_col, text_col, source_col)
-    takes = schedule(goals, block).select("key", "block", "words")
+    slots = schedule(goals, block).select("key", "slot", "round", "block", "words")
     pieces = sizes.where("size > 0").select(
-        "row_tag", "key", "start", "size", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block")
+        "doc_id", "mark", "row_tag", "key", "start", "size", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")).alias("block")
     )
     # the part of the document that lies in the block, against the block's first `words` words
     low = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
     high = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.col("words"))
-    taken = (
-        pieces.join(takes, ["key", "block"]).select("row_tag", F.greatest(high - low, F.lit(0)).alias("part")).groupBy("row_tag").agg(F.sum("part").alias("taken"))
-    )
-    return (
-        sizes.join(taken, "row_tag", "left")
-        .select("doc_id", "row_tag", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    )
+    takes = pieces.join(slots, ["key", "block"]).select("doc_id", "mark", "row_tag", "size", "round", "slot", (high - low).alias("part")).where("part > 0")
+    return sizes, takes
 
 
 def mix_documents(
@@ -171,13 +174,19 @@ def mix_documents(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """The mixed corpus, with df's columns: each document as often as the mix takes it, to the nearest whole.
+    """The mixed corpus, with df's columns: each document as often as the mix takes it, to the nearest whole, in the order of the slots.
 
-    Only the document in which a source's last block ends is taken in part, so rounding moves
-    a source by less than one document. Rows that repeat an id share what is taken of them.
+    A copy stands at the first slot that takes of it in its round. Only the document in which
+    a source's last block ends is taken in part, so rounding moves a source by less than one
+    document. Rows that repeat id and text share what is taken of them.
     """
-    taken = _mix(df, weights, total, most, block, id_col, text_col, source_col).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.when(F.col("size") > 0, F.col("size")))).otherwise(0).cast("int")
-    plan = taken.select(F.col("doc_id").alias("__doc"), copies.alias("__copies")).where("__copies > 0")
-    met = df.join(plan, df[id_col].eqNullSafe(plan["__doc"]))
-    return met.select(*[df[c] for c in df.columns], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
+    _, takes = _mix(df, weights, total, most, block, id_col, text_col, source_col)
+    # a row has some `most` rounds at most; repeated rows have equal sizes
+    rounds = takes.groupBy("doc_id", "mark", "row_tag", "round").agg(F.sum("part").alias("part"), F.min("slot").alias("slot"), F.first("size").alias("size"))
+    rounds = rounds.groupBy("doc_id", "mark", "round").agg(F.avg(F.col("part") / F.col("size")).alias("share"), F.min("slot").alias("slot"))
+    plan = rounds.groupBy("doc_id", "mark").agg(F.round(F.sum("share")).cast("int").alias("copies"), F.array_sort(F.collect_list(F.struct("round", "slot"))).alias("at"))
+    plan = plan.where("copies > 0").select("doc_id", "mark", F.slice("at.slot", F.lit(1), F.col("copies")).alias("at"))
+    rows = df.select(whole_rows(df).alias("row"), col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("its"))
+    placed = rows.join(plan, same(F.col("id"), F.col("doc_id")) & (F.col("its") == F.col("mark"))).select("row", "id", F.explode("at").alias("slot"))
+    ordered = placed.repartitionByRange(shuffle_partitions(df.sparkSession), "slot", "id").sortWithinPartitions("slot", "id")
+    return unpacked(ordered, df)

@@ -72,6 +72,28 @@ def test_documents(spark):
     assert {r["doc_id"] for r in mixed.collect()} <= {r[0] for r in rows}
 
 
+def test_the_mix_is_written_in_the_order_of_its_slots(spark):
+    """Any prefix of the output holds the sources near their targets; without the schedule it would not."""
+    rows = [(k, prose(20, k), ["a", "b", "c"][k % 3]) for k in range(900)]
+    df = docs(spark, [(*r, 1, 2, 3) for r in rows], ", slot int, __copies int, __copy int")
+    mixed = M.mix_documents(df, block=40)
+    assert mixed.columns == df.columns
+    goals, count = {"a": 600 / 1350, "b": 500 / 1350, "c": 250 / 1350}, defaultdict(int)
+    out = [r["source"] for r in mixed.collect()]
+    assert len(out) == pytest.approx(1350, abs=3)
+    for n, source in enumerate(out, 1):
+        count[source] += 1
+        assert all(abs(count[s] - n * g) < 25 for s, g in goals.items())
+    slots = {r["doc_id"]: r["first_slot"] for r in M.mix_sources(df, block=40).collect()}
+    first = list(dict.fromkeys(r["doc_id"] for r in mixed.collect()))
+    assert [slots[k] for k in first] == sorted(slots[k] for k in first)
+
+
+def test_repeated_ids(spark):
+    rows = [(7, "a b c d"), (7, "e f"), (7, "e f"), (None, "g h i"), (None, "j")]
+    assert sum(len(r["text"].split()) for r in M.mix_documents(docs(spark, rows)).collect()) == pytest.approx(18, abs=4)
+
+
 def test_odd_inputs(spark):
     assert M.mix_sources(docs(spark, [])).count() == 0
     assert [r["taken"] for r in M.mix_sources(docs(spark, [(1, None), (2, "")])).collect()] == [0, 0]
