@@ -14,9 +14,15 @@ holds a third of all rows sends two texts a task.
 Likeness of two fingerprints is 1 when they are equal, else 0: an exact digest knows no
 degrees.
 
+Documents meet their successors in one range sort by (id descending, text hash). Each task
+pairs the rows of its range and hands out its first and last text; the last texts then meet
+the first ones of the next range. All of that is read from one stored table, so nothing
+hangs on how often, or in how many partitions, the input is computed.
+
 Defined results: null text is empty; the empty text has a fingerprint like others; an empty
-table gives no rows; repeated rows have equal fingerprints; a null id is the least, so it
-comes last in descending order; extra columns are ignored.
+table gives no rows; repeated rows have equal fingerprints; rows that repeat an id stand in
+the order of their texts' hashes; a null id is the least, so it comes last in descending
+order; a single document is its own successor; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,12 +34,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions, text_or_empty
+from .common import col, materialise, parts, shuffle_partitions, stored, text_or_empty
 
-CHUNK = 256
 #: Bits of the map of digest slots that hold several rows (2 MiB, whatever the corpus).
 SLOT_BITS = 24
 
@@ -61,14 +67,13 @@ def fingerprint_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(at, CHUNK)
+            for part in parts(batch):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(map(len, texts), pa.int64()), pa.array([digest(t, apart) for t in texts], pa.string())], names=["doc_id", "n_chars", "digest"]
                 )
 
-    return df.select(id_col, text_col).mapInArrow(run, f"doc_id {id_type}, n_chars bigint, digest string")
+    return df.select(col(id_col), col(text_col)).mapInArrow(run, f"doc_id {id_type}, n_chars bigint, digest string")
 
 
 def shared_slots(prints: DataFrame) -> np.ndarray:
@@ -89,9 +94,9 @@ def collided_digests(df: DataFrame, prints: DataFrame, text_col: str = "text") -
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = slots.value
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK):
+            for part in parts(batch, text=0):
                 digests, texts = [], []
-                for text in batch.column(0).slice(at, CHUNK).to_pylist():
+                for text in part.column(0).to_pylist():
                     raw = canonical(text or "")
                     d = xxhash.xxh3_128_hexdigest(raw)
                     k = int(d[: SLOT_BITS // 4], 16)
@@ -100,7 +105,7 @@ def collided_digests(df: DataFrame, prints: DataFrame, text_col: str = "text") -
                         texts.append(raw)
                 yield pa.RecordBatch.from_arrays([pa.array(digests, pa.string()), pa.array(texts, pa.binary())], names=["digest", "bytes"])
 
-    shared = df.select(text_col).mapInArrow(candidates, "digest string, bytes binary")
+    shared = df.select(col(text_col)).mapInArrow(candidates, "digest string, bytes binary")
     ends = shared.groupBy("digest").agg(F.min("bytes").alias("least"), F.max("bytes").alias("greatest"))
     return sorted(r["digest"] for r in ends.where("least <> greatest").select("digest").collect())
 
@@ -115,75 +120,82 @@ def fingerprint_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return groups, collided
 
 
-def next_bounds(df: DataFrame, id_col: str, parts: int) -> list:
-    """Ids that cut df into about ``parts`` equal ranges; at most parts - 1 values."""
-    at = [k / parts for k in range(1, parts)]
-    if not at:
-        return []
-    found = df.agg(F.percentile_approx(id_col, F.array(*map(F.lit, at)), F.lit(20 * parts)).alias("at")).first()["at"]
-    return sorted(set(found or []))
+FIELDS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+KINDS = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
 
 
-def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each text against its edited text and the next document (descending id, the last to the first).
-
-    One shuffle of the texts: ranges of ids go to tasks; the first document of each range is
-    also handed, as a guest, to the range before it, so every document meets its successor.
-    """
-    groups, collided = fingerprint_groups(df, id_col, text_col)
-    apart = frozenset(collided)
-    parts = shuffle_partitions(df.sparkSession)
+def _compared(text: str, other: str, apart: frozenset[str]) -> tuple:
+    """FIELDS but the first, of a text and the next document's."""
+    n = len(text)
+    half = n // 2
+    edited = text[: n - half] + other[:half]
+    mine, its, next_one = canonical(text), canonical(edited), canonical(other)
+    a, b, c = (digest_bytes(x, apart) for x in (mine, its, next_one))
+    # equal digests count only with equal bytes
+    return n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), a, b, float(a == b and mine == its), float(a == c and mine == next_one)
+
+
+def _with_successors(df: DataFrame, id_col: str, text_col: str, apart: frozenset[str]) -> DataFrame:
+    """FIELDS of every row of df."""
     id_type = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"), F.monotonically_increasing_id().alias("row_tag"))
-    bounds = next_bounds(df, id_col, 2 * parts)
-    # range 0 holds the largest ids; the null id comes after all
-    edges = F.array(*map(F.lit, bounds)) if bounds else None
-    reach = F.size(F.filter(edges, lambda e: e > F.col("doc_id"))) if bounds else F.lit(0)
-    ranges = len(bounds) + 1
-    rows = rows.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(ranges)).otherwise(reach))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("down"), "row_tag")
-    # the heads: one row for each range that has rows
-    heads = rows.groupBy("range").agg(F.min(order).alias("head")).collect()
-    heads = sorted((r["range"], r["head"]["row_tag"]) for r in heads)
-    host = {tag: heads[k - 1][0] for k, (_, tag) in enumerate(heads)}  # the first range's head is the guest of the last
-    if not host:
-        guest_of = F.lit(None).cast("int")
-    else:
-        guest_of = F.element_at(F.create_map(*[F.lit(x) for pair in host.items() for x in pair]), F.col("row_tag"))
-    dealt = rows.withColumn("guest_of", guest_of).select(
-        "doc_id",
-        "text",
-        "row_tag",
-        F.explode(
-            F.when(F.col("guest_of").isNull(), F.array(F.struct(F.col("range").alias("r"), F.lit(False).alias("guest")))).otherwise(
-                F.array(F.struct(F.col("range").alias("r"), F.lit(False).alias("guest")), F.struct(F.col("guest_of").alias("r"), F.lit(True).alias("guest")))
+    fields = f"doc_id {id_type}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of the range but the last, with FIELDS; then its first and its last text."""
+        here, first, last, id_arrow = TaskContext.get().partitionId(), None, None, None
+
+        def rows(ids, compared, **edge) -> pa.RecordBatch:
+            columns = list(zip(*compared)) or [[]] * len(KINDS)
+            n, none = len(ids), lambda v: [v] * len(ids)
+            return pa.RecordBatch.from_arrays(
+                [ids, *(pa.array(c, k) for c, k in zip(columns, KINDS)), pa.array([here] * n, pa.int32()), pa.array(none(edge.get("first")), pa.string()), pa.array(none(edge.get("last")), pa.string())],
+                names=[*FIELDS, "range", "first", "last"],
             )
-        ).alias("at"),
-    ).select("doc_id", "text", "row_tag", "at.*")
-    line = Window.partitionBy("r").orderBy("guest", F.col("doc_id").desc_nulls_last(), "row_tag")
-    pairs = dealt.withColumn("next_text", F.lead("text").over(line)).where("NOT guest").select("doc_id", "text", "next_text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(at, CHUNK)
-                out: list[list] = [[] for _ in range(6)]
-                for text, other in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    n = len(text)
-                    half = n // 2
-                    edited = text[: n - half] + other[:half]
-                    mine, its, next_one = canonical(text), canonical(edited), canonical(other)
-                    a, b, c = (digest_bytes(x, apart) for x in (mine, its, next_one))
-                    # equal digests count only with equal bytes
-                    for column, value in zip(out, (n, hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), a, b, float(a == b and mine == its), float(a == c and mine == next_one))):
-                        column.append(value)
-                kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array(x, k) for x, k in zip(out, kinds))],
-                    names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-                )
+            id_arrow = batch.schema.field(0).type
+            for part in parts(batch):
+                ids, texts = part.column(0), part.column(1).to_pylist()
+                found = []
+                if first is None:
+                    first = texts[0]
+                else:
+                    found.append(_compared(last[1], texts[0], apart))
+                found += [_compared(a, b, apart) for a, b in zip(texts, texts[1:])]
+                known = pa.concat_arrays([*([] if last is None else [last[0]]), ids.slice(0, len(ids) - 1)])
+                yield rows(known, found)
+                last = ids.slice(len(ids) - 1), texts[-1]
+        if last is not None:
+            yield rows(last[0].cast(id_arrow), [(None,) * len(KINDS)], first=first, last=last[1])
+
+    order = [F.col("id").desc_nulls_last(), F.col("hash")]
+    texts = df.select(col(id_col).alias("id"), text_or_empty(text_col).alias("text"), F.xxhash64(text_or_empty(text_col)).alias("hash"))
+    line = texts.repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order).select("id", "text")
+    out = stored(line.mapInArrow(pair, f"{fields}, range int, first string, last string"))
+    # one row, with two texts, for each range that has rows
+    ends = out.where("last IS NOT NULL").select("doc_id", "range", "first", "last")
+    ranges = sorted(r["range"] for r in ends.select("range").collect())
+    after = df.sparkSession.createDataFrame(list(zip(ranges, ranges[1:] + ranges[:1])), "this int, following int")
+    met = ends.join(after, F.col("range") == F.col("this")).select("doc_id", F.col("last").alias("text"), "following")
+    met = met.join(ends.select(F.col("range").alias("following"), F.col("first").alias("next_text")), "following").select("doc_id", "text", "next_text")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch):
+                found = [_compared(a, b, apart) for a, b in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(zip(*found), KINDS))], names=FIELDS)
+
+    return out.where("last IS NULL").select(*FIELDS).unionByName(met.mapInArrow(finish, fields))
+
 
-    edited = pairs.mapInArrow(
-        run, f"doc_id {id_type}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    )
-    return edited.join(groups, "fingerprint").select(*edited.columns, "group_id", "group_size")
+def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each text against its edited text and the next document (descending id, the last to the first); with its group's least id and size."""
+    found = materialise(_with_successors(df, id_col, text_col, frozenset()))
+    prints = found.select("doc_id", F.col("fingerprint").alias("digest"))
+    collided = collided_digests(df, prints, text_col)
+    if collided:
+        found = materialise(_with_successors(df, id_col, text_col, frozenset(collided)))
+    several = found.groupBy(F.col("fingerprint").alias("its")).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    several = materialise(several)  # so that the join's sides are plain shuffles, which Spark can split
+    met = found.join(several, F.col("fingerprint") == F.col("its"), "left")
+    return met.select(*FIELDS, F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("group_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"))

@@ -32,6 +32,32 @@ def test_one_and_no_document(spark):
     assert F.edited_fingerprints(docs(spark, [(1, "ab"), (1, "ab"), (None, "cd"), (2, "x")])).count() == 4
 
 
+def test_a_table_from_a_join(spark):
+    """Coalesced shuffles, repeated ids with other texts, null ids: nothing hangs on the input's partitions."""
+    rows = [(k % 60, prose(1 + k % 9, k)) for k in range(120)] + [(None, prose(3, k)) for k in range(5)]
+    left, right = docs(spark, rows), spark.range(60).withColumnRenamed("id", "doc_id")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1k")
+    try:
+        found = F.edited_fingerprints(left.join(right, "doc_id", "left")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(i, []).append(t)
+    assert len(found) == len(rows)
+    for r in found:
+        assert r["fingerprint"] in {F.digest(t) for t in texts[r["doc_id"]]}
+    # every document but the greatest is some document's successor
+    edits = {r["edited_sha256"] for r in found}
+    possible = {hashlib.sha256((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()).hexdigest() for i, ts in texts.items() for a in ts for j, us in texts.items() if i == j or j is None or i is None or i - j == 1 for b in us}
+    last = [t for t in texts[None]]
+    possible |= {hashlib.sha256((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()).hexdigest() for a in last for b in texts[59]}
+    assert edits <= possible
+
+
 def test_canonical_form():
     assert F.canonical("  Straße  ＡＢ\n") == F.canonical("STRASSE ab") == b"strasse ab"
 
