@@ -1,17 +1,24 @@
 """Best-fit packing of token sequences, in bulk-synchronous rounds.
 
-Pieces of equal length are interchangeable, and so are gaps of equal size. The sorted state
-is therefore kept in run-length form: a count for each piece length and runs of sequence
-numbers for each gap size, both bounded by the capacity (4096), never by the corpus. Lengths
-are taken in descending order, one round each: a successor sweep over the sorted gaps hands
-the round's pieces, by rank, to the tightest gaps that hold them; two pieces never claim one
-place, because a piece's rank decides which; the gaps are then updated, and what found no
-gap opens new sequences. Since a gap of g takes g // length pieces of one length before a
-larger gap is touched, this equals sequential best fit over lengths in descending order.
-
-What grows with the corpus stays distributed: tokenization, the histogram (map-side partial
-counts), the rank of a piece among those of its length (buckets of a hash, so a length that
-holds a third of all rows is spread), and the look-up of a rank's place.
+Unplaced pieces and the gaps of open sequences are rows of one table. A round
+
+1. range-sorts both by size, the largest first (ranges are cut by size, kind and name, so
+   pieces of one length are spread over as many ranges as they need);
+2. sweeps every range in its own task: each piece, in descending order, takes the least gap
+   of the range that holds it (its successor), and the gap, updated, goes on to the next;
+3. settles conflicts between ranges by rank: the pieces that a range could not place claim the
+   least gaps that larger ranges have left, piece by piece, as brackets match in a row; only
+   counts by range decide who gets which ranks, and the claimed gaps are dealt to the range of
+   the claiming pieces, which is swept again;
+4. hands what is left, and the updated gaps, to the next round.
+
+A round that places nothing shows that no piece fits any gap. Then new sequences open for the
+largest pieces, by rank: as many as the tokens left need at least, or one for each piece over
+half the capacity if those are more; no packing of these pieces could do with fewer. Packing
+ends when no piece is left. Where all rows make one range, a sweep is sequential best fit in
+descending order (tested), and the opening follows at once.
+
+The driver sees three counts for each range (some RANGE_ROWS rows), and no piece or gap.
 
 Defined results: null text is empty, one end token; an empty table gives no rows; repeated
 rows are packed once each; a null id is packed like any other; extra columns are ignored.
@@ -22,30 +29,37 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions
+from .common import col, materialise, parts, stored
 from .tokens import default_path, worker_tokenizer
 
 CAPACITY, END_ID = 4096, 1
-#: Texts tokenized together in a worker.
-CHUNK = 256
+#: Rows (pieces and gaps) that one range holds, about.
+RANGE_ROWS = 100_000
+#: Longest table of claims or quotas (two rows a range at most) that is broadcast.
+SMALL = 100_000
+#: Kinds of rows. Gaps sort before pieces of equal size.
+GAP, PIECE, PLACED = 0, 1, 2
+SWEPT = "at int, kind int, name bigint, size bigint, sequence_id bigint, offset bigint, nth bigint"
 
 
 def tokenise_pieces(df: DataFrame, capacity: int, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: documents cut only where longer than capacity."""
+    """tag (a number for the piece), doc_id, piece, start, length, ids_crc32: documents cut only where longer than capacity."""
     end, width = int(end_id).to_bytes(4, "little"), 4 * capacity
     id_type = df.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = worker_tokenizer(tokenizer_path)
+        tag = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(at, CHUNK)
+            for part in parts(batch):
                 ids = part.column(0)
                 owner, piece, start, length, crc = [], [], [], [], []
                 for i, raw in enumerate(tokenizer.encode_batch([t or "" for t in part.column(1).to_pylist()])):
@@ -57,124 +71,193 @@ def tokenise_pieces(df: DataFrame, capacity: int, tokenizer_path: str, end_id: i
                         start.append(a // 4)
                         length.append(len(chunk) // 4)
                         crc.append(zlib.crc32(chunk))
+                tags = np.arange(tag, tag + len(owner), dtype=np.int64)
+                tag += len(owner)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(owner, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                    names=["doc_id", "piece", "start", "length", "ids_crc32"],
+                    [pa.array(tags), ids.take(pa.array(owner, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                    names=["tag", "doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return df.select(id_col, text_col).mapInArrow(cut, f"doc_id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return df.select(col(id_col), col(text_col)).mapInArrow(cut, f"tag bigint, doc_id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 class Gaps:
-    """Open sequences by free space: for each size, runs (first sequence, how many)."""
+    """Open sequences by free space."""
 
     def __init__(self) -> None:
-        self.runs: dict[int, list[tuple[int, int]]] = {}
+        self.by_size: dict[int, list[np.ndarray]] = {}
         self.sizes: list[int] = []
 
-    def add(self, size: int, first: int, n: int) -> None:
-        if size <= 0 or n <= 0:
-            return
-        if size not in self.runs:
-            self.runs[size] = []
-            insort(self.sizes, size)
-        self.runs[size].append((first, n))
+    def add(self, size: int, sequences: np.ndarray) -> None:
+        if size > 0 and len(sequences):
+            if size not in self.by_size:
+                self.by_size[size] = []
+                insort(self.sizes, size)
+            self.by_size[size].append(sequences)
 
-    def successor(self, size: int) -> int | None:
+    def take_successor(self, size: int) -> tuple[int, list[np.ndarray]] | None:
+        """The least size that holds ``size``, and all its sequences."""
         k = bisect_left(self.sizes, size)
-        return self.sizes[k] if k < len(self.sizes) else None
+        return None if k == len(self.sizes) else (found := self.sizes.pop(k), self.by_size.pop(found))
 
-    def pop(self, size: int) -> list[tuple[int, int]]:
-        self.sizes.remove(size)
-        return self.runs.pop(size)
 
+def best_fit(pieces: dict[int, np.ndarray], gaps: Gaps, capacity: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Sequential best fit, the longest pieces first: (length, pieces, sequences, offsets) of what finds a place.
 
-def best_fit_plan(histogram: dict[int, int], capacity: int) -> tuple[dict[str, np.ndarray], int]:
-    """Places for every rank of every length, and the number of sequences.
-
-    A row says: ranks from ``rank`` on, of pieces of ``length``, go ``each`` to a sequence
-    from ``sequence`` on, the first at ``offset``.
+    ``pieces`` (names by length) is left with the others, and ``gaps`` are updated.
     """
-    rows: list[tuple[int, int, int, int, int]] = []
-    gaps, opened = Gaps(), 0
-    for length in sorted(histogram, reverse=True):
-        rank, left = 0, histogram[length]
-
-        def place(first: int, n: int, size: int) -> None:
-            """Fill up to n sequences with this much room each; the rest of them stay as they are."""
-            nonlocal rank, left
+    for length in sorted(pieces, reverse=True):
+        names = pieces.pop(length)
+        while len(names) and (least := gaps.take_successor(length)):
+            size, lots = least
             each = size // length
-            use = min(n, -(-left // each))
-            took = min(left, use * each)
-            rows.append((length, rank, first, capacity - size, each))
-            full = took // each
-            gaps.add(size - each * length, first, full)
-            if took % each:
-                gaps.add(size - (took % each) * length, first + full, 1)
-            gaps.add(size, first + use, n - use)
-            rank += took
-            left -= took
-
-        while left and (size := gaps.successor(length)) is not None:
-            for first, n in gaps.pop(size):
-                if left:
-                    place(first, n, size)
-                else:
-                    gaps.add(size, first, n)
-        if left:
-            n = -(-left // (capacity // length))
-            place(opened, n, capacity)
-            opened += n
-    names = ("length", "rank", "sequence", "offset", "each")
-    return dict(zip(names, np.array(rows, dtype=np.int64).reshape(-1, 5).T)), opened
-
-
-def rank_within(df: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """df with ``rank`` from 0 within each value of group; no value's rows meet in one task."""
-    buckets = shuffle_partitions(df.sparkSession)
-    df = df.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    counts = df.groupBy(group, "__bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy(group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select(group, "__bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"))
-    inside = Window.partitionBy(group, "__bucket").orderBy(*order)
-    return (
-        df.withColumn("__place", F.row_number().over(inside))
-        .join(first, [group, "__bucket"])
-        .withColumn("rank", F.col("__first") + F.col("__place") - 1)
-        .drop("__bucket", "__place", "__first")
-    )
+            for sequences in lots:
+                use = min(len(sequences), -(-len(names) // each))
+                took = min(len(names), use * each)
+                nth = np.arange(took)
+                if took:
+                    yield length, names[:took], sequences[nth // each], capacity - size + nth % each * length
+                full, some = divmod(took, each)
+                gaps.add(size - each * length, sequences[:full])
+                gaps.add(size - some * length, sequences[full:use])
+                gaps.add(size, sequences[use:])
+                names = names[took:]
+        if len(names):
+            pieces[length] = names
+
+
+def _by_size(sizes: np.ndarray, names: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.lexsort((names, sizes))
+    found, at = np.unique(sizes[order], return_index=True)
+    return zip(found.tolist(), np.split(names[order], at[1:]))
+
+
+def _swept(at: int, kind: np.ndarray, name: np.ndarray, size: np.ndarray, capacity: int) -> pa.RecordBatch:
+    """One range after its sweep; rows of a kind are numbered, gaps from the least, pieces from the largest."""
+    gaps, pieces = Gaps(), dict(_by_size(size[kind == PIECE], name[kind == PIECE]))
+    for free, sequences in _by_size(size[kind == GAP], name[kind == GAP]):
+        gaps.add(free, sequences)
+    rows = [(PLACED, names, np.full(len(names), length), sequences, offsets) for length, names, sequences, offsets in best_fit(pieces, gaps, capacity)]
+    none = lambda names: np.full(len(names), -1)
+    left = [(PIECE, pieces[length], length) for length in sorted(pieces, reverse=True)] + [(GAP, s, free) for free in gaps.sizes for s in gaps.by_size[free]]
+    rows += [(k, names, np.full(len(names), n), none(names), none(names)) for k, names, n in left]
+    kinds = np.repeat([r[0] for r in rows], [len(r[1]) for r in rows]).astype(np.int32)
+    nth = np.zeros(len(kinds), np.int64)
+    for k in (GAP, PIECE):
+        nth[kinds == k] = np.arange(int((kinds == k).sum()))
+    flat = [np.concatenate([r[c] for r in rows]).astype(np.int64) if rows else np.empty(0, np.int64) for c in (1, 2, 3, 4)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(kinds), at, np.int32)), pa.array(kinds), *map(pa.array, flat), pa.array(nth)], names=[f.split()[0] for f in SWEPT.split(", ")])
+
+
+def sweep(rows: DataFrame, capacity: int, dealt: bool) -> DataFrame:
+    """SWEPT rows of (at, kind, name, size) after the sweep of each range; ``dealt``: ranges are by at, else a task is one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        at = -1 if dealt else TaskContext.get().partitionId()
+        close = lambda: _swept(at, *(np.concatenate(c) for c in zip(*held)), capacity)
+        for batch in batches:
+            own, *rest = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            cuts = np.flatnonzero(np.diff(own)) + 1 if dealt else np.empty(0, int)
+            for a, b in zip([0, *cuts], [*cuts, len(own)]):
+                if a < b and dealt and own[a] != at:
+                    if held:
+                        yield close()
+                    held, at = [], int(own[a])
+                if a < b:
+                    held.append([c[a:b] for c in rest])
+        if held:
+            yield close()
+
+    return rows.select("at", "kind", "name", "size").mapInArrow(run, SWEPT)
+
+
+def claims(gaps: dict[int, int], pieces: dict[int, int]) -> list[tuple[int, int, int, int]]:
+    """(from, first, last, to): the gaps of these ranks of range ``from`` go to range ``to``.
+
+    Ranges are numbered from the largest sizes on. Each one's pieces claim as many gaps as
+    they are, the nearest larger range's first and of that the least ones.
+    """
+    out, left, first = [], [], {}
+    for at in sorted(gaps.keys() | pieces.keys()):
+        need = pieces.get(at, 0)
+        while need and left:
+            source = left[-1]
+            begin = first.get(source, 0)
+            n = min(need, gaps[source] - begin)
+            out.append((source, begin, begin + n, at))
+            first[source] = begin + n
+            need -= n
+            if first[source] == gaps[source]:
+                left.pop()
+        if gaps.get(at):
+            left.append(at)
+    return out
+
+
+def place(items: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """tag, sequence_id, offset for every row (tag, length) of items; lengths are 1 to capacity."""
+    spark = items.sparkSession
+
+    def table(rows: list, schema: str) -> DataFrame:
+        out = spark.createDataFrame(rows, schema)
+        return F.broadcast(out) if len(rows) <= SMALL else out
+
+    union = lambda frames: reduce(DataFrame.unionByName, frames)
+    piece_rows = items.select(F.lit(PIECE).alias("kind"), F.col("tag").alias("name"), F.col("length").cast("long").alias("size"))
+    placed = [spark.createDataFrame([], "tag bigint, sequence_id bigint, offset bigint")]
+    found = lambda df: df.where(F.col("kind") == PLACED).select(F.col("name").alias("tag"), "sequence_id", "offset")
+    left = lambda df: df.where(F.col("kind") != PLACED).select("kind", "name", "size")
+    rows, n_rows, opened = piece_rows, items.count(), 0
+    while n_rows:
+        order = [F.col("size").desc(), F.col("kind"), F.col("name")]
+        ranges = rows.select(F.lit(0).alias("at"), "kind", "name", "size").repartitionByRange(-(-n_rows // range_rows), *order)
+        swept = materialise(sweep(ranges, capacity, dealt=False))
+        wide = F.count_if(F.col("size") * 2 > capacity)
+        counts = {(r["at"], r["kind"]): r for r in swept.groupBy("at", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens"), wide.alias("wide")).collect()}
+        by = {k: {at: r["n"] for (at, kind), r in counts.items() if kind == k} for k in (GAP, PIECE, PLACED)}
+        placed.append(found(swept))
+        if not by[PIECE]:
+            break
+        rows, n_placed, n_rows = left(swept), sum(by[PLACED].values()), sum(by[GAP].values()) + sum(by[PIECE].values())
+        if moves := claims(by[GAP], by[PIECE]):
+            goes = table(moves, "source int, first bigint, last bigint, to int")
+            mine = (F.col("at") == F.col("source")) & (F.col("nth") >= F.col("first")) & (F.col("nth") < F.col("last"))
+            sides = swept.where(F.col("kind") == GAP).join(goes, mine, "left").select("to", "kind", "name", "size")
+            claiming = table([(at,) for at in sorted({m[3] for m in moves})], "to int")
+            pieces = swept.where(F.col("kind") == PIECE)
+            pieces = pieces.join(claiming, F.col("at") == F.col("to"), "left").select("to", "kind", "name", "size")
+            dealt = sides.unionByName(pieces)
+            met = dealt.where("to IS NOT NULL").withColumnRenamed("to", "at").repartition(len({m[3] for m in moves}), "at").sortWithinPartitions("at")
+            again = materialise(sweep(met, capacity, dealt=True))
+            more = again.where(F.col("kind") == PLACED).count()
+            if more:
+                placed.append(found(again))
+                n_placed, n_rows = n_placed + more, n_rows - more
+                rows = dealt.where("to IS NULL").select("kind", "name", "size").unionByName(left(again))
+        one_range = len({at for at, _ in counts}) == 1
+        if n_placed and not one_range:
+            continue
+        # nothing that is left fits a gap: open sequences for the largest, by rank
+        own = {at: counts[at, PIECE] for at in by[PIECE]}
+        n = max(-(-sum(r["tokens"] for r in own.values()) // capacity), sum(r["wide"] for r in own.values()))
+        quotas, base = [], opened
+        for at in sorted(own):
+            quotas.append((at, quota := min(own[at]["n"], n + opened - base), base))
+            base += quota
+        opened = base
+        ranked = swept.where(F.col("kind") == PIECE).join(table(quotas, "of int, quota bigint, base bigint"), F.col("at") == F.col("of"))
+        seeds = ranked.where("nth < quota").select("name", "size", (F.col("base") + F.col("nth")).alias("sequence_id"))
+        placed.append(seeds.select(F.col("name").alias("tag"), "sequence_id", F.lit(0).cast("long").alias("offset")))
+        opens = seeds.select(F.lit(GAP).alias("kind"), F.col("sequence_id").alias("name"), (F.lit(capacity) - F.col("size")).alias("size")).where("size > 0")
+        rows = union([ranked.where("nth >= quota").select("kind", "name", "size"), left(swept).where(F.col("kind") == GAP), opens])
+    return union(placed)
 
 
 def pack_documents(
-    df: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", range_rows: int = RANGE_ROWS
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece."""
-    pieces = materialise(tokenise_pieces(df, capacity, tokenizer_path or default_path(), end_id, id_col, text_col))
-    # at most `capacity` rows, whatever the corpus holds
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan, _ = best_fit_plan(histogram, capacity)
-    order = np.lexsort((plan["rank"], plan["length"]))
-    shared = df.sparkSession.sparkContext.broadcast({k: v[order] for k, v in plan.items()})
-    ranked = rank_within(pieces, "length", ["doc_id", "piece", "ids_crc32"])
-    id_type = df.schema[id_col].dataType.simpleString()
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = shared.value
-        for batch in batches:
-            length = batch.column("length").to_numpy()
-            rank = batch.column("rank").to_numpy()
-            at = np.empty(len(length), dtype=np.int64)
-            for one in np.unique(length):
-                rows = np.flatnonzero(length == one)
-                lo, hi = np.searchsorted(p["length"], one, "left"), np.searchsorted(p["length"], one, "right")
-                at[rows] = lo + np.searchsorted(p["rank"][lo:hi], rank[rows], "right") - 1
-            nth = rank - p["rank"][at]
-            each = p["each"][at]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(p["sequence"][at] + nth // each), pa.array(p["offset"][at] + nth % each * length)],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
-            )
-
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(
-        look_up, f"doc_id {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
-    )
+    pieces = stored(tokenise_pieces(df, capacity, tokenizer_path or default_path(), end_id, id_col, text_col))
+    places = place(pieces.select("tag", "length"), capacity, range_rows)
+    return pieces.join(places, "tag").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -12,17 +12,6 @@ from pawnmill.llm.tokens import WordCachedTokenizer, default_path
 from tests.llm.helpers import docs, prose
 
 
-def expand(histogram, plan):
-    """Places of all pieces: sequence -> [(offset, length)]."""
-    rows = sorted(zip(*(plan[k].tolist() for k in ("length", "rank", "sequence", "offset", "each"))))
-    out = defaultdict(list)
-    for k, (length, rank, sequence, offset, each) in enumerate(rows):
-        end = rows[k + 1][1] if k + 1 < len(rows) and rows[k + 1][0] == length else histogram[length]
-        for nth in range(end - rank):
-            out[sequence + nth // each].append((offset + nth % each * length, length))
-    return out
-
-
 def sequential_best_fit(lengths, capacity):
     gaps: list[int] = []
     for n in sorted(lengths, reverse=True):
@@ -35,26 +24,70 @@ def sequential_best_fit(lengths, capacity):
     return len(gaps)
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_plan_equals_sequential_best_fit(seed):
-    rng = random.Random(seed)
-    capacity = rng.choice([16, 50, 128])
-    lengths = [rng.randint(1, capacity) for _ in range(rng.choice([1, 40, 300]))]
-    histogram = dict(Counter(lengths))
-    plan, n = P.best_fit_plan(histogram, capacity)
-    places = expand(histogram, plan)
-    assert len(places) == n == sequential_best_fit(lengths, capacity)
-    assert sorted(length for v in places.values() for _, length in v) == sorted(lengths)
-    for v in places.values():
+def packed(rows, capacity):
+    """Sequences (offset, length) of (tag, length, sequence, offset) rows, which must be gapless."""
+    out = defaultdict(list)
+    for _, length, sequence, offset in rows:
+        out[sequence].append((offset, length))
+    for v in out.values():
         at = 0
         for offset, length in sorted(v):
             assert offset == at
             at += length
         assert at <= capacity
+    return out
+
+
+def pack(spark, lengths, capacity, range_rows=P.RANGE_ROWS):
+    items = spark.createDataFrame(list(enumerate(lengths)), "tag bigint, length int")
+    rows = items.join(P.place(items, capacity, range_rows), "tag").select("tag", "length", "sequence_id", "offset").collect()
+    assert sorted(r[:2] for r in map(tuple, rows)) == list(enumerate(lengths))
+    return packed(map(tuple, rows), capacity)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_a_sweep_equals_sequential_best_fit(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([16, 50, 128])
+    free = [rng.randint(1, capacity) for _ in range(rng.choice([0, 5, 60]))]
+    lengths = [rng.randint(1, capacity) for _ in range(rng.choice([1, 40, 300]))]
+    gaps, pieces = P.Gaps(), {n: np.array([k for k, x in enumerate(lengths) if x == n]) for n in set(lengths)}
+    for size in set(free):
+        gaps.add(size, np.array([k for k, x in enumerate(free) if x == size]))
+    found = [(int(s), n) for n, _, sequences, _ in P.best_fit(pieces, gaps, capacity) for s in sequences]
+    left, unplaced = sorted(free), []
+    for n in sorted(lengths, reverse=True):
+        fits = [g for g in left if g >= n]
+        if fits:
+            left.remove(min(fits))
+            left.append(min(fits) - n)
+        else:
+            unplaced.append(n)
+    assert sorted(n for n, names in pieces.items() for _ in names) == sorted(unplaced)
+    assert sorted(n for n, lots in gaps.by_size.items() for lot in lots for _ in lot) == sorted(g for g in left if g)
+    room = Counter()
+    for s, n in found:
+        room[s] += n
+    assert all(room[s] <= free[s] for s in room)
+
+
+def test_claims_match_as_brackets():
+    assert P.claims({0: 3, 1: 1}, {1: 0, 2: 2, 3: 5}) == [(1, 0, 1, 2), (0, 0, 1, 2), (0, 1, 3, 3)]
+    assert P.claims({2: 4}, {0: 3, 2: 1}) == [] and P.claims({}, {}) == []
+
+
+@pytest.mark.parametrize(("range_rows", "seed"), [(10**6, 1), (25, 2), (7, 3)])
+def test_rounds(spark, range_rows, seed):
+    rng = random.Random(seed)
+    lengths = [rng.choice([64, 64, rng.randint(1, 64), rng.randint(1, 12)]) for _ in range(160)]
+    sequences = pack(spark, lengths, 64, range_rows)
+    assert -(-sum(lengths) // 64) <= len(sequences) <= sequential_best_fit(lengths, 64) + (range_rows < 100)
+    assert sorted(sequences) == list(range(len(sequences)))
 
 
-def test_no_pieces():
-    assert P.best_fit_plan({}, 10)[1] == 0
+def test_equal_lengths_and_nothing(spark):
+    assert len(pack(spark, [3] * 50, 10, 8)) == 17 and len(pack(spark, [10] * 5, 10)) == 5
+    assert P.place(spark.createDataFrame([], "tag bigint, length int")).count() == 0
 
 
 def test_tokens_equal_the_library():
