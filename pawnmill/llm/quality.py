@@ -6,13 +6,14 @@ penalised logistic regression picks and weighs rules; the rules that stay are co
 one Spark column expression over the statistics.
 
 Only the fit sees labels, and at most SAMPLE of them (those with the smallest hash of the
-id); scoring covers every row and whole text.
+id) and SAMPLE rows with such ids (those with the smallest hash of their statistics); scoring
+covers every row and whole text.
 
 Defined results: null and empty texts have all statistics 0 and are scored like others; rows
 whose label or id is null are not learned from; contradictory labels of an id are averaged
-and rounded; with no labelled rows the score is 0.5, with one class alone that class's
+and rounded; rows that repeat a labelled id all have its label; with no labelled rows the score is 0.5, with one class alone that class's
 smoothed share; an empty table gives no rows; repeated rows get equal scores; extra columns
-are ignored.
+are ignored by ``score_quality`` and passed through, whatever their names, by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import col, least_hashed, materialise, unpacked, whole_rows
 from .text_stats import NAMES, with_stats
 from .trees import Split, boost
 
@@ -128,19 +130,17 @@ def fit_rules(x: np.ndarray, y: np.ndarray) -> RuleModel:
 
 
 def held_out(id_col: str = "doc_id", folds: int = FOLDS) -> Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0
+    return F.crc32(col(id_col).cast("string").cast("binary")) % folds == 0
 
 
 def fit_on_labels(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> RuleModel:
     """Fit on at most ``sample`` labelled rows outside the held-out fold."""
-    usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    chosen = (
-        usable.groupBy(id_col)
-        .agg(F.round(F.avg(F.col(label_col).cast("double"))).alias("__label"))
-        .orderBy(F.xxhash64(id_col), id_col)
-        .limit(sample)  # the documented bound of the sample; also the bound of the broadcast
-    )
-    rows = with_stats(df.join(F.broadcast(chosen), id_col).select(id_col, "__label", text_col), [id_col, "__label"], text_col).drop(id_col).toPandas()
+    usable = labels.where(col(label_col).isNotNull() & col(id_col).isNotNull() & ~held_out(id_col))
+    each = usable.groupBy(col(id_col).alias("id")).agg(F.round(F.avg(col(label_col).cast("double"))).alias("label"))
+    chosen = least_hashed(each, sample, "id")  # the documented bound of the sample; also the bound of the broadcast
+    texts = df.select(col(id_col).alias("of"), col(text_col).alias("text"))
+    met = texts.join(F.broadcast(chosen), F.col("of") == F.col("id")).select("label", "text")
+    rows = least_hashed(materialise(with_stats(met)), sample, "label", *NAMES).toPandas()
     rows = rows.sort_values(list(rows.columns)).to_numpy(dtype=np.float64)
     return fit_rules(rows[:, 1:], rows[:, 0].astype(int))
 
@@ -150,8 +150,8 @@ def score_quality(
 ) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of df."""
     model = fit_on_labels(df, labels, id_col, text_col, label_col, sample)
-    stats = with_stats(df, [id_col], text_col)
-    return stats.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"), model.column().alias("score")).withColumn(
+    stats = with_stats(df.select(col(id_col).alias("doc_id"), col(text_col).alias("text")))
+    return stats.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), model.column().alias("score")).withColumn(
         "predicted", (F.col("score") >= threshold).cast("int")
     )
 
@@ -159,6 +159,5 @@ def score_quality(
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of df that are predicted good, with df's columns; no shuffle."""
     model = fit_on_labels(df, labels, id_col, text_col, label_col)
-    columns = df.columns
-    stats = with_stats(df.select(*columns, F.col(text_col).alias("__text")), columns, "__text")
-    return stats.where(model.column() >= threshold).select(*columns)
+    stats = with_stats(df.select(whole_rows(df).alias("row")), text_col)
+    return unpacked(stats.where(model.column() >= threshold), df)

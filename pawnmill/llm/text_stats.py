@@ -8,6 +8,9 @@ from operator import eq
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import DoubleType, StructType
+
+from .common import parts
 
 NAMES = (
     "log_chars",
@@ -30,7 +33,6 @@ NAMES = (
     "repeated_lines",
     "lower_start",
 )
-CHUNK = 512
 _UPPER, _LOWER, _DIGIT = (np.array([chr(i) in s for i in range(256)]) for s in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"))
 _SYMBOL = np.array([33 <= i < 127 and not chr(i).isalnum() and chr(i) not in ".,;:'\"!?|-()" for i in range(256)])
 
@@ -69,19 +71,22 @@ def text_stats(text: str | None) -> list[float]:
     ]
 
 
-def with_stats(df: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
-    """id_cols and a double column for each statistic."""
-    fields = [df.schema[c] for c in id_cols]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"`{n}` double" for n in NAMES)])
+def with_stats(df: DataFrame, text: str | None = None) -> DataFrame:
+    """df's first column and a double column for each statistic of its text.
+
+    The text is df's second column or, if ``text`` is given, that field of the first, a struct.
+    """
+    first = df.schema.fields[0]
+    schema = StructType([first])
+    for n in NAMES:
+        schema = schema.add(n, DoubleType())
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(at, CHUNK)
-                table = np.array([text_stats(t) for t in part.column(part.num_columns - 1).to_pylist()], dtype=np.float64).reshape(-1, len(NAMES))
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(i) for i in range(len(id_cols))), *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(len(NAMES)))],
-                    names=[*id_cols, *NAMES],
-                )
+            own = batch.column(0)
+            texts = batch.column(1) if text is None else own.field(own.type.get_field_index(text))
+            for part in parts(pa.RecordBatch.from_arrays([own, texts], names=["own", "text"])):
+                table = np.array([text_stats(t) for t in part.column(1).to_pylist()], dtype=np.float64).reshape(-1, len(NAMES))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(table[:, k])) for k in range(len(NAMES)))], names=[first.name, *NAMES])
 
-    return df.select(*id_cols, text_col).mapInArrow(measure, schema)
+    return df.mapInArrow(measure, schema)

@@ -45,6 +45,60 @@ def test_held_out_labels_are_not_used(spark):
     assert score(labels) == score(flipped)
 
 
+def test_weights_are_optimal():
+    """The lasso's conditions at its solution, computed apart from the solver."""
+    rng = np.random.default_rng(3)
+    r = (rng.random((400, 12)) < rng.uniform(0.1, 0.9, 12)).astype(float)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(2 * r[:, 0] - 3 * r[:, 1] + r[:, 2])))).astype(float)
+    penalty = 0.01
+    b, w = Q._lasso(r, y, penalty, 4000)
+    scale = np.maximum(r.std(0), 0.02)
+    error = 1 / (1 + np.exp(-(b + r @ w))) - y
+    slope = ((r - r.mean(0)) / scale).T @ error / len(y)
+    own = w * scale
+    assert abs(error.mean()) < 1e-4 and (own == 0).any() and (own != 0).sum() >= 3
+    assert np.all(np.abs(slope[own == 0]) <= penalty + 1e-4)
+    assert np.allclose(slope[own != 0], -penalty * np.sign(own[own != 0]), atol=1e-4)
+
+
+def auc(score, truth):
+    order = np.argsort(score, kind="stable")
+    rank = np.empty(len(score))
+    rank[order] = np.arange(1, len(score) + 1)
+    for v in np.unique(score):
+        rank[score == v] = rank[score == v].mean()
+    n = truth.sum()
+    return (rank[truth == 1].sum() - n * (n + 1) / 2) / (n * (len(truth) - n))
+
+
+def test_against_an_independent_model():
+    """Held out, on noisy statistics with an interaction, not below naive Bayes with normal densities."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, len(NAMES)))
+    z = 1.5 * (x[:, 0] > 0.3) - 1.2 * (x[:, 1] > 0) * (x[:, 2] > 0) + 0.8 * x[:, 3] - 0.2
+    y = (rng.random(3000) < 1 / (1 + np.exp(-2 * z))).astype(int)
+    train, test = np.arange(3000) < 2000, np.arange(3000) >= 2000
+    mean, sd = ([f(x[train & (y == k)], 0) for k in (0, 1)] for f in (np.mean, np.std))
+    bayes = sum((-np.log(sd[k]) - (x[test] - mean[k]) ** 2 / 2 / sd[k] ** 2).sum(1) * (1 if k else -1) for k in (0, 1))
+    model = Q.fit_rules(x[train], y[train])
+    assert auc(model.score(x[test]), y[test]) >= max(0.8, auc(bayes, y[test]) - 0.005)
+    # a rule's meaning, read from its tests
+    rule, row = model.rules[0][0], x[5]
+    assert rule.holds(x[5:6])[0] == all((row[k] > bound) if above else (row[k] <= bound) for k, above, bound in rule.tests)
+
+
+def test_clashing_names_and_repeated_labelled_ids(spark):
+    rows, labels = corpus(80)
+    names = ", log_chars int, __label int, __text string, row string, `a.b` int"
+    df = docs(spark, [(*r, "s", 1, 2, "t", "r", 3) for r in rows + [rows[6]] * 50], names)
+    kept = Q.keep_good(df, spark.createDataFrame(labels, LABELS))
+    assert kept.columns == df.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert set(ids) == {i for i, q, _ in labels if q} and ids.count(6) == 51
+    few = Q.fit_on_labels(df, spark.createDataFrame(labels, LABELS), sample=30)
+    assert few.score(np.zeros((1, len(NAMES)))).shape == (1,)
+
+
 def test_odd_inputs(spark):
     rows, labels = corpus(80)
     rows += [(900, None), (901, ""), (902, "word " * 100_000), (None, "no id"), (5, "again")]
