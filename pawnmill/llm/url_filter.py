@@ -6,13 +6,15 @@ Python runs on executors. Labels come from a table of (url, blocked); where none
 the URLs that rules decide are the labelled ones.
 
 Suffix statistics are the smoothed share of blocked URLs for each two-label host suffix of
-the sample: at most SAMPLE rows, a fixed bound, and so broadcast.
+the sample: at most SAMPLE rows, a fixed bound, and so broadcast. A labelled URL's own
+statistic, on which the trees are fitted, leaves out the URLs of its fold, itself among them.
+``held_out_scores`` judges each fold of a label table by a model of the others.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule
 and is judged by the trees; a host fits a rule when it is the rule's or ends in a dot and the
 rule's; the path must begin with the rule's, so an empty path fits none; with no labelled
-URL, or labels of one class only, the verdict follows the smoothed share of that class; an
-empty table gives no rows; repeated rows get equal verdicts; extra columns are ignored.
+URL, or labels of one class only, the verdict follows the smoothed share of that class;
+contradictory labels of a URL are averaged and rounded; an empty table gives no rows; repeated rows get equal verdicts; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,12 +25,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import col, least_hashed, materialise
 from .trees import Split, boost
 
 #: Most labelled URLs that a fit uses.
 SAMPLE = 20_000
-TREES, DEPTH, RATE, BINS, LEAST_ROWS, SMOOTHING = 20, 3, 0.3, 32, 10, 20.0
+TREES, DEPTH, RATE, BINS, LEAST_ROWS, SMOOTHING, FOLDS = 20, 3, 0.3, 32, 10, 20.0, 5
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 FEATURES = ("f_length", "f_depth", "f_digit_ratio", "f_entropy", "f_params", "f_host_length", "f_labels", "f_path_length", "f_hyphens", "f_escapes", "f_secure", "f_suffix")
 
@@ -82,8 +84,9 @@ def with_features(df: DataFrame, url_col: str = "url") -> DataFrame:
     """df with the lexical features, f_suffix left out, and the host's suffix."""
     url = F.coalesce(F.col(url_col), F.lit(""))
     n = F.greatest(F.length(url), F.lit(1)).cast("double")
-    share = lambda c: (F.length(url) - F.length(F.replace(url, c, F.lit("")))) / n
-    entropy = F.aggregate(F.array_distinct(F.filter(F.split(url, ""), lambda c: c != "")), F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c)))
+    # equal characters side by side: work grows with the length, not with its product by distinct characters
+    runs = F.regexp_extract_all(F.array_join(F.array_sort(F.split(url, "")), ""), F.lit(r"(?s)(.)\1*"), F.lit(0))
+    entropy = F.aggregate(F.transform(runs, lambda r: F.length(r) / n), F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
     features = {
         "f_length": F.length(url),
         "f_depth": F.size(F.filter(F.split("path", "/"), lambda s: s != "")),
@@ -124,29 +127,53 @@ class UrlModel:
         return full.withColumn("__score", F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
 
 
+def fold_of(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url, F.lit("fold")), F.lit(FOLDS)).cast("int")
+
+
 def fit_urls(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked", sample: int = SAMPLE) -> UrlModel:
-    """Boosted trees from (url, blocked 0 or 1), at most ``sample`` rows of it."""
-    chosen = labelled.where(F.col(url_col).isNotNull() & F.col(label_col).isNotNull()).select(url_col, F.col(label_col).cast("double").alias("__y"))
-    chosen = materialise(chosen.orderBy(F.xxhash64(url_col), url_col).limit(sample))
-    featured = with_features(with_parts(chosen, url_col), url_col)
-    share = chosen.agg((F.coalesce(F.sum("__y"), F.lit(0.0)) + 1) / (F.count("__y") + 2)).first()[0]
-    suffixes = materialise(featured.groupBy("__suffix").agg(((F.sum("__y") + SMOOTHING * share) / (F.count("__y") + SMOOTHING)).alias("f_suffix")))
-    rows = featured.join(F.broadcast(suffixes), "__suffix").select(*FEATURES, "__y").collect()  # at most `sample` rows
+    """Boosted trees from (url, blocked 0 or 1), at most ``sample`` URLs of it."""
+    usable = labelled.where(col(url_col).isNotNull() & col(label_col).isNotNull())
+    each = usable.groupBy(col(url_col).alias("url")).agg(F.round(F.avg(col(label_col).cast("double"))).alias("y"))
+    chosen = least_hashed(materialise(each), sample, "url").withColumn("fold", fold_of(F.col("url")))
+    featured = materialise(with_features(with_parts(chosen)).select("__suffix", "fold", "y", *FEATURES[:-1]))  # at most `sample` rows, as all below
+    share = featured.agg((F.coalesce(F.sum("y"), F.lit(0.0)) + 1) / (F.count("y") + 2)).first()[0]
+    smoothed = lambda y, n: (y + F.lit(SMOOTHING * share)) / (n + F.lit(SMOOTHING))
+    whole = featured.groupBy("__suffix").agg(F.sum("y").alias("all_y"), F.count("y").alias("all_n"))
+    own = featured.groupBy("__suffix", "fold").agg(F.sum("y").alias("fold_y"), F.count("y").alias("fold_n"))
+    others = own.join(F.broadcast(whole), "__suffix").select("__suffix", "fold", smoothed(F.col("all_y") - F.col("fold_y"), F.col("all_n") - F.col("fold_n")).alias("f_suffix"))
+    rows = featured.join(F.broadcast(others), ["__suffix", "fold"]).select(*FEATURES, "y").collect()
     table = np.array(sorted(map(tuple, rows)), dtype=np.float64).reshape(-1, len(FEATURES) + 1)
     prior, trees = boost(table[:, :-1], table[:, -1], TREES, DEPTH, RATE, BINS, LEAST_ROWS)
+    suffixes = materialise(whole.select("__suffix", smoothed(F.col("all_y"), F.col("all_n")).alias("f_suffix")))
     return UrlModel(prior, tuple(trees), float(share), suffixes)
 
 
+def held_out_scores(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked", sample: int = SAMPLE) -> DataFrame:
+    """url, blocked and block_score of every labelled row, each by a model that has not seen its fold."""
+    rows = labelled.select(col(url_col).alias("url"), col(label_col).alias("blocked")).where("url IS NOT NULL AND blocked IS NOT NULL").withColumn("fold", fold_of(F.col("url")))
+    out = None
+    for k in range(FOLDS):
+        one = fit_urls(rows.where(F.col("fold") != k), "url", "blocked", sample).score(with_features(with_parts(rows.where(F.col("fold") == k))))
+        one = one.select("url", "blocked", F.col("__score").alias("block_score"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def rule_labels(df: DataFrame, rules: tuple[UrlRule, ...] = RULES, url_col: str = "url") -> DataFrame:
+    """url and blocked (0 or 1) of the rows that a rule decides."""
+    rule, verdict = rule_columns(rules)
+    judged = with_parts(df.select(col(url_col).alias("url"))).withColumns({"rule": rule, "verdict": verdict})
+    return judged.where("rule IS NOT NULL").select("url", (F.col("verdict") == "block").cast("int").alias("blocked"))
+
+
 def judge_urls(
     df: DataFrame, rules: tuple[UrlRule, ...] = RULES, labelled: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5, sample: int = SAMPLE
 ) -> DataFrame:
     """page_id, host, path, rule, verdict and the method's score for every row of df."""
     rule, verdict = rule_columns(rules)
-    judged = with_parts(df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))).withColumns({"rule": rule, "__verdict": verdict})
-    if labelled is None:
-        labelled = judged.where("rule IS NOT NULL").select("url", (F.col("__verdict") == "block").cast("int").alias("blocked"))
-    else:
-        labelled = labelled.select(F.col(url_col).alias("url"), "blocked")
+    judged = with_parts(df.select(col(id_col).alias("page_id"), col(url_col).alias("url"))).withColumns({"rule": rule, "__verdict": verdict})
+    labelled = rule_labels(df, rules, url_col) if labelled is None else labelled.select(col(url_col).alias("url"), "blocked")
     scored = fit_urls(labelled, "url", "blocked", sample).score(with_features(judged))
     by_method = F.when(F.col("__score") >= threshold, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("__verdict", by_method).alias("verdict"), F.col("__score").alias("block_score"))

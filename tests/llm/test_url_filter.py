@@ -47,6 +47,25 @@ def test_learns_from_labels(spark):
     assert np.mean([found[k] == ("block" if k % 2 else "allow") for k in range(300, 400)]) > 0.95
 
 
+def test_held_out_scores(spark):
+    """Folds that a model has not seen; labels that nothing predicts get no better than chance."""
+    urls = [f"http://{'spam' + str(k % 7) * 9 if k % 2 else 'site' + str(k)}.example{k % 5}.org/en/{k}" for k in range(400)]
+    got = U.held_out_scores(spark.createDataFrame([(u, k % 2) for k, u in enumerate(urls)], "url string, blocked int")).collect()
+    assert len(got) == 400 and np.mean([(r["block_score"] >= 0.5) == r["blocked"] for r in got]) > 0.95
+    rng = np.random.default_rng(2)
+    alone = [f"http://h{k}.site{k}.org/" for k in range(400)]  # each suffix has one URL; its own label must not tell
+    got = U.held_out_scores(spark.createDataFrame([(u, int(rng.integers(2))) for u in alone], "url string, blocked int")).collect()
+    assert 0.35 < np.mean([(r["block_score"] >= 0.5) == r["blocked"] for r in got]) < 0.65
+
+
+def test_long_and_repeated_urls(spark):
+    long = "http://a.net/" + "xyzé" * 100_000
+    found = U.judge_urls(pages(spark, [long, long, *URLS, *["http://b.org/fr/1"] * 300])).collect()
+    assert len(found) == 302 + len(URLS) and {r["verdict"] for r in found if r["page_id"] < 2} == {"block"}
+    e = U.with_features(U.with_parts(spark.createDataFrame([("aabb",), ("",), (None,), ("abcd",)], "url string"))).select("f_entropy").collect()
+    assert [r[0] for r in e] == [1.0, 0.0, 0.0, 2.0]
+
+
 def test_trees_as_columns_equal_numpy(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, len(U.FEATURES)))
