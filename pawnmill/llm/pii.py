@@ -19,9 +19,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import col, parts
+
 KINDS = ("email", "ip", "card", "phone", "url", "account", "secret")
 BASE = KINDS[:4]
-CHUNK = 256
 
 # Definitions of the base kinds, and cues of the others.
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -154,16 +155,15 @@ def redact(text: str | None, spans: list[tuple[int, int, int]] | None = None) ->
 
 
 def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """doc_id, a count for each kind, base_sha256, spans and, if asked for, the redacted text; no shuffle."""
+    """doc_id, a count for each base kind, base_sha256, spans, a count for each added kind, n_spans (all of them) and, if asked for, the redacted text; no shuffle."""
     id_type = df.schema[id_col].dataType.simpleString()
-    names = ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", *(f"n_{k}" for k in KINDS[4:]), *(["redacted"] if with_text else [])]
+    names = ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", *(f"n_{k}" for k in KINDS[4:]), "n_spans", *(["redacted"] if with_text else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(at, CHUNK)
+            for part in parts(batch):
                 counts: list[list[int]] = [[] for _ in KINDS]
-                sha, joined, redacted = [], [], []
+                sha, joined, n_spans, redacted = [], [], [], []
                 for text in part.column(1).to_pylist():
                     spans = find_spans(text)
                     kinds = [k for _, k, _ in spans]
@@ -171,13 +171,14 @@ def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                         column.append(kinds.count(k))
                     sha.append(hashlib.sha256(join_spans([s for s in spans if s[1] < len(BASE)]).encode()).hexdigest())
                     joined.append(join_spans(spans))
+                    n_spans.append(len(spans))
                     if with_text:
                         redacted.append(redact(text, spans))
                 n = [pa.array(c, pa.int64()) for c in counts]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *n[:4], pa.array(sha, pa.string()), pa.array(joined, pa.string()), *n[4:], *([pa.array(redacted, pa.string())] if with_text else [])],
+                    [part.column(0), *n[:4], pa.array(sha, pa.string()), pa.array(joined, pa.string()), *n[4:], pa.array(n_spans, pa.int64()), *([pa.array(redacted, pa.string())] if with_text else [])],
                     names=names,
                 )
 
     kinds = {"doc_id": id_type, "base_sha256": "string", "spans": "string", "redacted": "string"}
-    return df.select(id_col, text_col).mapInArrow(run, ", ".join(f"{n} {kinds.get(n, 'bigint')}" for n in names))
+    return df.select(col(id_col), col(text_col)).mapInArrow(run, ", ".join(f"{n} {kinds.get(n, 'bigint')}" for n in names))

@@ -48,4 +48,5 @@ def test_table(spark):
     assert r["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest() and r["spans"] == spans
     assert next(r for r in found if r["doc_id"] == 2)["base_sha256"] == hashlib.sha256(b"").hexdigest()
     assert next(r for r in found if r["doc_id"] == 4)["spans"] == "email:2:8"
+    assert r["n_spans"] == 4 and all(r["n_spans"] == (r["spans"].count(",") + 1 if r["spans"] else 0) for r in found)
     assert P.find_personal_data(docs(spark, [])).count() == 0
