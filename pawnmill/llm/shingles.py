@@ -9,7 +9,7 @@ from .bag_minhash import mix
 
 WORDS = 5
 #: Word hashes that a worker keeps; beyond it the cache starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 _cache: dict[str, int] = {}
 
 

@@ -16,7 +16,7 @@ import numpy as np
 ODD_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f")
 PART = "\x01"
 #: Words kept by each worker (two generations of half as many), and the longest that is kept.
-CACHE_WORDS, LONGEST_WORD = 500_000, 64
+CACHE_WORDS, LONGEST_WORD = 250_000, 64
 #: Punctuation that forms one piece after letters; letters below U+0250 are in composed form.
 TAIL, PLAIN_BELOW = ".,!?;:#$%&*|)", "\u0250"
 
