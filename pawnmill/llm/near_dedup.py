@@ -15,15 +15,19 @@
    classes goes unseen, and a group of copies is never expanded into pairs.
 5. Classes are components; a class is named by its least document.
 
+Tables by bucket, class or component are written before rows look them up, so the sides of
+those joins are plain shuffles, which Spark splits where one key is hot.
+
 Two bags of similarity 0.8 share a band with probability 1 - (1 - 0.8^ROWS)^BANDS, which is
 0.9999 for the constants below.
 
 Defined results: words are lower-cased and parted by white space; a text of fewer than five
 words is one shingle; rows that share an id but not their text are classed each by its own
-text; texts without words, null ones among them, are one class; a null id
-gets a class of its own (null) and is kept; repeated rows share a class, and each says the
-same; an empty table gives no rows; extra columns are ignored by ``near_classes`` and passed
-through by ``drop_near_duplicates``.
+text; texts without words, null ones among them, are one class; a class without any id has
+the class id null; repeated rows share a class, and each says the same, but
+``drop_near_duplicates`` keeps one of them; of the rows with a class's id, those with the least
+hash of their text are kept; an empty table gives no rows; extra columns are ignored by
+``near_classes`` and passed through, whatever their names, by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -33,32 +37,35 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bag_minhash import band_keys, signatures
-from .common import materialise
+from .common import col, keep_one_each, materialise, parts, text_or_empty
 from .components import components
 from .shingles import WORDS, overlap, shingle_bag
 from .slots import slot_map
 
 BANDS, ROWS, THRESHOLD = 24, 5, 0.8
-#: Texts whose signatures are drawn together, and members of a bucket that one cell holds of either side.
-CHUNK, CELL = 256, 256
+#: Members of a bucket that one cell holds of either side, and rows that are unpacked together.
+CELL, CHUNK = 256, 256
 
 
 def _digests(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return np.array([np.frombuffer(xxhash.xxh3_128_digest(b[0].tobytes() + b[1].tobytes()), dtype="<i8") for b in bags]).reshape(-1, 2)
 
 
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(text_or_empty(text_col)).alias("text_hash")
+
+
 def _sketch(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """doc_id, text_hash, set_hi, set_lo, mass (shingles with repeats) and bands of every row."""
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(at, CHUNK)
+            for part in parts(batch):
                 bags = [shingle_bag(t, words) for t in part.column(1).to_pylist()]
                 sizes = np.array([len(b[0]) for b in bags])
                 owner = np.repeat(np.arange(len(bags)), sizes)
@@ -77,16 +84,16 @@ def _sketch(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
                     names=["doc_id", "text_hash", "set_hi", "set_lo", "mass", "bands"],
                 )
 
-    return df.select(id_col, text_col, F.xxhash64(text_col)).mapInArrow(run, f"doc_id {id_type}, text_hash bigint, set_hi bigint, set_lo bigint, mass bigint, bands array<bigint>")
+    return df.select(col(id_col).alias("id"), text_or_empty(text_col).alias("text"), text_hash(text_col)).mapInArrow(run, f"doc_id {id_type}, text_hash bigint, set_hi bigint, set_lo bigint, mass bigint, bands array<bigint>")
 
 
-def _bags(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """rep, shingles, counts (packed) for the sets in wanted (rep, set_hi, set_lo, and first, the least document).
+def _bags(df: DataFrame, wanted: DataFrame, text_col: str, words: int) -> DataFrame:
+    """rep, shingles, counts (packed) for the sets in wanted (rep, set_hi, set_lo, and text_hash of a member).
 
-    The map of hash slots of those documents (2 MiB) lets others leave before any shuffle; the
-    digest decides, since another text may have the same id.
+    The map of hash slots of those texts (2 MiB) lets others leave before any shuffle; the
+    digest decides.
     """
-    slots = slot_map(wanted.select(F.xxhash64("first").alias("h")))
+    slots = slot_map(wanted.select(F.col("text_hash").alias("h")))
     shared = df.sparkSession.sparkContext.broadcast(slots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,8 +101,7 @@ def _bags(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: i
 
         for batch in batches:
             rows = np.flatnonzero(in_slots(shared.value, batch.column(1).to_numpy()))
-            for at in range(0, len(rows), CHUNK):
-                part = batch.take(pa.array(rows[at : at + CHUNK]))
+            for part in parts(batch.take(pa.array(rows)), text=0) if len(rows) else ():
                 bags = [shingle_bag(t, words) for t in part.column(0).to_pylist()]
                 names = _digests(bags)
                 yield pa.RecordBatch.from_arrays(
@@ -103,7 +109,7 @@ def _bags(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: i
                     names=["set_hi", "set_lo", "shingles", "counts"],
                 )
 
-    some = df.where(F.col(id_col).isNotNull()).select(text_col, F.xxhash64(id_col).alias("h"))
+    some = df.select(text_or_empty(text_col).alias("text"), text_hash(text_col).alias("h"))
     found = some.mapInArrow(run, "set_hi bigint, set_lo bigint, shingles binary, counts binary")
     met = found.join(wanted.select("set_hi", "set_lo", "rep"), ["set_hi", "set_lo"]).dropDuplicates(["set_hi", "set_lo"])
     return met.select("rep", "shingles", "counts")
@@ -160,7 +166,7 @@ def _settle(open_entries: DataFrame, bands: DataFrame, bags: DataFrame, threshol
     members = materialise(open_entries.select("largest", "rep", "mass", "rest", "root").distinct())
     minor = F.col("root") != F.col("largest")
     sizes = members.groupBy("largest").agg(F.count_if(minor).alias("minors"), F.count(F.lit(1)).alias("members"))
-    groups = sizes.select("largest", F.ceil(F.col("minors") / CELL).cast("int").alias("rows"), F.ceil(F.col("members") / CELL).cast("int").alias("columns"))
+    groups = materialise(sizes).select("largest", F.ceil(F.col("minors") / CELL).cast("int").alias("rows"), F.ceil(F.col("members") / CELL).cast("int").alias("columns"))
     dealt = members.join(groups, "largest").join(bands, "rep").join(bags, "rep")
     mine = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     every = lambda n: F.sequence(F.lit(0), n - 1)
@@ -199,33 +205,32 @@ def _settle(open_entries: DataFrame, bands: DataFrame, bags: DataFrame, threshol
 
 def near_classes(df: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id, class_size and kept for every row of df."""
-    return _classes(df, threshold, words, id_col, text_col).drop("text_hash")
+    return _classes(df, threshold, words, id_col, text_col).select("doc_id", "class_id", "class_size", "kept")
 
 
 def _classes(df: DataFrame, threshold: float, words: int, id_col: str, text_col: str) -> DataFrame:
     """The columns of near_classes, and text_hash."""
     sketch = materialise(_sketch(df, id_col, text_col, words))
-    named = sketch.where("doc_id IS NOT NULL")
+    # the least member decides: null ids last, then by the text's hash
+    member = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     sets = materialise(
-        named.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("mass").alias("mass"), F.first("bands").alias("bands")).withColumn("rep", F.monotonically_increasing_id())
+        sketch.groupBy("set_hi", "set_lo").agg(F.min(member).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("mass").alias("mass"), F.first("bands").alias("bands")).withColumn("rep", F.monotonically_increasing_id())
     )
     entries = sets.select("rep", "mass", F.posexplode("bands").alias("band", "key"))
-    crowded = entries.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key")
-    entries = materialise(entries.join(crowded, ["band", "key"], "left_semi"))
-    wanted = sets.join(entries.select("rep").distinct(), "rep", "left_semi").select("rep", "set_hi", "set_lo", "first")
-    bags = materialise(_bags(df, wanted, id_col, text_col, words))
-    own = _own_mass(bags)
+    crowded = entries.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("mass").alias("smallest")).where("n > 1").select("band", "key", "smallest")
+    entries = materialise(entries.join(materialise(crowded), ["band", "key"]))
+    wanted = sets.join(entries.select("rep").distinct(), "rep", "left_semi").select("rep", "set_hi", "set_lo", "first.text_hash")
+    bags = materialise(_bags(df, wanted, text_col, words))
+    own = materialise(_own_mass(bags))
 
     # common <= least of (mass - own); the threshold t asks for common >= t / (1 + t) * (mass_x + mass_y)
     need = threshold / (1 + threshold)
-    entries = entries.join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0))).withColumn("rest", F.col("mass") - F.col("own"))
-    smallest = entries.groupBy("band", "key").agg(F.min("mass").alias("smallest"))
     slack = 1e-9
-    entries = entries.join(smallest, ["band", "key"]).where(F.col("rest") + slack >= need * (F.col("mass") + F.col("smallest"))).drop("smallest")
-    entries = materialise(entries)
+    entries = entries.join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0))).withColumn("rest", F.col("mass") - F.col("own"))
+    entries = materialise(entries.where(F.col("rest") + slack >= need * (F.col("mass") + F.col("smallest"))).drop("smallest"))
 
     central = F.struct((F.col("own") / F.col("mass")).alias("share"), F.col("rep").alias("rep"), F.col("mass").alias("mass"), F.col("rest").alias("rest"))
-    pivots = entries.groupBy("band", "key").agg(F.min(central).alias("pivot"))
+    pivots = materialise(entries.groupBy("band", "key").agg(F.min(central).alias("pivot")))
     possible = lambda x_mass, x_rest, y_mass, y_rest: F.least(x_rest, y_rest) + slack >= need * (x_mass + y_mass)
     stars = (
         entries.join(pivots, ["band", "key"])
@@ -234,27 +239,29 @@ def _classes(df: DataFrame, threshold: float, words: int, id_col: str, text_col:
         .select(F.col("rep").alias("a"), F.col("pivot.rep").alias("b"))
         .distinct()
     )
-    links = materialise(_verify(stars, bags, threshold))
+    links = materialise(_verify(materialise(stars), bags, threshold))
     roots = components(links)
 
-    marked = entries.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    parts = materialise(marked.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n")))
-    several = parts.groupBy("band", "key").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).alias("largest")).where("roots > 1")
-    several = several.select("band", "key", F.col("largest.root").alias("largest"))
+    marked = materialise(entries.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")))
+    sizes = marked.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"))
+    several = sizes.groupBy("band", "key").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).alias("largest")).where("roots > 1")
+    several = materialise(several.select("band", "key", F.col("largest.root").alias("largest")))
     open_entries = marked.join(several, ["band", "key"]).select("rep", "mass", "rest", "root", "largest")
     more = materialise(_settle(open_entries, sets.select("rep", "bands"), bags, threshold))
     if more.limit(1).count():
         roots = components(links.unionByName(more))
 
     classes = sets.select("set_hi", "set_lo", "rep", "first", "copies").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    sizes = classes.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
-    classes = materialise(classes.join(sizes, "root").select("set_hi", "set_lo", "class_id", "class_size"))
-    found = named.join(classes, ["set_hi", "set_lo"]).select("doc_id", "text_hash", "class_id", "class_size")
-    nameless = sketch.where("doc_id IS NULL").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return found.unionByName(nameless).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    classes = materialise(classes.select("set_hi", "set_lo", "root", "first", "copies"))
+    whole = materialise(classes.groupBy("root").agg(F.min("first").alias("least"), F.sum("copies").alias("class_size")))
+    named = materialise(classes.select("set_hi", "set_lo", "root").join(whole, "root").select("set_hi", "set_lo", "least", "class_size"))
+    found = sketch.select("doc_id", "text_hash", "set_hi", "set_lo").join(named, ["set_hi", "set_lo"])
+    kept = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash"))
+    return found.select("doc_id", "text_hash", F.col("least.doc_id").alias("class_id"), "class_size", kept.alias("kept"))
 
 
 def drop_near_duplicates(df: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that stay, one document of each class, with df's columns."""
-    dropped = _classes(df, threshold, words, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("__dropped"), F.col("text_hash").alias("__hash")).distinct()
-    return df.join(dropped, (df[id_col] == dropped["__dropped"]) & (F.xxhash64(df[text_col]) == dropped["__hash"]), "left_anti")
+    rows = materialise(_classes(df, threshold, words, id_col, text_col).where("class_size > 1").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("mark"), "kept"))
+    repeated = materialise(rows.where("kept").groupBy("id", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "mark"))
+    return keep_one_each(df, id_col, text_hash(text_col), rows.where("NOT kept").select("id", "mark").distinct(), repeated)

@@ -10,7 +10,7 @@ from pawnmill.llm import bag_minhash as B
 from pawnmill.llm import near_dedup as N
 from pawnmill.llm.components import components
 from pawnmill.llm.shingles import overlap, shingle_bag
-from tests.llm.helpers import docs, words
+from tests.llm.helpers import docs, prose, words
 
 
 def bag(text):
@@ -71,8 +71,17 @@ def test_drop_keeps_one_of_each(spark):
 def test_odd_inputs(spark):
     assert N.near_classes(docs(spark, [])).count() == 0
     found = N.near_classes(docs(spark, [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "x " * 60_000)])).collect()
-    assert len(found) == 4 and [r["class_id"] for r in found if r["doc_id"] is None] == [None]
-    assert {r["class_size"] for r in found if r["doc_id"] == 1} == {2}
+    assert len(found) == 4 and [(r["class_id"], r["kept"]) for r in found if r["doc_id"] is None] == [(1, False)]
+    assert {(r["class_size"], r["kept"]) for r in found if r["doc_id"] == 1} == {(3, True)}
+
+
+def test_drop_of_null_ids_repeats_and_clashing_names(spark):
+    near = " ".join([*words(100, 1)[:-1], "edit"])
+    rows = [(None, prose(50, 9)), (None, prose(50, 9)), (None, prose(50, 8)), (7, prose(100, 1)), (7, prose(100, 1)), (8, near), (None, near), (9, None), (None, "")]
+    df = docs(spark, [(*r, "s", 1, "x", 2, 3) for r in rows], ", __dropped int, row string, text_hash int, mark int")
+    kept = N.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted((repr(r["doc_id"]), r["text"] or "") for r in kept.collect()) == sorted([("None", prose(50, 9)), ("None", prose(50, 8)), ("7", prose(100, 1)), ("9", "")])
 
 
 @pytest.mark.parametrize("weights", [(1, 1), (1, 3), (5, 9), (2, 1000)])
