@@ -9,7 +9,7 @@ import sys
 from . import constants as C
 from .plans import evaluate, prepare, report
 from .plans.runs import LegalRateConfig, MatchConfig, PerplexityConfig, Run, make_run_id, resolve_checkpoint_tag
-from .session import session
+from .session import configure_logging, session
 
 
 def load_factory(checkpoint: str, name: str | None):
@@ -34,6 +34,9 @@ def parser() -> argparse.ArgumentParser:
     prep.add_argument("--out", required=True)
     prep.add_argument("--num-games", type=int)
     prep.add_argument("--high-elo", action="store_true")
+    prep.add_argument("--min-elo", type=int, default=C.MIN_ELO)
+    prep.add_argument("--max-rating-diff", type=int, default=C.MAX_RATING_DIFF)
+    prep.add_argument("--max-elo-gap", type=int, default=C.MAX_ELO_GAP)
     shared = argparse.ArgumentParser(add_help=False)
     shared.add_argument("--checkpoint", required=True)
     shared.add_argument("--checkpoint-tag")
@@ -68,12 +71,13 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
+    configure_logging()
     spark = session()
     if args.command == "prepare":
         from .sources.scans import read_games
 
         default = C.FINETUNE_GAMES if args.high_elo else C.BASE_GAMES
-        counts = prepare.prepare(spark, read_games(spark, args.games_path), args.out, args.num_games or default, args.high_elo)
+        counts = prepare.prepare(spark, read_games(spark, args.games_path), args.out, args.num_games or default, args.high_elo, min_elo=args.min_elo, max_diff=args.max_rating_diff, max_gap=args.max_elo_gap)
         print(counts)
         return 0
     if args.command == "report":

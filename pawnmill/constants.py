@@ -17,6 +17,7 @@ OTHER_OPENING = "other"
 ELO_BUCKETS = ((1200, "<1200"), (1600, "1200-1600"), (2000, "1600-2000"))
 TOP_ELO_BUCKET, UNKNOWN_ELO = "2000+", "unknown"
 OUTCOMES = {"1-0": "white", "0-1": "black", "1/2-1/2": "draw"}
+TIME_CONTROLS = ("bullet", "blitz", "rapid", "classical", "correspondence")
 METADATA_COLUMNS = ("elo_bucket", "result", "opening_family", "termination_type")
 
 # Evaluation.

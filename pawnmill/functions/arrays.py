@@ -76,6 +76,11 @@ def ones_like(a: Column | str) -> Column:
     return F.transform(col(a), lambda _: F.lit(1))
 
 
+def labels_of(padded: Column | str, value: int = 0, ignored: int = -100) -> Column:
+    """Training labels of padded ids: the ids themselves, padding ignored."""
+    return F.transform(col(padded), lambda x: F.when(x == value, F.lit(ignored)).otherwise(x))
+
+
 def pad_to(a: Column | str, size: Column | int, value: int = 0) -> Column:
     n = F.lit(size) if isinstance(size, int) else size
     return F.concat(col(a), F.array_repeat(F.lit(value), F.greatest(n - F.size(col(a)), F.lit(0)).cast("int")))

@@ -91,6 +91,18 @@ def position_id(game: Column | str, ply: Column | str) -> Column:
     return F.format_string("%s:ply%d", col(game), col(ply))
 
 
+def time_control(event: Column | str) -> Column:
+    """The kind of game that an event's name tells: bullet, blitz, rapid, classical, correspondence, else other."""
+    name = F.lower(col(event))
+    chain = reduce(lambda acc, kind: acc.when(F.contains(name, F.lit(kind)), kind), C.TIME_CONTROLS[1:], F.when(F.contains(name, F.lit(C.TIME_CONTROLS[0])), C.TIME_CONTROLS[0]))
+    return chain.otherwise("other")
+
+
+def game_length(plies: Column | str) -> Column:
+    """short, middle or long, by the plies at which the phases begin."""
+    return bucketize(plies, [(C.PHASE_BOUNDS[0], "short"), (C.PHASE_BOUNDS[1], "middle")], "long", "unknown")
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, and 0 where b is 0 or null."""
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))

@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -50,7 +50,9 @@ def stratified(df: DataFrame, dimensions: Mapping[str, Sequence[str] | None], me
         return found
     fixed = {n: m for n, m in dimensions.items() if m is not None}
     frame = stratum_frame(df.sparkSession, fixed)
-    filled = frame.join(F.broadcast(found), ["dimension", "stratum"], "left")
+    # at most one row of found for each of the frame's, which the enumerations bound
+    known = found.join(F.broadcast(frame), ["dimension", "stratum"], "left_semi")
+    filled = frame.join(F.broadcast(known), ["dimension", "stratum"], "left")
     filled = filled.select("dimension", "stratum", *[F.coalesce(k, F.lit(0)).alias(k) for k, _ in _inputs(measures)])
     if more:
         others = found.where(F.col("dimension").isin(list(more))).join(F.broadcast(frame), ["dimension", "stratum"], "left_anti")
@@ -117,6 +119,23 @@ def top_k_accuracy(moves: DataFrame, actual: str, candidates: str = "model_top_k
     return moves.agg(F.count(F.lit(1)).alias("n"), *[ratio(F.sum(_flag(place.between(1, k))), F.count(F.lit(1))).alias(f"top{k}") for k in ks])
 
 
+def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], k: int, out: str = "rank") -> DataFrame:
+    """The first k rows of each group, numbered from 1."""
+    return df.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(out) <= k)
+
+
+def score_columns(games: DataFrame) -> DataFrame:
+    """wins, losses, draws, unfinished, pct (of the scored games) and elo of one set of games."""
+    w = win_rate(games, by_side=False)
+    pct = F.lit(100.0) * ratio(F.col("wins") + 0.5 * F.col("draws"), F.col("games") - F.col("unfinished"))
+    return w.select("wins", "losses", "draws", "unfinished", pct.alias("pct"), elo_difference(F.col("score_rate")).alias("elo"))
+
+
+def with_config(figures: DataFrame, config: Mapping[str, object]) -> DataFrame:
+    """figures with a configuration's fields beside every row, as literals."""
+    return figures.withColumns({k: F.lit(v) for k, v in config.items()})
+
+
 def agreement(moves: DataFrame, a: str = "model_move", b: str = "sf_best_move") -> DataFrame:
     """Share of rows with a best move in which both agree."""
     known = moves.where(F.col(b).isNotNull())

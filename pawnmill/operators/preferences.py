@@ -49,7 +49,7 @@ def engine_pairs(moves: DataFrame, best: str = "sf_best_move", played: str = "mo
 def illegal_negative(every: Column, legal: Column | str, seed: object, *keys: Column | str) -> Column:
     """One move of the vocabulary that is not legal, drawn by hash; null if there is none."""
     rest = F.array_except(every, F.col(legal) if isinstance(legal, str) else legal)
-    draw = F.pmod(F.xxhash64(hash_order(seed, *keys)), F.greatest(F.size(rest), F.lit(1)))
+    draw = F.pmod(F.conv(F.substring(hash_order(seed, *keys), 1, 12), 16, 10).cast("long"), F.greatest(F.size(rest), F.lit(1)))
     return F.get(rest, draw.cast("int"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import HEADER, RECORDS, record_schema, superset
+from ..session import checkpointed
 
 #: A record's type by the keys of its JSON text; null if none fits.
 INVALID = "invalid"
@@ -66,8 +67,24 @@ def encode_records(records: DataFrame) -> DataFrame:
 
 
 def with_event_ids(df: DataFrame, run: str, *order: Column | str, out: str = "event_id") -> DataFrame:
-    """Gap-free numbers from 0 in each run."""
-    return df.withColumn(out, (F.row_number().over(Window.partitionBy(run).orderBy(*order)) - 1).cast("int"))
+    """Gap-free numbers from 0 in each run, by ``order``.
+
+    Rows are range-sorted by run and order, and written once; a range numbers its own rows of
+    a run, and the ranges before it say from where on. So a run is never sorted in one task.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = checkpointed(df.repartitionByRange(parts, run, *order).withColumn("__range", F.spark_partition_id()))
+    counts = ranges.groupBy(run, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(run).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    later = counts.withColumn("__first", F.sum("__n").over(before)).where("__first IS NOT NULL").select(run, "__range", "__first")
+    inside = F.row_number().over(Window.partitionBy(run, "__range").orderBy(*order)) - 1
+    numbered = ranges.withColumn("__nth", inside).join(later, [run, "__range"], "left")
+    return numbered.select(*df.columns, (F.col("__nth") + F.coalesce("__first", F.lit(0))).cast("int").alias(out))
+
+
+def with_games(moves: DataFrame, games: DataFrame, key: str = "game_id") -> DataFrame:
+    """Move rows with the columns of their game; moves of unknown games leave."""
+    return moves.join(games, key)
 
 
 def with_prior(df: DataFrame, value: str, group: str, order: str, out: str) -> DataFrame:

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.scalar import half_even, hash_order
+from ..session import broadcast_if_small, checkpointed
 
 
 def split_sizes(total: int, eval_fraction: float = C.EVAL_FRACTION, test_fraction: float = C.TEST_FRACTION) -> tuple[int, int]:
@@ -44,15 +46,17 @@ def stratified_holdout(df: DataFrame, strata: Sequence[str], size: int, id_col:
     condition = same[0]
     for c in same[1:]:
         condition = condition & c
-    place = F.conv(F.substring("__order", 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
-    near = keyed.join(F.broadcast(bounded), condition).where(place <= F.col("__below"))
+    place = hash_share(F.col("__order"))
+    near = keyed.join(broadcast_if_small(bounded), condition).where(place <= F.col("__below"))
     near = near.select(*[keyed[c] for c in keyed.columns], "__quota")
     ranked = near.withColumn("__rank", F.row_number().over(Window.partitionBy(*strata).orderBy("__order")))
-    chosen = ranked.where(F.col("__rank") <= F.col("__quota")).orderBy(hash_order(f"{seed}:cut", id_col), id_col).limit(size)
-    taken = chosen.select(F.col(id_col).alias("__taken"))
-    rest = keyed.join(taken, keyed[id_col] == taken["__taken"], "left_anti")
-    topped = chosen.select(*keyed.columns, F.lit(0).alias("__late")).unionByName(rest.orderBy("__order", id_col).limit(size).select(*keyed.columns, F.lit(1).alias("__late")))
-    return topped.orderBy("__late", "__order", id_col).limit(size).select(*df.columns)
+    chosen = checkpointed(ranked.where(F.col("__rank") <= F.col("__quota")).orderBy(hash_order(f"{seed}:cut", id_col), id_col).limit(size).select(*keyed.columns))
+    short = size - chosen.count()
+    if short > 0:
+        taken = chosen.select(F.col(id_col).alias("__taken"))
+        rest = keyed.join(taken, keyed[id_col] == taken["__taken"], "left_anti")
+        chosen = chosen.unionByName(rest.orderBy("__order", id_col).limit(short).select(*keyed.columns))
+    return chosen.select(*df.columns)
 
 
 def three_way_split(
@@ -66,16 +70,40 @@ def three_way_split(
         units = df.groupBy(group_key).agg(*[F.min(s).alias(s) for s in strata])
         marked = three_way_split(units, strata, group_key, eval_size, test_size, seed).select(group_key, "split")
         return df.join(marked, group_key)
-    holdout = stratified_holdout(df.select(id_col, *strata), strata, eval_size + test_size, id_col, seed).select(id_col)
+    holdout = checkpointed(stratified_holdout(df.select(id_col, *strata), strata, eval_size + test_size, id_col, seed).select(id_col))
     order = [hash_order(f"{seed}:split", id_col), F.col(id_col)]
     test = holdout.orderBy(*order).limit(test_size).withColumn("__test", F.lit(True))
     marked = holdout.join(test, id_col, "left").select(F.col(id_col).alias("__held"), F.when(F.col("__test"), "test").otherwise("eval").alias("__split"))
     return df.join(marked, df[id_col] == marked["__held"], "left").withColumn("split", F.coalesce("__split", F.lit("train"))).drop("__held", "__split")
 
 
+def hash_share(order: Column) -> Column:
+    """Where a hash_order key lies in its range, from 0 to 1."""
+    return F.conv(F.substring(order, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+
+
 def reservoir(df: DataFrame, n: int, *keys: str, seed: object = C.RESERVOIR_SEED) -> DataFrame:
-    """n rows, uniform and reproducible; all of them when there are no more."""
-    return df.orderBy(hash_order(seed, *keys), *keys).limit(n)
+    """n rows, uniform and reproducible; all of them when there are no more.
+
+    A bound on the hash, from the number of rows, precedes the sort, so the tasks together
+    send little more than n rows.
+    """
+    order = hash_order(seed, *keys)
+    share = (n + 7 * n**0.5 + 60) / max(1, df.count())  # falls short of n with odds below one in 10^9
+    return (df.where(hash_share(order) <= share) if share < 1 else df).orderBy(order, *keys).limit(n)
+
+
+def balanced_sample(df: DataFrame, column: str, each: int, id_col: str, seed: object = C.SHUFFLE_SEED) -> DataFrame:
+    """``each`` rows of every value of a column, or all of a rarer value's, in hash order."""
+    counts = df.groupBy(F.col(column).alias("__value")).agg(F.count(F.lit(1)).alias("__n"))
+    keyed = df.withColumn("__order", hash_order(seed, id_col))
+    near = keyed.join(broadcast_if_small(counts), F.col(column).eqNullSafe(F.col("__value"))).where(hash_share(F.col("__order")) <= F.lit(each + 7 * each**0.5 + 60) / F.col("__n"))
+    return near.withColumn("__rank", F.row_number().over(Window.partitionBy(column).orderBy("__order", id_col))).where(F.col("__rank") <= each).select(*df.columns)
+
+
+def excluding(df: DataFrame, held: DataFrame, *keys: str) -> DataFrame:
+    """The rows of df whose keys are not in ``held``."""
+    return df.join(held.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def positions_of(df: DataFrame, game: str, moves: str) -> DataFrame:
@@ -83,6 +111,59 @@ def positions_of(df: DataFrame, game: str, moves: str) -> DataFrame:
     return df.select(game, F.posexplode(moves).alias("ply", "__move"), moves).select(game, "ply", F.slice(moves, 1, F.col("ply")).alias(moves))
 
 
+def sampled_positions(df: DataFrame, n: int, game: str, moves: str, seed: object = C.RESERVOIR_SEED) -> DataFrame:
+    """n of the rows of ``positions_of``: places are drawn first, prefixes made for those only."""
+    places = df.where(F.size(moves) > 0).select(game, F.explode(F.sequence(F.lit(0), F.size(moves) - 1)).alias("ply"))
+    chosen = reservoir(places, n, game, "ply", seed=seed)
+    return chosen.join(df.select(game, moves), game).select(game, "ply", F.slice(moves, 1, F.col("ply")).alias(moves))
+
+
+def with_places(df: DataFrame, ordered: bool = False) -> DataFrame:
+    """df with __file and __row, which order its rows and don't change when they are read again.
+
+    Rows read from files have their file's path and place; others (or all, with ``ordered``:
+    rows already range-sorted) are written once, and have their partition and place.
+    """
+    if not ordered:
+        try:
+            return df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+        except AnalysisException:
+            pass
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return checkpointed(df.select("*", F.format_string("%010d", F.spark_partition_id()).alias("__file"), inside.alias("__row")))
+
+
 def first_games(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
-    """The first n rows by order; without an order, any n."""
-    return df.orderBy(*order).limit(n) if order else df.limit(n)
+    """The first n rows, in their own partitions: by ``order`` (whose values are unique), else as files hold them.
+
+    Rows are counted by file; only the file in which the n-th row lies is looked into. What is
+    returned is df under a filter, so nothing is gathered in one task.
+    """
+    if order:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        df = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    rows = with_places(df, ordered=bool(order))
+    counts = rows.groupBy("__file").agg(F.count(F.lit(1)).alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("__file")))  # one row for each file
+    last = upto.where(F.col("upto") >= n).orderBy("upto", "__file").select("__file", (F.lit(n) - F.col("upto") + F.col("n")).alias("need")).first()
+    if last is None:
+        return rows.drop("__file", "__row")
+    inside = rows.where(F.col("__file") == last["__file"]).select("__row").orderBy("__row").limit(last["need"]).agg(F.max("__row")).first()[0]
+    kept = (F.col("__file") < last["__file"]) | ((F.col("__file") == last["__file"]) & (F.col("__row") <= (-1 if inside is None else inside)))
+    return rows.where(kept).drop("__file", "__row")
+
+
+def with_row_ids(df: DataFrame, content: Column, out: str = "row_id") -> DataFrame:
+    """df with an id of the row's content and its number among rows of equal content.
+
+    Equal rows are interchangeable, so ids, and what is drawn by them, depend neither on
+    partitions nor on retries. Equal rows are numbered file by file and files by their counts,
+    so no content's rows meet in one task.
+    """
+    keyed = with_places(df).withColumn("__content", F.sha2(content, 256))
+    counts = keyed.groupBy("__content", "__file").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("__content").orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    later = counts.withColumn("__first", F.sum("__n").over(before)).where("__first IS NOT NULL").select("__content", "__file", "__first")
+    nth = F.row_number().over(Window.partitionBy("__content", "__file").orderBy("__row")) - 1
+    numbered = keyed.withColumn("__nth", nth).join(later, ["__content", "__file"], "left")
+    return numbered.select(*df.columns, F.concat_ws("-", "__content", (F.col("__nth") + F.coalesce("__first", F.lit(0))).cast("string")).alias(out))

@@ -33,6 +33,10 @@ class UniformScorer:
     def logits(self, prefixes: list[list[int]]) -> np.ndarray:
         return np.zeros((len(prefixes), C.VOCABULARY_SIZE))
 
+    def sequence_logits(self, line: list[int]) -> Iterator[np.ndarray]:
+        for at in range(0, len(line) - 1, PREFIXES):
+            yield np.zeros((min(PREFIXES, len(line) - 1 - at), C.VOCABULARY_SIZE))
+
 
 class HashScorer:
     """A reproducible stand-in for a model: scores from a hash of the prefix."""
@@ -82,10 +86,15 @@ def draw(logits: np.ndarray, temperature: float, top_k: int, seed: tuple[int, ..
 
 def predict(scorer: Scorer, board, prefix: list[int], constrained: bool = True, temperature: float = 0.0, top_k: int = 0, record_top_k: int = 5, seed: tuple[int, ...] = (0,)) -> Prediction:
     """One move. The unmasked first choice is always recorded, whether a mask is used or not."""
+    return choose(scorer.logits([prefix])[0], board, constrained, temperature, top_k, record_top_k, seed)
+
+
+def choose(logits: np.ndarray, board, constrained: bool = True, temperature: float = 0.0, top_k: int = 0, record_top_k: int = 5, seed: tuple[int, ...] = (0,)) -> Prediction:
+    """The move of one row of scores."""
     from ..chess.board import move_uci
 
     tokens = token_list()
-    raw = np.asarray(scorer.logits([prefix])[0], dtype=np.float64)
+    raw = np.asarray(logits, dtype=np.float64)
     legal = {move_uci(m) for m in board.legal_moves()}
     raw_move = tokens[int(raw.argmax())]
     used = raw
@@ -134,10 +143,23 @@ def check_vocabulary(sequences: DataFrame) -> DataFrame:
     return sequences.withColumn("moves", F.when(odd.isNull(), F.col("moves")).otherwise(F.raise_error(message).cast("array<string>")))
 
 
+def _logits_along(scorer: Scorer, line: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, scores for the tokens from that place on), from place 1 to the end."""
+    at = 1
+    whole = getattr(scorer, "sequence_logits", None)
+    parts = whole(line) if whole else (scorer.logits([line[:k] for k in range(a, min(a + PREFIXES, len(line)))]) for a in range(1, len(line), PREFIXES))
+    for logits in parts:
+        yield at, logits
+        at += len(logits)
+
+
 def score_sequences(sequences: DataFrame, factory: Callable[[], Scorer], ids: str = "input_ids", out: str = "token_logprobs") -> DataFrame:
     """df with the log probabilities of tokens 1..n-1, each given its prefix; [] below two tokens.
 
-    Prefixes are made PREFIXES at a time, so memory is linear in a sequence; their tokens in all grow with its square.
+    A scorer with a method ``sequence_logits(line)`` gives the scores after each of a line's
+    tokens but the last in one pass (as causal models do), PREFIXES rows at a time. Any other
+    is asked prefix by prefix, PREFIXES at a time, so memory is linear in a sequence, but the
+    tokens of its prefixes grow with its square.
     """
     columns = sequences.columns
     schema = sequences.schema.simpleString()[7:-1] + f",{out}:array<double>"
@@ -152,9 +174,9 @@ def score_sequences(sequences: DataFrame, factory: Callable[[], Scorer], ids: st
                     values.append([])
                     continue
                 found: list[float] = []
-                for at in range(1, len(line), PREFIXES):
-                    nexts = line[at : at + PREFIXES]
-                    lp = log_softmax(np.asarray(scorer.logits([line[:k] for k in range(at, at + len(nexts))]), dtype=np.float64))
+                for at, logits in _logits_along(scorer, line):
+                    nexts = line[at : at + len(logits)]
+                    lp = log_softmax(np.asarray(logits, dtype=np.float64))
                     found += lp[np.arange(len(nexts)), nexts].tolist()
                 values.append(found)
             yield frame[columns].assign(**{out: values})
@@ -172,10 +194,11 @@ def predict_positions(positions: DataFrame, factory: Callable[[], Scorer]) -> Da
 
         scorer = factory()
         for frame in frames:
-            found = [
-                predict(scorer, Board(fen), game_tokens(side, list(moves) if moves is not None else []), constrained=False, record_top_k=0)
-                for fen, side, moves in zip(frame["fen"], frame["perspective"], frame["moves"])
-            ]
+            prefixes = [game_tokens(side, list(moves) if moves is not None else []) for side, moves in zip(frame["perspective"], frame["moves"])]
+            found = []
+            for at in range(0, len(prefixes), PREFIXES):
+                logits = scorer.logits(prefixes[at : at + PREFIXES])
+                found += [choose(x, Board(fen), constrained=False, record_top_k=0) for x, fen in zip(logits, frame["fen"].iloc[at : at + PREFIXES])]
             yield frame[columns].assign(model_move=[p.raw_move for p in found], legal=[p.raw_legal for p in found])
 
     return positions.mapInPandas(run, schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from .. import constants as C
 from ..functions.arrays import ones_like
@@ -127,9 +127,24 @@ def with_token_ids(df: DataFrame, tokens: Column | str, vocab: DataFrame | Itera
 
 
 def with_tokens(df: DataFrame, ids: Column | str, vocab: DataFrame | Iterable[str], out: str = "tokens", unknown: str = C.SPECIAL_TOKENS[C.UNK_ID]) -> DataFrame:
-    """The inverse of with_token_ids: an id is a place in an array, so this stays in the JVM."""
-    table = F.array(*map(F.lit, token_values(vocab)))
-    return df.withColumn(out, F.transform(col(ids), lambda i: F.coalesce(F.get(table, i), F.lit(unknown))))
+    """The inverse of with_token_ids: ids are places in one shared Arrow column, which no plan holds."""
+    shared = df.sparkSession.sparkContext.broadcast([*token_values(vocab), unknown])
+    rows = df.withColumn(out, F.transform(col(ids), lambda i: i.cast("bigint")))
+    schema = StructType([f for f in rows.schema.fields if f.name != out]).add(out, ArrayType(StringType()))
+    names = [f.name for f in schema.fields]
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = pa.array(shared.value, pa.string())
+        for batch in batches:
+            lists = batch.column(len(names) - 1).cast(pa.list_(pa.int64()))
+            flat = pc.fill_null(lists.flatten(), -1)
+            inside = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(values) - 1))
+            words = values.take(pc.if_else(inside, flat, len(values) - 1))
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(offsets, words, mask=lists.is_null())], names=names)
+
+    return rows.select(*names).mapInArrow(look_up, schema)
 
 
 def encode_text(df: DataFrame, text: Column | str, vocab: DataFrame) -> DataFrame:

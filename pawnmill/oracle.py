@@ -51,7 +51,7 @@ WORD_VOCAB = rf"""
 SELECT token, row_number() OVER (ORDER BY token) + 1 AS id FROM (SELECT DISTINCT unnest({WORDS}) AS token FROM benchmark)
 """
 
-LOGPROBS = "SELECT vec_id, label, list_transform(embedding[1:(vec_id % 10)::INT], lambda x: -abs(x::DOUBLE)) AS lp FROM embeddings"
+LOGPROBS = "SELECT vec_id, label, list_transform(embedding, lambda x: -abs(x::DOUBLE)) AS lp FROM embeddings"
 
 
 def _ppl(by: str) -> str:
@@ -109,9 +109,9 @@ SELECT count(*) AS processed, count(*) FILTER (o_orderstatus NOT IN ('F', 'P'))
     "tokenize_whitespace": f"SELECT conv_id, turn, len(w)::INT AS n_words, w[1] AS first_word FROM (SELECT conv_id, turn, {WORDS} AS w FROM conversations)",
     "encode_ids": f"""
 WITH v AS ({WORD_VOCAB}), t AS (SELECT conv_id, turn, {WORDS.replace('text', "coalesce(text, '')", 1)} AS w FROM conversations),
-e AS (SELECT conv_id, turn, unnest(w) AS token FROM t),
-s AS (SELECT conv_id, turn, count(*) AS n, count(*) FILTER (id IS NULL) AS u, sum(coalesce(id, 1)) AS total FROM e LEFT JOIN v USING (token) GROUP BY conv_id, turn)
-SELECT t.conv_id, t.turn, coalesce(n, 0)::INT AS n_ids, coalesce(u, 0)::INT AS n_unknown, coalesce(total, 0)::BIGINT AS id_sum, coalesce(n, 0)::INT AS n_mask FROM t LEFT JOIN s USING (conv_id, turn)""",
+e AS (SELECT conv_id, turn, unnest(w) AS token, generate_subscripts(w, 1) AS k FROM t),
+s AS (SELECT conv_id, turn, count(*) AS n, count(*) FILTER (id IS NULL) AS u, sum(coalesce(id, 1)) AS total, string_agg(coalesce(id, 1)::VARCHAR, ' ' ORDER BY k) AS ids FROM e LEFT JOIN v USING (token) GROUP BY conv_id, turn)
+SELECT coalesce(ids, '') AS ids, t.conv_id, t.turn, coalesce(n, 0)::INT AS n_ids, coalesce(u, 0)::INT AS n_unknown, coalesce(total, 0)::BIGINT AS id_sum, coalesce(n, 0)::INT AS n_mask FROM t LEFT JOIN s USING (conv_id, turn)""",
     "decode_roundtrip": f"SELECT item_id, array_to_string({WORDS}, ' ') AS decoded FROM benchmark",
     "sequence_format": """
 SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN '<WHITE> ' ELSE '<BLACK> ' END || string_agg(role, ' ' ORDER BY turn) || CASE WHEN conv_id % 3 = 0 THEN ' <DRAW>' ELSE '' END || ' <EOS>' AS sequence
@@ -144,9 +144,10 @@ SELECT *, (row_number() OVER (PARTITION BY run ORDER BY conv_id, is_game, ply) -
     "score_summary": _win("true", False, "wins, losses, draws, unfinished, round(100 * score_rate, 6) AS pct, round(400 * log10(score_rate / (1 - score_rate)), 6) AS elo"),
     "legal_rate_strata": """
 WITH m AS (SELECT quality = 1 AS legal, CASE WHEN n_chars // 100 < 20 THEN 'opening' WHEN n_chars // 100 < 60 THEN 'middle' ELSE 'endgame' END AS phase, lang FROM documents JOIN labels USING (doc_id)),
-s AS (SELECT * FROM (VALUES ('overall', 'overall'), ('phase', 'opening'), ('phase', 'middle'), ('phase', 'endgame'), ('lang', 'de'), ('lang', 'en'), ('lang', 'es'), ('lang', 'fr'), ('lang', 'it')) v(dimension, stratum))
+s AS (SELECT * FROM (VALUES ('overall', 'overall'), ('phase', 'opening'), ('phase', 'middle'), ('phase', 'endgame'), ('lang', 'de'), ('lang', 'en'), ('lang', 'es'), ('lang', 'fr'), ('lang', 'it')) v(dimension, stratum)
+  UNION SELECT 'lang', lang FROM m)
 SELECT dimension, stratum, count(legal) AS n, count(*) FILTER (legal) AS legal, coalesce(count(*) FILTER (legal) / nullif(count(legal), 0), 0)::DOUBLE AS rate
-FROM s LEFT JOIN m ON dimension = 'overall' OR (dimension = 'phase' AND stratum = phase) OR (dimension = 'lang' AND stratum = lang) GROUP BY dimension, stratum""",
+FROM s LEFT JOIN m ON dimension = 'overall' OR (dimension = 'phase' AND stratum = phase) OR (dimension = 'lang' AND stratum IS NOT DISTINCT FROM lang) GROUP BY dimension, stratum""",
     "legality_union": """
 SELECT 'overall' AS dimension, 'overall' AS stratum, count(*) AS n, count(*) FILTER (ok) AS legal, (count(*) FILTER (ok) / count(*))::DOUBLE AS rate
 FROM (SELECT quality = 1 AS ok FROM labels UNION ALL SELECT toxic = 1 FROM labels)""",
@@ -200,8 +201,11 @@ SELECT o_custkey, o_orderkey, value FROM w QUALIFY row_number() OVER (PARTITION
 WITH r AS (SELECT l_orderkey, l_linenumber, list_transform(range(0, l_linenumber % 4 + 1), lambda i: (i * 3 + l_partkey) % 10) AS legal FROM lineitem)
 SELECT l_orderkey, l_linenumber, array_to_string(list_filter(range(10), lambda k: NOT list_contains(legal, k)), '') AS illegal,
   array_to_string(list_transform(range(10), lambda k: CASE WHEN list_contains(legal, k) THEN 1 ELSE 0 END), '') AS labels FROM r""",
-    "uniform_scores": f"SELECT item_id, greatest(least(len(w), 8) - 1, 0)::INT AS n, round(-greatest(least(len(w), 8) - 1, 0) * ln(1974), 9) AS total FROM (SELECT item_id, {WORDS} AS w FROM benchmark)",
-    "pad_batches": f"SELECT item_id, (max(len(w)) OVER (PARTITION BY item_id // 8))::INT AS n, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS total FROM (SELECT item_id, {WORDS} AS w FROM benchmark)",
+    "uniform_scores": f"SELECT item_id, greatest(len(w) - 1, 0)::INT AS n, round(-greatest(len(w) - 1, 0) * ln(1974), 9) AS total FROM (SELECT item_id, {WORDS} AS w FROM benchmark)",
+    "pad_batches": f"""
+WITH b AS (SELECT item_id, (max(len(w)) OVER (PARTITION BY item_id // 8))::INT AS n, list_transform(w, lambda x: length(x)::VARCHAR) AS w FROM (SELECT item_id, {WORDS} AS w FROM benchmark))
+SELECT item_id, n, array_to_string(list_concat(w, list_transform(range(n - len(w)), lambda i: '0')), ' ') AS ids,
+  array_to_string(list_concat(w, list_transform(range(n - len(w)), lambda i: '-100')), ' ') AS labels FROM b""",
     "pgn_fixture": f"SELECT * FROM (VALUES {_values()}) v(name, uci)",
     "game_results": """
 SELECT * FROM (VALUES ('mate', 'rnb1kbnr/pppp1ppp/8/4p3/6Pq/5P2/PPPPP2P/RNBQKBNR w KQkq - 1 3', '0-1'),
@@ -217,4 +221,6 @@ FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    from .workflow_oracle import SQL as WORKFLOW
+
+    return SQL | WORKFLOW

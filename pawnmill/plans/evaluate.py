@@ -17,23 +17,25 @@ from ..operators.chess_udfs import fen_after
 from ..operators.records import with_event_ids
 from ..operators.vocabulary import token_list, with_token_ids
 from ..schemas import superset
+from ..session import checkpointed
 from ..sources import scans
 from .runs import LegalRateConfig, MatchConfig, PerplexityConfig, Run, config_payload
 
 
 def positions(spark: SparkSession, config: LegalRateConfig) -> DataFrame:
-    """position_id, fen, perspective and moves of the configured source."""
+    """position_id, fen, perspective, moves of the configured source, and the columns (source, place) that give its order."""
     if config.positions_path is not None:
-        rows = scans.read_fens(spark, config.positions_path).withColumn("moves", F.array().cast("array<string>"))
+        rows = scans.fen_rows(spark, config.positions_path).select("position_id", "fen", F.array().cast("array<string>").alias("moves"), F.col("file").alias("source"), F.col("lineno").alias("place"))
     else:
         games = scans.read_pgn(spark, config.sample_from_games_path).where("moves IS NOT NULL")
-        sampled = sampling.reservoir(sampling.positions_of(games, "game_id", "moves"), config.sample_n, "game_id", "ply", seed=config.seed)
-        rows = sampled.select(position_id("game_id", "ply").alias("position_id"), fen_after("moves").alias("fen"), "moves")
+        sampled = sampling.sampled_positions(games, config.sample_n, "game_id", "moves", seed=config.seed)
+        rows = sampled.select(position_id("game_id", "ply").alias("position_id"), fen_after("moves").alias("fen"), "moves", F.format_string("%12s", F.substr("game_id", F.lit(6))).alias("source"), F.col("ply").alias("place"))
     return rows.withColumn("perspective", F.when(F.get(F.split("fen", " "), F.lit(1)) == "b", "black").otherwise("white"))
 
 
 def _headed(rows: DataFrame, run_id: str, evaluator: str, checkpoint: str, kind: str, *order) -> DataFrame:
-    named = rows.withColumns({"run_id": F.lit(run_id), "evaluator": F.lit(evaluator), "checkpoint": F.lit(checkpoint), "record_type": F.lit(kind)})
+    # numbering sorts its rows by ranges, which it looks at twice; scores are made once
+    named = checkpointed(rows).withColumns({"run_id": F.lit(run_id), "evaluator": F.lit(evaluator), "checkpoint": F.lit(checkpoint), "record_type": F.lit(kind)})
     return with_event_ids(named, "run_id", *order)
 
 
@@ -41,7 +43,8 @@ def run_legal_rate(spark: SparkSession, factory: Callable[[], scoring.Scorer], c
     run = Run(spark, folder)
     run.write_config(config_payload("legal_rate", run_id, checkpoint, config, extra))
     found = scoring.predict_positions(positions(spark, config), factory)
-    run.append_records(_headed(found.select("position_id", "fen", "model_move", "legal"), run_id, "legal_rate", checkpoint, "per_legal_rate", "position_id"))
+    headed = _headed(found.select("position_id", "fen", "model_move", "legal", "source", "place"), run_id, "legal_rate", checkpoint, "per_legal_rate", "source", "place")
+    run.append_records(headed.drop("source", "place"))
     return run
 
 
@@ -179,15 +182,16 @@ def play_games(spark: SparkSession, factory: Callable[[], scoring.Scorer], oppon
                 rival.close()
         return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in [*names, "record_type", "pgn"]})
 
-    played = games.groupBy("game_id").applyInPandas(play, schema)
-    return with_event_ids(played, "run_id", "game_id", F.col("record_type") == "per_game", "ply")
+    # played once: records and PGN are of the same games also if an executor is lost
+    played = checkpointed(games.groupBy("game_id").applyInPandas(play, schema))
+    return with_event_ids(played, "run_id", F.length("game_id"), "game_id", F.col("record_type") == "per_game", "ply")
 
 
 def run_match(spark: SparkSession, factory: Callable[[], scoring.Scorer], opponent: Callable[[], Opponent], config: MatchConfig, folder: str, run_id: str, checkpoint: str, extra: Mapping | None = None) -> Run:
     run, extra = Run(spark, folder), dict(extra or {})
     run.write_config(config_payload("vs_stockfish", run_id, checkpoint, config, extra))
-    records = play_games(spark, factory, opponent, config, run_id, checkpoint, float(extra.get("temperature", 0.0)), int(extra.get("top_k", 0))).cache()
+    records = play_games(spark, factory, opponent, config, run_id, checkpoint, float(extra.get("temperature", 0.0)), int(extra.get("top_k", 0)))
     run.append_records(records)
-    run.write_pgn([r["pgn"] for r in records.where("record_type = 'per_game'").orderBy("game_id").select("pgn").collect()])
-    records.unpersist()
+    games = records.where("record_type = 'per_game'").orderBy("event_id").select("pgn")
+    run.write_pgn(r["pgn"] for r in games.toLocalIterator())
     return run

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import asdict, dataclass
 from datetime import datetime, timezone
 from pathlib import Path
@@ -20,7 +20,7 @@ TIMESTAMP = "%Y-%m-%dT%H-%M-%S"
 def make_run_id(tag: str, evaluator: str, now: datetime | None = None) -> str:
     """time_tag_evaluator; the tag may hold no underscore, the evaluator's become hyphens."""
     if "_" in tag:
-        raise ValueError(f"checkpoint_tag must not contain '_'; got {tag!r}")
+        raise ValueError(f"underscores part a run id, so the tag {tag!r} may have none")
     return f"{(now or datetime.now(timezone.utc)).strftime(TIMESTAMP)}_{tag}_{evaluator.replace('_', '-')}"
 
 
@@ -38,7 +38,7 @@ def resolve_checkpoint_tag(checkpoint: str, override: str | None = None) -> str:
     if override is None:
         return derive_checkpoint_tag(checkpoint).replace("_", "-")
     if "_" in override:
-        raise ValueError(f"checkpoint_tag override must not contain '_'; got {override!r}")
+        raise ValueError(f"the given tag {override!r} has an underscore, which parts a run id")
     return override
 
 
@@ -62,13 +62,13 @@ class MatchConfig:
     blunder_threshold_cp: int = C.BLUNDER_CP
 
     def __post_init__(self) -> None:
-        _require(self.games >= 1, f"games must be >= 1; got {self.games}")
+        _require(self.games >= 1, f"a match of {self.games} games: one at least is needed")
         low, high = C.SKILL_RANGE
-        _require(low <= self.stockfish_skill <= high, f"stockfish_skill must be in [{low}, {high}]; got {self.stockfish_skill}")
-        _require(self.max_plies >= 1, f"max_plies must be >= 1; got {self.max_plies}")
-        _require(self.record_top_k >= 0, f"record_top_k must be >= 0; got {self.record_top_k}")
-        _require(self.stockfish_movetime is not None or (self.stockfish_depth or 0) >= 1, "must set stockfish_depth >= 1 or stockfish_movetime")
-        _require(self.model_color in ("white", "black", "alternate"), f"unknown color mode {self.model_color!r}")
+        _require(low <= self.stockfish_skill <= high, f"skill {self.stockfish_skill} lies outside {low} to {high}")
+        _require(self.max_plies >= 1, f"a limit of {self.max_plies} plies leaves no move")
+        _require(self.record_top_k >= 0, f"{self.record_top_k} candidates can't be recorded")
+        _require(self.stockfish_movetime is not None or (self.stockfish_depth or 0) >= 1, "the engine needs a depth from 1 on or a time for each move")
+        _require(self.model_color in ("white", "black", "alternate"), f"the model plays white, black or alternate, not {self.model_color!r}")
 
     def limit(self) -> dict[str, float]:
         return {"time": self.stockfish_movetime} if self.stockfish_movetime is not None else {"depth": self.stockfish_depth}
@@ -85,7 +85,7 @@ class LegalRateConfig:
 
     def __post_init__(self) -> None:
         _require((self.positions_path is None) != (self.sample_from_games_path is None), "exactly one of positions_path and sample_from_games_path is required")
-        _require(self.sample_from_games_path is None or self.sample_n >= 1, f"sample_n must be >= 1; got {self.sample_n}")
+        _require(self.sample_from_games_path is None or self.sample_n >= 1, f"a sample of {self.sample_n} positions is none")
 
 
 @dataclass(frozen=True)
@@ -96,7 +96,7 @@ class PerplexityConfig:
     max_sequences: int | None = None
 
     def __post_init__(self) -> None:
-        _require(self.max_sequences is None or self.max_sequences >= 1, f"max_sequences must be >= 1; got {self.max_sequences}")
+        _require(self.max_sequences is None or self.max_sequences >= 1, f"a limit of {self.max_sequences} sequences leaves none")
 
 
 def config_payload(evaluator: str, run_id: str, checkpoint: str, config, extra: Mapping | None = None) -> dict:
@@ -134,7 +134,7 @@ class Run:
     def read_metrics(self) -> dict:
         return json.loads(sinks.read_small(self.spark, self.path("metrics.json")))
 
-    def write_pgn(self, games: list[str]) -> None:
+    def write_pgn(self, games: Iterable[str]) -> None:
         sinks.write_pgn(self.spark, self.path("games.pgn"), games)
 
     def read_pgn(self) -> str:

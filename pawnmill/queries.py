@@ -99,7 +99,7 @@ def encode_ids(spark, sf_dir):
     ids = vocabulary.encode_text(table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text")), "text", _word_vocabulary(spark, sf_dir))
     total = F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, x: a + x)
     unknown = F.size(F.filter("input_ids", lambda x: x == C.UNK_ID))
-    return ids.select("conv_id", "turn", F.size("input_ids").alias("n_ids"), unknown.alias("n_unknown"), total.alias("id_sum"), F.size("attention_mask").alias("n_mask"))
+    return ids.select("conv_id", "turn", F.size("input_ids").alias("n_ids"), unknown.alias("n_unknown"), total.alias("id_sum"), F.size("attention_mask").alias("n_mask"), F.array_join(F.transform("input_ids", lambda x: x.cast("string")), " ").alias("ids"))
 
 
 @query
@@ -144,8 +144,7 @@ def three_way_split(spark, sf_dir):
 def sample_positions(spark, sf_dir):
     """A reservoir of (game, ply) with the turns before each."""
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("moves"))
-    positions = sampling.positions_of(turns, "conv_id", "moves")
-    chosen = sampling.reservoir(positions.select("conv_id", "ply", "moves"), 100, "conv_id", "ply", seed=0)
+    chosen = sampling.sampled_positions(turns, 100, "conv_id", "moves", seed=0)
     return chosen.select("conv_id", "ply", F.array_join("moves", " ").alias("prefix"))
 
 
@@ -196,9 +195,7 @@ def win_rate_empty(spark, sf_dir):
 
 @query
 def score_summary(spark, sf_dir):
-    w = metrics.win_rate(_as_games(spark, sf_dir), by_side=False)
-    scored = F.col("games") - F.col("unfinished")
-    return w.select("wins", "losses", "draws", "unfinished", F.round(F.lit(100.0) * scalar.ratio(F.col("wins") + 0.5 * F.col("draws"), scored), 6).alias("pct"), F.round(metrics.elo_difference(F.col("score_rate")), 6).alias("elo"))
+    return metrics.score_columns(_as_games(spark, sf_dir)).withColumns({"pct": F.round("pct", 6), "elo": F.round("elo", 6)})
 
 
 @query
@@ -263,9 +260,8 @@ def topk_per_row(spark, sf_dir):
 
 @query
 def topk_per_group(spark, sf_dir):
-    w = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_linenumber")
-    ranked = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice").withColumn("rank", F.row_number().over(w))
-    return ranked.where("rank <= 2")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return metrics.top_per_group(rows, ["l_orderkey"], [F.desc("l_extendedprice"), "l_linenumber"], 2)
 
 
 @query
@@ -283,10 +279,9 @@ def mask_argmax(spark, sf_dir):
 
 @query
 def config_cross(spark, sf_dir):
-    """A one-row configuration beside an aggregate."""
-    config = spark.createDataFrame([("vs_stockfish", 3)], "evaluator string, stockfish_skill int")
+    """A configuration beside an aggregate."""
     total = metrics.win_rate(_as_games(spark, sf_dir), by_side=False).select("games", "win_rate", "score_rate")
-    return total.crossJoin(F.broadcast(config))
+    return metrics.with_config(total, {"evaluator": "vs_stockfish", "stockfish_skill": 3})
 
 
 def _as_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -367,7 +362,7 @@ def holdout_exclusion(spark, sf_dir):
     """Rows outside a hash-chosen set."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     held = orders.where(scalar.hash_order(7, "o_orderkey") < "4").select("o_orderkey")
-    return orders.join(held, "o_orderkey", "left_anti")
+    return sampling.excluding(orders, held, "o_orderkey")
 
 
 @query
@@ -390,11 +385,12 @@ def uniform_scores(spark, sf_dir):
 
 @query
 def pad_batches(spark, sf_dir):
-    """Arrays padded to the longest of their batch."""
+    """Arrays padded to the longest of their batch, and labels that ignore the padding."""
     rows = table(spark, sf_dir, "benchmark").select("item_id", F.transform(scalar.split_words("text"), lambda w: F.length(w)).alias("ids"))
     longest = F.max(F.size("ids")).over(Window.partitionBy(F.expr("item_id div 8")))
     padded = rows.withColumn("longest", longest).withColumn("padded", arrays.pad_to("ids", F.col("longest"), C.PAD_ID))
-    return padded.select("item_id", F.size("padded").alias("n"), F.aggregate("padded", F.lit(0), lambda a, x: a + x).cast("long").alias("total"))
+    flat = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+    return padded.select("item_id", F.size("padded").alias("n"), flat(F.col("padded")).alias("ids"), flat(arrays.labels_of("padded", C.PAD_ID)).alias("labels"))
 
 
 # Movetexts and their moves.
@@ -476,4 +472,6 @@ def wellformed_moves(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from . import workflow_queries  # noqa: F401  (registers its own)
+
     return dict(_REGISTRY)

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import logging
+import uuid
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a table that may be broadcast.
+MOST_BROADCAST = 100_000
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
@@ -22,3 +28,33 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints, which all executors share; only where it is unset, one in the warehouse."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Computed once, and read from the shared folder from then on."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """df marked for broadcast if it has at most ``most`` rows, else as it is (and shuffled)."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def configure_logging(level: int = logging.INFO) -> None:
+    """Console logging for commands: time, level, logger, message."""
+    logging.basicConfig(level=level, format="%(asctime)s %(levelname)s %(name)s: %(message)s", force=True)

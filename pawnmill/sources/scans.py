@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..operators.records import decode_records
 from ..schemas import RAW_GAME, SEQUENCE
+from ..session import broadcast_if_small, checkpointed
+
+#: Rows of a batch that a scan hands on.
+ROWS = 1000
+#: Arrow types of the fields that scans make in Python.
+ARROW = {"string": pa.string(), "map<string, string>": pa.map_(pa.string(), pa.string()), "array<string>": pa.list_(pa.string())}
 
 
 def read_games(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
@@ -27,27 +35,78 @@ def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("split") == split).drop("split")
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file (base name), lineno (from 1, blank lines counted) and value of every line that is not blank.
+def _numbered(spark: SparkSession, path: str, separator: str | None, tally: Callable[[str, bool], int], split: Callable[[str, bool], list], fields: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """file, number (from 0 on in its file) and fields of what ``split`` makes of each piece of text; and file, block, n, first.
 
-    Line numbers need whole files; files are the unit of parallelism.
+    Text files are cut at ``separator`` (line ends by default) and read in splits of any size.
+    A task numbers what it finds in a split; ``tally`` says how much that is, so the counts of
+    the splits before it in the file (one row a split) say from where on.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), F.split("value", "\r?\n").alias("lines"))
-    lines = whole.select("file", F.posexplode("lines").alias("at", "value"))
-    return lines.select("file", (F.col("at") + 1).alias("lineno"), F.trim("value").alias("value")).where("value <> ''")
+    reader = spark.read if separator is None else spark.read.option("lineSep", separator)
+    text = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    schema = ", ".join(f"{n} {t}" for n, t in fields.items())
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, str, bool]]:
+        seen = set()
+        for batch in batches:
+            for file, block, value in zip(*(c.to_pylist() for c in batch.columns)):
+                yield file, block, value, block == 0 and file not in seen
+                seen.add(file)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter[tuple[str, int]] = Counter()
+        for file, block, value, first in pieces(batches):
+            n[file, block] += tally(value, first)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.int64()), pa.array(list(n.values()), pa.int64())], names=["file", "block", "n"])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter[tuple[str, int]] = Counter()
+        types = (pa.string(), pa.int64(), pa.int64(), *map(ARROW.get, fields.values()))
+        rows: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*rows)) or [[]] * len(types)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["file", "block", "nth", *fields])
+
+        for file, block, value, first in pieces(batches):
+            for row in split(value, first):
+                rows.append((file, block, n[file, block], *row))
+                n[file, block] += 1
+            if len(rows) >= ROWS:
+                yield batch()
+                rows = []
+        yield batch()
+
+    counts = text.mapInArrow(count, "file string, block bigint, n bigint").groupBy("file", "block").agg(F.sum("n").alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = checkpointed(counts.select("file", "block", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")))
+    rows = text.mapInArrow(make, f"file string, block bigint, nth bigint, {schema}")
+    numbered = rows.join(broadcast_if_small(firsts), ["file", "block"]).select("file", (F.col("first") + F.col("nth")).alias("number"), *fields)
+    return numbered, firsts
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file (base name), lineno (from 1, blank lines counted) and value of every line that is not blank."""
+    lines, _ = _numbered(spark, path, None, lambda line, first: 1, lambda line, first: [(line.strip(),)], {"value": "string"})
+    return lines.where("value <> ''").select(F.element_at(F.split("file", "/"), -1).alias("file"), (F.col("number") + 1).cast("int").alias("lineno"), "value")
 
 
 def where_of(file: str = "file", lineno: str = "lineno") -> Column:
     return F.format_string("%s:%d", F.col(file), F.col(lineno))
 
 
-def read_fens(spark: SparkSession, path: str) -> DataFrame:
-    """position_id and fen of each line; an error names the place of an invalid FEN."""
+def fen_rows(spark: SparkSession, path: str) -> DataFrame:
+    """file, lineno, position_id and fen of each line; an error names the place of an invalid FEN."""
     from ..operators.chess_udfs import fen_is_valid
 
     rows = numbered_lines(spark, path).withColumn("position_id", where_of())
     checked = F.when(fen_is_valid("value"), F.col("value")).otherwise(F.raise_error(F.concat("position_id", F.lit(": invalid FEN"))).cast("string"))
-    return rows.select("position_id", checked.alias("fen"))
+    return rows.select("file", "lineno", "position_id", checked.alias("fen"))
+
+
+def read_fens(spark: SparkSession, path: str) -> DataFrame:
+    """position_id and fen of each line."""
+    return fen_rows(spark, path).select("position_id", "fen")
 
 
 def sequence_error() -> Column:
@@ -143,23 +202,22 @@ class PgnSource(DataSource):
 
 
 def read_pgn(spark: SparkSession, path: str) -> DataFrame:
-    """game_id (game-0000, ... in file order), headers and UCI moves of PGN files.
+    """game_id (game-0000, ... over all files, in the order of their paths), headers and UCI moves of PGN files.
 
-    Text comes through Spark's reader, so any store will do; a file is one task.
+    Files are cut where a blank line precedes a header, so a large file is read in many tasks;
+    a file with other line ends is one piece.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
 
-    def split(batches):
-        import pyarrow as pa
+    from ..chess.notation import movetext_to_uci, split_games
 
-        from ..chess.notation import movetext_to_uci, split_games
+    def games(piece: str, first: bool) -> list[tuple[dict, str]]:
+        return list(split_games(piece if first or piece.lstrip().startswith("[") else "[" + piece))
 
-        schema = pa.schema([("file", pa.string()), ("game_index", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("moves", pa.list_(pa.string()))])
-        for batch in batches:
-            for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                games = list(split_games(text or ""))
-                columns = [[file] * len(games), range(len(games)), [list(h.items()) for h, _ in games], [movetext_to_uci(b, h.get("FEN")) for h, b in games]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+    def parsed(piece: str, first: bool) -> list[tuple]:
+        return [(list(h.items()), movetext_to_uci(b, h.get("FEN"))) for h, b in games(piece, first)]
 
-    games = whole.mapInArrow(split, "file string, game_index int, headers map<string,string>, moves array<string>")
-    return games.select(F.format_string("game-%04d", "game_index").alias("game_id"), "file", "game_index", "headers", "moves")
+    rows, firsts = _numbered(spark, path, "\n\n[", lambda piece, first: len(games(piece, first)), parsed, {"headers": "map<string, string>", "moves": "array<string>"})
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    files = firsts.groupBy("file").agg(F.sum("n").alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    numbered = rows.join(broadcast_if_small(files), "file")
+    return numbered.select(F.format_string("game-%04d", F.col("earlier") + F.col("number")).alias("game_id"), "file", F.col("number").cast("int").alias("game_index"), "headers", "moves")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +16,17 @@ def write_shards(df: DataFrame, path: str, rows: int = C.SHARD_SIZE) -> None:
     df.write.mode("overwrite").option("maxRecordsPerFile", rows).parquet(path)
 
 
+def name_shards(spark: SparkSession, path: str) -> list[str]:
+    """Rename a folder's part files, in their order, to shard_00000.parquet and so on; returns the names."""
+    p, fs = _hadoop_path(spark, path)
+    parts = sorted(f.getPath().getName() for f in fs.listStatus(p) if f.getPath().getName().startswith("part-"))
+    names = [f"shard_{k:05d}.parquet" for k in range(len(parts))]
+    here = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for part, name in zip(parts, names):
+        fs.rename(here(p, part), here(p, name))
+    return names
+
+
 def write_splits(df: DataFrame, path: str, rows: int = C.SHARD_SIZE) -> None:
     """One folder, partitioned by split: one job, and readers of one split skip the others."""
     df.write.mode("overwrite").option("maxRecordsPerFile", rows).partitionBy("split").parquet(path)
@@ -32,12 +43,13 @@ def _hadoop_path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small driver-side document, written whole through Spark's file system layer."""
+def write_text(spark: SparkSession, path: str, text: str | Iterable[str]) -> None:
+    """A document written through Spark's file system layer, whole or piece by piece."""
     p, fs = _hadoop_path(spark, path)
     out = fs.create(p, True)
     try:
-        out.write(bytearray(text.encode("utf-8")))
+        for piece in [text] if isinstance(text, str) else text:
+            out.write(bytearray(piece.encode("utf-8")))
     finally:
         out.close()
 
@@ -67,5 +79,6 @@ def write_vocabulary(spark: SparkSession, tokens: list[str], path: str, prefix:
     return target
 
 
-def write_pgn(spark: SparkSession, path: str, games: list[str]) -> None:
-    write_text(spark, path, "\n".join(games))
+def write_pgn(spark: SparkSession, path: str, games: Iterable[str]) -> None:
+    """One file, written game by game: the driver holds one game (of an iterator) at a time."""
+    write_text(spark, path, ("\n" * bool(k) + game for k, game in enumerate(games)))

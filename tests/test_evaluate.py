@@ -123,3 +123,60 @@ def test_report_command(spark, tmp_path, capsys):
     assert cli.main(["report", "none", "--evals-dir", str(tmp_path / "evals")]) == 1
     args = cli.parser().parse_args(["vs-stockfish", "--checkpoint", "a/b", "--games", "3"])
     assert (args.games, args.stockfish_depth) == (3, 1)
+
+
+def test_engine_process(tmp_path):
+    """The engine protocol, spoken with a small script."""
+    from pawnmill.chess.board import Board as B
+
+    log = tmp_path / "log"
+    script = tmp_path / "engine"
+    script.write_text(
+        "#!/usr/bin/env python3\nimport sys\n"
+        f"log = open({str(log)!r}, 'w', buffering=1)\n"
+        "for line in sys.stdin:\n    line = line.strip()\n    log.write(line + '\\n')\n"
+        "    if line == 'uci': print('id name x', 'uciok', sep='\\n', flush=True)\n"
+        "    if line == 'isready': print('readyok', flush=True)\n"
+        "    if line.startswith('go'): print('info depth 1', 'bestmove ' + ('(none)' if 'movetime' in line else 'e2e4'), sep='\\n', flush=True)\n"
+        "    if line == 'quit': break\n"
+    )
+    script.chmod(0o755)
+    engine = E.UciOpponent(str(script))
+    engine.configure({"Skill Level": 3})
+    assert engine.play(B(), {"depth": 2}) == "e2e4" and engine.play(B(), {"time": 0.05}) is None
+    engine.close()
+    said = log.read_text().split("\n")
+    assert "setoption name Skill Level value 3" in said and "go depth 2" in said and "go movetime 50" in said and said[-2] == "quit"
+
+
+def test_unknown_moves_and_picked_logprobs(spark):
+    df = spark.createDataFrame([("a", ["e2e4"]), ("b", ["e2e4", "e2e9"])], "id string, moves array<string>")
+    assert scoring.check_vocabulary(df.where("id = 'a'")).count() == 1
+    with pytest.raises(Exception, match="b: unknown move e2e9"):
+        scoring.check_vocabulary(df).collect()
+    rows = spark.createDataFrame([([[-1.0, -2.0], [-3.0, -4.0]], [0, 1, 0])], "lp array<array<double>>, ids array<int>")
+    assert rows.select(arrays.pick_logprobs("lp", "ids").alias("p")).first()["p"] == [-2.0, -3.0]
+    labels = spark.createDataFrame([([5, 0, 7],)], "ids array<int>").select(arrays.labels_of("ids").alias("l")).first()["l"]
+    assert labels == [5, -100, 7]
+
+
+def test_scorers_in_one_pass_agree_with_prefixes(spark):
+    class Slow:
+        def logits(self, prefixes):
+            return np.stack([np.sin(np.arange(50) * (1 + sum(p))) for p in prefixes])
+
+    class Fast(Slow):
+        def sequence_logits(self, line):
+            for at in range(1, len(line), 3):
+                yield self.logits([line[:k] for k in range(at, min(at + 3, len(line)))])
+
+    df = spark.createDataFrame([(k, [(j * k) % 50 for j in range(k)]) for k in range(12)], "id int, input_ids array<int>")
+    slow, fast = ({r["id"]: r["token_logprobs"] for r in scoring.score_sequences(df, f).collect()} for f in (Slow, Fast))
+    assert slow == fast and [len(slow[k]) for k in range(12)] == [0, 0, *range(1, 11)]
+
+
+def test_legal_rate_events_are_in_source_order(spark, tmp_path):
+    (tmp_path / "p.fen").write_text("\n".join([START_FEN] * 12))
+    run = E.run_legal_rate(spark, scoring.HashScorer, LegalRateConfig(positions_path=str(tmp_path / "p.fen")), str(tmp_path / "run"), "r", "c")
+    rows = run.read_records().orderBy("event_id").collect()
+    assert [r["position_id"] for r in rows] == [f"p.fen:{k}" for k in range(1, 13)] and [r["event_id"] for r in rows] == list(range(12))

@@ -74,3 +74,17 @@ def test_minimax_and_types(spark):
     rows = df.select(P.illegal_negative(every, "legal", 0, "id").alias("n"), P.legality_labels(every, "legal").alias("l")).collect()
     assert rows[0]["n"] in ("b", "c") and rows[1]["n"] is None
     assert [r["l"] for r in rows] == [[1, 0, 0], [1, 1, 1]]
+
+
+def test_distribution_and_move_types(spark):
+    from pawnmill.functions import scalar
+    from pawnmill.operators import preferences
+    from pawnmill.plans import prepare
+
+    df = spark.createDataFrame([("a", "draw", "e4"), ("a", "white", "e4"), ("b", "white", "d4")], "elo_bucket string, result string, opening_family string")
+    found = [tuple(r) for r in prepare.distribution(df).collect()]
+    assert found == sorted(found) and ("elo_bucket", "a", 2) in found and len(found) == 6
+    flags = spark.createDataFrame([(True, True, False, False, "check"), (True, False, False, True, "capture"), (False, False, True, False, "castle"), (False, False, False, True, "pawn"), (False, False, False, False, "quiet")], "x boolean, c boolean, k boolean, p boolean, want string")
+    assert flags.where(preferences.move_type(F.col("x"), F.col("c"), F.col("k"), F.col("p")) != F.col("want")).count() == 0
+    turn = spark.createDataFrame([(True, "white"), (False, "black")], "w boolean, want string")
+    assert turn.where(scalar.side_for_turn("w") != F.col("want")).count() == 0

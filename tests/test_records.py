@@ -64,3 +64,13 @@ def test_superset_has_every_field():
 def test_key_order(spark):
     keys = spark.createDataFrame([(["legal", "ply"],), (["result", "token_logprobs"],)], "k array<string>")
     assert [r[0] for r in keys.select(R.record_type_of_keys(F.col("k"))).collect()] == ["per_move", "per_game"]
+
+
+def test_event_ids_by_ranges(spark):
+    rows = [("big", k % 977, "x") for k in range(3000)] + [("small", k, "y") for k in range(5)]
+    df = spark.createDataFrame(rows, "run string, k int, v string").repartition(9)
+    found = R.with_event_ids(df, "run", "k").collect()
+    for run, n in (("big", 3000), ("small", 5)):
+        own = sorted((r["event_id"], r["k"]) for r in found if r["run"] == run)
+        assert [e for e, _ in own] == list(range(n)) and [k for _, k in own] == sorted(k for _, k in own)
+    assert R.with_event_ids(spark.createDataFrame([], "run string, k int"), "run", "k").count() == 0

@@ -58,3 +58,59 @@ def test_reservoir(spark):
     pick = lambda n, seed: {(r["game"], r["ply"]) for r in S.reservoir(positions, n, "game", "ply", seed=seed).collect()}
     assert len(pick(4, 0)) == 4 and pick(4, 0) == pick(4, 0) and len(pick(1000, 0)) == 8
     assert S.reservoir(positions.where("false"), 4, "game", "ply").count() == 0
+
+
+def test_first_games_keeps_partitions(spark, tmp_path):
+    spark.range(0, 500, 1, 7).write.parquet(str(tmp_path / "f"))
+    df = spark.read.parquet(str(tmp_path / "f")).where("id % 3 <> 0")
+    for n in (1, 50, 90, 333, 334, 5000):
+        assert sorted(r["id"] for r in S.first_games(df, n).collect()) == [k for k in range(500) if k % 3][:n]
+    plan = S.first_games(df, 120)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Limit" not in plan
+    shuffled = spark.range(300).repartition(5)
+    assert sorted(r["id"] for r in S.first_games(shuffled, 40, "id").collect()) == list(range(40))
+    assert S.first_games(shuffled, 40).count() == 40
+    assert S.first_games(spark.range(0), 5).count() == 0
+
+
+@pytest.mark.parametrize("repeats", [1, 40])
+def test_row_ids_do_not_hang_on_partitions(spark, tmp_path, repeats):
+    rows = [(k % (200 // repeats), "s") for k in range(200)]
+    found = []
+    for parts in (1, 3, 16):
+        path = str(tmp_path / f"p{parts}")
+        spark.createDataFrame(rows, "k int, s string").repartition(parts).write.parquet(path)
+        for df in (spark.read.parquet(path), spark.createDataFrame(rows, "k int, s string").repartition(parts)):
+            ids = S.with_row_ids(df, F.col("k").cast("string"))
+            found.append(sorted((r["k"], r["row_id"]) for r in ids.collect()))
+            assert len(set(found[-1])) == 200
+    assert all(f == found[0] for f in found)
+
+
+def test_prepared_splits_do_not_hang_on_partitions(spark, tmp_path):
+    from pawnmill.plans import prepare
+    from tests.test_games import RUY, raw
+
+    df = raw(spark, *[{"movetext": RUY + f" 4. {'abcdefgh'[k % 8]}3", "WhiteElo": str(900 + k)} for k in range(150)])
+    splits = []
+    for parts in (1, 5):
+        df.repartition(parts).write.parquet(str(tmp_path / f"raw{parts}"))
+        counts = prepare.prepare(spark, spark.read.parquet(str(tmp_path / f"raw{parts}")), str(tmp_path / f"out{parts}"))
+        splits.append(sorted((r["split"], tuple(r["input_ids"])) for r in spark.read.parquet(str(tmp_path / f"out{parts}/splits")).collect()))
+        assert counts.games == 150
+    assert splits[0] == splits[1]
+
+
+def test_balanced_and_excluded(spark):
+    df = spark.createDataFrame([(k, "ab"[k % 10 == 0] if k % 50 else None) for k in range(500)], "id int, v string")
+    n = {r["v"]: r["count"] for r in S.balanced_sample(df, "v", 20, "id").groupBy("v").count().collect()}
+    assert n == {"a": 20, "b": 20, None: 10} or n == {"a": 20, "b": 20}
+    assert S.excluding(df, df.where("id < 100"), "id").count() == 400
+
+
+def test_sampled_positions(spark):
+    df = spark.createDataFrame([(f"g{k}", [f"m{j}" for j in range(k)]) for k in range(12)], "g string, m array<string>")
+    every = {(r["g"], r["ply"]): r["m"] for r in S.positions_of(df, "g", "m").collect()}
+    found = S.sampled_positions(df, 15, "g", "m").collect()
+    assert len(found) == 15 and all(every[r["g"], r["ply"]] == r["m"] for r in found)
+    assert S.sampled_positions(df, 10**6, "g", "m").count() == len(every)

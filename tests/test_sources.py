@@ -75,3 +75,44 @@ def test_pushdown(spark, tmp_path):
     spark.createDataFrame([], RAW_GAME).write.parquet(str(tmp_path / "g"))
     plan = scans.read_games(spark, str(tmp_path / "g")).where(base_filter()).select("movetext")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(Termination,Normal)" in plan and "WhiteElo" not in plan.split("ReadSchema")[1]
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Files are read in splits of some 60 bytes."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old = {n: spark.conf.get(n) for n in names}
+    for n in names:
+        spark.conf.set(n, "60")
+    yield
+    for n, v in old.items():
+        spark.conf.set(n, v)
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path, small_splits):
+    lines = {f: [("" if k % 4 == 3 else f"{f} line {k}" * (1 + k % 5)) for k in range(40)] for f in ("a.txt", "b.txt")}
+    for f, v in lines.items():
+        (tmp_path / f).write_text("\r\n".join(v) if f == "b.txt" else "\n".join(v) + "\n")
+    rows = scans.numbered_lines(spark, str(tmp_path))
+    assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 4
+    assert {(r["file"], r["lineno"]): r["value"] for r in rows.collect()} == {(f, k + 1): x for f, v in lines.items() for k, x in enumerate(v) if x}
+
+
+def test_games_are_numbered_over_files_and_splits(spark, tmp_path, small_splits):
+    game = lambda f, k: f'[Event "{f}{k}"]\n[Site "[x]"]\n\n1. e4 {{ a [%clk 1] }} e5 {k + 2}. Nf3 *\n'
+    for f, n in (("b.pgn", 5), ("a.pgn", 9), ("c.pgn", 2)):
+        text = "\n".join(game(f, k) for k in range(n))
+        (tmp_path / f).write_text(text.replace("\n", "\r\n") if f == "c.pgn" else text, newline="")
+    rows = scans.read_pgn(spark, str(tmp_path)).orderBy("game_id").collect()
+    want = [(f, k) for f, n in (("a.pgn", 9), ("b.pgn", 5), ("c.pgn", 2)) for k in range(n)]
+    assert [(r["game_id"], r["headers"]["Event"], r["game_index"]) for r in rows] == [(f"game-{i:04d}", f"{f}{k}", k) for i, (f, k) in enumerate(want)]
+    assert all(r["moves"] == ["e2e4", "e7e5", "g1f3"] for r in rows)
+
+
+def test_documents_and_shard_names(spark, tmp_path):
+    (tmp_path / "d.json").write_text('{\n "a": 1,\n "b": "x"\n}')
+    assert tuple(scans.read_json_document(spark, str(tmp_path / "d.json")).first()) == (1, "x")
+    assert scans.read_text_document(spark, str(tmp_path / "d.json")).count() == 1
+    sinks.write_shards(spark.range(10).coalesce(1), str(tmp_path / "s"), 4)
+    assert sinks.name_shards(spark, str(tmp_path / "s")) == [f"shard_0000{k}.parquet" for k in range(3)]
+    assert scans.read_shards(spark, str(tmp_path / "s")).count() == 10

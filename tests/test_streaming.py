@@ -43,3 +43,17 @@ def test_prefix_reuse_stream(spark, tmp_path):
     query = jobs.prefix_reuse(stream).writeStream.format("memory").queryName("reuse").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     assert {tuple(r) for r in spark.table("reuse").collect()} == WANT
+
+
+def test_append_stream(spark, tmp_path):
+    """Records appended by a stream appear once, also when it is started again."""
+    source, out, marks = (str(tmp_path / n) for n in ("log", "out", "marks"))
+    line = '{"run_id":"r","event_id":%d,"evaluator":"legal_rate","checkpoint":"c","position_id":"p%d","fen":"f","model_move":"e2e4","legal":true}'
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "a.jsonl").write_text("\n".join(line % (k, k) for k in range(3)))
+    for n in (3, 3, 4):
+        if n == 4:
+            (tmp_path / "log" / "b.jsonl").write_text(line % (9, 9))
+        jobs.append_stream(jobs.stream_records(spark, source), out, marks).awaitTermination()
+        rows = spark.read.schema("position_id string, sf_best_move string, legal boolean").json(out).collect()
+        assert len(rows) == n and all(r["legal"] for r in rows)

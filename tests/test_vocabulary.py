@@ -50,3 +50,9 @@ def test_vocabulary_json(spark):
     import json
 
     assert json.loads(V.vocabulary_json(V.vocabulary(spark)))["e2e4"] == 941
+
+
+def test_decoding_of_columns(spark):
+    df = spark.createDataFrame([(1, [0, 2, 99, -1]), (2, []), (3, None)], "k int, ids array<int>")
+    found = {r["k"]: r["tokens"] for r in V.with_tokens(df, "ids", ["a", "b", "c"]).collect()}
+    assert found == {1: ["a", "c", "<UNK>", "<UNK>"], 2: [], 3: None}
