@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,18 @@ from pyspark.sql import functions as F
 PART_ROWS, PART_BYTES = 256, 1 << 20
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def sole_cache(name: str, clear: Callable[[], None]) -> None:
+    """A Python worker outlives a stage; what an earlier operator cached in it is let go when another's cache, or none, is used."""
+    if name not in _held:
+        for other in _held.values():
+            other()
+        _held.clear()
+        _held[name] = clear
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use ``spark.checkpoint.dir``; only where it is unset, fall back to a folder of the warehouse."""
     sc = spark.sparkContext

@@ -6,6 +6,7 @@ import numpy as np
 import xxhash
 
 from .bag_minhash import mix
+from .common import sole_cache
 
 WORDS = 5
 #: Word hashes that a worker keeps; beyond it the cache starts anew.
@@ -14,6 +15,7 @@ _cache: dict[str, int] = {}
 
 
 def word_hashes(text: str) -> np.ndarray:
+    sole_cache("words", _cache.clear)
     words = text.lower().split()
     missing = [w for w in words if w not in _cache]
     if missing:

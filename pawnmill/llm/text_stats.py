@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, StructType
 
-from .common import parts
+from .common import parts, sole_cache
 
 NAMES = (
     "log_chars",
@@ -82,6 +82,7 @@ def with_stats(df: DataFrame, text: str | None = None) -> DataFrame:
         schema = schema.add(n, DoubleType())
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_cache("statistics", lambda: None)
         for batch in batches:
             own = batch.column(0)
             texts = batch.column(1) if text is None else own.field(own.type.get_field_index(text))

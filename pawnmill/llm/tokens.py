@@ -12,11 +12,13 @@ from collections.abc import Iterable
 
 import numpy as np
 
+from .common import sole_cache
+
 #: Separators for Python's split() that the tokenizer does not take for white space.
 ODD_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f")
 PART = "\x01"
 #: Words kept by each worker (two generations of half as many), and the longest that is kept.
-CACHE_WORDS, LONGEST_WORD = 250_000, 64
+CACHE_WORDS, LONGEST_WORD = 500_000, 64
 #: Punctuation that forms one piece after letters; letters below U+0250 are in composed form.
 TAIL, PLAIN_BELOW = ".,!?;:#$%&*|)", "\u0250"
 
@@ -130,7 +132,8 @@ _loaded: dict[tuple[str, int], WordCachedTokenizer] = {}
 
 
 def worker_tokenizer(path: str, cache_words: int = CACHE_WORDS) -> WordCachedTokenizer:
-    """One tokenizer for a Python worker's lifetime."""
+    """One tokenizer for a Python worker's lifetime, or until the worker serves another operator."""
+    sole_cache("tokens", _loaded.clear)
     if (path, cache_words) not in _loaded:
         _loaded[path, cache_words] = WordCachedTokenizer(path, cache_words)
     return _loaded[path, cache_words]
