@@ -1,4 +1,4 @@
-"""Commands: prepare, vs-stockfish, legal-rate, perplexity, report."""
+"""Commands: prepare, vs-stockfish, legal-rate, perplexity, puzzles, report."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import sys
 
 from . import constants as C
 from .plans import evaluate, prepare, report
-from .plans.runs import LegalRateConfig, MatchConfig, PerplexityConfig, Run, make_run_id, resolve_checkpoint_tag
+from .plans.runs import LegalRateConfig, MatchConfig, PerplexityConfig, PuzzleConfig, Run, make_run_id, resolve_checkpoint_tag
 from .session import configure_logging, session
 
 
@@ -54,6 +54,7 @@ def parser() -> argparse.ArgumentParser:
     match.add_argument("--top-k", type=int, default=0)
     match.add_argument("--unconstrained", action="store_true")
     match.add_argument("--record-top-k", type=int, default=5)
+    match.add_argument("--sf-analyze", action="store_true", help="the engine also judges the model's moves")
     match.add_argument("--blunder-threshold-cp", type=int, default=C.BLUNDER_CP)
     legal = commands.add_parser("legal-rate", parents=[shared], help="legality of unmasked predictions")
     legal.add_argument("--positions")
@@ -63,6 +64,12 @@ def parser() -> argparse.ArgumentParser:
     ppl = commands.add_parser("perplexity", parents=[shared], help="log probabilities of sequences")
     ppl.add_argument("--sequences", required=True)
     ppl.add_argument("--max-sequences", type=int)
+    puzzles = commands.add_parser("puzzles", parents=[shared], help="first choices on puzzles")
+    puzzles.add_argument("--puzzle-db", required=True)
+    puzzles.add_argument("--rating-min", type=int)
+    puzzles.add_argument("--rating-max", type=int)
+    puzzles.add_argument("--sample", type=int)
+    puzzles.add_argument("--themes", help="comma separated")
     rep = commands.add_parser("report", help="compute a run's metrics anew")
     rep.add_argument("run_id")
     rep.add_argument("--evals-dir", default="evals")
@@ -98,10 +105,15 @@ def main(argv: list[str] | None = None) -> int:
             args.games, args.model_color, args.stockfish_skill, args.stockfish_depth if movetime is None else None, movetime, args.max_plies, args.unconstrained, args.record_top_k, args.blunder_threshold_cp
         )
         command = args.stockfish
-        extra = {"temperature": args.temperature, "top_k": args.top_k}
+        extra = {"temperature": args.temperature, "top_k": args.top_k, **({"sf_analyze": True} if args.sf_analyze else {})}
         run = evaluate.run_match(spark, factory, lambda: evaluate.UciOpponent(command), config, folder, run_id, args.checkpoint, extra)
     elif args.command == "legal-rate":
         run = evaluate.run_legal_rate(spark, factory, LegalRateConfig(args.positions, args.sample_from_games, args.n, args.seed), folder, run_id, args.checkpoint)
+    elif args.command == "puzzles":
+        themes = tuple(args.themes.split(",")) if args.themes else None
+        run = evaluate.run_puzzles(spark, factory, PuzzleConfig(args.puzzle_db, args.rating_min, args.rating_max, themes, args.sample), folder, run_id, args.checkpoint)
+        print(report.puzzle_summary(run.read_records()))  # the dispatcher knows no metrics of puzzle runs
+        return 0
     else:
         run = evaluate.run_perplexity(spark, factory, PerplexityConfig(args.sequences, args.max_sequences), folder, run_id, args.checkpoint)
     print(report.summary(report.report(run)))

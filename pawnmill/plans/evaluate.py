@@ -19,7 +19,7 @@ from ..operators.vocabulary import token_list, with_token_ids
 from ..schemas import superset
 from ..session import checkpointed
 from ..sources import scans
-from .runs import LegalRateConfig, MatchConfig, PerplexityConfig, Run, config_payload
+from .runs import LegalRateConfig, MatchConfig, PerplexityConfig, PuzzleConfig, Run, config_payload
 
 
 def positions(spark: SparkSession, config: LegalRateConfig) -> DataFrame:
@@ -107,15 +107,40 @@ class UciOpponent:
         move = self._until("bestmove").split()[1]
         return None if move in ("(none)", "0000") else move
 
+    def analyse(self, board, limit: Mapping) -> tuple[str | None, int | None]:
+        """The engine's move and its score in centipawns for White; a mate counts as 10,000 less its distance."""
+        self._send(f"position fen {board.fen()}")
+        self._send(f"go movetime {int(1000 * limit['time'])}" if "time" in limit else f"go depth {limit['depth']}")
+        score = None
+        for line in self.process.stdout:
+            words = line.split()
+            if words[:1] == ["bestmove"]:
+                return (None if words[1] in ("(none)", "0000") else words[1]), (score if score is None or board.white else -score)
+            if "score" in words[:-2]:
+                kind, n = words[words.index("score") + 1], int(words[words.index("score") + 2])
+                score = n if kind == "cp" else (10_000 - n if n > 0 else -10_000 - n)
+        raise RuntimeError("the engine ended")
+
     def close(self) -> None:
         self._send("quit")
         self.process.wait(timeout=10)
 
 
-def play_game(game_id: str, side: str, scorer: scoring.Scorer, opponent: Opponent, config: MatchConfig, temperature: float = 0.0, top_k: int = 0) -> tuple[list[dict], dict, list[str]]:
+def analysed(record: dict, white: bool, best: str | None, before: int | None, after: int | None, threshold: int) -> None:
+    """Put an engine's view of a move into its record; scores are White's."""
+    record |= {"sf_best_move": best, "sf_eval_before_cp": before, "sf_eval_after_cp": after}
+    if before is not None and after is not None:
+        record["centipawn_loss"] = max(0, before - after if white else after - before)
+        record["is_blunder"] = record["centipawn_loss"] > threshold
+
+
+def play_game(
+    game_id: str, side: str, scorer: scoring.Scorer, opponent: Opponent, config: MatchConfig, temperature: float = 0.0, top_k: int = 0, analyst: Callable | None = None
+) -> tuple[list[dict], dict, list[str]]:
     """Move records, the game record and the moves of one game.
 
-    In order: the end of the game by the rules, the ply limit, the model's turn (its record
+    ``analyst(board, limit)`` gives an engine's move and White's centipawns; it looks at the
+    positions before and after each of the model's moves. In order: the end of the game by the rules, the ply limit, the model's turn (its record
     comes before the move is played), the opponent's turn. Only a natural end has a result.
     """
     import zlib
@@ -141,7 +166,11 @@ def play_game(game_id: str, side: str, scorer: scoring.Scorer, opponent: Opponen
             if p.error:
                 termination = "illegal-move"
                 break
+            best, before = analyst(board, config.limit()) if analyst else (None, None)
             board.push_uci(p.move)
+            if analyst:
+                _, after = analyst(board, config.limit())
+                analysed(records[-1], side == "white", best, before, after, config.blunder_threshold_cp)
             moves.append(p.move)
         else:
             reply = opponent.play(board, config.limit())
@@ -155,8 +184,8 @@ def play_game(game_id: str, side: str, scorer: scoring.Scorer, opponent: Opponen
     return records, {"game_id": game_id, "model_side": side, "result": result, "termination": termination, "ply_count": board.ply}, moves
 
 
-def play_games(spark: SparkSession, factory: Callable[[], scoring.Scorer], opponent: Callable[[], Opponent], config: MatchConfig, run_id: str, checkpoint: str, temperature: float = 0.0, top_k: int = 0) -> DataFrame:
-    """Superset records of all games; games run in parallel, one group each."""
+def play_games(spark: SparkSession, factory: Callable[[], scoring.Scorer], opponent: Callable[[], Opponent], config: MatchConfig, run_id: str, checkpoint: str, temperature: float = 0.0, top_k: int = 0, analyse: bool = False) -> DataFrame:
+    """Superset records of all games; games run in parallel, one group each. With ``analyse`` the opponent also judges the model's moves."""
     from ..functions.scalar import color_for_game, game_id
 
     settings = asdict(config)
@@ -173,7 +202,7 @@ def play_games(spark: SparkSession, factory: Callable[[], scoring.Scorer], oppon
             scorer, rows = factory(), []
             for gid, side in zip(frame["game_id"], frame["side"]):
                 head = {"run_id": run_id, "evaluator": "vs_stockfish", "checkpoint": checkpoint}
-                records, game, moves = play_game(gid, side, scorer, rival, own, temperature, top_k)
+                records, game, moves = play_game(gid, side, scorer, rival, own, temperature, top_k, rival.analyse if analyse else None)
                 names_of = {"White": "model" if side == "white" else "engine", "Black": "engine" if side == "white" else "model", "Result": game["result"], "Termination": game["termination"], "ModelColor": side}
                 rows += [{**head, **r, "record_type": "per_move"} for r in records]
                 rows.append({**head, **game, "record_type": "per_game", "pgn": export_pgn(moves, names_of)})
@@ -190,8 +219,55 @@ def play_games(spark: SparkSession, factory: Callable[[], scoring.Scorer], oppon
 def run_match(spark: SparkSession, factory: Callable[[], scoring.Scorer], opponent: Callable[[], Opponent], config: MatchConfig, folder: str, run_id: str, checkpoint: str, extra: Mapping | None = None) -> Run:
     run, extra = Run(spark, folder), dict(extra or {})
     run.write_config(config_payload("vs_stockfish", run_id, checkpoint, config, extra))
-    records = play_games(spark, factory, opponent, config, run_id, checkpoint, float(extra.get("temperature", 0.0)), int(extra.get("top_k", 0)))
+    records = play_games(spark, factory, opponent, config, run_id, checkpoint, float(extra.get("temperature", 0.0)), int(extra.get("top_k", 0)), bool(extra.get("sf_analyze", False)))
     run.append_records(records)
     games = records.where("record_type = 'per_game'").orderBy("event_id").select("pgn")
     run.write_pgn(r["pgn"] for r in games.toLocalIterator())
     return run
+
+
+def solve_puzzles(puzzles: DataFrame, factory: Callable[[], scoring.Scorer]) -> DataFrame:
+    """puzzle_id, rating, themes, fen, solution, model_attempt and solved of (puzzle_id, fen, solution, rating, themes).
+
+    A puzzle's first move leads to its position; then the model and the solver's opponent take
+    turns. The attempt is the solution with the model's first choices (legal moves only) in the
+    model's places, up to the first that differs.
+    """
+    columns = ["puzzle_id", "rating", "themes", "fen", "solution"]
+    schema = puzzles.select(*columns).schema.simpleString()[7:-1] + ",model_attempt:array<string>,solved:boolean"
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from ..chess.board import Board
+
+        scorer = factory()
+        for frame in frames:
+            attempts, lines = [], []
+            for fen, moves in zip(frame["fen"], frame["solution"]):
+                first, *line = list(moves) if moves is not None else [None]
+                board, played, attempt = Board(fen), [], []
+                try:
+                    board.push_uci(first)
+                    side, played = "white" if board.white else "black", [first]
+                    for k, expected in enumerate(line):
+                        move = scoring.predict(scorer, board, scoring.game_tokens(side, played), record_top_k=0).move if k % 2 == 0 else expected
+                        attempt.append(move)
+                        if move != expected:
+                            break
+                        board.push_uci(move)
+                        played.append(move)
+                except (ValueError, TypeError):  # a line that can't be played is not solved
+                    attempt = []
+                attempts.append(attempt)
+                lines.append(line)
+            yield frame[columns].assign(solution=lines, model_attempt=attempts, solved=[bool(b) and a == b for a, b in zip(attempts, lines)])
+
+    return puzzles.select(*columns).mapInPandas(solve, schema)
+
+
+def run_puzzles(spark: SparkSession, factory: Callable[[], scoring.Scorer], config: PuzzleConfig, folder: str, run_id: str, checkpoint: str, extra: Mapping | None = None) -> Run:
+    run = Run(spark, folder)
+    run.write_config(config_payload("puzzles", run_id, checkpoint, config, extra))
+    rating = None if config.rating_min is None and config.rating_max is None else (config.rating_min or 0, config.rating_max or 10**6)
+    chosen = scans.read_puzzles(spark, config.puzzle_path, rating, config.themes, config.sample, config.seed)
+    run.append_records(_headed(solve_puzzles(chosen, factory), run_id, "puzzles", checkpoint, "per_puzzle", "puzzle_id"))
+    return run

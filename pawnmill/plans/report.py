@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import metrics
 from .runs import Run
@@ -77,3 +78,9 @@ def summary(payload: Mapping) -> str:
         x = payload["legal_rate"]["overall"]
         return f"positions {x['n']}: {x['legal']} legal, {100 * x['rate']:.1f} %"
     return f"sequences {payload['num_sequences']}, tokens {payload['num_tokens']}: NLL {payload['mean_nll']:.4f}, {payload['bits_per_token']:.4f} bits, perplexity {payload['perplexity']:.2f}"
+
+
+def puzzle_summary(records: DataFrame) -> str:
+    """A line for the console on a run of puzzles."""
+    row = records.where("record_type = 'per_puzzle'").agg(F.count(F.lit(1)).alias("n"), F.count_if("solved").alias("solved")).first()
+    return f"puzzles {row['n']}: {row['solved']} solved, {100 * row['solved'] / row['n'] if row['n'] else 0:.1f} %"

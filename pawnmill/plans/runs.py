@@ -99,6 +99,21 @@ class PerplexityConfig:
         _require(self.max_sequences is None or self.max_sequences >= 1, f"a limit of {self.max_sequences} sequences leaves none")
 
 
+@dataclass(frozen=True)
+class PuzzleConfig:
+    """First choices on puzzles of a CSV file, of some ratings and themes."""
+
+    puzzle_path: str
+    rating_min: int | None = None
+    rating_max: int | None = None
+    themes: tuple[str, ...] | None = None
+    sample: int | None = None
+    seed: int = C.RESERVOIR_SEED
+
+    def __post_init__(self) -> None:
+        _require(self.sample is None or self.sample >= 1, f"a sample of {self.sample} puzzles is none")
+
+
 def config_payload(evaluator: str, run_id: str, checkpoint: str, config, extra: Mapping | None = None) -> dict:
     """Header, then the configuration's fields, then ``extra``; later values win."""
     fields = {k: str(v) if isinstance(v, Path) else v for k, v in asdict(config).items()}

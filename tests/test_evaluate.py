@@ -180,3 +180,55 @@ def test_legal_rate_events_are_in_source_order(spark, tmp_path):
     run = E.run_legal_rate(spark, scoring.HashScorer, LegalRateConfig(positions_path=str(tmp_path / "p.fen")), str(tmp_path / "run"), "r", "c")
     rows = run.read_records().orderBy("event_id").collect()
     assert [r["position_id"] for r in rows] == [f"p.fen:{k}" for k in range(1, 13)] and [r["event_id"] for r in rows] == list(range(12))
+
+
+class Judge(E.FirstMoveOpponent):
+    """Likes a pawn move of White's best, and finds each position 50 better for White than plies played."""
+
+    def analyse(self, board, limit):
+        return "e2e4", 50 - 300 * board.ply
+
+
+def test_analysed_moves(spark):
+    _, game, _ = E.play_game("g", "white", scoring.HashScorer(), Judge(), MatchConfig(max_plies=4))
+    records, _, _ = E.play_game("g", "white", scoring.HashScorer(), Judge(), MatchConfig(max_plies=4), analyst=Judge().analyse)
+    assert [(r["sf_best_move"], r["sf_eval_before_cp"], r["sf_eval_after_cp"], r["centipawn_loss"], r["is_blunder"]) for r in records] == [("e2e4", 50, -250, 300, True), ("e2e4", -550, -850, 300, True)]
+    records, _, _ = E.play_game("g", "black", scoring.HashScorer(), Judge(), MatchConfig(max_plies=4), analyst=Judge().analyse)
+    assert [(r["centipawn_loss"], r["is_blunder"]) for r in records] == [(0, False)] * 2
+    found = E.play_games(spark, scoring.HashScorer, Judge, MatchConfig(games=2, max_plies=4), "r", "c", analyse=True)
+    assert found.where("record_type = 'per_move' AND sf_best_move = 'e2e4' AND centipawn_loss IS NOT NULL").count() == 4
+
+
+def test_engine_scores(tmp_path):
+    script = tmp_path / "engine"
+    script.write_text("#!/usr/bin/env python3\nimport sys\nfor line in sys.stdin:\n    if line.startswith('uci'): print('uciok', flush=True)\n    if line.startswith('go'): print('info depth 1 score cp 35 pv e2e4', 'info depth 2 score ' + ('mate 3' if '2' in line else 'cp 20') + ' pv e2e4', 'bestmove e2e4', sep='\\n', flush=True)\n    if line.startswith('quit'): break\n")
+    script.chmod(0o755)
+    engine, black = E.UciOpponent(str(script)), Board()
+    black.push_uci("e2e4")
+    assert engine.analyse(Board(), {"depth": 1}) == ("e2e4", 20) and engine.analyse(black, {"depth": 1})[1] == -20 and engine.analyse(Board(), {"depth": 2})[1] == 9997
+    engine.close()
+
+
+class Knows:
+    """Wants the moves of one line, whatever the position."""
+
+    line = ("d8h4", "g2g3", "h4g3")
+
+    def logits(self, prefixes):
+        tokens, out = token_list(), np.zeros((len(prefixes), len(token_list())))
+        for row, p in zip(out, prefixes):
+            row[tokens.index("d8h4")] = 9
+        return out
+
+
+def test_puzzles(spark, tmp_path):
+    from pawnmill.plans.runs import PuzzleConfig
+
+    after = "rnbqkbnr/pppp1ppp/8/4p3/8/5P2/PPPPP1PP/RNBQKBNR w KQkq - 0 2"
+    (tmp_path / "p.csv").write_text(f"PuzzleId,FEN,Moves,Rating,Themes\n1,{after},g2g4 d8h4,600,mate\n2,{after},g2g4 g8f6,900,mate quiet\n3,{after},a7a5 b2b4,900,mate\n4,{START_FEN},e2e4,900,mate\n5,{after},g2g4 d8h4,2900,mate\n")
+    run = E.run_puzzles(spark, Knows, PuzzleConfig(str(tmp_path / "p.csv"), rating_max=2000, themes=("mate",)), str(tmp_path / "run"), "r", "c")
+    rows = {r["puzzle_id"]: (r["model_attempt"], r["solution"], r["solved"]) for r in run.read_records().collect()}
+    assert rows == {"1": (["d8h4"], ["d8h4"], True), "2": (["d8h4"], ["g8f6"], False), "3": ([], ["b2b4"], False), "4": ([], [], False)}
+    assert report.puzzle_summary(run.read_records()).startswith("puzzles 4: 1 solved")
+    with pytest.raises(ValueError, match="unsupported evaluator"):
+        report.report(run)
