@@ -39,8 +39,9 @@ from pyspark.sql import functions as F
 from .common import col, materialise, parts, same, stored, text_or_empty
 
 MIN_WORDS, LINE_WORDS = 6, 1
-#: Words of a removed run from which it counts as a passage in the report.
-PASSAGE_WORDS = 50
+#: Words of a removed run from which it is reported as a passage: a repeated passage of 50 words or more, whose ends share
+#: sentences with other text, loses some half of itself at least.
+PASSAGE_WORDS = 25
 SENTENCE = re.compile(r"[^.!?]*[.!?]+[ \t]*|[^.!?]+\Z")
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")

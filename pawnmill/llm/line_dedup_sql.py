@@ -28,7 +28,7 @@ runs AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END)
 merged AS (SELECT doc_id, run, min(s) AS s, max(e) AS e, count(*) AS n FROM runs GROUP BY doc_id, run),
 passages AS (
   SELECT doc_id, count(*) AS n_passages FROM merged JOIN documents USING (doc_id)
-  WHERE len(regexp_extract_all(substr(text, 1 + s, e - s), '[^\x20\x09-\x0D]+')) >= 50 GROUP BY doc_id),
+  WHERE len(regexp_extract_all(substr(text, 1 + s, e - s), '[^\x20\x09-\x0D]+')) >= 25 GROUP BY doc_id),
 kept AS (
   SELECT doc_id, sum(n)::BIGINT AS n_removed, string_agg(s || ':' || e, ',' ORDER BY s) AS removed, list(s ORDER BY s) AS ss, list(e ORDER BY s) AS es FROM merged GROUP BY doc_id),
 cleaned AS (
