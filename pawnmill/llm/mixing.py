@@ -13,8 +13,9 @@
    writes copies in the order of their slots, so that any prefix of the mix, too, holds the
    sources near their targets.
 
-Prefix sums and ranks are taken in two levels (buckets of the hash, chunks of the schedule),
-so a source with a third of all rows is spread over many tasks. Only tables with one row a
+Prefix sums and ranks are taken in two levels (as many buckets of the hash as a shuffle has
+partitions; chunks of the schedule, as long as there are chunks), so a source with a third of
+all rows is spread over many tasks. Only tables with one row a
 source (the dimension of the mix) pass through a single task.
 
 Defined results: null text has size 0 and is taken 0 times; null source is a source of its
@@ -25,14 +26,16 @@ passed through, whatever their names, by ``mix_documents``.
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import col, materialise, same, shuffle_partitions, text_or_empty, unpacked, whole_rows
 
 WEIGHTS, TOTAL, MOST = (5, 2, 1), 1.5, 2
-#: Words of a block, slots of a chunk of the schedule, and cells of the map from points to sources.
-BLOCK, CHUNK, CELLS = 1024, 4096, 1024
+#: Words of a block, and cells of the map from points to sources.
+BLOCK, CELLS = 1024, 1024
 GOLDEN = 0.6180339887498949
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -74,7 +77,7 @@ def _lines(df: DataFrame, weights, total, most, id_col: str, text_col: str, sour
     Totals and goals travel in the table of (source, bucket) sums, so rows are never dealt by
     their source alone.
     """
-    buckets = 4 * shuffle_partitions(df.sparkSession)
+    buckets = shuffle_partitions(df.sparkSession)
     nameless = F.concat(F.lit("null:"), F.col("mark").cast("string"))
     draw = F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), nameless)))
     base = materialise(
@@ -107,6 +110,7 @@ def schedule(goals: DataFrame, block: int = BLOCK) -> DataFrame:
     )
     whole = goals.agg(F.max("whole")).first()[0] or 0.0
     slots = int(-(-whole // block))
+    chunk = max(1, isqrt(slots))
     edges = goals.where("budget > 0").select(
         "key", ((F.col("upto") - F.col("target")) / F.col("whole")).alias("low"), (F.col("upto") / F.col("whole")).alias("high")
     )
@@ -114,7 +118,7 @@ def schedule(goals: DataFrame, block: int = BLOCK) -> DataFrame:
     # two factors keep the point exact to some 1e-10 for any number of slots
     turn = F.floor(F.col("slot") / 65536) * F.lit(65536 * GOLDEN % 1) % 1 + (F.col("slot") % 65536) * F.lit(GOLDEN) % 1
     points = spark.range(slots).withColumnRenamed("id", "slot").withColumn("point", turn % 1).withColumn("cell", F.floor(F.col("point") * CELLS))
-    drawn = points.join(cells, "cell").where("point >= low AND point < high").select("key", "slot", F.floor(F.col("slot") / CHUNK).alias("chunk"))
+    drawn = points.join(cells, "cell").where("point >= low AND point < high").select("key", "slot", F.floor(F.col("slot") / chunk).alias("chunk"))
     counts = drawn.groupBy("key", "chunk").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     goal = goals.select("key", "source_size", "blocks", "budget")
