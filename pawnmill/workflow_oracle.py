@@ -39,7 +39,7 @@ SQL = {
     "first_rows": "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 1000",
     "strip_columns": "SELECT item_id, length(text)::INT AS n FROM benchmark",
     "raw_game_scan": f"WITH {RAW} SELECT result AS Result, movetext, count(*) AS n FROM base GROUP BY ALL",
-    "shard_round_trip": "SELECT o_orderkey, o_custkey, printf('shard_%05d.parquet', ((row_number() OVER (ORDER BY o_orderkey) - 1) // 500)::INT) AS shard FROM orders",
+    "shard_round_trip": "SELECT o_orderkey, o_custkey, true AS numbered FROM orders",
     "split_round_trip": f"""
 WITH {_holdout('SELECT doc_id, lang FROM documents', 'lang', 'doc_id', f'SELECT ({N_EVAL}) + ({N_TEST})', '42')},
 test AS (SELECT doc_id FROM holdout ORDER BY md5('42:split:' || doc_id), doc_id LIMIT ({N_TEST}))
@@ -51,10 +51,9 @@ WITH {RAW}, {_examples('base')}
 SELECT elo_bucket, result, opening_family, termination_type, count(*) AS n, sum(len(string_split(sequence, ' ')))::BIGINT AS tokens FROM examples GROUP BY ALL""",
     "fen_lines": "SELECT 'positions.fen:' || (n_nationkey + 1) AS position_id, 'rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - ' || n_nationkey || ' ' || (n_nationkey + 1) AS fen FROM nation WHERE n_nationkey % 4 <> 3",
     "sequence_lines": """
-WITH s AS (SELECT item_id, row_number() OVER (ORDER BY item_id) AS lineno FROM benchmark)
-SELECT lineno::INT AS lineno, 'g' || item_id AS id, CASE WHEN item_id % 5 <> 0 THEN 2 ELSE 0 END AS n,
-  CASE WHEN item_id % 3 = 2 THEN 's.jsonl:' || lineno || ': perspective must be white or black' WHEN item_id % 5 = 0 THEN 's.jsonl:' || lineno || ': moves must be a list that is not empty' END AS error
-FROM s WHERE lineno <= 30""",
+SELECT 'g' || item_id AS id, CASE WHEN item_id % 5 <> 0 THEN 2 ELSE 0 END AS n,
+  CASE WHEN item_id % 3 = 2 THEN 'perspective must be white or black' WHEN item_id % 5 = 0 THEN 'moves must be a list that is not empty' END AS error
+FROM benchmark ORDER BY item_id LIMIT 30""",
     "score_games": f"""
 WITH {RAW}, v AS ({VOCAB}),
 s AS (SELECT o_orderkey, string_split(CASE WHEN o_orderkey % 2 = 0 THEN '<WHITE> ' ELSE '<BLACK> ' END || uci || CASE WHEN result = '1/2-1/2' THEN ' <DRAW>' ELSE '' END, ' ') AS w FROM raw WHERE o_orderkey % 11 < 9),
