@@ -7,9 +7,9 @@ Unplaced pieces and the gaps of open sequences are rows of one table. A round
 2. sweeps every range in its own task: each piece, in descending order, takes the least gap
    of the range that holds it (its successor), and the gap, updated, goes on to the next;
 3. settles conflicts between ranges by rank: the pieces that a range could not place claim the
-   least gaps that larger ranges have left, piece by piece, as brackets match in a row; only
-   counts by range decide who gets which ranks, and the claimed gaps are dealt to the range of
-   the claiming pieces, which is swept again;
+   least gaps that larger ranges have left untouched, as many as surely hold them, as brackets
+   match in a row; only counts by range decide who gets which ranks, and the claimed gaps are
+   dealt to the range of the claiming pieces, which is swept again;
 4. hands what is left, and the updated gaps, to the next round.
 
 A round that places nothing shows that no piece fits any gap. Then new sequences open for the
@@ -18,7 +18,7 @@ half the capacity if those are more; no packing of these pieces could do with fe
 ends when no piece is left. Where all rows make one range, a sweep is sequential best fit in
 descending order (tested), and the opening follows at once.
 
-The driver sees three counts for each range (some RANGE_ROWS rows), and no piece or gap.
+The driver sees a few counts for each range (some RANGE_ROWS rows), and no piece or gap.
 
 Defined results: null text is empty, one end token; an empty table gives no rows; repeated
 rows are packed once each; a null id is packed like any other; extra columns are ignored.
@@ -133,7 +133,11 @@ def _by_size(sizes: np.ndarray, names: np.ndarray) -> Iterator[tuple[int, np.nda
 
 
 def _swept(at: int, kind: np.ndarray, name: np.ndarray, size: np.ndarray, capacity: int) -> pa.RecordBatch:
-    """One range after its sweep; rows of a kind are numbered, gaps from the least, pieces from the largest."""
+    """One range after its sweep. What is left is numbered: pieces from the largest, gaps from the least.
+
+    Gaps that the sweep has made smaller than the range's sizes have no number (-1).
+    """
+    least = int(size.min())
     gaps, pieces = Gaps(), dict(_by_size(size[kind == PIECE], name[kind == PIECE]))
     for free, sequences in _by_size(size[kind == GAP], name[kind == GAP]):
         gaps.add(free, sequences)
@@ -142,9 +146,9 @@ def _swept(at: int, kind: np.ndarray, name: np.ndarray, size: np.ndarray, capaci
     left = [(PIECE, pieces[length], length) for length in sorted(pieces, reverse=True)] + [(GAP, s, free) for free in gaps.sizes for s in gaps.by_size[free]]
     rows += [(k, names, np.full(len(names), n), none(names), none(names)) for k, names, n in left]
     kinds = np.repeat([r[0] for r in rows], [len(r[1]) for r in rows]).astype(np.int32)
-    nth = np.zeros(len(kinds), np.int64)
-    for k in (GAP, PIECE):
-        nth[kinds == k] = np.arange(int((kinds == k).sum()))
+    nth, sizes = np.full(len(kinds), -1, dtype=np.int64), np.repeat([r[2][0] if len(r[1]) else 0 for r in rows], [len(r[1]) for r in rows])
+    for some in (kinds == PIECE, (kinds == GAP) & (sizes >= least)):
+        nth[some] = np.arange(int(some.sum()))
     flat = [np.concatenate([r[c] for r in rows]).astype(np.int64) if rows else np.empty(0, np.int64) for c in (1, 2, 3, 4)]
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(kinds), at, np.int32)), pa.array(kinds), *map(pa.array, flat), pa.array(nth)], names=[f.split()[0] for f in SWEPT.split(", ")])
 
@@ -172,25 +176,27 @@ def sweep(rows: DataFrame, capacity: int, dealt: bool) -> DataFrame:
     return rows.select("at", "kind", "name", "size").mapInArrow(run, SWEPT)
 
 
-def claims(gaps: dict[int, int], pieces: dict[int, int]) -> list[tuple[int, int, int, int]]:
+def claims(gaps: dict[int, tuple[int, int]], pieces: dict[int, tuple[int, int]]) -> list[tuple[int, int, int, int]]:
     """(from, first, last, to): the gaps of these ranks of range ``from`` go to range ``to``.
 
-    Ranges are numbered from the largest sizes on. Each one's pieces claim as many gaps as
-    they are, the nearest larger range's first and of that the least ones.
+    Of each range: how many gaps and the least of them, how many pieces and the largest.
+    Ranges are numbered from the largest sizes on. Each one claims gaps for its pieces, of the
+    nearest larger range first and of that the least ones.
     """
     out, left, first = [], [], {}
     for at in sorted(gaps.keys() | pieces.keys()):
-        need = pieces.get(at, 0)
-        while need and left:
+        need, largest = pieces.get(at, (0, 1))
+        while need > 0 and left:
             source = left[-1]
-            begin = first.get(source, 0)
-            n = min(need, gaps[source] - begin)
-            out.append((source, begin, begin + n, at))
-            first[source] = begin + n
-            need -= n
-            if first[source] == gaps[source]:
+            n, least = gaps[source]
+            begin, each = first.get(source, 0), max(1, least // largest)
+            take = min(-(-need // each), n - begin)
+            out.append((source, begin, begin + take, at))
+            first[source] = begin + take
+            need -= take * each
+            if first[source] == n:
                 left.pop()
-        if gaps.get(at):
+        if gaps.get(at, (0, 0))[0]:
             left.append(at)
     return out
 
@@ -214,13 +220,16 @@ def place(items: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_RO
         ranges = rows.select(F.lit(0).alias("at"), "kind", "name", "size").repartitionByRange(-(-n_rows // range_rows), *order)
         swept = materialise(sweep(ranges, capacity, dealt=False))
         wide = F.count_if(F.col("size") * 2 > capacity)
-        counts = {(r["at"], r["kind"]): r for r in swept.groupBy("at", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens"), wide.alias("wide")).collect()}
+        open_gap = (F.col("kind") == GAP) & (F.col("nth") >= 0)
+        figures = [F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens"), wide.alias("wide"), F.max("size").alias("largest"), F.count_if(open_gap).alias("open"), F.min(F.when(open_gap, F.col("size"))).alias("least")]
+        counts = {(r["at"], r["kind"]): r for r in swept.groupBy("at", "kind").agg(*figures).collect()}
         by = {k: {at: r["n"] for (at, kind), r in counts.items() if kind == k} for k in (GAP, PIECE, PLACED)}
         placed.append(found(swept))
         if not by[PIECE]:
             break
         rows, n_placed, n_rows = left(swept), sum(by[PLACED].values()), sum(by[GAP].values()) + sum(by[PIECE].values())
-        if moves := claims(by[GAP], by[PIECE]):
+        offers = {at: (r["open"], r["least"]) for (at, kind), r in counts.items() if kind == GAP and r["open"]}
+        if moves := claims(offers, {at: (n, counts[at, PIECE]["largest"]) for at, n in by[PIECE].items()}):
             goes = table(moves, "source int, first bigint, last bigint, to int")
             mine = (F.col("at") == F.col("source")) & (F.col("nth") >= F.col("first")) & (F.col("nth") < F.col("last"))
             sides = swept.where(F.col("kind") == GAP).join(goes, mine, "left").select("to", "kind", "name", "size")

@@ -72,8 +72,9 @@ def test_a_sweep_equals_sequential_best_fit(seed):
 
 
 def test_claims_match_as_brackets():
-    assert P.claims({0: 3, 1: 1}, {1: 0, 2: 2, 3: 5}) == [(1, 0, 1, 2), (0, 0, 1, 2), (0, 1, 3, 3)]
-    assert P.claims({2: 4}, {0: 3, 2: 1}) == [] and P.claims({}, {}) == []
+    assert P.claims({0: (3, 9), 1: (1, 7)}, {1: (0, 1), 2: (2, 6), 3: (5, 5)}) == [(1, 0, 1, 2), (0, 0, 1, 2), (0, 1, 3, 3)]
+    assert P.claims({0: (3, 9)}, {1: (5, 2), 2: (9, 2)}) == [(0, 0, 2, 1), (0, 2, 3, 2)]  # four pieces to a gap at least
+    assert P.claims({2: (4, 5)}, {0: (3, 9), 2: (1, 5)}) == [] and P.claims({}, {}) == []
 
 
 @pytest.mark.parametrize(("range_rows", "seed"), [(10**6, 1), (25, 2), (7, 3)])
