@@ -41,8 +41,8 @@ from .common import col, materialise, parts, stored
 from .tokens import default_path, worker_tokenizer
 
 CAPACITY, END_ID = 4096, 1
-#: Rows (pieces and gaps) that one range holds, about.
-RANGE_ROWS = 100_000
+#: Rows (pieces and gaps) that one range holds, about; so many or fewer are one range.
+RANGE_ROWS = 200_000
 #: Longest table of claims or quotas (two rows a range at most) that is broadcast.
 SMALL = 100_000
 #: Kinds of rows. Gaps sort before pieces of equal size.
@@ -217,7 +217,8 @@ def place(items: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_RO
     rows, n_rows, opened = piece_rows, items.count(), 0
     while n_rows:
         order = [F.col("size").desc(), F.col("kind"), F.col("name")]
-        ranges = rows.select(F.lit(0).alias("at"), "kind", "name", "size").repartitionByRange(-(-n_rows // range_rows), *order)
+        ranges = rows.select(F.lit(0).alias("at"), "kind", "name", "size")
+        ranges = ranges.repartitionByRange(-(-n_rows // range_rows), *order) if n_rows > range_rows else ranges.coalesce(1)
         swept = materialise(sweep(ranges, capacity, dealt=False))
         wide = F.count_if(F.col("size") * 2 > capacity)
         open_gap = (F.col("kind") == GAP) & (F.col("nth") >= 0)
