@@ -22,12 +22,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     roots = materialise(both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("least")).select("node", F.least("node", "least").alias("root")))
     while True:
         near = both.join(roots.select(F.col("node").alias("y"), F.col("root").alias("theirs")), "y").groupBy(F.col("x").alias("node")).agg(F.min("theirs").alias("theirs"))
-        met = materialise(roots.join(near, "node").select("node", "root", F.least("root", "theirs").alias("lower")))
+        met = roots.join(near, "node").select("node", "root", F.least("root", "theirs").alias("lower"))
         # a root follows the least root that any of its nodes has met
         hooks = met.groupBy(F.col("root").alias("node")).agg(F.min("lower").alias("hook"))
         hooked = materialise(met.join(hooks, "node", "left").select("node", F.col("root").alias("old"), F.least("lower", F.coalesce("hook", "lower")).alias("next")))
         jump = hooked.select(F.col("node").alias("next"), F.col("next").alias("after"))
-        moved = materialise(hooked.join(jump, "next", "left").select("node", "old", F.least("next", F.coalesce("after", "next")).alias("root")))
+        moved = hooked.join(jump, "next", "left").select("node", "old", F.least("next", F.coalesce("after", "next")).alias("root"))
+        moved = materialise(moved.repartition("node"))  # not left lying by root
         changed = moved.where("old <> root").limit(1).count()
         roots = moved.select("node", "root")
         if not changed:
