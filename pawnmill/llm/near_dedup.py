@@ -111,7 +111,8 @@ def _bags(df: DataFrame, wanted: DataFrame, text_col: str, words: int) -> DataFr
 
     some = df.select(text_or_empty(text_col).alias("text"), text_hash(text_col).alias("h"))
     found = some.mapInArrow(run, "set_hi bigint, set_lo bigint, shingles binary, counts binary")
-    met = found.join(wanted.select("set_hi", "set_lo", "rep"), ["set_hi", "set_lo"]).dropDuplicates(["set_hi", "set_lo"])
+    # copies of a text leave one row a task
+    met = found.dropDuplicates(["set_hi", "set_lo"]).join(wanted.select("set_hi", "set_lo", "rep"), ["set_hi", "set_lo"])
     return met.select("rep", "shingles", "counts")
 
 
