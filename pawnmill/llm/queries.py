@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, fingerprint, line_dedup, mixing, near_dedup, packing, pii, quality, sharding, url_filter
-from .common import documents, labels, pages
+from . import differencing, exact_dedup, filter_audit, fingerprint, line_dedup, mixing, near_dedup, packing, pii, prefix_trie, quality, sharding, url_filter
+from .common import conversations, documents, labels, pages
+from .filter_audit_sql import OP12_SQL
 from .line_dedup_sql import OP8_SQL
 from .mixing_sql import OP9_SQL
+from .prefix_trie_sql import OP11_SQL
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +54,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(conversations(spark, sf_dir)).drop("first_pos", "last_pos")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op13_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return differencing.pack_windows(documents(spark, sf_dir))
+
+
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
@@ -72,8 +86,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_source_mixing": op9_source_mixing,
         "op10_sharding": op10_sharding,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_differencing": op13_differencing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op8_line_dedup": OP8_SQL, "op9_source_mixing": OP9_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op8_line_dedup": OP8_SQL, "op9_source_mixing": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op12_filter_audit": OP12_SQL}
