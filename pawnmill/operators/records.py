@@ -76,9 +76,10 @@ def with_event_ids(df: DataFrame, run: str, *order: Column | str, out: str = "ev
     ranges = checkpointed(df.repartitionByRange(parts, run, *order).withColumn("__range", F.spark_partition_id()))
     counts = ranges.groupBy(run, "__range").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(run).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    later = counts.withColumn("__first", F.sum("__n").over(before)).where("__first IS NOT NULL").select(run, "__range", "__first")
+    later = counts.withColumn("__first", F.sum("__n").over(before)).where("__first IS NOT NULL").select(F.col(run).alias("__of"), F.col("__range").alias("__at"), "__first")
     inside = F.row_number().over(Window.partitionBy(run, "__range").orderBy(*order)) - 1
-    numbered = ranges.withColumn("__nth", inside).join(later, [run, "__range"], "left")
+    numbered = ranges.withColumn("__nth", inside)
+    numbered = numbered.join(later, numbered[run].eqNullSafe(later["__of"]) & (F.col("__range") == F.col("__at")), "left")  # a null run is a run
     return numbered.select(*df.columns, (F.col("__nth") + F.coalesce("__first", F.lit(0))).cast("int").alias(out))
 
 

@@ -1,8 +1,8 @@
 """Reproducible sampling and splits.
 
 Rows are shuffled by a hash of the seed and the row's id, so a sample depends on neither
-partitions nor retries. Sizes that span all rows are cut with a sorted limit (each task
-keeps its own first n) or with ranks inside strata; no unpartitioned window sees the table.
+partitions nor retries. Samples that are a fraction of the table are df under a filter (see
+``selection``); no unpartitioned window or limit sees the table.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.scalar import half_even, hash_order
 from ..session import broadcast_if_small, checkpointed
+from . import selection
 
 
 def split_sizes(total: int, eval_fraction: float = C.EVAL_FRACTION, test_fraction: float = C.TEST_FRACTION) -> tuple[int, int]:
@@ -29,34 +30,24 @@ def split_sizes(total: int, eval_fraction: float = C.EVAL_FRACTION, test_fractio
 def stratified_holdout(df: DataFrame, strata: Sequence[str], size: int, id_col: str, seed: object = C.SHUFFLE_SEED) -> DataFrame:
     """``size`` rows of df, each stratum in proportion and with at least one row.
 
-    Quotas are max(1, size * n / total rounded half to even). Within a stratum, rows rank by
-    hash; ranks are taken only among rows whose hash lies below a bound that surely holds the
-    quota, so a stratum with most of the rows sends about its quota, not all its rows, to one
-    task. Surplus is cut, and a shortage filled from the rest, in hash order.
+    Quotas are max(1, size * n / total rounded half to even). Within a stratum, the rows with
+    the least hashes are chosen by a filter (see ``selection``), so neither a stratum's quota
+    nor the whole sample is gathered in one task. Surplus is cut, and a shortage filled from
+    the rest, in hash order.
     """
     order = hash_order(seed, id_col)
-    counts = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("__n"))
-    total = F.sum("__n").over(Window.partitionBy(F.lit(0)))  # one row for each stratum
-    quotas = counts.withColumn("__quota", F.least(F.greatest(F.lit(1), half_even(F.lit(float(size)) * F.col("__n") / total)), F.col("__n")))
-    # a share of the hash range that holds the quota but for odds below one in 10^9
-    want = F.col("__quota") + F.lit(7.0) * F.sqrt(F.col("__quota")) + F.lit(60.0)
-    bounded = quotas.withColumn("__below", F.least(F.lit(1.0), want / F.col("__n")))
-    keyed = df.withColumn("__order", order)
-    same = [df[s].eqNullSafe(bounded[s]) for s in strata]
-    condition = same[0]
-    for c in same[1:]:
-        condition = condition & c
-    place = hash_share(F.col("__order"))
-    near = keyed.join(broadcast_if_small(bounded), condition).where(place <= F.col("__below"))
-    near = near.select(*[keyed[c] for c in keyed.columns], "__quota")
-    ranked = near.withColumn("__rank", F.row_number().over(Window.partitionBy(*strata).orderBy("__order")))
-    chosen = checkpointed(ranked.where(F.col("__rank") <= F.col("__quota")).orderBy(hash_order(f"{seed}:cut", id_col), id_col).limit(size).select(*keyed.columns))
-    short = size - chosen.count()
-    if short > 0:
-        taken = chosen.select(F.col(id_col).alias("__taken"))
-        rest = keyed.join(taken, keyed[id_col] == taken["__taken"], "left_anti")
-        chosen = chosen.unionByName(rest.orderBy("__order", id_col).limit(short).select(*keyed.columns))
-    return chosen.select(*df.columns)
+    counts = checkpointed(df.groupBy(*strata).agg(F.count(F.lit(1)).alias("__n")))
+    total = counts.agg(F.sum("__n")).first()[0] or 0
+    quotas = counts.withColumn("__quota", F.least(F.greatest(F.lit(1), half_even(F.lit(float(size)) * F.col("__n") / F.lit(max(1, total)))), F.col("__n")))
+    chosen = checkpointed(selection.first_in_groups(df, strata, quotas, order, id_col))
+    n = chosen.count()
+    if n > size:
+        return selection.first_rows(chosen, size, hash_order(f"{seed}:cut", id_col), id_col, n)
+    if n < min(size, total):
+        taken = chosen.select(F.col(id_col).alias("__taken")).distinct()
+        rest = checkpointed(df.join(taken, df[id_col] == taken["__taken"], "left_anti"))
+        chosen = chosen.unionByName(selection.first_rows(rest, size - n, order, id_col))
+    return chosen
 
 
 def three_way_split(
@@ -71,8 +62,7 @@ def three_way_split(
         marked = three_way_split(units, strata, group_key, eval_size, test_size, seed).select(group_key, "split")
         return df.join(marked, group_key)
     holdout = checkpointed(stratified_holdout(df.select(id_col, *strata), strata, eval_size + test_size, id_col, seed).select(id_col))
-    order = [hash_order(f"{seed}:split", id_col), F.col(id_col)]
-    test = holdout.orderBy(*order).limit(test_size).withColumn("__test", F.lit(True))
+    test = selection.first_rows(holdout, test_size, hash_order(f"{seed}:split", id_col), id_col).withColumn("__test", F.lit(True))
     marked = holdout.join(test, id_col, "left").select(F.col(id_col).alias("__held"), F.when(F.col("__test"), "test").otherwise("eval").alias("__split"))
     return df.join(marked, df[id_col] == marked["__held"], "left").withColumn("split", F.coalesce("__split", F.lit("train"))).drop("__held", "__split")
 

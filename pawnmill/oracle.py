@@ -87,6 +87,12 @@ def _values() -> str:
     return ", ".join(f"({quote(n)}, {quote(u)})" for n, _, u in MOVETEXTS)
 
 
+LARGE = f"""
+d AS (SELECT doc_id, {WORDS.replace('text', "coalesce(text, '')", 1)} AS w FROM documents),
+e AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS k FROM d),
+v AS (SELECT token, row_number() OVER (ORDER BY token) + 1 AS id FROM (SELECT token FROM e GROUP BY token HAVING count(DISTINCT doc_id) >= 2))"""
+
+
 SQL = {
     "vocab_build": VOCAB,
     "base_filter": "SELECT p_partkey, p_brand, p_type FROM part WHERE p_brand = 'Brand#4' AND contains(lower(p_type), 'eco')",
@@ -214,8 +220,26 @@ SELECT * FROM (VALUES ('mate', 'rnb1kbnr/pppp1ppp/8/4p3/6Pq/5P2/PPPPP2P/RNBQKBNR
     "legal_move_counts": "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{f}', {k})" for n, f, k in POSITIONS) + ") v(name, fen, n)",
     "move_kinds": "SELECT * FROM (VALUES ('pawn', 2), ('quiet', 1), (NULL, 1), ('castle', 1), ('capture', 3)) v(kind, n)",
     "prefix_reuse": """
-SELECT conv_id::VARCHAR AS game_id, (row_number() OVER w - 1)::INT AS ply, (row_number() OVER w)::INT AS n_tokens, (row_number() OVER w - 1)::INT AS n_reused
-FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
+WITH t AS (
+  SELECT user_id, event_id, event_type = 'error' AS ended, (row_number() OVER w - 1)::INT AS ply, ((row_number() OVER w - 1) % 40 - CASE WHEN event_id % 5 = 0 THEN 3 ELSE 0 END)::INT AS n
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+i AS (SELECT *, list_transform(range(0, greatest(n, 0) + 1), lambda k: k * (user_id % 7) + CASE WHEN event_id % 4 = 0 AND k = n THEN 1 ELSE 0 END) AS ids FROM t),
+p AS (SELECT *, CASE WHEN lag(ended) OVER w THEN [] ELSE lag(ids) OVER w END AS prior FROM i WINDOW w AS (PARTITION BY user_id ORDER BY ply))
+SELECT user_id::VARCHAR AS game_id, ply, len(ids)::INT AS n_tokens, CASE WHEN len(prior) < len(ids) AND ids[1:len(prior)] = prior THEN len(prior) ELSE 0 END::INT AS n_reused FROM p""",
+    "encode_ids_large": f"""
+WITH {LARGE} SELECT doc_id, coalesce(count(k), 0)::INT AS n_ids, coalesce(count(k) FILTER (id IS NULL), 0)::INT AS n_unknown, md5(coalesce(string_agg(coalesce(id, 1)::VARCHAR, ' ' ORDER BY k), '')) AS ids_md5
+FROM d LEFT JOIN e USING (doc_id) LEFT JOIN v USING (token) GROUP BY doc_id""",
+    "decode_ids_large": f"""
+WITH {LARGE} SELECT doc_id, md5(coalesce(string_agg(CASE WHEN id IS NULL THEN '<UNK>' ELSE token END, ' ' ORDER BY k), '')) AS text_md5
+FROM d LEFT JOIN e USING (doc_id) LEFT JOIN v USING (token) GROUP BY doc_id""",
+    "interval_matches": """
+WITH r AS (SELECT p_partkey, p_size, CASE WHEN p_partkey % 29 <> 0 THEN round(p_retailprice % 173, 2) END AS low FROM part),
+b AS (SELECT p_partkey, low, CASE WHEN p_partkey % 31 <> 0 THEN round(low + p_size / 10 - 1, 2) END AS high FROM r)
+SELECT p_partkey, count(*) AS n, min(event_id) AS first_event, max(value) AS largest FROM events JOIN b ON (low IS NULL OR low <= value) AND (high IS NULL OR value < high) GROUP BY p_partkey""",
+    "bucketize_by_table": """
+WITH b AS (SELECT s_acctbal / 20 AS bound, min(s_name) AS label FROM supplier GROUP BY bound), e AS (SELECT event_id, CASE WHEN event_id % 50 <> 0 THEN value END AS value FROM events),
+f AS (SELECT event_id, value, min(bound) AS bound FROM e LEFT JOIN b ON value < bound GROUP BY ALL)
+SELECT event_id, CASE WHEN value IS NULL THEN 'unknown' ELSE coalesce(label, 'above all') END AS bucket FROM f LEFT JOIN b USING (bound)""",
     "wellformed_moves": "SELECT move, regexp_full_match(move, '[a-h][1-8][a-h][1-8][qrbn]?') AND substr(move, 1, 2) <> substr(move, 3, 2) AS ok FROM (VALUES ('e2e4'), ('a7a8q'), ('e2e2'), ('z9z9'), ('e2e4x'), (''), ('0000')) v(move)",
 }
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import constants as C
 from .functions import arrays, scalar
-from .operators import games, metrics, preferences, records, sampling, scoring, vocabulary
+from .operators import dictionaries, games, intervals, metrics, preferences, records, sampling, scoring, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -455,11 +455,55 @@ def move_kinds(spark, sf_dir):
 
 @query
 def prefix_reuse(spark, sf_dir):
-    """Keyed prefix state over the turns of conversations."""
+    """Keyed prefix state over events: each line of a user's is the tokens so far, cut or changed at some."""
     from .streaming.jobs import prefix_reuse_batch
 
-    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("game_id"), (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).alias("ply"))
-    return prefix_reuse_batch(turns.select("game_id", "ply", F.sequence(F.lit(0), F.col("ply")).alias("input_ids"), F.lit(False).alias("ended")))
+    nth = (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1) % 40  # tokens start again
+    n = (nth - F.when(F.col("event_id") % 5 == 0, 3).otherwise(0)).cast("int")
+    ids = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda k: (k * (F.col("user_id") % 7) + F.when((F.col("event_id") % 4 == 0) & (k == n), 1).otherwise(0)).cast("int"))
+    ply = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    events = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("game_id"), ply.alias("ply"), ids.alias("input_ids"), (F.col("event_type") == "error").alias("ended"))
+    return prefix_reuse_batch(events)
+
+
+@query
+def encode_ids_large(spark, sf_dir):
+    """Words of whole documents by a vocabulary of all words in two documents or more, of any size."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", scalar.split_words(F.coalesce("text", F.lit(""))).alias("w"))
+    ids = dictionaries.with_token_ids(docs, "w", dictionaries.build_vocabulary(docs, "w", least=2, first_id=2))
+    flat = F.array_join(F.transform("input_ids", lambda x: x.cast("string")), " ")
+    return ids.select("doc_id", F.size("input_ids").alias("n_ids"), F.size(F.filter("input_ids", lambda x: x == C.UNK_ID)).alias("n_unknown"), F.md5(flat.cast("binary")).alias("ids_md5"))
+
+
+@query
+def decode_ids_large(spark, sf_dir):
+    """The way back: rare words have become the unknown token."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", scalar.split_words(F.coalesce("text", F.lit(""))).alias("w"))
+    vocab = dictionaries.build_vocabulary(docs, "w", least=2, first_id=2)
+    back = dictionaries.with_tokens(dictionaries.with_token_ids(docs, "w", vocab), "input_ids", vocab, unknown="<UNK>")
+    return back.select("doc_id", F.md5(F.array_join("tokens", " ").cast("binary")).alias("text_md5"))
+
+
+def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping ranges of the parts' sizes and prices; some are open at an end, some hold nothing."""
+    key = F.col("p_partkey")
+    low = F.when(key % 29 != 0, F.round(F.col("p_retailprice") % 173, 2))
+    return table(spark, sf_dir, "part").select("p_partkey", low.alias("low"), F.when(key % 31 != 0, F.round(low + F.col("p_size") / 10 - 1, 2)).alias("high"))
+
+
+@query
+def interval_matches(spark, sf_dir):
+    """Events whose value lies in a part's range: ranges are data."""
+    met = intervals.interval_join(table(spark, sf_dir, "events").select("event_id", "value"), "value", _ranges(spark, sf_dir))
+    return met.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"), F.max("value").alias("largest"))
+
+
+@query
+def bucketize_by_table(spark, sf_dir):
+    """Buckets of event values whose boundaries are the suppliers' balances."""
+    bounds = table(spark, sf_dir, "supplier").select((F.col("s_acctbal") / 20).alias("bound"), F.col("s_name").alias("label"))
+    rows = intervals.bucketize_by(table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 50 != 0, F.col("value")).alias("value")), "value", bounds, "bound", "label", "above all", unknown="unknown")
+    return rows.select("event_id", "bucket")
 
 
 @query

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +12,10 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import games as G
-from ..operators.records import decode_records
+from ..operators.records import decode_records, with_event_ids
 from ..operators.vocabulary import token_list
 from ..schemas import superset
+from ..session import checkpointed
 
 
 def stream_examples(spark: SparkSession, source: str, out: str, checkpoint: str, high_elo: bool = False) -> StreamingQuery:
@@ -46,30 +48,48 @@ def running_win_counts(records: DataFrame) -> DataFrame:
     return records.where("record_type = 'per_game'").groupBy("model_side", "result").agg(F.count(F.lit(1)).alias("games"))
 
 
+#: Odd multipliers of a 64-bit mixing step, fixed.
+MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+def rolling_prefix(tokens: np.ndarray) -> np.ndarray:
+    """Two 64-bit digests of every prefix of tokens, the empty one first: exclusive-ors of mixed (place, token) pairs."""
+    out = np.zeros((len(tokens) + 1, 2), dtype=np.uint64)
+    place = np.arange(1, len(tokens) + 1, dtype=np.uint64)
+    for k, seed in enumerate((0, 1)):
+        x = tokens.astype(np.int64).view(np.uint64) * np.uint64(MIX[0]) + place * np.uint64(MIX[1]) + np.uint64(seed)
+        for shift, by in ((30, MIX[1]), (27, MIX[2])):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+        out[1:, k] = np.bitwise_xor.accumulate(x ^ (x >> np.uint64(31)))
+    return out
+
+
 class PrefixProcessor(StatefulProcessor):
-    """Keeps each game's token prefix; says whether the next tokens extend it.
+    """Says whether a game's next tokens extend the last ones, from the last ones' length and digest alone.
 
     State is only a short cut: a line that does not strictly extend the stored prefix is
     scored from scratch, with the same result.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.prefix = handle.getValueState("prefix", "tokens array<int>")
+        self.last = handle.getValueState("last", "n int, d1 long, d2 long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        known = [int(t) for t in self.prefix.get()[0]] if self.prefix.exists() else []
+        known = tuple(self.last.get()) if self.last.exists() else (0, 0, 0)
         out = []
         frames = [f for f in rows if len(f)]
         if frames:
             for row in pd.concat(frames).sort_values("ply").itertuples():
-                tokens = [int(t) for t in row.input_ids]
-                reuse = len(known) if len(known) < len(tokens) and tokens[: len(known)] == known else 0
-                known = [] if row.ended else tokens
-                out.append((key[0], int(row.ply), len(tokens), reuse))
-        if known:
-            self.prefix.update((known,))
+                tokens = np.asarray(row.input_ids if row.input_ids is not None else [], dtype=np.int64)
+                digests = rolling_prefix(tokens).view(np.int64)
+                n = known[0]
+                extends = n < len(tokens) and tuple(digests[n].tolist()) == known[1:]
+                out.append((key[0], int(row.ply), len(tokens), n if extends else 0))
+                known = (0, 0, 0) if row.ended else (len(tokens), *digests[-1].tolist())
+        if known[0]:
+            self.last.update(known)
         else:
-            self.prefix.clear()
+            self.last.clear()
         yield pd.DataFrame(out, columns=["game_id", "ply", "n_tokens", "n_reused"]).astype({"ply": "int32", "n_tokens": "int32", "n_reused": "int32"})
 
     def close(self) -> None:
@@ -85,15 +105,18 @@ def prefix_reuse(turns: DataFrame) -> DataFrame:
 
 
 def prefix_reuse_batch(turns: DataFrame) -> DataFrame:
-    """The same over a bounded table."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        known, out = [], []
-        for row in frame.sort_values("ply").itertuples():
-            tokens = [int(t) for t in row.input_ids]
-            reuse = len(known) if len(known) < len(tokens) and tokens[: len(known)] == known else 0
-            known = [] if row.ended else tokens
-            out.append((row.game_id, row.ply, len(tokens), reuse))
-        return pd.DataFrame(out, columns=["game_id", "ply", "n_tokens", "n_reused"])
-
-    return turns.groupBy("game_id").applyInPandas(run, PREFIX_OUT)
+    """The same over a bounded table, by built-in functions: a line's own prefix, as long as the line before it, has that line's digests.
+
+    Lines are numbered in their games by ranges and meet the next line by its number, so a
+    game that holds most lines is split like any other.
+    """
+    digests = lambda ids: (F.xxhash64(ids), F.xxhash64(F.lit("second"), ids))
+    ids = F.coalesce("input_ids", F.array().cast("array<int>"))
+    lines = with_event_ids(turns.select("game_id", "ply", ids.alias("ids"), F.coalesce("ended", F.lit(False)).alias("ended")), "game_id", "ply", out="nth")
+    lines = checkpointed(lines)
+    d1, d2 = digests(F.col("ids"))
+    ahead = lines.where(~F.col("ended") & (F.size("ids") > 0)).select(F.col("game_id").alias("__game"), (F.col("nth") + 1).alias("__nth"), F.size("ids").alias("__n"), d1.alias("__d1"), d2.alias("__d2"))
+    met = lines.join(ahead, F.col("game_id").eqNullSafe(F.col("__game")) & (F.col("nth") == F.col("__nth")), "left")
+    own1, own2 = digests(F.slice("ids", F.lit(1), F.coalesce("__n", F.lit(0))))
+    extends = (F.col("__n") < F.size("ids")) & (own1 == F.col("__d1")) & (own2 == F.col("__d2"))
+    return met.select("game_id", "ply", F.size("ids").alias("n_tokens"), F.when(extends, F.col("__n")).otherwise(0).alias("n_reused"))

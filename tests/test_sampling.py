@@ -114,3 +114,43 @@ def test_sampled_positions(spark):
     found = S.sampled_positions(df, 15, "g", "m").collect()
     assert len(found) == 15 and all(every[r["g"], r["ply"]] == r["m"] for r in found)
     assert S.sampled_positions(df, 10**6, "g", "m").count() == len(every)
+
+
+def selected(spark, rows, quotas, groups=("g",), ranked=8):
+    df = spark.createDataFrame(rows, "id bigint, g string").repartition(5)
+    table = spark.createDataFrame([(g, q, sum(r[1] == g for r in rows)) for g, q in quotas.items()], "g string, __quota bigint, __n bigint")
+    return S.selection.first_in_groups(df, list(groups), table, S.hash_order(3, "id"), "id", ranked=ranked)
+
+
+def test_selection_refines_a_histogram(spark):
+    """Quotas far beyond what is ranked, one for each of several strata, a null one among them."""
+    rows = [(k, ["hot", "hot", "cold", None][k % 4]) for k in range(6000)]
+    quotas = {"hot": 1713, "cold": 1, None: 1500}
+    df = selected(spark, rows, quotas)
+    found = {}
+    for r in df.collect():
+        found.setdefault(r["g"], []).append(r["id"])
+    md5 = lambda k: __import__("hashlib").md5(f"3:{k}".encode()).hexdigest()
+    for g, q in quotas.items():
+        assert sorted(found[g]) == sorted(sorted((k for k, h in rows if h == g), key=md5)[:q])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "TakeOrdered" not in plan and "Exchange hash" not in plan
+
+
+@pytest.mark.parametrize("repeats", [6, 900])
+def test_selection_cuts_repeated_ids(spark, repeats):
+    rows = [(k // repeats, "a") for k in range(1800)]
+    found = Counter(r["id"] for r in selected(spark, rows, {"a": 1234}).collect())
+    assert sum(found.values()) == 1234
+    assert sum(n < repeats for n in found.values()) <= 1
+
+
+def test_first_rows_of_a_fraction(spark):
+    df = spark.range(5000)
+    order = S.hash_order(1, "id")
+    want = {r["id"] for r in df.orderBy(order, "id").limit(2500).collect()}
+    some = S.selection.first_rows(df, 2500, order, "id", ranked=10)
+    assert {r["id"] for r in some.collect()} == want
+    assert "SinglePartition" not in some._jdf.queryExecution().executedPlan().toString()
+    assert S.selection.first_rows(df, 0, order, "id").count() == 0 and S.selection.first_rows(df, 9000, order, "id").count() == 5000
+    assert S.selection.first_rows(spark.range(0), 5, order, "id").count() == 0

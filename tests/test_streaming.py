@@ -45,6 +45,53 @@ def test_prefix_reuse_stream(spark, tmp_path):
     assert {tuple(r) for r in spark.table("reuse").collect()} == WANT
 
 
+def random_turns(spark, n=400):
+    """Games whose lines extend, repeat, cut or change the one before, some of them null or empty."""
+    import random
+
+    rng, rows = random.Random(8), []
+    for game in range(12):
+        line = []
+        for ply in range(n // 12 * (4 if game == 0 else 1)):
+            step = rng.randrange(8)
+            line = line[: rng.randrange(len(line) + 1)] if step == 0 else [*line[:-1], 9] if step == 1 and line else line if step == 2 else [*line, rng.randrange(3)]
+            rows.append((f"g{game}" if game else None, ply, None if step == 3 and not line else list(line), rng.random() < 0.1))
+    return rows
+
+
+def reused(rows):
+    known, out = {}, []
+    for game, ply, tokens, ended in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        tokens, prior = tokens or [], known.get(game, [])
+        out.append((game, ply, len(tokens), len(prior) if len(prior) < len(tokens) and tokens[: len(prior)] == prior else 0))
+        known[game] = [] if ended else tokens
+    return sorted(out, key=repr)
+
+
+def test_prefix_reuse_batch_and_stream_agree(spark, tmp_path):
+    rows = random_turns(spark)
+    df = spark.createDataFrame(rows, turns(spark).schema)
+    batch = jobs.prefix_reuse_batch(df.repartition(5))
+    assert sorted((tuple(r) for r in batch.collect()), key=repr) == reused(rows)
+    plan = batch._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and "Python" not in plan and "Arrow" not in plan
+    # three micro-batches, of ascending plies
+    source = str(tmp_path / "in")
+    named = [r for r in rows if r[0]]
+    for k, (a, b) in enumerate([(0, 9), (9, 10), (10, 1000)]):
+        spark.createDataFrame([r for r in named if a <= r[1] < b], df.schema).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    jobs.prefix_reuse(stream).writeStream.format("memory").queryName("reuse_long").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert sorted((tuple(r) for r in spark.table("reuse_long").collect()), key=repr) == reused(named)
+
+
+def test_rolling_prefixes_tell_places_apart():
+    import numpy as np
+
+    seen = {tuple(jobs.rolling_prefix(np.array(t))[-1]) for t in ([1, 2], [2, 1], [1, 1], [2, 2], [1], [1, 2, 0], [-1, 2], [])}
+    assert len(seen) == 8
+
+
 def test_append_stream(spark, tmp_path):
     """Records appended by a stream appear once, also when it is started again."""
     source, out, marks = (str(tmp_path / n) for n in ("log", "out", "marks"))
