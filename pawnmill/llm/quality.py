@@ -6,8 +6,9 @@ penalised logistic regression picks and weighs rules; the rules that stay are co
 one Spark column expression over the statistics.
 
 Only the fit sees labels, and at most SAMPLE of them (those with the smallest hash of the
-id) and SAMPLE rows with such ids (those with the smallest hash of their statistics); scoring
-covers every row and whole text.
+id); of the rows with such ids, those of equal label and statistics are counted together, at
+most SAMPLE of these (with the smallest hash) are used, and their counts shrink in proportion
+if they exceed SAMPLE. Scoring covers every row and whole text.
 
 Defined results: null and empty texts have all statistics 0 and are scored like others; rows
 whose label or id is null are not learned from; contradictory labels of an id are averaged
@@ -140,11 +141,19 @@ def fit_on_labels(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     chosen = least_hashed(each, sample, "id")  # the documented bound of the sample; also the bound of the broadcast
     texts = df.select(col(id_col).alias("of"), col(text_col).alias("text"))
     met = texts.join(F.broadcast(chosen), F.col("of") == F.col("id")).select("label", "text")
-    rows = least_hashed(materialise(with_stats(met)), sample, "label", *NAMES).toPandas()
+    alike = with_stats(met).groupBy("label", *NAMES).agg(F.count(F.lit(1)).alias("rows"))  # so a cut by hash never drops all repeats at once
+    rows = least_hashed(materialise(alike), sample, "label", *NAMES).toPandas()
     rows = rows.sort_values(list(rows.columns)).to_numpy(dtype=np.float64)
+    rows = np.repeat(rows[:, :-1], shrunk(rows[:, -1], sample), axis=0)
     return fit_rules(rows[:, 1:], rows[:, 0].astype(int))
 
 
+def shrunk(counts: np.ndarray, most: int) -> np.ndarray:
+    """Counts as they are if they sum to ``most`` at most, else in proportion, each at least 1 (so below twice ``most`` for ``most`` counts or fewer)."""
+    total = counts.sum()
+    return (counts if total <= most else np.maximum(1, np.floor(counts * (most / total)))).astype(np.int64)
+
+
 def score_quality(
     df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, sample: int = SAMPLE
 ) -> DataFrame:
