@@ -18,7 +18,7 @@ untouched, whatever their names, by ``drop_duplicates``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import col, keep_one_each, materialise, text_or_empty
@@ -71,8 +71,12 @@ def _groups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
     frequent = base.join(F.broadcast(heavy), "text_sha256")
     rest = base.join(F.broadcast(heavy.select("text_sha256")), "text_sha256", "left_anti")
-    group = Window.partitionBy("text_sha256")
-    rest = rest.withColumns({"first": _winner().over(group), "group_size": F.count(F.lit(1)).over(group)})
+    # aggregated map-side and written, so that the join's sides are plain shuffles, and Spark splits the rows of a digest just below the bound
+    several = materialise(rest.groupBy(F.col("text_sha256").alias("its")).agg(_winner().alias("first"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1"))
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row_tag").alias("row_tag"))
+    rest = rest.join(several, F.col("text_sha256") == F.col("its"), "left").select(
+        *base.columns, F.coalesce("first", own).alias("first"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size")
+    )
     return frequent.unionByName(rest).select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
