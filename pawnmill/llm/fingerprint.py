@@ -168,8 +168,8 @@ def _with_successors(df: DataFrame, id_col: str, text_col: str, apart: frozenset
         if last is not None:
             yield rows(last[0].cast(id_arrow), [(None,) * len(KINDS)], first=first, last=last[1])
 
-    order = [F.col("id").desc_nulls_last(), F.col("hash")]
-    texts = df.select(col(id_col).alias("id"), text_or_empty(text_col).alias("text"), F.xxhash64(text_or_empty(text_col)).alias("hash"))
+    order = [F.col("id").desc_nulls_last(), F.col("hash"), F.col("tie")]  # equal rows are spread over ranges too
+    texts = df.select(col(id_col).alias("id"), text_or_empty(text_col).alias("text"), F.xxhash64(text_or_empty(text_col)).alias("hash"), F.monotonically_increasing_id().alias("tie"))
     line = texts.repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order).select("id", "text")
     out = stored(line.mapInArrow(pair, f"{fields}, range int, first string, last string"))
     # one row, with two texts, for each range that has rows
