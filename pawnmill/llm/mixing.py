@@ -90,11 +90,17 @@ def _lines(df: DataFrame, weights, total, most, id_col: str, text_col: str, sour
     goals = materialise(targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, total, most).withColumn("key", _key()))
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = sums.select("key", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("first")).join(goals.select("key", "source_size", "target"), "key")
-    inside = Window.partitionBy("key", "bucket").orderBy("draw", "size", "row_tag").rowsBetween(Window.unboundedPreceding, -1)
+    # rows alike in draw and size are counted by input partition: none of these, nor of an id that many rows repeat, is sorted in one task
+    like = ["key", "bucket", "draw", "size", "part"]
+    base = base.withColumn("part", F.shiftright("row_tag", 33))
+    inside = Window.partitionBy("key", "bucket").orderBy("draw", "size", "part").rowsBetween(Window.unboundedPreceding, -1)
+    alike = base.groupBy(*like).agg(F.count(F.lit(1)).alias("n")).withColumn("within", F.coalesce(F.sum(F.col("size") * F.col("n")).over(inside), F.lit(0)))
+    nth = F.row_number().over(Window.partitionBy(*like).orderBy("row_tag")) - 1
     lines = (
-        base.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        base.withColumn("nth", nth)
+        .join(alike.select(*like, "within"), like)
         .join(firsts, ["key", "bucket"])
-        .select("doc_id", "mark", "key", "size", "row_tag", "source_size", "target", (F.col("first") + F.col("within")).alias("start"))
+        .select("doc_id", "mark", "key", "size", "row_tag", "source_size", "target", (F.col("first") + F.col("within") + F.col("nth") * F.col("size")).alias("start"))
     )
     return materialise(lines), goals
 
