@@ -15,10 +15,12 @@ Unplaced pieces and the gaps of open sequences are rows of one table. A round
 A round that places nothing shows that no piece fits any gap. Then new sequences open for the
 largest pieces, by rank: as many as the tokens left need at least, or one for each piece over
 half the capacity if those are more; no packing of these pieces could do with fewer. Packing
-ends when no piece is left. Where all rows make one range, a sweep is sequential best fit in
-descending order (tested), and the opening follows at once.
+ends when no piece is left. There are as many ranges as shuffle partitions, fewer where they
+would hold less than LEAST_RANGE_ROWS rows, more where they would hold more than RANGE_ROWS; in
+a single range, a sweep is sequential best fit in descending order (tested), and the opening
+follows at once.
 
-The driver sees a few counts for each range (some RANGE_ROWS rows), and no piece or gap.
+The driver sees a few counts for each range, and no piece or gap.
 
 Defined results: null text is empty, one end token; an empty table gives no rows; repeated
 rows are packed once each; a null id is packed like any other; extra columns are ignored.
@@ -37,12 +39,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, materialise, parts, stored
+from .common import col, materialise, parts, shuffle_partitions, stored
 from .tokens import default_path, worker_tokenizer
 
 CAPACITY, END_ID = 4096, 1
-#: Rows (pieces and gaps) that one range holds, about; so many or fewer are one range.
-RANGE_ROWS = 200_000
+#: Rows (pieces and gaps) that one range holds, at most about and, if there is more than one, at least about.
+RANGE_ROWS, LEAST_RANGE_ROWS = 200_000, 1_000
 #: Longest table of claims or quotas (two rows a range at most) that is broadcast.
 SMALL = 100_000
 #: Kinds of rows. Gaps sort before pieces of equal size.
@@ -201,7 +203,7 @@ def claims(gaps: dict[int, tuple[int, int]], pieces: dict[int, tuple[int, int]])
     return out
 
 
-def place(items: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_ROWS) -> DataFrame:
+def place(items: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_ROWS, least_rows: int = LEAST_RANGE_ROWS) -> DataFrame:
     """tag, sequence_id, offset for every row (tag, length) of items; lengths are 1 to capacity."""
     spark = items.sparkSession
 
@@ -218,7 +220,9 @@ def place(items: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_RO
     while n_rows:
         order = [F.col("size").desc(), F.col("kind"), F.col("name")]
         ranges = rows.select(F.lit(0).alias("at"), "kind", "name", "size")
-        ranges = ranges.repartitionByRange(-(-n_rows // range_rows), *order) if n_rows > range_rows else ranges.coalesce(1)
+        # enough ranges for all cores, more where they would grow large; one where there are only few rows
+        n_ranges = max(-(-n_rows // range_rows), min(shuffle_partitions(spark), n_rows // least_rows), 1)
+        ranges = ranges.repartitionByRange(n_ranges, *order) if n_ranges > 1 else ranges.coalesce(1)
         swept = materialise(sweep(ranges, capacity, dealt=False))
         wide = F.count_if(F.col("size") * 2 > capacity)
         open_gap = (F.col("kind") == GAP) & (F.col("nth") >= 0)
@@ -265,9 +269,10 @@ def place(items: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_RO
 
 
 def pack_documents(
-    df: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", range_rows: int = RANGE_ROWS
+    df: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", range_rows: int = RANGE_ROWS,
+    least_rows: int = LEAST_RANGE_ROWS,
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece."""
     pieces = stored(tokenise_pieces(df, capacity, tokenizer_path or default_path(), end_id, id_col, text_col))
-    places = place(pieces.select("tag", "length"), capacity, range_rows)
+    places = place(pieces.select("tag", "length"), capacity, range_rows, least_rows)
     return pieces.join(places, "tag").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
