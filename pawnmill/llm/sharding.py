@@ -1,18 +1,24 @@
 """Hierarchical weighted hash tree: region, rack, shard (DataFrame functions only).
 
-A leaf's weight is held as tokens, one for each unit and one for the rest. A token draws
-``-ln(u) / weight`` with u a hash of (document id, the token's name); a subtree's draw is the
-least of its tokens' draws. Such a least draw is itself a draw with the sum of the weights
-(the least of exponential variables is one), so each level of the descent is a weighted hash
-draw among children by the weights of their subtrees. A document descends from the root and
-at each level takes the child with the least draw.
-
-A subtree's draw changes only with the tokens below it. So a leaf that gains weight gains
-tokens and takes rows for itself alone, one that loses weight gives up rows of its own alone,
-and where weight is transferred inside a subtree, tokens change hands, the subtree's draw
-stays, and rows move only between the leaves concerned. A new leaf takes rows for itself and
-moves no other, also where it joins a region or a rack that is there already: the tree of
-n + 1 shards is the tree of n shards with one more leaf.
+Shards join in order. When one of weight w brings the total to c, a row moves to it with the
+chance w / c, and to no other; this is decided down the tree, by one weighted draw for each
+child of the subtree that the row has come to:
+
+- a region drew the row while it was filled, from the total a to the total b, with the chance
+  1 - a / b: it did if the row's uniform draw u for the region's name is at least a / b, and
+  then when the total reached a / u. The last region that drew the row has it;
+- of the racks of that region, the one being filled at that moment has it, or the last later
+  one whose own draw took it since; likewise for the shards of that rack.
+
+So a row costs a draw for each region, for each rack of one region and for each shard of one
+rack, whatever the number of shards, and each shard holds rows in proportion to its weight.
+Names are those of the path, so another shape of the tree deals differently.
+
+Movement: a shard that joins (or weight that joins an old shard, ``raise_weight``) takes rows
+only to itself, whatever the number of shards: the law ``key``. Where weight is shifted inside
+a rack or a region whose total stays, no draw outside it has changed, and rows move inside it
+alone. Where a subtree in the middle of the order changes its total by anything but
+``raise_weight``, the subtrees that joined later are drawn anew and give or take rows too.
 
 Slots: rows that agree in id, size and CRC are alike, so they are counted first (map-side)
 and numbered as one; a running sum over buckets of a hash, then within a bucket, places them,
@@ -28,6 +34,7 @@ ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,124 +42,126 @@ from pyspark.sql import functions as F
 from .common import col, shuffle_partitions, text_or_empty
 
 SHARDS = 8
-#: Shards of a rack and racks of a region; equal rows that one task writes out at a time.
-PER_RACK, RACKS, SPREAD = 2, 2, 4096
+#: Shards of a rack and racks of a region; equal rows that one task writes out at a time; longest table that is broadcast.
+PER_RACK, RACKS, SPREAD, SMALL = 2, 2, 4096, 100_000
 
 
 @dataclass(frozen=True)
-class Node:
-    """A subtree; a leaf has a shard number and tokens (name, weight), whose names are its own in the tree."""
+class Leaf:
+    """A shard's weight; shards are in the order in which they joined."""
 
-    name: str
-    children: tuple["Node", ...] = ()
-    shard: int = -1
-    tokens: tuple[tuple[str, float], ...] = ()
+    shard: int
+    weight: float = 1.0
 
-    @property
-    def weight(self) -> float:
-        return sum(w for _, w in tokens(self))
 
+#: A tree: regions of racks of leaves. Only the last region and rack may still be filled.
+Rack = tuple[Leaf, ...]
+Region = tuple[Rack, ...]
+Tree = tuple[Region, ...]
 
-def leaf(name: str, shard: int, weight: float = 1.0) -> Node:
-    """A leaf with one token for each whole unit of weight, and one for the rest."""
-    whole = int(weight)
-    sizes = [1.0] * whole + ([weight - whole] if weight > whole else [])
-    return Node(name, (), shard, tuple((f"{name}#{k}", w) for k, w in enumerate(sizes)))
 
+def leaves(tree: Tree) -> list[Leaf]:
+    return [x for region in tree for rack in region for x in rack]
 
-def tokens(node: Node) -> list[tuple[str, float]]:
-    """All tokens below a node."""
-    return [t for c in node.children for t in tokens(c)] if node.children else list(node.tokens)
 
+def add_leaf(tree: Tree, leaf: Leaf, racks: int, per_rack: int) -> Tree:
+    """The tree with one more leaf at its end: in the last rack, in a new rack of the last region, or in a new region."""
+    if not tree or (len(tree[-1]) == racks and len(tree[-1][-1]) == per_rack):
+        return (*tree, ((leaf,),))
+    *before, last = tree
+    if len(last[-1]) == per_rack:
+        return (*before, (*last, (leaf,)))
+    return (*before, (*last[:-1], (*last[-1], leaf)))
 
-def transfer(tree: Node, source: int, target: int, n: int = 1) -> Node:
-    """The tree in which the last n tokens of one shard belong to another."""
-    given: list[tuple[str, float]] = []
 
-    def give(node: Node) -> Node:
-        if node.children:
-            return Node(node.name, tuple(map(give, node.children)))
-        if node.shard != source:
-            return node
-        given.extend(node.tokens[len(node.tokens) - n :])
-        return Node(node.name, (), node.shard, node.tokens[: len(node.tokens) - n])
+def standard_tree(n_shards: int, racks: int = RACKS, per_rack: int = PER_RACK) -> Tree:
+    """Regions of racks x per_rack equal shards; the last region and rack may be smaller."""
+    tree: Tree = ()
+    for s in range(n_shards):
+        tree = add_leaf(tree, Leaf(s), racks, per_rack)
+    return tree
 
-    def take(node: Node) -> Node:
-        if node.children:
-            return Node(node.name, tuple(map(take, node.children)))
-        return Node(node.name, (), node.shard, (*node.tokens, *given)) if node.shard == target else node
 
-    return take(give(tree))
+def grow(tree: Tree, racks: int = RACKS, per_rack: int = PER_RACK, weight: float = 1.0) -> Tree:
+    """The tree with one more shard: only that shard gains rows."""
+    return add_leaf(tree, Leaf(max((x.shard for x in leaves(tree)), default=-1) + 1, weight), racks, per_rack)
 
 
-def standard_tree(n_shards: int, racks: int = RACKS, per_rack: int = PER_RACK) -> Node:
-    """Regions of racks x per_rack equal shards; the last region and rack may be smaller.
+def raise_weight(tree: Tree, shard: int, by: float) -> Tree:
+    """The tree in which a shard has more weight: it joins again, as a region of its own, and takes rows only to itself."""
+    return (*tree, ((Leaf(shard, by),),))
+
+
+def reweigh(tree: Tree, weights: dict[int, float]) -> Tree:
+    """The tree with these shards' weights replaced; where the sums of all subtrees around them stay, only their rows move."""
+    return tuple(tuple(tuple(Leaf(x.shard, weights.get(x.shard, x.weight)) for x in rack) for rack in region) for region in tree)
 
-    A shard's path follows from its number alone, whatever the number of shards.
-    """
-    regions: dict[int, dict[int, list[Node]]] = {}
-    for s in range(n_shards):
-        regions.setdefault(s // (racks * per_rack), {}).setdefault(s // per_rack % racks, []).append(leaf(f"shard{s}", s))
-    return Node("root", tuple(Node(f"region{r}", tuple(Node(f"rack{k}", tuple(leaves)) for k, leaves in inside.items())) for r, inside in regions.items()))
 
+def _draw(key: Column, level: str, *names: Column) -> Column:
+    """Uniform over (0, 1], by the row and a node's path."""
+    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(level), *names), 11)  # 53 bits
+    return (bits.cast("double") + F.lit(1.0)) / F.lit(float(1 << 53))
 
-def grow(tree: Node, racks: int = RACKS, per_rack: int = PER_RACK) -> Node:
-    """The standard tree with one more shard: only that shard gains rows."""
-    return standard_tree(len(_shards(tree)) + 1, racks, per_rack)
 
+def _numbers(values: list, kind: str) -> Column:
+    return F.array(*[F.lit(v).cast(kind) for v in values])
 
-def _shards(node: Node) -> list[int]:
-    return [s for c in node.children for s in _shards(c)] if node.children else [node.shard] if node.shard >= 0 else []
 
+def _bind(value: Column, then) -> Column:
+    """then(value), with value in the plan once, however often ``then`` refers to it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
-def _draw(key: Column, name: str, weight: float) -> Column:
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(name)), 11)  # 53 bits
-    return -F.log((bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))) / F.lit(float(weight))
 
+def _last_drawn(first: Column, last: Column, came: Column, starts: Column, ends: Column, draw) -> Column:
+    """(node, since): of the nodes ``first`` to ``last``, the last that drew a row which came when the total was ``came``."""
+    found = lambda k, since: F.struct(k.cast("int").alias("node"), since.cast("double").alias("since"))
 
-def draws(key: Column, *trees: Node) -> Column:
-    """A struct with the draw of every token of these trees; trees share the tokens that they both have."""
-    every: dict[str, Column] = {}
-    for tree in trees:
-        own = tokens(tree)
-        if len({name for name, _ in own}) < len(own):
-            raise ValueError("two tokens of a tree have one name")
-        every |= {_field(t): _draw(key, *t) for t in own}
-    return F.struct(*[v.alias(k) for k, v in every.items()])
+    def step(acc: Column, k: Column) -> Column:
+        start, end = F.element_at(starts, k + 1), F.element_at(ends, k + 1)
+        return F.when((k == first) | (start < came), found(k, came)).otherwise(_bind(draw(k), lambda u: F.when(u >= start / end, found(k, start / u)).otherwise(acc)))
 
+    return F.aggregate(F.sequence(first, last), found(F.lit(-1), F.lit(0.0)), step)
 
-def _field(token: tuple[str, float]) -> str:
-    return f"{token[0]}={token[1]!r}"
 
+def shard_column(key: Column, tree: Tree) -> Column:
+    """The shard that a key falls into; an expression of the same size for any tree."""
+    upto = [0.0, *accumulate(x.weight for x in leaves(tree))]
+    first_leaf = [0, *accumulate(len(rack) for region in tree for rack in region)]
+    first_rack = [0, *accumulate(len(region) for region in tree)]
+    of_racks, of_regions = [upto[k] for k in first_leaf], [upto[first_leaf[k]] for k in first_rack]
+    spans = lambda bounds: (_numbers(bounds[:-1], "double"), _numbers(bounds[1:], "double"))
+    pick = lambda values, k: F.element_at(_numbers(values, "int"), k + 1)
 
-def descend(drawn: Column, node: Node) -> Column:
-    """Column expression: the shard that a row with these draws falls into."""
-    if not node.children:
-        return F.lit(node.shard)
-    children = [c for c in node.children if tokens(c)]
-    if len(children) == 1:
-        return descend(drawn, children[0])
-    subtrees = [[drawn.getField(_field(t)) for t in tokens(c)] for c in children]
-    least = [F.least(*d) if len(d) > 1 else d[0] for d in subtrees]
-    first = F.least(*least)
-    out = None
-    for child, draw in zip(children[:-1], least[:-1]):
-        then = descend(drawn, child)
-        out = F.when(draw == first, then) if out is None else out.when(draw == first, then)
-    return out.otherwise(descend(drawn, children[-1]))
+    def in_region(r: Column) -> Column:
+        first = pick(first_rack[:-1], r["node"])
+        rack = _last_drawn(first, pick(first_rack[1:], r["node"]) - 1, r["since"], *spans(of_racks), lambda k: _draw(key, "rack", r["node"], k - first))
+        return _bind(rack, lambda c: in_rack(r["node"], c["node"] - first, c))
 
+    def in_rack(region: Column, nth: Column, c: Column) -> Column:
+        first = pick(first_leaf[:-1], c["node"])
+        leaf = _last_drawn(first, pick(first_leaf[1:], c["node"]) - 1, c["since"], *spans(upto), lambda k: _draw(key, "shard", region, nth, k - first))
+        return pick([x.shard for x in leaves(tree)], leaf["node"])
 
-def assign_shards(df: DataFrame, tree: Node, id_col: str = "doc_id", out: str = "shard") -> DataFrame:
+    region = _last_drawn(F.lit(0), F.lit(len(tree) - 1), F.lit(0.0), *spans(of_regions), lambda k: _draw(key, "region", k))
+    return _bind(region, in_region)
+
+
+def shard_of(df: DataFrame, tree: Tree, key: Column, out: str) -> DataFrame:
+    """df with the shard that each row's key falls into; no shuffle."""
+    return df.withColumn(out, shard_column(key, tree) if tree else F.lit(-1))
+
+
+def assign_shards(df: DataFrame, tree: Tree, id_col: str = "doc_id", out: str = "shard") -> DataFrame:
     """df with the shard column (replaced if df has it); no shuffle."""
-    return df.withColumn(out, descend(draws(col(id_col), tree), tree))
+    return shard_of(df, tree, col(id_col), out)
 
 
-def with_slots(df: DataFrame, group: str, ordered: list[str]) -> DataFrame:
+def with_slots(df: DataFrame, group: str, ordered: list[str], groups: int) -> DataFrame:
     """Columns ``group`` and ``ordered`` of every row of df, and ``slot``: places in each group, gapless from 0.
 
     Rows that agree in all these columns are alike and counted first. Buckets of a hash and
-    their sizes (groups x buckets rows, a bound set by the parallelism, not by the data) give
-    each bucket its first slot.
+    their sizes (``groups`` x buckets rows at most, set by the parallelism, not by the data;
+    broadcast up to SMALL, else shuffled) give each bucket its first slot.
     """
     partitions = shuffle_partitions(df.sparkSession)
     bucket = F.pmod(F.xxhash64(*ordered, F.lit("slot")), F.lit(4 * partitions)).cast("int")
@@ -160,10 +169,12 @@ def with_slots(df: DataFrame, group: str, ordered: list[str]) -> DataFrame:
     counts = df.groupBy(F.col(group).alias("its"), bucket.alias("of")).agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("its").orderBy("of").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("its", "of", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    if groups * 4 * partitions <= SMALL:
+        first = F.broadcast(first)
     inside = Window.partitionBy(group, "bucket").orderBy(*ordered).rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         alike.withColumn("within", F.coalesce(F.sum("rows").over(inside), F.lit(0)))
-        .join(F.broadcast(first), (F.col(group) == F.col("its")) & (F.col("bucket") == F.col("of")))
+        .join(first, (F.col(group) == F.col("its")) & (F.col("bucket") == F.col("of")))
         .withColumn("slot", F.col("first") + F.col("within"))
     )
     lots = placed.select(group, *ordered, "slot", "rows", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(SPREAD).cast("long"))).alias("lot"))
@@ -175,13 +186,8 @@ def with_slots(df: DataFrame, group: str, ordered: list[str]) -> DataFrame:
 def shard_documents(df: DataFrame, n_shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of df."""
     tree = standard_tree(n_shards)
-    grown = grow(tree)
     text = text_or_empty(text_col)
-    keyed = df.select(
-        col(id_col).alias("doc_id"),
-        (F.octet_length(text).cast("long") + 1).alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        draws(col(id_col), grown).alias("drawn"),  # the grown tree has the other's tokens
-    )
-    keyed = keyed.select("doc_id", "size", "text_crc32", descend(F.col("drawn"), tree).alias("shard"), descend(F.col("drawn"), grown).alias("grown_shard"))
-    return with_slots(keyed, "shard", ["doc_id", "size", "text_crc32", "grown_shard"]).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+    rows = df.select(col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    keyed = shard_of(shard_of(rows, tree, F.col("doc_id"), "shard"), grow(tree), F.col("doc_id"), "grown_shard")
+    slotted = with_slots(keyed, "shard", ["doc_id", "size", "text_crc32", "grown_shard"], max(1, n_shards))
+    return slotted.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import math
 import struct
 import zlib
 from collections import Counter
@@ -11,21 +10,33 @@ from pawnmill.llm import sharding as S
 from tests.llm.helpers import docs
 
 
-def hash64(value, path):
-    """Spark's xxhash64 of (bigint, string), chained from seed 42."""
-    first = 42 if value is None else xxhash.xxh64(struct.pack("<q", value), seed=42).intdigest()
-    return xxhash.xxh64(path.encode(), seed=first).intdigest()
+def draw(value, *path):
+    """Uniform over (0, 1] for a row and a node's path (level, then numbers)."""
+    h = 42 if value is None else xxhash.xxh64(struct.pack("<q", value), seed=42).intdigest()
+    h = xxhash.xxh64(path[0].encode(), seed=h).intdigest()
+    for k in path[1:]:
+        h = xxhash.xxh64(struct.pack("<i", k), seed=h).intdigest()
+    return ((h >> 11) + 1) / 2**53
 
 
-def draw(value, node):
-    if not node.children:
-        return min(((-math.log(((hash64(value, name) >> 11) + 0.5) / 2**53) / w, node.shard) for name, w in node.tokens), default=(math.inf, -1))
-    return min(draw(value, c) for c in node.children)
+def descend(value, tree):
+    """The shard of a row, by the rule, without arrays of totals; as long as the leaves joined one by one."""
 
+    def weight(node):
+        return node.weight if isinstance(node, S.Leaf) else sum(map(weight, node))
 
-def descend(value, tree):
-    """The shard of the least draw of all leaves."""
-    return draw(value, tree)[1]
+    level, node, path, before, since = 0, tree, (), 0.0, 0.0
+    while not isinstance(node, S.Leaf):
+        name, at, found, moment = ("region", "rack", "shard")[level], before, None, since
+        for k, child in enumerate(node):
+            start, end = at, at + weight(child)
+            if found is None or start < since:  # being filled, or filled before, when the row came
+                found, begin = k, start
+            elif (u := draw(value, name, *path, k)) >= start / end:
+                found, begin, moment = k, start, start / u
+            at = end
+        node, path, before, since, level = node[found], (*path, found), begin, moment, level + 1
+    return node.shard
 
 
 def test_against_brute_force(spark):
@@ -69,30 +80,44 @@ def test_equal_rows_get_gapless_slots(spark, monkeypatch):
         assert slots == list(range(len(slots)))
 
 
-def test_weights_and_confined_movement(spark):
-    rows = spark.range(20_000).withColumnRenamed("id", "doc_id")
-    heavy = S.Node("root", (S.Node("a", (S.leaf("0", 0), S.leaf("1", 1, 3.0))), S.Node("b", (S.leaf("2", 2, 0.5), S.leaf("3", 3, 1.5)))))
-    moved = S.transfer(heavy, 1, 0)
-    assert heavy.children[0].weight == moved.children[0].weight == 4 and moved.children[0].children[0].weight == 2
-    got = S.assign_shards(S.assign_shards(rows, heavy), moved, out="after").collect()
-    n = Counter(r["shard"] for r in got)
-    assert all(abs(n[s] / 20_000 - w) < 0.02 for s, w in {0: 1 / 6, 1: 1 / 2, 2: 1 / 12, 3: 1 / 4}.items())
-    assert all(r["shard"] == r["after"] or (r["shard"], r["after"]) == (1, 0) for r in got)
-    assert any(r["shard"] != r["after"] for r in got)
-    more = S.Node("root", (heavy.children[0], S.Node("b", (S.leaf("2", 2, 0.5), S.leaf("3", 3, 2.5)))))
-    got = S.assign_shards(S.assign_shards(rows, heavy), more, out="after").collect()
-    assert all(r["shard"] == r["after"] or r["after"] == 3 for r in got)
+def both(spark, before, after, n=20_000):
+    rows = spark.range(n).withColumnRenamed("id", "doc_id")
+    return [(r["shard"], r["after"]) for r in S.assign_shards(S.assign_shards(rows, before), after, out="after").collect()]
 
 
-def test_tree_sizes():
-    for n in (1, 3, 5, 8, 9):
-        leaves = []
+def test_weights(spark):
+    tree = ((tuple(S.Leaf(k, w) for k, w in ((0, 1.0), (1, 3.0))),), (tuple(S.Leaf(k, w) for k, w in ((2, 0.5), (3, 1.5))), (S.Leaf(4, 2.0),)))
+    n = Counter(a for a, _ in both(spark, tree, tree))
+    assert all(abs(n[s] / 20_000 - w) < 0.015 for s, w in {0: 1 / 8, 1: 3 / 8, 2: 1 / 16, 3: 3 / 16, 4: 1 / 4}.items())
+
+
+def test_movement_is_confined(spark):
+    tree = S.standard_tree(13, 2, 3)
+    # weight shifted inside a rack: nothing outside it moves; inside a region: nothing outside that
+    for weights, inside in (({6: 0.25, 8: 1.75}, {6, 7, 8}), ({0: 0.5, 4: 1.5}, {0, 1, 2, 3, 4, 5})):
+        moved = {(a, b) for a, b in both(spark, tree, S.reweigh(tree, weights)) if a != b}
+        assert moved and all(a in inside and b in inside for a, b in moved)
+    # weight that joins takes rows to its own shard alone
+    pairs = both(spark, tree, S.raise_weight(tree, 2, 1.0))
+    assert all(b == 2 for a, b in pairs if a != b) and abs(sum(b == 2 for _, b in pairs) / 20_000 - 2 / 14) < 0.015
+    assert all(b == 13 for a, b in both(spark, tree, S.grow(tree, 2, 3)) if a != b)
 
-        def walk(node):
-            leaves.append(node.shard) if not node.children else [walk(c) for c in node.children]
 
-        walk(S.standard_tree(n))
-        assert sorted(leaves) == list(range(n))
+def test_the_shape_of_the_tree_decides(spark):
+    shapes = [S.standard_tree(8), S.standard_tree(8, 1, 1), S.standard_tree(8, 1, 8), S.standard_tree(8, 4, 2)]
+    for one in shapes[1:]:
+        assert sum(a != b for a, b in both(spark, shapes[0], one, 2000)) > 500
+
+
+def test_draws_grow_with_depth_not_with_shards(spark):
+    """A plan for 600 shards has no more draws than one for 8."""
+    plans = [S.assign_shards(spark.range(1).withColumnRenamed("id", "doc_id"), S.standard_tree(n, 8, 8))._jdf.queryExecution().optimizedPlan().toString().count("xxhash64") for n in (8, 600)]
+    assert plans[1] <= plans[0]
+
+
+def test_tree_sizes():
+    for n in (1, 3, 5, 8, 9):
+        assert [x.shard for x in S.leaves(S.standard_tree(n))] == list(range(n))
 
 
 def test_empty(spark):
