@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -55,7 +56,11 @@ def expand_outcomes(df: DataFrame, outcome_col: str, side_out: str = "perspectiv
 
 
 def parse_movetext(df: DataFrame, text_col: str = "movetext", out: str = "moves") -> DataFrame:
-    """df with the UCI moves of SAN movetext, null where there are none; Arrow batches, no shuffle."""
+    """df with the UCI moves of SAN movetext, null where there are none; Arrow batches.
+
+    Parsing is costly, so texts that repeat in a batch are parsed once; and where files have
+    fewer partitions than the cluster has cores, rows are dealt out before (else no shuffle).
+    """
     from pyspark.sql.types import ArrayType, StringType, StructType
 
     schema = StructType([*df.schema.fields]).add(out, ArrayType(StringType()))
@@ -65,10 +70,20 @@ def parse_movetext(df: DataFrame, text_col: str = "movetext", out: str = "moves"
         from ..chess.notation import movetext_to_uci
 
         for batch in batches:
-            moves = pa.array([movetext_to_uci(t) for t in batch.column(at).to_pylist()], pa.list_(pa.string()))
+            texts = batch.column(at).to_pylist()
+            parsed = {t: movetext_to_uci(t) for t in dict.fromkeys(texts)}
+            moves = pa.array([parsed[t] for t in texts], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns, moves], names=[*batch.schema.names, out])
 
-    return df.mapInArrow(parse, schema)
+    return spread(df).mapInArrow(parse, schema)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, if it is a scan of files with fewer; anything else as it is."""
+    if df.isStreaming or re.search(r"Join|Aggregate|Sort|Window|Repartition|LogicalRDD|LocalRelation", df._jdf.queryExecution().optimizedPlan().toString()):
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def classify_games(df: DataFrame) -> DataFrame:

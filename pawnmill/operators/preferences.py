@@ -68,6 +68,31 @@ def minimax(replies: DataFrame, position: Sequence[str], candidate: str, score:
     return best.select(*position, F.col("b.candidate").alias(candidate), (-F.col("b.down")).alias("value"))
 
 
+def backward_induction(nodes: DataFrame, depth: int, node: str = "node", parent: str = "parent", ply: str = "ply", score: str = "score", maximise_first: bool = True) -> DataFrame:
+    """value and best child of every inner node of a game tree of any depth, level by level from the leaves.
+
+    ``nodes`` has a row for each node: its parent (null at a root), its ply (0 at roots, up to
+    ``depth``) and, at leaves, its score. The side at even plies maximises (or minimises, if
+    not ``maximise_first``), the other does the opposite. A node without children has its own
+    score; one with neither has no value and is passed over. Of equal children the least is
+    best. Each level is one aggregation by parent, map-side first, and one join by node.
+    """
+    level = lambda k: nodes.where(F.col(ply) == k)
+    values = level(depth).select(F.col(node).alias("__node"), F.col(parent).alias("__parent"), F.col(score).alias("__value"))
+    out = None
+    for k in range(depth - 1, -1, -1):
+        up = (k % 2 == 0) == maximise_first
+        sign = F.lit(-1 if up else 1)
+        best = values.where("__value IS NOT NULL").groupBy("__parent").agg(F.min(F.struct((sign * F.col("__value")).alias("v"), F.col("__node").alias("child"))).alias("b"))
+        own = level(k).select(F.col(node).alias("__node"), F.col(parent).alias("__of"), F.col(score).alias("__own"))
+        met = own.join(best, F.col("__node") == F.col("__parent"), "left")
+        met = met.select("__node", F.col("__of").alias("__parent"), F.coalesce(sign * F.col("b.v"), F.col("__own")).alias("__value"), F.col("b.child").alias("best"))
+        rows = met.where("best IS NOT NULL").select(F.col("__node").alias(node), F.lit(k).alias(ply), F.col("__value").alias("value"), "best")
+        out = rows if out is None else out.unionByName(rows)
+        values = met.drop("best")
+    return out
+
+
 def move_type(capture: Column, check: Column, castle: Column, pawn: Column) -> Column:
     """Class of a move from its features; checks before captures before castling before pawn moves."""
     return F.when(check, "check").when(capture, "capture").when(castle, "castle").when(pawn, "pawn").otherwise("quiet")

@@ -7,8 +7,10 @@ partitions nor retries. Samples that are a fraction of the table are df under a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,6 +85,42 @@ def reservoir(df: DataFrame, n: int, *keys: str, seed: object = C.RESERVOIR_SEED
     return (df.where(hash_share(order) <= share) if share < 1 else df).orderBy(order, *keys).limit(n)
 
 
+def bottom_k(df: DataFrame, n: int, *keys: str, seed: object = C.RESERVOIR_SEED, fan: int = 64) -> DataFrame:
+    """The rows of ``reservoir`` from one scan: a sketch of the n least hashes that merges in any order.
+
+    Each task keeps its own n least rows; then the sketches of some ``fan`` tasks merge in one,
+    until one is left, so no task reads more than ``fan`` sketches. Merging a sketch with rows
+    that are in it already changes nothing, which makes it safe in a stream (``merge_sketch``).
+    """
+    keyed = df.withColumn("__order", hash_order(seed, *keys))
+    types, order = keyed.schema, ["__order", *keys]
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            both = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            held = both.take(pc.select_k_unstable(both, k=n, sort_keys=[(c, "ascending") for c in order])) if both.num_rows > n else both
+        if held is not None:
+            yield from held.combine_chunks().to_batches()
+
+    sketch = keyed.mapInArrow(least, types).withColumn("__task", F.spark_partition_id())
+    tasks = None
+    while tasks is None or tasks > 1:
+        sketch = checkpointed(sketch)
+        tasks = (sketch.agg(F.max("__task")).first()[0] or 0) + 1 if tasks is None else -(-tasks // fan)
+        merged = sketch.withColumn("__task", F.floor(F.col("__task") / fan).cast("int")) if tasks > 1 else sketch.withColumn("__task", F.lit(0))
+        parts = max(1, -(-tasks // fan))
+        sketch = merged.repartition(parts, "__task").drop("__task").mapInArrow(least, types).withColumn("__task", F.spark_partition_id())
+        tasks = parts
+    return sketch.orderBy(*order).limit(n).select(*df.columns)
+
+
+def merge_sketch(sketch: DataFrame, more: DataFrame, n: int, *keys: str, seed: object = C.RESERVOIR_SEED) -> DataFrame:
+    """The sketch after more rows (unique by keys); the same rows again change nothing."""
+    new = more.join(sketch.select(*keys), list(keys), "left_anti")
+    return bottom_k(sketch.unionByName(new.select(*sketch.columns)), n, *keys, seed=seed)
+
+
 def balanced_sample(df: DataFrame, column: str, each: int, id_col: str, seed: object = C.SHUFFLE_SEED) -> DataFrame:
     """``each`` rows of every value of a column, or all of a rarer value's, in hash order."""
     counts = df.groupBy(F.col(column).alias("__value")).agg(F.count(F.lit(1)).alias("__n"))

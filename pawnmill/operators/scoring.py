@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from .vocabulary import token_list
+from .vocabulary import token_list, with_token_ids
 
 #: Prefixes that a scorer is given at once, whatever a sequence's length.
 PREFIXES = 256
@@ -137,10 +137,11 @@ def scored_ids(side: Column, moves: Column, drawn: Column) -> Column:
 
 def check_vocabulary(sequences: DataFrame) -> DataFrame:
     """An error names the row and the move where a move is not in the vocabulary."""
-    known = F.array(*map(F.lit, token_list()))
-    odd = F.get(F.array_except("moves", known), F.lit(0))
+    ids = with_token_ids(sequences, "moves", token_list(), out="__ids", unknown=-1)  # a hash look-up in Arrow, no literal set
+    odd = F.get("moves", F.coalesce(F.array_position("__ids", -1), F.lit(0)).cast("int") - 1)
     message = F.concat_ws(": ", F.col("id"), F.concat(F.lit("unknown move "), odd))
-    return sequences.withColumn("moves", F.when(odd.isNull(), F.col("moves")).otherwise(F.raise_error(message).cast("array<string>")))
+    good = F.when(F.coalesce(F.array_position("__ids", -1), F.lit(0)) == 0, F.col("moves")).otherwise(F.raise_error(message).cast("array<string>"))
+    return ids.withColumn("moves", good).select(*sequences.columns)
 
 
 def _logits_along(scorer: Scorer, line: list[int]) -> Iterator[tuple[int, np.ndarray]]:

@@ -93,6 +93,18 @@ e AS (SELECT doc_id, unnest(w) AS token, generate_subscripts(w, 1) AS k FROM d),
 v AS (SELECT token, row_number() OVER (ORDER BY token) + 1 AS id FROM (SELECT token FROM e GROUP BY token HAVING count(DISTINCT doc_id) >= 2))"""
 
 
+def _fit(rounds: int, prior: float) -> str:
+    """The rounds of the rating fit, one common table expression each."""
+    steps = [f"""
+r{k} AS (SELECT p.player, any_value(won) / (sum(games / (a.s + b.s)) + {prior}::DOUBLE / (any_value(a.s) + 1)) AS s
+  FROM p JOIN r{k - 1} a ON a.player = p.player JOIN r{k - 1} b ON b.player = p.opponent JOIN t ON t.player = p.player GROUP BY p.player)""" for k in range(1, rounds + 1)]
+    return f"""
+WITH g AS (SELECT o_custkey % 40 AS a, 40 + o_orderkey % 25 AS b, CASE o_orderstatus WHEN 'F' THEN 1.0::DOUBLE WHEN 'O' THEN 0.0 ELSE 0.5 END AS x FROM orders),
+p AS (SELECT a AS player, b AS opponent, count(*) AS games, sum(x) AS points FROM g GROUP BY ALL UNION ALL SELECT b, a, count(*), sum(1 - x) FROM g GROUP BY ALL),
+t AS (SELECT player, sum(points) + {prior}::DOUBLE / 2 AS won FROM p GROUP BY player), r0 AS (SELECT player, 1.0::DOUBLE AS s FROM t),{','.join(steps)}
+SELECT player AS player_id, round(s, 9) AS strength, round(400 * log10(s), 9) AS elo FROM r{rounds}"""
+
+
 SQL = {
     "vocab_build": VOCAB,
     "base_filter": "SELECT p_partkey, p_brand, p_type FROM part WHERE p_brand = 'Brand#4' AND contains(lower(p_type), 'eco')",
@@ -240,6 +252,19 @@ SELECT p_partkey, count(*) AS n, min(event_id) AS first_event, max(value) AS lar
 WITH b AS (SELECT s_acctbal / 20 AS bound, min(s_name) AS label FROM supplier GROUP BY bound), e AS (SELECT event_id, CASE WHEN event_id % 50 <> 0 THEN value END AS value FROM events),
 f AS (SELECT event_id, value, min(bound) AS bound FROM e LEFT JOIN b ON value < bound GROUP BY ALL)
 SELECT event_id, CASE WHEN value IS NULL THEN 'unknown' ELSE coalesce(label, 'above all') END AS bucket FROM f LEFT JOIN b USING (bound)""",
+    "backward_induction": """
+WITH l AS (SELECT l_orderkey, l_linenumber, min(round(l_extendedprice * 100)::BIGINT) AS score, 'l' || lpad(l_orderkey::VARCHAR, 12, '0') || l_linenumber AS node FROM lineitem GROUP BY ALL),
+o AS (SELECT o_custkey, 'o' || lpad(o_orderkey::VARCHAR, 12, '0') AS node, max(score) AS value, arg_min(l.node, (-score, l.node)) AS best FROM orders JOIN l ON l_orderkey = o_orderkey GROUP BY ALL),
+c AS (SELECT c_nationkey, 'c' || lpad(c_custkey::VARCHAR, 12, '0') AS node, min(value) AS value, arg_min(o.node, (value, o.node)) AS best FROM customer JOIN o ON o_custkey = c_custkey GROUP BY ALL),
+n AS (SELECT 'n' || lpad(n_nationkey::VARCHAR, 12, '0') AS node, max(value) AS value, arg_min(c.node, (-value, c.node)) AS best FROM nation JOIN c ON c_nationkey = n_nationkey GROUP BY ALL)
+SELECT node, 2 AS ply, value, best FROM o UNION ALL SELECT node, 1, value, best FROM c UNION ALL SELECT node, 0, value, best FROM n""",
+    "rating_fit": _fit(6, 2.0),
+    "budget_batches": f"""
+WITH d AS (SELECT doc_id, len({WORDS.replace('text', "coalesce(text, '')", 1)})::INT AS n FROM documents), c AS (SELECT *, greatest((n + 63) // 64, 1) * 64 AS padded_to FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY padded_to ORDER BY n, doc_id) - 1 AS nth, greatest(65536, padded_to) // padded_to AS room FROM c)
+SELECT doc_id, n, padded_to, nth // room AS batch, nth % room AS place FROM r""",
+    "bottom_k_positions": """
+SELECT l_orderkey, l_linenumber FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) ORDER BY md5('0:' || l_orderkey || ':' || l_linenumber), l_orderkey, l_linenumber LIMIT 500""",
     "wellformed_moves": "SELECT move, regexp_full_match(move, '[a-h][1-8][a-h][1-8][qrbn]?') AND substr(move, 1, 2) <> substr(move, 3, 2) AS ok FROM (VALUES ('e2e4'), ('a7a8q'), ('e2e2'), ('z9z9'), ('e2e4x'), (''), ('0000')) v(move)",
 }
 

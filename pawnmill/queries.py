@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import constants as C
 from .functions import arrays, scalar
-from .operators import dictionaries, games, intervals, metrics, preferences, records, sampling, scoring, vocabulary
+from .operators import batching, dictionaries, games, intervals, metrics, preferences, ratings, records, sampling, scoring, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -506,6 +506,46 @@ def bucketize_by_table(spark, sf_dir):
     return rows.select("event_id", "bucket")
 
 
+@query
+def backward_induction(spark, sf_dir):
+    """Three plies: the nation takes a customer, the customer answers with an order, the order with a line."""
+    price = F.round(F.col("l_extendedprice") * 100).cast("long")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(price).alias("score"))
+    node = lambda kind, key: F.concat(F.lit(kind), F.lpad(F.col(key).cast("string"), 12, "0"))
+    nothing = F.lit(None).cast("long")
+    nodes = table(spark, sf_dir, "nation").select(node("n", "n_nationkey").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("ply"), nothing.alias("score"))
+    nodes = nodes.unionByName(table(spark, sf_dir, "customer").select(node("c", "c_custkey").alias("node"), node("n", "c_nationkey").alias("parent"), F.lit(1).alias("ply"), nothing.alias("score")))
+    nodes = nodes.unionByName(table(spark, sf_dir, "orders").select(node("o", "o_orderkey").alias("node"), node("c", "o_custkey").alias("parent"), F.lit(2).alias("ply"), nothing.alias("score")))
+    nodes = nodes.unionByName(lines.select(F.concat(node("l", "l_orderkey"), F.col("l_linenumber").cast("string")).alias("node"), node("o", "l_orderkey").alias("parent"), F.lit(3).alias("ply"), "score"))
+    return preferences.backward_induction(nodes, 3)
+
+
+def _clerk_games(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as games of a customer group against a price group."""
+    points = F.when(F.col("o_orderstatus") == "F", 1.0).when(F.col("o_orderstatus") == "O", 0.0).otherwise(0.5)
+    return table(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("a"), (40 + F.col("o_orderkey") % 25).alias("b"), points.alias("points"))
+
+
+@query
+def rating_fit(spark, sf_dir):
+    """Ratings after six rounds of the fit."""
+    found = ratings.ratings(ratings.pair_counts(_clerk_games(spark, sf_dir), "a", "b", "points"), rounds=6, close=0.0, prior=2.0)
+    return _rounded(found.withColumnRenamed("player", "player_id"), "strength", "elo")
+
+
+@query
+def budget_batches(spark, sf_dir):
+    """Whole documents in batches of at most 65,536 padded words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.size(scalar.split_words(F.coalesce("text", F.lit("")))).alias("n"))
+    return batching.budget_batches(docs, "n", 65_536, "doc_id", step=64)
+
+
+@query
+def bottom_k_positions(spark, sf_dir):
+    """The same draw as a reservoir's, from one scan."""
+    return sampling.bottom_k(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct(), 500, "l_orderkey", "l_linenumber", seed=0)
+
+
 @query
 def wellformed_moves(spark, sf_dir):
     """Form of UCI text, apart from legality."""

@@ -97,6 +97,7 @@ class _LogWriter:
         new = all(c["batch"] != batch for c in done)
         if new:
             length = done[-1]["length"] if done else 0
+            os.makedirs(os.path.dirname(self.path) or ".", exist_ok=True)
             with open(self.path, "ab") as log:
                 log.truncate(length)
                 log.seek(length)

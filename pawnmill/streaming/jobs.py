@@ -120,3 +120,37 @@ def prefix_reuse_batch(turns: DataFrame) -> DataFrame:
     own1, own2 = digests(F.slice("ids", F.lit(1), F.coalesce("__n", F.lit(0))))
     extends = (F.col("__n") < F.size("ids")) & (own1 == F.col("__d1")) & (own2 == F.col("__d2"))
     return met.select("game_id", "ply", F.size("ids").alias("n_tokens"), F.when(extends, F.col("__n")).otherwise(0).alias("n_reused"))
+
+
+class CounterProcessor(StatefulProcessor):
+    """Numbers a run's rows without gaps, in the order of ``nth`` within a micro-batch; state is the next number."""
+
+    def __init__(self, limit: int | None = None):
+        self.limit = limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.next = handle.getValueState("next", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        n = int(self.next.get()[0]) if self.next.exists() else 0
+        frames = [f for f in rows if len(f)]
+        if frames:
+            frame = pd.concat(frames).sort_values(["nth", "value"], kind="stable")
+            if self.limit is not None:
+                frame = frame.head(max(0, self.limit - n))
+            ids = np.arange(n, n + len(frame), dtype=np.int64)
+            self.next.update((n + len(frame),))
+            yield pd.DataFrame({"run_id": frame["run_id"], "event_id": ids, "value": frame["value"]})
+
+    def close(self) -> None:
+        pass
+
+
+def numbered_events(events: DataFrame, limit: int | None = None) -> DataFrame:
+    """run_id, event_id, value of a stream (run_id, nth, value): event_id is gap-free from 0 in each run, over all micro-batches and restarts.
+
+    With ``limit``, a run's first rows only, as they come: the state says how many there were.
+    Needs the RocksDB state store. A run's rows of one micro-batch are numbered in one task, so
+    the trigger bounds what it holds.
+    """
+    return events.select("run_id", "nth", "value").groupBy("run_id").transformWithStateInPandas(CounterProcessor(limit), "run_id string, event_id long, value string", "Append", "None")

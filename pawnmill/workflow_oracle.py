@@ -45,6 +45,7 @@ WITH {_holdout('SELECT doc_id, lang FROM documents', 'lang', 'doc_id', f'SELECT
 test AS (SELECT doc_id FROM holdout ORDER BY md5('42:split:' || doc_id), doc_id LIMIT ({N_TEST}))
 SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM holdout) AND doc_id NOT IN (SELECT doc_id FROM test)""",
     "record_log": "SELECT 'per_legal_rate' AS record_type, doc_id::VARCHAR AS position_id, toxic::VARCHAR AS model_move, quality = 1 AS legal FROM labels",
+    "record_log_file": "SELECT 'per_legal_rate' AS record_type, doc_id::VARCHAR AS position_id, toxic::VARCHAR AS model_move, quality = 1 AS legal FROM labels",
     "record_stream": "SELECT doc_id::VARCHAR AS position_id, quality = 1 AS legal FROM labels",
     "example_stream": f"""
 WITH {RAW}, {_examples('base')}

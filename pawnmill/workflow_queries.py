@@ -11,6 +11,7 @@ from .operators import games, metrics, preferences, records, sampling, scoring,
 from .plans import evaluate, prepare, report, runs
 from .queries import MOVETEXTS, _as_games, query, table
 from .session import scratch
+from .sources import record_log as record_log_sink
 from .sources import scans, sinks
 
 
@@ -118,6 +119,16 @@ def record_log(spark, sf_dir):
     return scans.read_records(spark, path).select("record_type", "position_id", "model_move", "legal")
 
 
+@query
+def record_log_file(spark, sf_dir):
+    """The same in one growing file, by three commits, one of them a repeated batch that adds nothing."""
+    path = scratch(spark, "log") + "/records.jsonl"
+    numbered = records.with_event_ids(_label_records(spark, sf_dir), "run_id", F.col("position_id").cast("long"), "legal", "model_move")
+    for batch, part in (("first", "legal"), ("second", "NOT legal"), ("second", "NOT legal")):
+        record_log_sink.append_records(numbered.where(part), path, batch, "event_id")
+    return record_log_sink.read_log(spark, path).select("record_type", "position_id", "model_move", "legal")
+
+
 @query
 def record_stream(spark, sf_dir):
     """Records appended by a stream, whole micro-batches at a time."""

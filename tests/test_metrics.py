@@ -88,3 +88,35 @@ def test_distribution_and_move_types(spark):
     assert flags.where(preferences.move_type(F.col("x"), F.col("c"), F.col("k"), F.col("p")) != F.col("want")).count() == 0
     turn = spark.createDataFrame([(True, "white"), (False, "black")], "w boolean, want string")
     assert turn.where(scalar.side_for_turn("w") != F.col("want")).count() == 0
+
+
+@pytest.mark.parametrize("first", [True, False])
+def test_backward_induction_equals_recursion(spark, first):
+    import random
+
+    rng, nodes = random.Random(7), [(f"r{k}", None, 0, None) for k in range(3)] + [("lone", None, 0, 4)]
+    for ply in range(1, 6):
+        above = [n for n, _, p, s in nodes if p == ply - 1 and s is None]
+        for k in range(40):
+            nodes.append((f"{ply}-{k:02}", rng.choice(above), ply, rng.randrange(9) if ply == 5 or rng.random() < 0.3 else None))
+    children = {}
+    for n, parent, _, _ in nodes:
+        children.setdefault(parent, []).append(n)
+    at = {n: (p, s) for n, _, p, s in nodes}
+    want = {}
+
+    def value(n):
+        ply, score = at[n]
+        some = [(v, c) for c in children.get(n, []) if (v := value(c)) is not None]
+        if not some:
+            return score
+        sign = -1 if (ply % 2 == 0) == first else 1
+        v, best = min((sign * v, c) for v, c in some)
+        want[n] = (ply, sign * v, best)
+        return sign * v
+
+    for n in children[None]:
+        value(n)
+    df = spark.createDataFrame(nodes, "node string, parent string, ply int, score int")
+    found = {r["node"]: (r["ply"], r["value"], r["best"]) for r in P.backward_induction(df, 5, maximise_first=first).collect()}
+    assert found == want

@@ -154,3 +154,16 @@ def test_first_rows_of_a_fraction(spark):
     assert "SinglePartition" not in some._jdf.queryExecution().executedPlan().toString()
     assert S.selection.first_rows(df, 0, order, "id").count() == 0 and S.selection.first_rows(df, 9000, order, "id").count() == 5000
     assert S.selection.first_rows(spark.range(0), 5, order, "id").count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 7, 150])
+def test_bottom_k_equals_the_reservoir(spark, parts):
+    df = spark.range(3000).selectExpr("id", "id % 7 AS g").repartition(parts)
+    want = {r["id"] for r in S.reservoir(df, 40, "id").collect()}
+    sketch = S.bottom_k(df, 40, "id", fan=4)
+    assert {r["id"] for r in sketch.collect()} == want and sketch.columns == df.columns
+    assert S.bottom_k(df, 5000, "id").count() == 3000 and S.bottom_k(df.limit(0), 5, "id").count() == 0
+    half = S.bottom_k(df.where("id < 1700"), 40, "id")
+    for _ in range(2):  # the second time adds nothing
+        half = S.merge_sketch(half, df.where("id >= 1500"), 40, "id")
+        assert {r["id"] for r in half.collect()} == want

@@ -104,3 +104,24 @@ def test_append_stream(spark, tmp_path):
         jobs.append_stream(jobs.stream_records(spark, source), out, marks).awaitTermination()
         rows = spark.read.schema("position_id string, sf_best_move string, legal boolean").json(out).collect()
         assert len(rows) == n and all(r["legal"] for r in rows)
+
+
+def test_numbers_without_gaps_over_restarts(spark, tmp_path):
+    source, marks, out = (str(tmp_path / n) for n in ("in", "marks", "out"))
+    schema = "run_id string, nth long, value string"
+
+    def add(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+
+    def run(limit=None, name=""):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        numbered = jobs.numbered_events(stream, limit)
+        numbered.writeStream.format("parquet").option("path", out + name).option("checkpointLocation", marks + name).trigger(availableNow=True).start().awaitTermination()
+        return sorted(tuple(r) for r in spark.read.schema("run_id string, event_id long, value string").parquet(out + name).collect())
+
+    add([("a", 2, "a2"), ("a", 1, "a1"), ("b", 1, "b1")])
+    add([("a", 3, "a3")])
+    assert run() == [("a", 0, "a1"), ("a", 1, "a2"), ("a", 2, "a3"), ("b", 0, "b1")]
+    add([("b", 3, "b3"), ("b", 2, "b2"), ("c", 1, "c1")])
+    assert run() == [("a", 0, "a1"), ("a", 1, "a2"), ("a", 2, "a3"), ("b", 0, "b1"), ("b", 1, "b2"), ("b", 2, "b3"), ("c", 0, "c1")]
+    assert [(r, e) for r, e, _ in run(2, "-limited")] == [("a", 0), ("a", 1), ("b", 0), ("b", 1), ("c", 0)]
