@@ -59,3 +59,11 @@ def test_empty(spark):
 def test_no_python_in_plan(spark):
     plan = X.duplicate_groups(docs(spark, [(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_a_digest_just_below_the_heavy_bound_is_in_no_window(spark):
+    rows = [(i, "copies" if i % 50 == 0 else f"own {i}") for i in range(3000)]
+    df = X.duplicate_groups(docs(spark, rows))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    assert {r["doc_id"]: tuple(r)[1:] for r in df.collect()} == brute(rows)

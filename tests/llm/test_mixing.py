@@ -100,3 +100,18 @@ def test_odd_inputs(spark):
     assert M.mix_documents(docs(spark, [])).count() == 0
     found = M.mix_sources(docs(spark, [(1, "a b c"), (1, "a b c"), (None, "d e")])).collect()
     assert len(found) == 3 and sum(r["taken"] for r in found) == 12
+
+
+def test_one_id_with_a_third_of_all_rows(spark):
+    """Repeated rows of one id lie side by side on their source's line, wherever they were read."""
+    rows = [(7, "a b c", "s")] * 60 + [(k, prose(5 + k % 9, k), "st"[k % 2]) for k in range(100, 220)] + [(7, "d e", "s")] * 5
+    df = docs(spark, rows).repartition(6)
+    found = M.mix_sources(df).collect()
+    assert len(found) == len(rows) and all(0 <= r["taken"] <= 2 * r["size"] for r in found)
+    by = defaultdict(int)
+    for r in found:
+        by[r["source_size"], round(r["target"], 6)] += r["taken"]
+    assert all(abs(n - target) <= 0.5 + 1e-6 for (_, target), n in by.items())
+    lines, _ = M._lines(df, M.WEIGHTS, M.TOTAL, M.MOST, "doc_id", "text", "source")
+    spans = sorted((r["key"], r["start"], r["start"] + r["size"]) for r in lines.collect())
+    assert all(a[2] == b[1] for a, b in zip(spans, spans[1:]) if a[0] == b[0])

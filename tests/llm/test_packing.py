@@ -125,3 +125,15 @@ def test_documents(spark):
         assert at <= 512
     assert len(by) <= -(-sum(r["length"] for r in found) // 512) + 2
     assert P.pack_documents(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("least_rows", [60, 1000])
+def test_whole_table_over_several_ranges(spark, least_rows):
+    """At full capacity, by ranges from parallelism: gapless, and the fewest sequences or one more."""
+    rng = random.Random(9)
+    lengths = [min(4096, int(rng.lognormvariate(6, 1.4)) + 1) for _ in range(2500)]
+    items = spark.createDataFrame(list(enumerate(lengths)), "tag bigint, length int")
+    places = P.place(items, 4096, P.RANGE_ROWS, least_rows)
+    rows = items.join(places, "tag").select("tag", "length", "sequence_id", "offset").collect()
+    assert sorted(r[:2] for r in map(tuple, rows)) == list(enumerate(lengths))
+    assert len(packed(map(tuple, rows), 4096)) <= max(-(-sum(lengths) // 4096), sum(2 * n > 4096 for n in lengths)) + 1

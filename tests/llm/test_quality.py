@@ -118,3 +118,18 @@ def test_odd_inputs(spark):
 
 def test_statistics():
     assert len(text_stats("a b")) == len(NAMES) and text_stats(None) == text_stats("") == [0.0] * len(NAMES)
+
+
+def test_repeated_labelled_rows_are_never_all_lost(spark):
+    """Two labelled ids, each in far more rows than the sample has room for."""
+    good, bad = prose(120, 1), "!!! ### $$$ " * 40
+    df = spark.range(6002).selectExpr("CAST(id % 2 + 1 AS BIGINT) AS doc_id").selectExpr("doc_id", f"IF(doc_id = 1, '{good}', '{bad}') AS text")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], LABELS)
+    assert not any(r[0] for r in labels.select(Q.held_out()).collect())
+    scores = {r["doc_id"]: r["score"] for r in Q.score_quality(df, labels, sample=2000).dropDuplicates(["doc_id"]).collect()}
+    assert scores[1] > 0.95 and scores[2] < 0.05
+
+
+def test_counts_shrink_in_proportion():
+    assert Q.shrunk(np.array([3.0, 1.0]), 10).tolist() == [3, 1]
+    assert Q.shrunk(np.array([1e9, 3e9, 1.0]), 100).tolist() == [24, 74, 1] or Q.shrunk(np.array([1e9, 3e9, 1.0]), 100).sum() <= 200
