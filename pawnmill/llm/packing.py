@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, materialise, parts, shuffle_partitions, stored
+from .common import col, materialise, parts, shuffle_partitions, sole_cache, stored
 from .tokens import default_path, worker_tokenizer
 
 CAPACITY, END_ID = 4096, 1
@@ -159,6 +159,7 @@ def sweep(rows: DataFrame, capacity: int, dealt: bool) -> DataFrame:
     """SWEPT rows of (at, kind, name, size) after the sweep of each range; ``dealt``: ranges are by at, else a task is one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_cache("sweep", lambda: None)  # the token cache has done its work
         held: list[list[np.ndarray]] = []
         at = -1 if dealt else TaskContext.get().partitionId()
         close = lambda: _swept(at, *(np.concatenate(c) for c in zip(*held)), capacity)
