@@ -26,26 +26,42 @@ def record_type_of_columns() -> Column:
     return chain.otherwise(INVALID)
 
 
+def has_key(parsed: Column, key: str) -> Column:
+    """Whether a parsed object has a key, be its value null or not."""
+    return F.variant_get(parsed, f"$.{key}", "variant").isNotNull()
+
+
+def record_type_of_parsed(parsed: Column) -> Column:
+    """The first fitting type of a parsed object (a variant); invalid for anything else."""
+    chain = reduce(lambda acc, r: acc.when(has_key(parsed, r[1]), r[0]), RECORDS[1:], F.when(has_key(parsed, RECORDS[0][1]), RECORDS[0][0]))
+    return chain.otherwise(INVALID)
+
+
 def decode_records(lines: DataFrame, text: str = "value", strict: bool = True) -> DataFrame:
     """Typed superset columns and record_type of JSON lines; blank lines leave.
 
-    Strict decoding fails on a line of no type or without one of its type's keys, also where
-    the value may be null. JSON with bare infinities hides its keys from the key functions;
-    such a line is told by its typed columns.
+    A line is parsed once, to a variant, from which keys and typed values are read. Strict
+    decoding fails on a line of no type or without one of its type's keys, also where the value
+    may be null. Bare infinities (and keys that repeat) are no JSON to the variant parser; such
+    a line is parsed by schema and told by its typed columns.
     """
-    some = lines.where(F.trim(text) != "")
-    keys = F.json_object_keys(text)
-    rows = some.select(F.from_json(text, superset(), {"mode": "PERMISSIVE", "allowNonNumericNumbers": "true"}).alias("r"), keys.alias("__keys"), F.col(text).alias("__line")).select("r.*", "__keys", "__line")
-    rows = rows.withColumn("record_type", F.when(F.col("__keys").isNull(), record_type_of_columns()).otherwise(record_type_of_keys(F.col("__keys"))))
+    some = lines.where(F.trim(text) != "").select(F.col(text).alias("__line"), F.try_parse_json(F.col(text)).alias("__json"))
+    json, plain = F.col("__json"), F.col("__json").isNull()
+    loose = F.when(plain, F.from_json("__line", superset(), {"mode": "PERMISSIVE", "allowNonNumericNumbers": "true"}))
+    some = some.withColumn("__loose", loose)
+    typed = [F.when(plain, F.col("__loose").getField(f.name)).otherwise(F.try_variant_get(json, f"$.{f.name}", f.dataType.simpleString())).alias(f.name) for f in superset().fields]
+    kind = F.when(~plain, record_type_of_parsed(json))
+    rows = some.select(*typed, "__line", "__json", kind.alias("record_type"))
+    rows = rows.withColumn("record_type", F.coalesce("record_type", record_type_of_columns()))
     if strict:
         complete = F.lit(True)
-        for kind, _, _ in RECORDS:
-            wanted = F.array(*[F.lit(f.name) for f in record_schema(kind).fields])
-            complete = F.when(F.col("record_type") == kind, F.size(F.array_except(wanted, "__keys")) == 0).otherwise(complete)
-        good = (F.col("record_type") != INVALID) & (F.col("__keys").isNull() | complete)
+        for name, _, _ in RECORDS:
+            every = reduce(lambda acc, c: acc & c, [has_key(json, f.name) for f in record_schema(name).fields])
+            complete = F.when(F.col("record_type") == name, every).otherwise(complete)
+        good = (F.col("record_type") != INVALID) & (F.col("__json").isNull() | complete)
         checked = F.when(good, F.col("record_type")).otherwise(F.raise_error(F.concat(F.lit("invalid record: "), F.substring("__line", 1, 200))).cast("string"))
         rows = rows.withColumn("record_type", checked)
-    return rows.drop("__keys", "__line")
+    return rows.drop("__json", "__line")
 
 
 def encode_record(kind: str) -> Column:

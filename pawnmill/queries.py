@@ -247,7 +247,7 @@ def record_discriminate(spark, sf_dir):
         .when(part == 4, F.to_json(F.struct(F.col("event_id"), F.lit(True).alias("legal"))))
         .otherwise(F.col("props"))
     )
-    kinds = ev.select("event_id", records.record_type_of_keys(F.json_object_keys(line)).alias("record_type"))
+    kinds = ev.select("event_id", records.record_type_of_parsed(F.try_parse_json(line)).alias("record_type"))
     return kinds.groupBy("record_type").agg(F.count(F.lit(1)).alias("n"))
 
 

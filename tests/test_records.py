@@ -74,3 +74,15 @@ def test_event_ids_by_ranges(spark):
         own = sorted((r["event_id"], r["k"]) for r in found if r["run"] == run)
         assert [e for e, _ in own] == list(range(n)) and [k for _, k in own] == sorted(k for _, k in own)
     assert R.with_event_ids(spark.createDataFrame([], "run string, k int"), "run", "k").count() == 0
+
+
+def test_odd_lines(spark):
+    """Repeated keys, other JSON values, null values of telling keys, and values of another type."""
+    found = R.decode_records(lines(spark, '{"legal": null, "fen": "f"}', "[1, 2]", '"text"', '{"legal": true, "fen": "a", "fen": "b"}', '{"ply": "x", "phase": 5}', "{}", "{broken"), strict=False).collect()
+    assert [r["record_type"] for r in found] == ["per_legal_rate", "invalid", "invalid", "per_legal_rate", "per_move", "invalid", "invalid"]
+    assert found[0]["fen"] == "f" and found[0]["legal"] is None and found[4]["ply"] is None and found[4]["phase"] == "5"
+
+
+def test_lines_are_parsed_once(spark):
+    plan = R.decode_records(lines(spark, "{}"), strict=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "json_object_keys" not in plan
