@@ -20,7 +20,7 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _bytes_of_letters() -> dict[str, int]:
+def bytes_of_letters() -> dict[str, int]:
     """A byte-level vocabulary writes printable bytes as themselves, and the others, in order, as letters from 256 on."""
     plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
     rest = [b for b in range(256) if b not in plain]
@@ -39,7 +39,7 @@ class ByteTokenizer:
         if file["model"]["type"] != "BPE" or (file["pre_tokenizer"] or {}).get("type") != "ByteLevel" or file["pre_tokenizer"]["add_prefix_space"]:
             raise ValueError(f"{os.path.basename(path)} is no plain byte-level tokenizer")
         added = {t["content"]: t["id"] for t in file["added_tokens"]}
-        letters = _bytes_of_letters()
+        letters = bytes_of_letters()
         ranks = {bytes(map(letters.__getitem__, token)): k for token, k in file["model"]["vocab"].items() if token not in added}
         self.encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 

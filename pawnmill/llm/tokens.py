@@ -7,11 +7,13 @@ of a batch are encoded together, parted by a word of one control character.
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterable
 
 import numpy as np
 
+from .byte_tokens import bytes_of_letters
 from .common import sole_cache
 
 #: Separators for Python's split() that the tokenizer does not take for white space.
@@ -29,6 +31,31 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _letters(path: str):
+    """An encoder of pieces that end in PART, from the tokenizer's own vocabulary, and which ids end a piece; None if the vocabulary has no word ends.
+
+    A piece's last byte and its end mark are one symbol before any merge, so these symbols have
+    the ranks after the plain bytes; merges follow in the order of their ids.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    mark, vocab, letters = model.get("end_of_word_suffix"), model["vocab"], bytes_of_letters()
+    merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model.get("merges", [])]
+    if not mark or any(vocab.get(a + b) != 512 + k for k, (a, b) in enumerate(merges)):
+        return None
+    ranks, last = {}, np.zeros(len(vocab) + 1, dtype=bool)
+    for token, k in vocab.items():
+        if k < 512 + len(merges):
+            ends = token.endswith(mark) and token != mark
+            ranks[bytes(map(letters.__getitem__, token.removesuffix(mark) if ends else token)) + (PART.encode() if ends else b"")] = k
+            last[k] = ends
+    if len(ranks) != 512 + len(merges):
+        return None
+    return tiktoken.Encoding("letters", pat_str=rf"[^{PART}]+{PART}", mergeable_ranks=ranks, special_tokens={}), last
+
+
 class Recent:
     """A dictionary of two generations: full, it forgets what was not asked for since the last time."""
 
@@ -66,6 +93,7 @@ class WordCachedTokenizer:
         self.words, self.cores, self.tails = Recent(cache_words), Recent(cache_words), Recent(10_000)
         parts = self._ids(PART)
         self.part = parts[0] if len(parts) == 1 else None
+        self.letters = _letters(path)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -80,11 +108,21 @@ class WordCachedTokenizer:
                 return [raw[4 * a : 4 * b] for a, b in zip(starts, [*ends.tolist(), len(ids)])]
         return [np.array(self._ids(w), dtype="<u4").tobytes() for w in words]
 
-    def _learn(self, cache: Recent, words: Iterable[str]) -> dict[str, bytes]:
+    def _encode_letters(self, words: list[str]) -> list[bytes]:
+        """The same for lower-case words of letters alone, each of which is one piece."""
+        if self.letters is None:
+            return self._encode(words)
+        encoding, last = self.letters
+        ids = encoding.encode_to_numpy(PART.join(words) + PART, disallowed_special=()).astype("<u4", copy=False)
+        ends = (np.flatnonzero(last[ids]) + 1).tolist()
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
+
+    def _learn(self, cache: Recent, words: Iterable[str], encode) -> dict[str, bytes]:
         known, missing = cache.look_up(words)
         for at in range(0, len(missing), 4000):
             some = missing[at : at + 4000]
-            for w, v in zip(some, self._encode(some)):
+            for w, v in zip(some, encode(some)):
                 known[w] = cache.young[w] = v
         cache.age()
         return known
@@ -107,8 +145,8 @@ class WordCachedTokenizer:
                 parted.append((w, core, low[len(core) :]))
             else:
                 whole.append(w)
-        cores = self._learn(self.cores, {core for _, core, _ in parted})
-        tails = self._learn(self.tails, {tail for _, _, tail in parted if tail})
+        cores = self._learn(self.cores, {core for _, core, _ in parted}, self._encode_letters)
+        tails = self._learn(self.tails, {tail for _, _, tail in parted if tail}, self._encode)
         for w, core, tail in parted:
             known[w] = young[w] = cores[core] + tails[tail] if tail else cores[core]
         for at in range(0, len(whole), 4000):
