@@ -15,7 +15,7 @@ Unplaced pieces and the gaps of open sequences are rows of one table. A round
 A round that places nothing shows that no piece fits any gap. Then new sequences open for the
 largest pieces, by rank: as many as the tokens left need at least, or one for each piece over
 half the capacity if those are more; no packing of these pieces could do with fewer. Packing
-ends when no piece is left. There are as many ranges as shuffle partitions, fewer where they
+ends when no piece is left. There is a range for every few shuffle partitions, fewer where they
 would hold less than LEAST_RANGE_ROWS rows, more where they would hold more than RANGE_ROWS; in
 a single range, a sweep is sequential best fit in descending order (tested), and the opening
 follows at once.
@@ -44,7 +44,9 @@ from .tokens import default_path, worker_tokenizer
 
 CAPACITY, END_ID = 4096, 1
 #: Rows (pieces and gaps) that one range holds, at most about and, if there is more than one, at least about.
-RANGE_ROWS, LEAST_RANGE_ROWS = 200_000, 1_000
+RANGE_ROWS, LEAST_RANGE_ROWS = 200_000, 5_000
+#: Shuffle partitions for each range: a sweep is a short task, so there may be fewer of them than of others.
+PARTITIONS_A_RANGE = 4
 #: Longest table of claims or quotas (two rows a range at most) that is broadcast.
 SMALL = 100_000
 #: Kinds of rows. Gaps sort before pieces of equal size.
@@ -221,8 +223,8 @@ def place(items: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_RO
     while n_rows:
         order = [F.col("size").desc(), F.col("kind"), F.col("name")]
         ranges = rows.select(F.lit(0).alias("at"), "kind", "name", "size")
-        # enough ranges for all cores, more where they would grow large; one where there are only few rows
-        n_ranges = max(-(-n_rows // range_rows), min(shuffle_partitions(spark), n_rows // least_rows), 1)
+        # ranges by the parallelism, more where they would grow large; one where there are only few rows
+        n_ranges = max(-(-n_rows // range_rows), min(-(-shuffle_partitions(spark) // PARTITIONS_A_RANGE), n_rows // least_rows), 1)
         ranges = ranges.repartitionByRange(n_ranges, *order) if n_ranges > 1 else ranges.coalesce(1)
         swept = materialise(sweep(ranges, capacity, dealt=False))
         wide = F.count_if(F.col("size") * 2 > capacity)

@@ -128,11 +128,12 @@ def test_documents(spark):
 
 
 @pytest.mark.parametrize("least_rows", [60, 1000])
-def test_whole_table_over_several_ranges(spark, least_rows):
+def test_whole_table_over_several_ranges(spark, monkeypatch, least_rows):
     """At full capacity, by ranges from parallelism: gapless, and the fewest sequences or one more."""
     rng = random.Random(9)
     lengths = [min(4096, int(rng.lognormvariate(6, 1.4)) + 1) for _ in range(2500)]
     items = spark.createDataFrame(list(enumerate(lengths)), "tag bigint, length int")
+    monkeypatch.setattr(P, "PARTITIONS_A_RANGE", 1)
     places = P.place(items, 4096, P.RANGE_ROWS, least_rows)
     rows = items.join(places, "tag").select("tag", "length", "sequence_id", "offset").collect()
     assert sorted(r[:2] for r in map(tuple, rows)) == list(enumerate(lengths))
