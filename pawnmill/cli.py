@@ -112,8 +112,6 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "puzzles":
         themes = tuple(args.themes.split(",")) if args.themes else None
         run = evaluate.run_puzzles(spark, factory, PuzzleConfig(args.puzzle_db, args.rating_min, args.rating_max, themes, args.sample), folder, run_id, args.checkpoint)
-        print(report.puzzle_summary(run.read_records()))  # the dispatcher knows no metrics of puzzle runs
-        return 0
     else:
         run = evaluate.run_perplexity(spark, factory, PerplexityConfig(args.sequences, args.max_sequences), folder, run_id, args.checkpoint)
     print(report.summary(report.report(run)))

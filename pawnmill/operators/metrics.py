@@ -142,11 +142,11 @@ def agreement(moves: DataFrame, a: str = "model_move", b: str = "sf_best_move")
     return known.agg(F.count(F.lit(1)).alias("n"), ratio(F.sum(_flag(F.col(a) == F.col(b))), F.count(F.lit(1))).alias("agreement"))
 
 
-def puzzle_accuracy(puzzles: DataFrame, bounds: Sequence[tuple[float, str]], top: str) -> DataFrame:
-    """n, solved and accuracy overall, by rating bucket and by theme."""
+def puzzle_accuracy(puzzles: DataFrame, bounds: Sequence[tuple[float, str]], top: str, solved: Column | None = None) -> DataFrame:
+    """n, solved and accuracy overall, by rating bucket and by theme; ``solved`` if not told by equal lines."""
     from ..functions.scalar import bucketize
 
-    solved = F.col("model_attempt") == F.col("solution")
+    solved = F.col("model_attempt") == F.col("solution") if solved is None else solved
     rows = puzzles.select(bucketize("rating", bounds, top).alias("rating_bucket"), "themes", solved.alias("ok"))
     flat = stratified(rows, {"rating_bucket": None}, {"n": F.lit(1).cast("long"), "solved": _flag(F.col("ok"))}, zero_fill=False)
     themed = rows.select(F.explode("themes").alias("theme"), "ok").groupBy("theme").agg(F.count(F.lit(1)).alias("n"), F.sum(_flag(F.col("ok"))).alias("solved"))

@@ -49,8 +49,18 @@ def perplexity_metrics(records: DataFrame, config: Mapping) -> dict:
     return {"evaluator": "perplexity", **row.asDict()}
 
 
+#: Bounds of the rating buckets of puzzles.
+PUZZLE_BOUNDS, TOP_PUZZLES = ((1000, "<1000"), (1500, "1000-1500"), (2000, "1500-2000"), (2500, "2000-2500")), "2500+"
+
+
+def puzzle_metrics(records: DataFrame, config: Mapping) -> dict:
+    found = metrics.puzzle_accuracy(records.where("record_type = 'per_puzzle'"), PUZZLE_BOUNDS, TOP_PUZZLES, F.col("solved"))
+    nested = _nested(found, ("n", "solved", "accuracy"))
+    return {"evaluator": "puzzles", "accuracy": {"overall": {"n": 0, "solved": 0, "accuracy": 0.0}} | nested}
+
+
 #: A new evaluator is one more function here.
-BUILDERS: dict[str, Callable[[DataFrame, Mapping], dict]] = {"vs_stockfish": match_metrics, "legal_rate": legal_rate_metrics, "perplexity": perplexity_metrics}
+BUILDERS: dict[str, Callable[[DataFrame, Mapping], dict]] = {"vs_stockfish": match_metrics, "legal_rate": legal_rate_metrics, "perplexity": perplexity_metrics, "puzzles": puzzle_metrics}
 
 
 def compute_all(records: DataFrame, config: Mapping) -> dict:
@@ -77,10 +87,7 @@ def summary(payload: Mapping) -> str:
     if payload["evaluator"] == "legal_rate":
         x = payload["legal_rate"]["overall"]
         return f"positions {x['n']}: {x['legal']} legal, {100 * x['rate']:.1f} %"
+    if payload["evaluator"] == "puzzles":
+        x = payload["accuracy"]["overall"]
+        return f"puzzles {x['n']}: {x['solved']} solved, {100 * x['accuracy']:.1f} %"
     return f"sequences {payload['num_sequences']}, tokens {payload['num_tokens']}: NLL {payload['mean_nll']:.4f}, {payload['bits_per_token']:.4f} bits, perplexity {payload['perplexity']:.2f}"
-
-
-def puzzle_summary(records: DataFrame) -> str:
-    """A line for the console on a run of puzzles."""
-    row = records.where("record_type = 'per_puzzle'").agg(F.count(F.lit(1)).alias("n"), F.count_if("solved").alias("solved")).first()
-    return f"puzzles {row['n']}: {row['solved']} solved, {100 * row['solved'] / row['n'] if row['n'] else 0:.1f} %"

@@ -8,12 +8,11 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
 
 from ..operators.records import decode_records
 from ..schemas import RAW_GAME, SEQUENCE
 from ..session import broadcast_if_small, checkpointed
+from .sinks import exists
 
 #: Rows of a batch that a scan hands on.
 ROWS = 1000
@@ -31,7 +30,9 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
-    """One of train, eval and test; the partition column prunes the others' files."""
+    """One of train, eval and test; the partition column prunes the others' files. Splits under names of their own are read by name."""
+    if exists(spark, named := f"{path.rstrip('/')}/{split}.parquet"):
+        return spark.read.parquet(named)
     return spark.read.parquet(path).where(F.col("split") == split).drop("split")
 
 
@@ -166,41 +167,6 @@ def read_puzzles(spark: SparkSession, path: str, rating: tuple[int, int] | None
     return reservoir(rows, sample, "puzzle_id", seed=seed) if sample else rows
 
 
-class _PgnReader(DataSourceReader):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
-
-    def partitions(self) -> Sequence[InputPartition]:
-        return [InputPartition((k, p)) for k, p in enumerate(self.paths)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        from ..chess.notation import movetext_to_uci, split_games
-
-        _, path = partition.value
-        with open(path, encoding="utf-8", errors="replace") as f:
-            for k, (headers, body) in enumerate(split_games(f.read())):
-                yield path.rsplit("/", 1)[-1], k, headers, movetext_to_uci(body, headers.get("FEN"))
-
-
-class PgnSource(DataSource):
-    """Format ``pgn`` for files on a file system that every executor mounts: option path, a file, folder or glob."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "pgn"
-
-    def schema(self) -> str:
-        return "file string, game_index int, headers map<string,string>, moves array<string>"
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        import glob
-        import os
-
-        path = self.options["path"].removeprefix("file:")
-        files = sorted(glob.glob(os.path.join(path, "*.pgn")) if os.path.isdir(path) else glob.glob(path))
-        return _PgnReader(files)
-
-
 def read_pgn(spark: SparkSession, path: str) -> DataFrame:
     """game_id (game-0000, ... over all files, in the order of their paths), headers and UCI moves of PGN files.
 

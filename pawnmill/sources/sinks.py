@@ -32,6 +32,22 @@ def write_splits(df: DataFrame, path: str, rows: int = C.SHARD_SIZE) -> None:
     df.write.mode("overwrite").option("maxRecordsPerFile", rows).partitionBy("split").parquet(path)
 
 
+def name_splits(spark: SparkSession, path: str) -> list[str]:
+    """Give the splits that ``write_splits`` has written names of their own, train.parquet and so on; returns the names.
+
+    A folder by split is renamed as a whole, so there are as many renames as splits, whatever
+    the number of files.
+    """
+    p, fs = _hadoop_path(spark, path)
+    here = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    found = sorted(f.getPath().getName() for f in fs.listStatus(p) if f.getPath().getName().startswith("split="))
+    names = [f"{f.removeprefix('split=')}.parquet" for f in found]
+    for folder, name in zip(found, names):
+        fs.delete(here(p, name), True)
+        fs.rename(here(p, folder), here(p, name))
+    return names
+
+
 def append_records(records: DataFrame, path: str) -> None:
     """Append records as compact JSON lines; each append is whole or absent."""
     encode_records(records).select("value").write.mode("append").text(path)

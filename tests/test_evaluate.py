@@ -229,6 +229,5 @@ def test_puzzles(spark, tmp_path):
     run = E.run_puzzles(spark, Knows, PuzzleConfig(str(tmp_path / "p.csv"), rating_max=2000, themes=("mate",)), str(tmp_path / "run"), "r", "c")
     rows = {r["puzzle_id"]: (r["model_attempt"], r["solution"], r["solved"]) for r in run.read_records().collect()}
     assert rows == {"1": (["d8h4"], ["d8h4"], True), "2": (["d8h4"], ["g8f6"], False), "3": ([], ["b2b4"], False), "4": ([], [], False)}
-    assert report.puzzle_summary(run.read_records()).startswith("puzzles 4: 1 solved")
-    with pytest.raises(ValueError, match="unsupported evaluator"):
-        report.report(run)
+    payload = report.report(run)
+    assert report.summary(payload).startswith("puzzles 4: 1 solved") and payload["accuracy"]["overall"]["n"] == 4 and run.read_metrics() == payload

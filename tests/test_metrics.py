@@ -53,7 +53,8 @@ def test_dispatch(spark):
     assert compute_all(empty, {"evaluator": "legal_rate"})["legal_rate"]["overall"] == {"n": 0, "legal": 0, "rate": 0.0}
     assert compute_all(empty, {"evaluator": "perplexity"})["perplexity"] == 0.0
     with pytest.raises(ValueError, match="unsupported evaluator"):
-        compute_all(empty, {"evaluator": "puzzles"})
+        compute_all(empty, {"evaluator": "unknown"})
+    assert compute_all(empty, {"evaluator": "puzzles"})["accuracy"]["overall"] == {"n": 0, "solved": 0, "accuracy": 0.0}
 
 
 def test_losses_and_pairs(spark):

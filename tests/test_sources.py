@@ -39,8 +39,6 @@ def test_pgn(spark, tmp_path):
     (tmp_path / "g.pgn").write_text(PGN)
     rows = scans.read_pgn(spark, str(tmp_path / "g.pgn")).orderBy("game_index").collect()
     assert [(r["game_id"], r["moves"]) for r in rows] == [("game-0000", ["e2e4", "e7e5", "g1f3", "b8c6"]), ("game-0001", ["d2d4", "d7d5", "c2c4", "e7e6"])]
-    spark.dataSource.register(scans.PgnSource)
-    assert spark.read.format("pgn").option("path", str(tmp_path)).load().count() == 2
     (tmp_path / "empty.pgn").write_text("")
     assert scans.read_pgn(spark, str(tmp_path / "empty.pgn")).count() == 0
 
@@ -61,6 +59,8 @@ def test_shards_and_splits(spark, tmp_path):
     assert scans.read_split(spark, str(tmp_path / "splits"), "eval").count() == 2
     plan = scans.read_split(spark, str(tmp_path / "splits"), "test")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(split" in plan
+    assert sinks.name_splits(spark, str(tmp_path / "splits")) == ["eval.parquet", "test.parquet", "train.parquet"]
+    assert scans.read_split(spark, str(tmp_path / "splits"), "train").count() == 7 and scans.read_split(spark, str(tmp_path / "splits"), "test").count() == 1
 
 
 def test_vocabulary_sink(spark, tmp_path):
