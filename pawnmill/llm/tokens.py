@@ -110,8 +110,6 @@ class WordCachedTokenizer:
 
     def _encode_letters(self, words: list[str]) -> list[bytes]:
         """The same for lower-case words of letters alone, each of which is one piece."""
-        if self.letters is None:
-            return self._encode(words)
         encoding, last = self.letters
         ids = encoding.encode_to_numpy(PART.join(words) + PART, disallowed_special=()).astype("<u4", copy=False)
         ends = (np.flatnonzero(last[ids]) + 1).tolist()
@@ -145,10 +143,14 @@ class WordCachedTokenizer:
                 parted.append((w, core, low[len(core) :]))
             else:
                 whole.append(w)
-        cores = self._learn(self.cores, {core for _, core, _ in parted}, self._encode_letters)
         tails = self._learn(self.tails, {tail for _, _, tail in parted if tail}, self._encode)
-        for w, core, tail in parted:
-            known[w] = young[w] = cores[core] + tails[tail] if tail else cores[core]
+        if self.letters is None:
+            cores = self._learn(self.cores, {core for _, core, _ in parted}, self._encode)
+            found = [cores[core] for _, core, _ in parted]
+        else:  # encoding letters anew costs no more than looking them up
+            found = self._encode_letters([core for _, core, _ in parted]) if parted else []
+        for (w, _, tail), v in zip(parted, found):
+            known[w] = young[w] = v + tails[tail] if tail else v
         for at in range(0, len(whole), 4000):
             some = whole[at : at + 4000]
             for w, v in zip(some, self._encode(some)):
