@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pawnmill.llm import url_filter as U
 from pawnmill.llm.trees import boost
@@ -58,6 +59,29 @@ def test_held_out_scores(spark):
     assert 0.35 < np.mean([(r["block_score"] >= 0.5) == r["blocked"] for r in got]) < 0.65
 
 
+def test_unseen_hosts(spark):
+    """Hosts tell the labels apart as well as digits do; on hosts never seen the digits must decide."""
+    path = lambda k, bad: "/".join(str(1_000_003 * (k + j)) for j in range(3)) if bad else "/".join("abcdefgh"[(k + j) % 7 :] for j in range(3))
+    made = lambda host, n: [(f"http://w.{host}{k % 20}{'x' if k % 2 else 'y'}.org/{path(k, k % 2)}", k % 2) for k in range(n)]
+    labelled, new = made("known", 600), made("other", 200)
+    table = spark.createDataFrame(labelled, "url string, blocked int")
+    found = {r["page_id"]: r["verdict"] for r in U.judge_urls(pages(spark, [u for u, _ in new]), labelled=table).collect()}
+    assert np.mean([found[k] == ("block" if bad else "allow") for k, (_, bad) in enumerate(new)]) > 0.95
+    got = U.held_out_scores(table, whole_suffixes=True).collect()
+    assert len(got) == 600 and np.mean([(r["block_score"] >= 0.5) == r["blocked"] for r in got]) > 0.95
+
+
+def test_cut_before_grouping(spark):
+    """Repeated URLs stay whole, and none of the least hashes is lost."""
+    urls = [f"http://h{k}.org/{k}" for k in range(9_000)] + ["http://h0.org/0"] * 3_000
+    df = spark.createDataFrame([(u, 1.0) for u in urls], "url string, y double")
+    cut = U._hash_cut(df, 500)
+    all_hashes = sorted({(r[1], r[0]) for r in df.select("url", F.xxhash64("url")).collect()})
+    kept = {r[0] for r in cut.select("url").collect()}
+    assert {u for _, u in all_hashes[:500]} <= kept and len(kept) < 1_200
+    assert U._hash_cut(df, 20_000).count() == len(urls)
+
+
 def test_long_and_repeated_urls(spark):
     long = "http://a.net/" + "xyzé" * 100_000
     found = U.judge_urls(pages(spark, [long, long, *URLS, *["http://b.org/fr/1"] * 300])).collect()
