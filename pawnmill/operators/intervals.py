@@ -4,6 +4,10 @@ Ranges are [low, high); a null end is open. They are laid into bins as wide as t
 range, so that all of them together take at most three rows each; values meet the ranges of
 their own bin by an equi-join, and the exact ends are checked there. A value and a range share
 one bin at most, so a pair appears once; overlapping ranges give a row for each range.
+
+What is only counted, or whose extremes are sought, needs no pairs (``interval_aggregate``):
+values and ends are numbered in their order, FAN neighbours are summed up in a node, FAN nodes
+in one above, and a range reads a part of at most two nodes of each level.
 """
 
 from __future__ import annotations
@@ -11,10 +15,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, checkpointed
+from .records import with_event_ids
 
 #: Most bins between the least and the greatest value.
 BINS = 1 << 16
+#: Cells of a node are 2 to the power of this many.
+FAN_BITS = 6
+#: Most nodes that are broadcast.
+NODES = 10_000
 
 
 def bin_layout(points: DataFrame, point: str, ranges: DataFrame, low: str, high: str, bins: int = BINS) -> tuple[float, float, float]:
@@ -49,6 +58,67 @@ def interval_join(points: DataFrame, point: str, ranges: DataFrame, low: str = "
     return keyed.join(broadcast_if_small(laid), (F.col("__at") == F.col("__bin")) & holds, how).drop("__at", "__bin")
 
 
+def _merged(how: str, c: str) -> Column:
+    return {"sum": F.sum, "min": F.min, "max": F.max}[how](c).alias(c)
+
+
+def _nodes(places: DataFrame, levels: int, bits: int, measures: dict[str, str]) -> DataFrame:
+    """level, node, cells: measures of a node's places (level 0), or of the nodes right below it, in order."""
+    at = F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright("place", k * bits).alias("cell")) for k in range(levels)]))
+    cells = places.select(at.alias("at"), *measures).groupBy("at.level", "at.cell").agg(*[_merged(how, m) for m, how in measures.items()])
+    return cells.groupBy("level", F.shiftright("cell", bits).alias("node")).agg(F.sort_array(F.collect_list(F.struct("cell", *measures))).alias("cells"))
+
+
+def _parts(levels: int, bits: int) -> Column:
+    """The parts of nodes (level, node, first cell, size) that make up the places from a0 to before b0; columns a1, b1, ... are the same ends by level."""
+    parts = []
+    for k in range(levels):
+        a, b = F.col(f"a{k}"), F.col(f"b{k}")
+        left, right = F.shiftright(a, bits), F.shiftright(b - 1, bits)
+        part = lambda node, x, y: F.struct(F.lit(k).alias("level"), node.alias("node"), (x - F.shiftleft(node, bits) + 1).cast("int").alias("first"), (y - x).cast("int").alias("size"))  # noqa: B023, E731
+        parts.append(F.when(a < b, part(left, a, F.least(b, F.shiftleft(left + 1, bits)))))
+        parts.append(F.when((a < b) & (left < right), part(right, F.shiftleft(right, bits), b)))
+    return F.filter(F.array(*parts), lambda p: p.isNotNull())
+
+
+def interval_aggregate(
+    points: DataFrame, point: str, ranges: DataFrame, by: str, low: str = "low", high: str = "high", count: str = "n", least: dict[str, str] | None = None, greatest: dict[str, str] | None = None,
+    bits: int = FAN_BITS,
+) -> DataFrame:
+    """by, the number of points in its ranges, and over them the least and the greatest of columns (out: column); a ``by`` without points leaves.
+
+    The same as ``interval_join`` grouped by ``by``, but no pairs are made: rows grow with
+    points and ranges, however these overlap.
+    """
+    asked = [(out, "min", c) for out, c in (least or {}).items()] + [(out, "max", c) for out, c in (greatest or {}).items()]
+    measures = {"n": "sum"} | {f"m{k}": how for k, (_, how, _) in enumerate(asked)}
+    some = points.where(F.col(point).isNotNull())
+    if points.schema[point].dataType.typeName() in ("float", "double"):
+        some = some.where(~F.isnan(point))
+    some = some.select(F.col(point).alias("x"), F.lit(1).cast("long").alias("n"), *[F.col(c).alias(f"m{k}") for k, (_, _, c) in enumerate(asked)])
+    ends = ranges.select(F.explode(F.array(low, high)).alias("x")).where("x IS NOT NULL")
+    values = some.unionByName(ends, allowMissingColumns=True).groupBy("x").agg(*[_merged(how, m) for m, how in measures.items()])
+    places = checkpointed(with_event_ids(values.withColumn("run", F.lit(0)), "run", "x", out="place").withColumn("place", F.col("place").cast("long")))
+    n, levels = places.count(), 1
+    while n > 1 << levels * bits:
+        levels += 1
+
+    at = lambda end, c: places.select(F.col("x").alias(f"{c}_x"), F.col("place").alias(c)).hint("merge").alias(end)
+    kind = places.schema["x"].dataType
+    spans = ranges.select(F.col(by).alias("of"), F.col(low).cast(kind).alias("low"), F.col(high).cast(kind).alias("high"))
+    spans = spans.join(at("low", "a"), F.col("low") == F.col("a_x"), "left").join(at("high", "b"), F.col("high") == F.col("b_x"), "left")
+    spans = spans.select("of", F.coalesce("a", F.lit(0)).alias("a0"), F.coalesce("b", F.lit(n)).cast("long").alias("b0")).where("a0 < b0")
+    for k in range(levels - 1):  # what lies between the outer two nodes are whole nodes, the cells of the next level
+        spans = spans.withColumns({f"a{k + 1}": F.shiftright(f"a{k}", bits) + 1, f"b{k + 1}": F.shiftright(F.col(f"b{k}") - 1, bits)})
+    parts = spans.select("of", F.explode(_parts(levels, bits)).alias("part")).select("of", "part.*")
+    cells = F.slice("cells", F.col("first"), F.col("size"))
+    over = {"sum": lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda x, y: x + F.coalesce(y, F.lit(0))), "min": F.array_min, "max": F.array_max}
+    met = parts.join(broadcast_if_small(checkpointed(_nodes(places, levels, bits, measures)), NODES), ["level", "node"]).select("of", cells.alias("cells"))
+    found = met.select("of", *[over[how](F.col("cells").getField(m)).alias(m) for m, how in measures.items()])
+    found = found.groupBy("of").agg(*[_merged(how, m) for m, how in measures.items()]).where("n > 0")
+    return found.select(F.col("of").alias(by), F.col("n").alias(count), *[F.col(f"m{k}").alias(out) for k, (out, _, _) in enumerate(asked)])
+
+
 def ranges_of_bounds(bounds: DataFrame, bound: str, label: str, top: str | None = None) -> DataFrame:
     """low, high, label of ascending upper bounds: each range ends before its own bound, the first is open below; ``top`` is above the last.
 

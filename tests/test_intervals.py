@@ -50,6 +50,35 @@ def test_empty_sides_and_other_types(spark):
     assert [x["w"] for x in I.interval_join(days, "v", weeks).collect()] == ["w1"]
 
 
+@pytest.mark.parametrize("bits", [1, 2, 6])
+def test_aggregates_equal_those_of_every_pair(spark, bits):
+    rng = random.Random(bits)
+    points = [(k, round(rng.gauss(0, 50), 1)) for k in range(300)] + [(1000, None), (1001, float("nan")), (1002, 7.0)] + [(2000 + k, 7.0) for k in range(40)]
+    ends = [sorted((round(rng.uniform(-150, 150), 1), round(rng.uniform(-150, 150), 1))) for _ in range(60)]
+    ranges = [(k % 50, a, b) for k, (a, b) in enumerate(ends)] + [(60, None, 0.0), (61, 7.0, None), (None, None, None), (63, 7.0, 7.0), (64, 9.0, 3.0), (65, -1e9, -1e8), (66, 1e8, None), (67, 7.0, 7.1), (68, 6.9, 7.0)]
+    p, r = spark.createDataFrame(points, "p int, v double"), spark.createDataFrame(ranges, "r int, low double, high double")
+    found = I.interval_aggregate(p, "v", r, "r", least={"first": "p", "small": "v"}, greatest={"large": "v"}, bits=bits)
+    want, value = {}, dict(points)
+    for k, of in ((k, of) for k, v in points for of, a, b in ranges if v is not None and not math.isnan(v) and (a is None or a <= v) and (b is None or v < b)):
+        want.setdefault(of, []).append(k)
+    assert {x["r"]: (x["n"], x["first"], x["small"], x["large"]) for x in found.collect()} == {of: (len(ks), min(ks), min(value[k] for k in ks), max(value[k] for k in ks)) for of, ks in want.items()}
+    assert I.interval_aggregate(p.limit(0), "v", r, "r").count() == 0 and I.interval_aggregate(p, "v", r.limit(0), "r").count() == 0
+
+
+def test_aggregates_make_no_pairs(spark):
+    """3,000 ranges over most of 20,000 values: 40 million pairs, but no join makes more than a few rows a range."""
+    p = spark.range(20_000).select("id", F.col("id").cast("double").alias("v"))
+    r = spark.range(3_000).select(F.col("id").alias("r"), F.col("id").cast("double").alias("low"), (20_000 - F.col("id")).cast("double").alias("high"))
+    made = I.interval_aggregate(p, "v", r, "r", least={"first": "id"})
+    assert {(x["n"] + 2 * x["r"], x["first"] - x["r"]) for x in made.collect()} == {(20_000, 0)}
+    plan, rows = [made._jdf.queryExecution().executedPlan()], []
+    while plan:
+        node = plan.pop()
+        plan += [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in node.nodeName() else [node.children().apply(k) for k in range(node.children().size())]
+        rows += [node.metrics().apply("numOutputRows").value()] if "Join" in node.nodeName() else []
+    assert len(rows) == 3 and 0 < max(rows) <= 6 * 3_000
+
+
 def test_buckets_by_data_equal_buckets_by_constants(spark):
     values = [None, -5.0, 0.0, 2499.99, 2500.0, 4999.0, 5000.0, 1e9]
     df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double")
