@@ -1,7 +1,12 @@
-"""Arrow functions over the chess rules: FEN checks, legal moves, replay, game ends."""
+"""Arrow functions over the chess rules: FEN checks, legal moves, replay, game ends.
+
+A line of moves that repeats in an Arrow batch is replayed once.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +22,12 @@ def _valid(fen: str | None) -> bool:
         return False
 
 
+def _of_lines(moves: pd.Series, of: Callable[[tuple], str | None]) -> pd.Series:
+    lines = [tuple(line) if line is not None else () for line in moves]
+    known = {line: of(line) for line in dict.fromkeys(lines)}
+    return pd.Series([known[line] for line in lines], dtype=object)
+
+
 @F.pandas_udf(T.BooleanType())
 def fen_is_valid(fen: pd.Series) -> pd.Series:
     return fen.map(_valid).astype(bool)
@@ -45,13 +56,13 @@ def fen_after(moves: pd.Series) -> pd.Series:
     def play(line):
         board = Board()
         try:
-            for m in line if line is not None else ():
+            for m in line:
                 board.push_uci(m)
         except ValueError:
             return None
         return board.fen()
 
-    return moves.map(play)
+    return _of_lines(moves, play)
 
 
 @F.pandas_udf(T.StringType())
@@ -62,13 +73,13 @@ def result_after(moves: pd.Series) -> pd.Series:
     def play(line):
         board = Board()
         try:
-            for m in line if line is not None else ():
+            for m in line:
                 board.push_uci(m)
         except ValueError:
             return None
         return board.outcome()
 
-    return moves.map(play)
+    return _of_lines(moves, play)
 
 
 @F.pandas_udf(T.StringType())

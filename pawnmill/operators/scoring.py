@@ -91,14 +91,15 @@ def predict(scorer: Scorer, board, prefix: list[int], constrained: bool = True,
 
 def choose(logits: np.ndarray, board, constrained: bool = True, temperature: float = 0.0, top_k: int = 0, record_top_k: int = 5, seed: tuple[int, ...] = (0,)) -> Prediction:
     """The move of one row of scores."""
-    from ..chess.board import move_uci
+    from ..chess.board import move_uci, parse_uci
 
     tokens = token_list()
     raw = np.asarray(logits, dtype=np.float64)
-    legal = {move_uci(m) for m in board.legal_moves()}
     raw_move = tokens[int(raw.argmax())]
-    used = raw
+    used, is_legal = raw, lambda move: board.is_legal(parse_uci(move))
     if constrained:
+        legal = {move_uci(m) for m in board.legal_moves()}
+        is_legal = legal.__contains__
         allowed = [i for i, t in enumerate(tokens) if t in legal]
         if not allowed:
             return Prediction(None, True, raw_move, False, (), "game-over")
@@ -110,7 +111,7 @@ def choose(logits: np.ndarray, board, constrained: bool = True, temperature: flo
         lp = log_softmax(used)
         order = np.lexsort((np.arange(len(lp)), -lp))[: min(record_top_k, len(lp))]
         ranked = tuple((tokens[i], float(lp[i])) for i in order)
-    return Prediction(move, constrained, raw_move, raw_move in legal, ranked, None if move in legal else "illegal-move")
+    return Prediction(move, constrained, raw_move, is_legal(raw_move), ranked, None if is_legal(move) else "illegal-move")
 
 
 def game_tokens(side: str, moves: list[str]) -> list[int]:
@@ -186,7 +187,10 @@ def score_sequences(sequences: DataFrame, factory: Callable[[], Scorer], ids: st
 
 
 def predict_positions(positions: DataFrame, factory: Callable[[], Scorer]) -> DataFrame:
-    """positions (position_id, fen, perspective, moves) with model_move and legal, unmasked and greedy."""
+    """positions (position_id, fen, perspective, moves) with model_move and legal, unmasked and greedy.
+
+    A choice depends on position, side and moves alone, so those that repeat in a batch are scored once.
+    """
     columns = positions.columns
     schema = positions.schema.simpleString()[7:-1] + ",model_move:string,legal:boolean"
 
@@ -195,13 +199,13 @@ def predict_positions(positions: DataFrame, factory: Callable[[], Scorer]) -> Da
 
         scorer = factory()
         for frame in frames:
-            prefixes = [game_tokens(side, list(moves) if moves is not None else []) for side, moves in zip(frame["perspective"], frame["moves"])]
-            found = []
-            for at in range(0, len(prefixes), PREFIXES):
-                logits = scorer.logits(prefixes[at : at + PREFIXES])
-                found += [choose(x, Board(fen), constrained=False, record_top_k=0) for x, fen in zip(logits, frame["fen"].iloc[at : at + PREFIXES])]
-            yield frame[columns].assign(model_move=[p.raw_move for p in found], legal=[p.raw_legal for p in found])
+            spots = [(fen, side, tuple(moves) if moves is not None else ()) for fen, side, moves in zip(frame["fen"], frame["perspective"], frame["moves"])]
+            each = list(dict.fromkeys(spots))
+            found = {}
+            for at in range(0, len(each), PREFIXES):
+                some = each[at : at + PREFIXES]
+                logits = scorer.logits([game_tokens(side, list(moves)) for _, side, moves in some])
+                found.update({spot: choose(x, Board(spot[0]), constrained=False, record_top_k=0) for x, spot in zip(logits, some)})
+            yield frame[columns].assign(model_move=[found[s].raw_move for s in spots], legal=[found[s].raw_legal for s in spots])
 
     return positions.mapInPandas(run, schema)
-
-

@@ -231,3 +231,46 @@ def test_puzzles(spark, tmp_path):
     assert rows == {"1": (["d8h4"], ["d8h4"], True), "2": (["d8h4"], ["g8f6"], False), "3": ([], ["b2b4"], False), "4": ([], [], False)}
     payload = report.report(run)
     assert report.summary(payload).startswith("puzzles 4: 1 solved") and payload["accuracy"]["overall"]["n"] == 4 and run.read_metrics() == payload
+
+
+def test_positions_that_repeat_are_scored_once(spark):
+    """400 rows of two lines: a scorer that is asked for more prefixes than there are different ones fails."""
+
+    class Sparing(scoring.HashScorer):
+        asked = 0
+
+        def logits(self, prefixes):
+            self.asked += len(prefixes)
+            assert self.asked <= 2
+            return super().logits(prefixes)
+
+    lines = [["e2e4"], ["e2e4", "e7e5"]]
+    fens = [Board(), Board()]
+    for board, line in zip(fens, lines):
+        for m in line:
+            board.push_uci(m)
+    rows = [(str(k), fens[k % 2].fen(), "black" if k % 2 == 0 else "white", lines[k % 2]) for k in range(400)]
+    df = spark.createDataFrame(rows, "position_id string, fen string, perspective string, moves array<string>").coalesce(1)
+    found = {r["position_id"]: (r["model_move"], r["legal"]) for r in scoring.predict_positions(df, Sparing).collect()}
+    for k in range(400):
+        want = scoring.predict(scoring.HashScorer(), fens[k % 2], scoring.game_tokens(rows[k][2], lines[k % 2]), record_top_k=0)
+        assert found[str(k)] == (want.raw_move, want.raw_legal)
+
+
+def test_legality_is_the_same_with_and_without_a_mask():
+    board, tokens = Board("r3k2r/P6p/8/3pP3/8/8/7P/R3K2R w KQkq d6 0 1"), token_list()
+    for k in range(0, len(tokens)):
+        logits = np.zeros(len(tokens))
+        logits[k] = 1
+        free, masked = (scoring.choose(logits, board, constrained=c, record_top_k=0) for c in (False, True))
+        assert (free.raw_move, free.raw_legal) == (masked.raw_move, masked.raw_legal) and (free.error is None) == free.raw_legal
+
+
+def test_lines_that_repeat_are_replayed_once(monkeypatch):
+    import pandas as pd
+
+    from pawnmill.operators import chess_udfs
+
+    played = []
+    found = chess_udfs._of_lines(pd.Series([["e2e4"], None, ["e2e4"], []]), lambda line: played.append(line) or str(len(line)))
+    assert found.tolist() == ["1", "0", "1", "0"] and played == [("e2e4",), ()]
