@@ -53,10 +53,9 @@ def _lists(like: pa.Array, flat: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat, mask=like.is_null())
 
 
-def _encode(df: DataFrame, values: Column, kind: DataType) -> DataFrame:
-    """df with __chunk, __codes (places among the chunk's distinct values) and, in a chunk's first row, __values."""
-    rows = df.withColumn("__in", values.cast(ArrayType(kind)))
-    schema = _nullable(df.schema.fields).add("__chunk", LongType()).add("__codes", ArrayType(IntegerType())).add("__values", ArrayType(kind))
+def _encode(rows: DataFrame, kind: DataType) -> DataFrame:
+    """rows whose last column, an array, has become __chunk, __codes (places among the chunk's distinct values) and, in a chunk's first row, __values."""
+    schema = _nullable(rows.schema.fields[:-1]).add("__chunk", LongType()).add("__codes", ArrayType(IntegerType())).add("__values", ArrayType(kind))
     names, arrow = [f.name for f in schema.fields], to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,11 +78,14 @@ def look_up_arrays(df: DataFrame, values: Column | str, table: DataFrame, key: s
     """df with ``out``: for every element of the array ``values``, what ``table`` (unique keys) has for it, else ``default``.
 
     A null array stays null, and a null element has the default. The order of rows is not kept.
+    All columns but ``out`` are written and shuffled with the codes, so arrays that are not
+    needed afterwards should be replaced: ``out`` may be the column of ``values`` itself.
     """
     spark, kind, result = df.sparkSession, table.schema[key].dataType, table.schema[value].dataType
     path = scratch(spark, "coded")
     kept = df.drop(out)
-    _encode(df, col(values), kind).select(*kept.columns, "__chunk", "__codes", "__values").write.parquet(path)  # read three times
+    rows = df.withColumn("__in", col(values).cast(ArrayType(kind))).select(*kept.columns, "__in")
+    _encode(rows, kind).write.parquet(path, compression="zstd")  # read twice
     coded = spark.read.parquet(path)
     entries = coded.where("__values IS NOT NULL").select(F.col("__chunk").alias("__of"), F.posexplode("__values").alias("__code", "__key"))
     told = table.where(F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col(value).alias("__value"))

@@ -47,3 +47,24 @@ def test_vocabulary_of_a_column(spark):
     df = rows_of(spark, [(1, ["b", "a", "a", None], None), (2, ["b", "c"], None), (3, None, None)])
     assert sorted(map(tuple, D.build_vocabulary(df, "tokens", first_id=6).collect())) == [("a", 6), ("b", 7), ("c", 8)]
     assert [tuple(r) for r in D.build_vocabulary(df, F.col("tokens"), least=2).collect()] == [("b", 0)]
+
+
+def test_out_may_take_the_place_of_the_values(spark):
+    """Then the values themselves are neither written nor shuffled with the rows."""
+    vocab = spark.createDataFrame([("a", 4), ("b", 5)], "token string, id int")
+    df = rows_of(spark, [(1, ["a", "b", "c", None], "x"), (2, None, "y")])
+    found = D.with_token_ids(df, "tokens", vocab, out="tokens")
+    assert found.columns == ["k", "input_ids", "tokens"] and sorted(map(tuple, found.collect())) == [(1, "x", [4, 5, 1, 1]), (2, "y", None)]
+    back = D.with_tokens(found, "tokens", vocab, out="tokens")
+    assert {r["k"]: r["tokens"] for r in back.collect()} == {1: ["a", "b", "<UNK>", "<UNK>"], 2: None}
+
+
+@pytest.mark.parametrize("name", ["encode_ids_large", "decode_ids_large"])
+def test_large_queries_carry_no_words_beside_the_codes(spark, monkeypatch, name, tmp_path):
+    from pawnmill.queries import queries
+
+    seen = []
+    monkeypatch.setattr(D, "_encode", lambda rows, kind, plain=D._encode: seen.append(rows.columns) or plain(rows, kind))
+    spark.createDataFrame([(k, f"a b c{k}") for k in range(5)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert queries()[name](spark, str(tmp_path)).count() == 5
+    assert seen and all(columns == ["doc_id", "__in"] for columns in seen)
