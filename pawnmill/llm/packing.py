@@ -241,9 +241,8 @@ def place(items: DataFrame, capacity: int = CAPACITY, range_rows: int = RANGE_RO
             goes = table(moves, "source int, first bigint, last bigint, to int")
             mine = (F.col("at") == F.col("source")) & (F.col("nth") >= F.col("first")) & (F.col("nth") < F.col("last"))
             sides = swept.where(F.col("kind") == GAP).join(goes, mine, "left").select("to", "kind", "name", "size")
-            claiming = table([(at,) for at in sorted({m[3] for m in moves})], "to int")
-            pieces = swept.where(F.col("kind") == PIECE)
-            pieces = pieces.join(claiming, F.col("at") == F.col("to"), "left").select("to", "kind", "name", "size")
+            claiming = F.when(F.col("at").isin(sorted({m[3] for m in moves})), F.col("at"))  # a mark by range, which takes no join
+            pieces = swept.where(F.col("kind") == PIECE).select(claiming.alias("to"), "kind", "name", "size")
             dealt = sides.unionByName(pieces)
             met = dealt.where("to IS NOT NULL").withColumnRenamed("to", "at").repartition(len({m[3] for m in moves}), "at").sortWithinPartitions("at")
             again = materialise(sweep(met, capacity, dealt=True))

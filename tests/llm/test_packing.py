@@ -138,3 +138,19 @@ def test_whole_table_over_several_ranges(spark, monkeypatch, least_rows):
     rows = items.join(places, "tag").select("tag", "length", "sequence_id", "offset").collect()
     assert sorted(r[:2] for r in map(tuple, rows)) == list(enumerate(lengths))
     assert len(packed(map(tuple, rows), 4096)) <= max(-(-sum(lengths) // 4096), sum(2 * n > 4096 for n in lengths)) + 1
+
+
+def test_ranges_that_claim_are_marked_without_a_join(spark, monkeypatch):
+    """Only gaps are joined, with the claims on them; pieces, all of which each round reads, are not."""
+    plans = []
+
+    def watched(rows, capacity, dealt, plain=P.sweep):
+        if dealt:
+            plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return plain(rows, capacity, dealt)
+
+    monkeypatch.setattr(P, "sweep", watched)
+    items = spark.range(1200).selectExpr("id AS tag", "1 + (id * 7919) % 4096 AS length")
+    placed = P.place(items, range_rows=300, least_rows=100)
+    assert placed.count() == placed.select("tag").distinct().count() == 1200
+    assert plans and all(plan.count("Join") == 1 for plan in plans)
