@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of text that a Python worker handles at a time; one longer text is a part of its own.
 PART_ROWS, PART_BYTES = 256, 1 << 20
+#: Rows of ids and numbers worth a task of their own, and most rows of a table that is broadcast.
+TASK_ROWS, MOST_BROADCAST = 4096, 100_000
 
 
 _held: dict[str, Callable[[], None]] = {}
@@ -55,6 +57,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """df, which has at most ``rows`` narrow rows, in as few partitions as that is worth; as it is where they are worth all.
+
+    Every task costs files of each shuffle and checkpoint that it writes, however few its rows.
+    """
+    n = max(1, -(-rows // TASK_ROWS))
+    return df.coalesce(n) if n < shuffle_partitions(df.sparkSession) else df
+
+
+def looked_up(df: DataFrame, rows: int) -> DataFrame:
+    """df, which has at most ``rows`` narrow rows, marked for broadcast if these are few, else as it is (and shuffled)."""
+    return F.broadcast(df) if rows <= MOST_BROADCAST else df
+
+
 def col(name: str) -> Column:
     """A column by its exact name, dots and backticks included."""
     return F.col("`" + name.replace("`", "``") + "`")

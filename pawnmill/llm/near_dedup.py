@@ -16,7 +16,9 @@
 5. Classes are components; a class is named by its least document.
 
 Tables by bucket, class or component are written before rows look them up, so the sides of
-those joins are plain shuffles, which Spark splits where one key is hot.
+those joins are plain shuffles, which Spark splits where one key is hot. The number of
+candidates' entries bounds the tables of ids that follow: where it is small, they go on in few
+partitions and are broadcast.
 
 Two bags of similarity 0.8 share a band with probability 1 - (1 - 0.8^ROWS)^BANDS, which is
 0.9999 for the constants below.
@@ -41,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bag_minhash import band_keys, signatures
-from .common import col, keep_one_each, materialise, parts, text_or_empty
+from .common import col, gathered, keep_one_each, looked_up, materialise, parts, text_or_empty
 from .components import components
 from .shingles import WORDS, overlap, shingle_bag
 from .slots import slot_map
@@ -153,8 +155,8 @@ def _verify(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     return joined.mapInArrow(run, f"a {id_type}, b {id_type}")
 
 
-def _settle(open_entries: DataFrame, bands: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """a, b of every link between different components of a bucket, by comparing all that may be one.
+def _settle(open_entries: DataFrame, bands: DataFrame, bags: DataFrame, threshold: float, most: int) -> DataFrame:
+    """a, b of every link between different components of a bucket, by comparing all that may be one; there are at most ``most`` open entries.
 
     Buckets of one largest component hold much the same members, so they are taken together:
     each member comes once, not once a band. The members outside the component (side 0) and
@@ -164,11 +166,11 @@ def _settle(open_entries: DataFrame, bands: DataFrame, bags: DataFrame, threshol
     and pairs exist only while they are compared.
     """
     id_type = open_entries.schema["rep"].dataType.simpleString()
-    members = materialise(open_entries.select("largest", "rep", "mass", "rest", "root").distinct())
+    members = materialise(gathered(open_entries.select("largest", "rep", "mass", "rest", "root").distinct(), most))
     minor = F.col("root") != F.col("largest")
     sizes = members.groupBy("largest").agg(F.count_if(minor).alias("minors"), F.count(F.lit(1)).alias("members"))
-    groups = materialise(sizes).select("largest", F.ceil(F.col("minors") / CELL).cast("int").alias("rows"), F.ceil(F.col("members") / CELL).cast("int").alias("columns"))
-    dealt = members.join(groups, "largest").join(bands, "rep").join(bags, "rep")
+    groups = materialise(gathered(sizes, most)).select("largest", F.ceil(F.col("minors") / CELL).cast("int").alias("rows"), F.ceil(F.col("members") / CELL).cast("int").alias("columns"))
+    dealt = members.join(looked_up(groups, most), "largest").join(bands, "rep").join(bags, "rep")
     mine = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     every = lambda n: F.sequence(F.lit(0), n - 1)
     fields = ["largest", "i", "j", "side", "rep", "root", "minor", "mass", "rest", "bands", "shingles", "counts"]
@@ -220,39 +222,43 @@ def _classes(df: DataFrame, threshold: float, words: int, id_col: str, text_col:
     entries = sets.select("rep", "mass", F.posexplode("bands").alias("band", "key"))
     crowded = entries.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.min("mass").alias("smallest")).where("n > 1").select("band", "key", "smallest")
     entries = materialise(entries.join(materialise(crowded), ["band", "key"]))
-    wanted = sets.join(entries.select("rep").distinct(), "rep", "left_semi").select("rep", "set_hi", "set_lo", "first.text_hash")
+    most = entries.count()
+    few, small = lambda t: gathered(t, most), lambda t: looked_up(t, most)
+    entries = few(entries)
+    candidates = few(entries.select("rep").distinct())
+    wanted = few(materialise(sets.join(small(candidates), "rep", "left_semi").select("rep", "set_hi", "set_lo", "first.text_hash")))  # sets are read by all tasks
     bags = materialise(_bags(df, wanted, text_col, words))
-    own = materialise(_own_mass(bags))
+    own = materialise(few(_own_mass(bags)))
 
     # common <= least of (mass - own); the threshold t asks for common >= t / (1 + t) * (mass_x + mass_y)
     need = threshold / (1 + threshold)
     slack = 1e-9
-    entries = entries.join(own, "rep", "left").withColumn("own", F.coalesce("own", F.lit(0))).withColumn("rest", F.col("mass") - F.col("own"))
-    entries = materialise(entries.where(F.col("rest") + slack >= need * (F.col("mass") + F.col("smallest"))).drop("smallest"))
+    entries = entries.join(small(own), "rep", "left").withColumn("own", F.coalesce("own", F.lit(0))).withColumn("rest", F.col("mass") - F.col("own"))
+    entries = materialise(few(entries.where(F.col("rest") + slack >= need * (F.col("mass") + F.col("smallest"))).drop("smallest")))
 
     central = F.struct((F.col("own") / F.col("mass")).alias("share"), F.col("rep").alias("rep"), F.col("mass").alias("mass"), F.col("rest").alias("rest"))
-    pivots = materialise(entries.groupBy("band", "key").agg(F.min(central).alias("pivot")))
+    pivots = materialise(few(entries.groupBy("band", "key").agg(F.min(central).alias("pivot"))))
     possible = lambda x_mass, x_rest, y_mass, y_rest: F.least(x_rest, y_rest) + slack >= need * (x_mass + y_mass)
     stars = (
-        entries.join(pivots, ["band", "key"])
+        entries.join(small(pivots), ["band", "key"])
         .where(F.col("rep") != F.col("pivot.rep"))
         .where(possible(F.col("mass"), F.col("rest"), F.col("pivot.mass"), F.col("pivot.rest")))
         .select(F.col("rep").alias("a"), F.col("pivot.rep").alias("b"))
         .distinct()
     )
-    links = materialise(_verify(materialise(stars), bags, threshold))
+    links = materialise(_verify(materialise(few(stars)), bags, threshold))
     roots = components(links)
 
-    marked = materialise(entries.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep")))
-    sizes = marked.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"))
+    marked = materialise(few(entries.join(small(roots.withColumnRenamed("node", "rep")), "rep", "left").withColumn("root", F.coalesce("root", "rep"))))
+    sizes = few(marked.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n")))
     several = sizes.groupBy("band", "key").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("n", "root")).alias("largest")).where("roots > 1")
-    several = materialise(several.select("band", "key", F.col("largest.root").alias("largest")))
-    open_entries = marked.join(several, ["band", "key"]).select("rep", "mass", "rest", "root", "largest")
-    more = materialise(_settle(open_entries, sets.select("rep", "bands"), bags, threshold))
+    several = materialise(few(several.select("band", "key", F.col("largest.root").alias("largest"))))
+    open_entries = marked.join(small(several), ["band", "key"]).select("rep", "mass", "rest", "root", "largest")
+    more = materialise(_settle(open_entries, sets.select("rep", "bands"), bags, threshold, most))
     if more.limit(1).count():
         roots = components(links.unionByName(more))
 
-    classes = sets.select("set_hi", "set_lo", "rep", "first", "copies").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    classes = sets.select("set_hi", "set_lo", "rep", "first", "copies").join(small(roots.withColumnRenamed("node", "rep")), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     classes = materialise(classes.select("set_hi", "set_lo", "root", "first", "copies"))
     whole = materialise(classes.groupBy("root").agg(F.min("first").alias("least"), F.sum("copies").alias("class_size")))
     named = materialise(classes.select("set_hi", "set_lo", "root").join(whole, "root").select("set_hi", "set_lo", "least", "class_size"))

@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+import os
 import random
 from collections import Counter
+from contextlib import contextmanager
 
 import numpy as np
 import pytest
 
 from pawnmill.llm import bag_minhash as B
+from pawnmill.llm import common
 from pawnmill.llm import near_dedup as N
 from pawnmill.llm.components import components
 from pawnmill.llm.shingles import overlap, shingle_bag
@@ -136,3 +139,59 @@ def test_one_id_with_two_texts(spark):
     assert found == [(1, 1, 2, True)] * 3 + [(k, 1, 2, False) for k in (2, 3, 4)] + [(5, 5, 2, True), (6, 5, 2, False), (6, 6, 1, True)]
     left = sorted((r["doc_id"], r["text"]) for r in N.drop_near_duplicates(docs(spark, rows)).collect())
     assert left == sorted([*rows[:3], rows[6], rows[8]])
+
+
+@contextmanager
+def settings(spark, **values):
+    before = {k: spark.conf.get(k) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def many_partitions(spark):
+    return settings(spark, **{"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"})
+
+
+def checkpoint_files(spark):
+    common.ensure_checkpoint_dir(spark)
+    place = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    return sum(f.startswith("part-") for _, _, files in os.walk(place) for f in files)
+
+
+def test_few_links_take_few_tasks(spark):
+    """Each task writes files in every shuffle and checkpoint of a round, so their number follows the links, not the setting."""
+    links = spark.createDataFrame([(k, k + 1) for k in range(40)], "a bigint, b bigint")
+    before = checkpoint_files(spark)
+    with many_partitions(spark):
+        roots = components(links)
+        assert {r["root"] for r in roots.collect()} == {0}
+        assert roots.rdd.getNumPartitions() == 1
+    assert checkpoint_files(spark) - before < 64
+
+
+def test_few_candidates_take_few_tasks(spark):
+    rows = corpus()
+    before = checkpoint_files(spark)
+    with many_partitions(spark):
+        found = N.near_classes(docs(spark, [(*r, "s", 0) for r in rows], ", class_id int")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in found} == brute_classes(rows)
+    assert checkpoint_files(spark) - before < 20 * 64  # 9 tables of sets, bags or pairs that were compared keep their tasks
+
+
+def test_classes_of_larger_tables(spark, monkeypatch):
+    """Where no table is small, none is broadcast or gathered."""
+    monkeypatch.setattr(common, "TASK_ROWS", 1)
+    monkeypatch.setattr(common, "MOST_BROADCAST", 0)
+    rows = corpus()
+    found = N.near_classes(docs(spark, [(*r, "s", 0) for r in rows], ", class_id int")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in found} == brute_classes(rows)
+
+
+def test_gathered_keeps_rows_and_large_tables(spark):
+    df = spark.range(0, 100, 1, 8)
+    assert common.gathered(df, 100).rdd.getNumPartitions() == 1 and common.gathered(df, 100).count() == 100
+    assert common.gathered(df, 4 * common.TASK_ROWS).rdd.getNumPartitions() == 8  # the session has 4 partitions
+    assert common.gathered(df, 0).rdd.getNumPartitions() == 1
