@@ -73,9 +73,9 @@ def half_even(x: Column) -> Column:
     return F.bround(x, 0).cast("int")
 
 
-def split_words(c: Column | str) -> Column:
+def split_words(c: Column | str, space: str = r"\s+") -> Column:
     """Words between runs of white space; none for an empty text."""
-    return F.filter(F.split(col(c), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(col(c), space), lambda w: w != "")
 
 
 def hash_order(seed: object, *keys: Column | str) -> Column:
